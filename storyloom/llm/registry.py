@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from storyloom.llm.language import op9_language
+from storyloom.llm.quality import op6_quality
+from storyloom.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op6_quality": op6_quality,
         "op9_language": op9_language,
     }
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from storyloom.llm.language import op9_language
+from storyloom.llm.neighbours import op10_neighbours
 from storyloom.llm.quality import op6_quality
+from storyloom.llm.secrets import op7_secrets
 from storyloom.llm.toxicity import op1_toxicity
 
 
@@ -11,7 +13,9 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op6_quality": op6_quality,
+        "op7_secrets": op7_secrets,
         "op9_language": op9_language,
+        "op10_neighbours": op10_neighbours,
     }
 
 

@@ -36,6 +36,8 @@ LEXICON_SIZE = 5000
 #: Least distinct contexts in toxic texts: this many, or this share of the toxic texts in the sample.
 MIN_CONTEXTS = 6
 MIN_SHARE = 0.006
+#: Least ratio of toxic to clean contexts.
+ODDS = 8
 THRESHOLD = 0.3
 PREFIX_LENGTHS = (4, 5, 6)
 
@@ -133,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     by_entry = rows.mapInArrow(frequencies, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     scale = min(counts[0], sample_rows) / min(counts[1], sample_rows)
     least = max(MIN_CONTEXTS, MIN_SHARE * min(counts[1], sample_rows))
-    kept = by_entry.filter((F.col("bad") >= least) & (F.col("bad") * scale >= 4 * F.col("good"))).orderBy(F.desc("bad"), "entry").limit(4 * LEXICON_SIZE)
+    kept = by_entry.filter((F.col("bad") >= least) & (F.col("bad") * scale >= ODDS * F.col("good"))).orderBy(F.desc("bad"), "entry").limit(4 * LEXICON_SIZE)
     names = {r["entry"] for r in kept.select("entry").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
@@ -152,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         F.countDistinct(F.when(F.col("y") == 0, F.struct("before", "after"))).alias("good"),
         F.countDistinct(F.when(F.col("y") == 1, F.col("word"))).alias("forms"),
     )
-    chosen = support.filter((F.col("bad") >= least) & (F.col("bad") * scale >= 4 * F.col("good"))).orderBy(F.desc("bad"), "entry").limit(LEXICON_SIZE).collect()
+    chosen = support.filter((F.col("bad") >= least) & (F.col("bad") * scale >= ODDS * (F.col("good") + 0.5))).orderBy(F.desc("bad"), "entry").limit(LEXICON_SIZE).collect()
     weight = {r["entry"]: (math.log((r["bad"] * scale + 0.5) / (r["good"] + 0.5)), r["bad"], r["forms"]) for r in chosen}
     words = {e: w[0] for e, w in weight.items() if not e.endswith("*")}
     prefixes: dict[str, float] = {}

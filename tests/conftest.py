@@ -21,6 +21,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from storyloom.ship import ship
+
+    ship(session)
     yield session
     session.stop()
 

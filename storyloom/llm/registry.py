@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from storyloom.llm import decontamination
+from storyloom.llm.decontamination import op5_decontamination
 from storyloom.llm.language import op9_language
+from storyloom.llm.licenses import op8_licenses
 from storyloom.llm.neighbours import op10_neighbours
+from storyloom.llm.packing import op3_packing
 from storyloom.llm.quality import op6_quality
 from storyloom.llm.secrets import op7_secrets
 from storyloom.llm.toxicity import op1_toxicity
+from storyloom.llm.warc import op4_warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_packing": op3_packing,
+        "op4_warc": op4_warc,
+        "op5_decontamination": op5_decontamination,
         "op6_quality": op6_quality,
         "op7_secrets": op7_secrets,
+        "op8_licenses": op8_licenses,
         "op9_language": op9_language,
         "op10_neighbours": op10_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontamination.ORACLE}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontamination
+from storyloom.llm import decontamination, near_duplicates
 from storyloom.llm.decontamination import op5_decontamination
 from storyloom.llm.language import op9_language
 from storyloom.llm.licenses import op8_licenses
+from storyloom.llm.near_duplicates import op2_jaccard
 from storyloom.llm.neighbours import op10_neighbours
 from storyloom.llm.packing import op3_packing
 from storyloom.llm.quality import op6_quality
@@ -17,6 +18,7 @@ from storyloom.llm.warc import op4_warc
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_jaccard": op2_jaccard,
         "op3_packing": op3_packing,
         "op4_warc": op4_warc,
         "op5_decontamination": op5_decontamination,
@@ -29,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.ORACLE}
+    return {"op5_decontamination": decontamination.ORACLE, "op2_jaccard": near_duplicates.ORACLE}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import bounded_sample, held_out, table
+from storyloom.llm.common import bounded_sample, held_out, table, written
 
 SAMPLE_ROWS = 3000
 LEXICON_SIZE = 5000
@@ -122,7 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if not counts.get(1) or not counts.get(0):
         return Lexicon({}, {}, intercept=-20.0)
     picked = bounded_sample(marks.filter("y = 1"), "k", sample_rows, counts[1]).unionByName(bounded_sample(marks.filter("y = 0"), "k", sample_rows, counts[0]))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(picked, "k").select("t", "y")
+    # at most about 2 x sample_rows labels, so a broadcast; the texts they pick are written once and read by each step
+    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("t", "y"), "toxicity-sample")
 
     def frequencies(batches):
         for batch in batches:

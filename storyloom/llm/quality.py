@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 ids = [np.flatnonzero(row).astype(np.int32) for row in terms]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(ids, pa.list_(pa.int32())), pa.array([row[at] for row, at in zip(terms, ids, strict=True)], pa.list_(pa.float32()))], ["k", "y", "ids", "share"])
 
-    picked = known.join(bounded_sample(marks, "k", sample_rows, total), "k").select("k", "t", "y")
+    picked = known.join(F.broadcast(bounded_sample(marks, "k", sample_rows, total)), "k").select("k", "t", "y")  # about sample_rows labels
     got = picked.mapInArrow(features, f"k {dict(docs.dtypes)[key]}, y int, ids array<int>, share array<float>").toArrow().sort_by("k")
     if not got.num_rows:
         return None

@@ -53,7 +53,7 @@ def links(html: Column, text: Column) -> Column:
     """Distinct links in order: of anchors if there is HTML, else bare URLs."""
     found = F.when(F.length(html) > 0, F.regexp_extract_all(html, F.lit(HREF), 1)).otherwise(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BARE), 0))
     good = lambda u: (u != "") & ~u.rlike("^(#|mailto:|javascript:|tel:)") & ~u.rlike(LIST_ADDRESS)
-    return F.array_distinct(F.filter(F.transform(found, F.trim), good))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), good))
 
 
 def message_id(header: Column, subject: Column, sender: Column, date: Column, text: Column, html: Column, domain: str = "inbox.example") -> Column:

@@ -46,7 +46,9 @@ def gate(calls: DataFrame, ceiling: float, shares: dict[str, float]) -> DataFram
     """(id, admitted, scope): calls in order until one would reach its bucket's or the day's ceiling; that one halts the day."""
     rows = calls.withColumn("day", F.to_date("occurred_at")).withColumn("bucket", bucket())
     before = lambda *keys: F.coalesce(F.sum("usd").over(Window.partitionBy(*keys).orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    own = F.create_map(*[F.lit(x) for name, share in shares.items() for x in (name, ceiling * share)])[F.col("bucket")]
+    own = F.lit(None).cast("double")
+    for name, share in shares.items():
+        own = F.when(F.col("bucket") == name, ceiling * share).otherwise(own)
     usd = F.col("usd").cast("double")
     scope = F.when(own.isNotNull() & (before("day", "bucket") + usd + EPSILON >= own), "bucket").when(before("day") + usd + EPSILON >= ceiling, "day")
     judged = rows.withColumn("scope", scope)

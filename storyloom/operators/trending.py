@@ -25,7 +25,7 @@ def one_per_story(pool: DataFrame) -> DataFrame:
 def board(stories: DataFrame, term: str, least: int, rows: int = 15) -> DataFrame:
     """(term, clusters, score, mean_heat, lead_domain, headline) over the distinct trimmed terms of an array column."""
     weight = lookup(HEAT_WEIGHT, "temperature", 1.0) * lookup(TRAJECTORY_WEIGHT, "trajectory", 1.0)
-    terms = stories.select("candidate_id", "o", "primary_domain", "headline", weight.alias("weight"), lookup(HEAT_RANK, "temperature", 1).alias("heat"), F.explode(F.array_distinct(F.transform(term, F.trim))).alias("term")).filter("term <> ''")
+    terms = stories.select("candidate_id", "o", "primary_domain", "headline", weight.alias("weight"), lookup(HEAT_RANK, "temperature", 1).alias("heat"), F.explode(F.array_distinct(F.transform(term, lambda x: F.trim(x)))).alias("term")).filter("term <> ''")
     by_domain = terms.groupBy("term", "primary_domain").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum("heat").alias("heat"), F.min(F.struct((-F.col("weight")).alias("w"), "o", "headline")).alias("best"))
     whole = by_domain.groupBy("term").agg(F.sum("n").alias("clusters"), F.round(F.sum("w"), 2).alias("score"), (F.sum("heat") / F.sum("n")).alias("mean_heat"), F.min(F.struct((-F.col("w")).alias("w"), "primary_domain"))["primary_domain"].alias("lead_domain"), F.min("best")["headline"].alias("headline"))
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), F.desc("clusters"), "term")

@@ -11,7 +11,7 @@ from storyloom.operators.greedy import first_wins
 from storyloom.sources.lens import model
 
 T0 = dt.datetime(2024, 1, 10)
-NOW = F.expr("TIMESTAMP '2024-01-10 00:00:00'")
+now = lambda: F.expr("TIMESTAMP '2024-01-10 00:00:00'")
 hours = lambda n: T0 + dt.timedelta(hours=n)
 
 
@@ -26,7 +26,7 @@ def test_exclusive_needs_authority_and_more_than_four_hours(spark):
 def test_temperature_floors(spark):
     rows = [(1, "a", 10), (2, "b", 4), (3, "b", 4), (4, "b", 4), (5, "b", 12)]
     df = spark.createDataFrame([(i, d, n, "active", T0) for i, d, n in rows], "cluster_id long, primary_domain string, item_count long, status string, first_seen_at timestamp")
-    z = {r["cluster_id"]: r["z"] for r in signals.temperature(df, NOW).collect()}
+    z = {r["cluster_id"]: r["z"] for r in signals.temperature(df, now()).collect()}
     assert z[1] == 0.0  # no others
     assert z[5] == 4.0  # zero spread: (12 - 4) / sqrt(4)
 
@@ -34,7 +34,7 @@ def test_temperature_floors(spark):
 def test_trajectory_of_young_and_idle_clusters(spark):
     items = spark.createDataFrame([(1, hours(-1)), (2, hours(-1)), (2, hours(-2)), (2, hours(-30)), (3, hours(-100))], "cluster_id long, published_at timestamp")
     cl = spark.createDataFrame([(1, hours(-1)), (2, hours(-30)), (3, hours(-100))], "cluster_id long, first_seen_at timestamp")
-    got = {r["cluster_id"]: (r["ratio"], r["trajectory"]) for r in signals.trajectory(items, cl, NOW).collect()}
+    got = {r["cluster_id"]: (r["ratio"], r["trajectory"]) for r in signals.trajectory(items, cl, now()).collect()}
     assert got == {1: (0.0, "new"), 2: (2.0, "rising"), 3: (0.0, "declining")}
 
 
@@ -46,7 +46,7 @@ def test_upsert_outcomes(spark):
     rows = [candidate(1, 1, "picked", -5), candidate(2, 1, "new", -4), candidate(3, 2, "new", -9, -8), candidate(4, 3, "deferred", -3), candidate(5, 4, "deferred", -3, -1), candidate(6, 5, "passed", -3, 0)]
     df = spark.createDataFrame(rows, "candidate_id long, cluster_id long, status string, created_at timestamp, expires_at timestamp, primary_domain string, curation_score double")
     curated = spark.createDataFrame([(i, "economy") for i in (1, 2, 3, 4, 5, 6)], "cluster_id long, primary_domain string")
-    got = {r["cluster_id"]: (r["outcome"], r["candidate_id"]) for r in candidates.upsert(curated, df, NOW).collect()}
+    got = {r["cluster_id"]: (r["outcome"], r["candidate_id"]) for r in candidates.upsert(curated, df, now()).collect()}
     assert got == {1: ("skipped_decided", None), 2: ("superseded", 3), 3: ("superseded", 4), 4: ("inserted", None), 5: ("inserted", None), 6: ("inserted", None)}
 
 
@@ -124,7 +124,7 @@ def test_online_assignment_is_the_running_mean(spark):
 def test_hash_dedup_boundaries(spark):
     known = spark.createDataFrame([(1, "x0", "u1", "old", hours(-24 * 8)), (1, "x1", "u2", "edge", hours(-24 * 7))], "source_id int, external_id string, url_hash string, title_hash string, published_at timestamp")
     new = spark.createDataFrame([(1, 1, "a", "u1", "n1"), (2, 1, "b", "u9", "old"), (3, 1, "c", "u8", "edge"), (4, 1, "d", "u7", "t"), (5, 1, "e", "u7", "t"), (6, 1, "d", "u6", "t6"), (7, 1, "f", "u7", "other")], "raw_id long, source_id int, external_id string, url_hash string, title_hash string")
-    assert sorted(r["raw_id"] for r in ingest.hash_dedup(new, known, NOW).collect()) == [2, 4, 7]
+    assert sorted(r["raw_id"] for r in ingest.hash_dedup(new, known, now()).collect()) == [2, 4, 7]
 
 
 def test_gate_counts_equal_as_a_hit(spark):
@@ -139,7 +139,7 @@ def test_recalibration_clamps_and_ignores(spark):
     fb = spark.createDataFrame([(1, 1, "pass", hours(-1)), (2, 2, "pick", hours(-1)), (3, 4, "defer", hours(-1)), (4, 4, "pick", hours(-24 * 31))], "feedback_id long, candidate_id long, action string, created_at timestamp")
     cand = spark.createDataFrame([(1, 1), (2, 2), (4, 4)], "candidate_id long, cluster_id long")
     items = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (4, 4)], "cluster_id long, source_id long")
-    got = {r["source_id"]: (r["picks"], r["passes"], r["authority_score"]) for r in feedback.recalibrated(sources, fb, cand, items, NOW).collect()}
+    got = {r["source_id"]: (r["picks"], r["passes"], r["authority_score"]) for r in feedback.recalibrated(sources, fb, cand, items, now()).collect()}
     assert got == {1: (0, 1, 1), 2: (1, 0, 100), 4: (0, 0, 50)}
 
 

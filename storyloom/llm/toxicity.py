@@ -34,7 +34,7 @@ from storyloom.llm.common import bounded_sample, held_out, table, written
 SAMPLE_ROWS = 3000
 LEXICON_SIZE = 5000
 #: Least distinct contexts in toxic texts: this many, or this share of the toxic texts in the sample.
-MIN_CONTEXTS = 6
+MIN_CONTEXTS = 5
 MIN_SHARE = 0.006
 #: Least ratio of toxic to clean contexts.
 ODDS = 8
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     by_entry = rows.mapInArrow(frequencies, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     scale = min(counts[0], sample_rows) / min(counts[1], sample_rows)
     least = max(MIN_CONTEXTS, MIN_SHARE * min(counts[1], sample_rows))
-    kept = by_entry.filter((F.col("bad") >= least) & (F.col("bad") * scale >= ODDS * F.col("good"))).orderBy(F.desc("bad"), "entry").limit(4 * LEXICON_SIZE)
+    kept = by_entry.filter((F.col("bad") >= max(2, least / 3)) & (F.col("bad") * scale >= ODDS * F.col("good"))).orderBy(F.desc("bad"), "entry").limit(4 * LEXICON_SIZE)
     names = {r["entry"] for r in kept.select("entry").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(names)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.greedy import first_wins
 from storyloom.operators.vectors import cosine_pairs
+from storyloom.schemas import DOMAINS
 from storyloom.sources.shared import written
 
 
@@ -82,11 +83,13 @@ def survivors(parents: DataFrame) -> DataFrame:
 
 
 def collisions(best: DataFrame, low: float = 0.45, high: float = 0.80, rows: int = 20) -> DataFrame:
-    """(a, b, similarity): the most similar pairs of clusters of different domains within the band."""
-    pairs = cosine_pairs(best.withColumn("everything", F.lit(1)), best.withColumn("everything", F.lit(1)), "everything", at_least=low, at_most=high).filter("l_id < r_id")
-    domain = best.select("id", "primary_domain")
-    across = pairs.join(domain.withColumnsRenamed({"id": "l_id", "primary_domain": "d1"}), "l_id").join(domain.withColumnsRenamed({"id": "r_id", "primary_domain": "d2"}), "r_id").filter("d1 <> d2")
-    return across.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "similarity").orderBy(F.desc("similarity"), "a", "b").limit(rows)
+    """(a, b, similarity): the most similar pairs of clusters of different domains within the band.
+
+    A block is a pair of domains; each of its groups keeps its ``rows`` best, so pairs never pile up.
+    """
+    others = best.withColumn("other", F.explode(F.array(*[F.lit(d) for d in DOMAINS]))).withColumn("block", F.concat_ws("|", F.least("primary_domain", "other"), F.greatest("primary_domain", "other")))
+    pairs = cosine_pairs(others.filter("primary_domain < other"), others.filter("primary_domain > other"), "block", at_least=low, at_most=high, best=rows)
+    return pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), "similarity").orderBy(F.desc("similarity"), "a", "b").limit(rows)
 
 
 def best_per_cluster(candidates: DataFrame, start: Column, end: Column) -> DataFrame:

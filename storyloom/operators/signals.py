@@ -20,7 +20,7 @@ def exclusive(items: DataFrame, sources: DataFrame) -> DataFrame:
     first = items.groupBy("cluster_id", "source_id").agg(F.min("published_at").alias("at"))
     order = Window.partitionBy("cluster_id").orderBy("at", "source_id")
     lead = first.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("at").over(order)).filter("n = 1")
-    joined = lead.join(F.broadcast(sources.select("source_id", "authority_score")), "source_id")  # sources are a small dimension
+    joined = lead.join(sources.select("source_id", "authority_score"), "source_id")
     gap = hours_between(F.col("at"), F.col("next"))
     return joined.select("cluster_id", "source_id", F.col("authority_score").alias("authority"), F.round(gap, 6).alias("gap_hours"), F.coalesce((F.col("authority_score") >= EXCLUSIVE_AUTHORITY) & (gap > EXCLUSIVE_HOURS), F.lit(False)).alias("is_exclusive"))
 
@@ -62,7 +62,7 @@ def latest_coverage(coverage: DataFrame) -> DataFrame:
 def heuristic(items: DataFrame, clusters: DataFrame, sources: DataFrame, coverage: DataFrame, exclusives: DataFrame) -> DataFrame:
     """(cluster_id, authority, geo, arxiv_only, score) of every cluster."""
     weights = F.create_map(*[F.lit(x) for name, (_, weight, _) in DOMAINS.items() for x in (name, weight)])
-    known = items.join(F.broadcast(sources.select("source_id", "authority_score", "kind")), "source_id")
+    known = items.join(sources.select("source_id", "authority_score", "kind"), "source_id")
     sums = known.groupBy("cluster_id").agg(F.sum("authority_score").alias("authority"), F.bool_and(F.col("kind") == "arxiv").alias("arxiv_only"))
     joined = clusters.select("cluster_id", "primary_domain").join(sums, "cluster_id", "left").join(latest_coverage(coverage).select("cluster_id", "country_count"), "cluster_id", "left").join(exclusives.select("cluster_id", "is_exclusive"), "cluster_id", "left")
     geo = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("country_count") / 5, F.lit(0.0))))

@@ -29,8 +29,11 @@ def cosine(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(unit(a), unit(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float | None = None, at_most: float = 2.0, k: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """(l_id, r_id, similarity) for left(id, vector, block) and right alike: all pairs in [at_least, at_most], or each left row's k best."""
+def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float | None = None, at_most: float = 2.0, k: int | None = None, best: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """(l_id, r_id, similarity) for left(id, vector, block) and right alike: all pairs in [at_least, at_most], or each left row's k best.
+
+    With ``best`` only that many of a group's pairs leave it, the most similar: enough for as many of all pairs.
+    """
     sides = []
     for side in (left, right):
         good = side.select("id", F.col(block).alias("block"), unit("vector").alias("v")).filter("id IS NOT NULL AND block IS NOT NULL AND v IS NOT NULL")
@@ -62,13 +65,17 @@ def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float
             rows, cols = (i.reshape(-1) for i in np.indices(similar.shape))
         value = similar[rows, cols]
         keep = np.ones(len(value), bool) if at_least is None else (value >= at_least) & (value <= at_most)
-        return pa.table([l_ids[rows[keep]], r_ids[cols[keep]], value[keep]], schema=schema)
+        rows, cols, value = rows[keep], cols[keep], value[keep]
+        if best is not None and best < len(value):
+            first = np.lexsort((r_ids[cols], l_ids[rows], -value))[:best]
+            rows, cols, value = rows[first], cols[first], value[first]
+        return pa.table([l_ids[rows], r_ids[cols], value], schema=schema)
 
     pairs = a.groupBy("block", "i", "j").cogroup(b.groupBy("block", "i", "j")).applyInArrow(product, f"l_id {kind}, r_id {dict(right.dtypes)['id']}, similarity double")
     if k is None:
         return pairs
-    best = Window.partitionBy("l_id").orderBy(F.desc(F.round("similarity", 12)), "r_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("l_id").orderBy(F.desc(F.round("similarity", 12)), "r_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def mean_vector(rows: DataFrame, keys: Sequence[str], vector: str, weight: Column | None = None) -> DataFrame:

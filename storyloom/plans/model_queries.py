@@ -190,7 +190,7 @@ def heuristic_score(spark: SparkSession, sf: str) -> DataFrame:
 @query("arxiv_only_filter", "SELECT cluster_id, status FROM {clusters} c WHERE NOT EXISTS (SELECT 1 FROM {items} i JOIN {sources} s USING (source_id) WHERE i.cluster_id = c.cluster_id GROUP BY i.cluster_id HAVING bool_and(s.kind = 'arxiv'))")
 def arxiv_only_filter(spark: SparkSession, sf: str) -> DataFrame:
     items, clusters, sources = m(spark, sf, "items", "clusters", "sources")
-    only = items.join(F.broadcast(sources.select("source_id", "kind")), "source_id").groupBy("cluster_id").agg(F.bool_and(F.col("kind") == "arxiv").alias("only")).filter("only")
+    only = items.join(sources.select("source_id", "kind"), "source_id").groupBy("cluster_id").agg(F.bool_and(F.col("kind") == "arxiv").alias("only")).filter("only")
     return clusters.join(only, "cluster_id", "left_anti").select("cluster_id", "status")
 
 
@@ -235,7 +235,7 @@ def cluster_timeline(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_sources(spark: SparkSession, sf: str) -> DataFrame:
     items, sources = m(spark, sf, "items", "sources")
     firsts = items.groupBy("cluster_id", "source_id").agg(F.min("published_at").alias("at"), F.count("*").alias("n"))
-    joined = firsts.join(F.broadcast(sources.select("source_id", "name", "authority_score")), "source_id")
+    joined = firsts.join(sources.select("source_id", "name", "authority_score"), "source_id")
     listed = F.array_sort(F.collect_list(F.struct("at", "source_id", F.concat("name", F.lit(":"), F.col("authority_score").cast("string")).alias("label"))))
     return joined.groupBy("cluster_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.array_join(F.transform(listed, lambda x: x["label"]), ",").alias("sources"))
 

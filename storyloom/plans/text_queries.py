@@ -114,7 +114,7 @@ HALF_LIFE = "CASE primary_domain " + " ".join(f"WHEN '{n}' THEN {h}" for n, (h,
 @query("recency_decay", f"""SELECT cluster_id, source_id, part_id, line, order_id, round(CASE WHEN h <= 0 THEN 1 ELSE exp(-ln(2) * h / {HALF_LIFE}) END, 9) AS decay, round(authority_score * CASE WHEN h <= 0 THEN 1 ELSE exp(-ln(2) * h / {HALF_LIFE}) END, 7) AS authority_weighted
 FROM (SELECT i.*, s.authority_score, date_diff('second', published_at, TIMESTAMP '2001-08-01 00:00:00') / 3600.0 AS h FROM {{items}} i JOIN {{sources}} s USING (source_id))""")
 def recency_decay(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model(spark, sf, "items").join(F.broadcast(model(spark, sf, "sources").select("source_id", "authority_score")), "source_id")
+    rows = model(spark, sf, "items").join(model(spark, sf, "sources").select("source_id", "authority_score"), "source_id")
     decay = T.recency_decay(F.col("published_at"), F.expr("TIMESTAMP '2001-08-01 00:00:00'"), F.col("primary_domain"))
     return rows.select("cluster_id", "source_id", "part_id", "line", "order_id", F.round(decay, 9).alias("decay"), F.round(F.col("authority_score") * decay, 7).alias("authority_weighted"))
 

@@ -29,7 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import MULTIPLIER, NOT_SPACE, mix, steps, table, utf8, word_hashes, word_spans, written
@@ -93,7 +93,7 @@ def features(docs: DataFrame, text: str, key: str) -> DataFrame:
             sizes, one, two = [], [], []
             for i, j in steps(offsets):
                 own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                counts += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 sizes.append(np.bincount(own, minlength=j - i))
                 one.append(summed(mix(value + np.uint64(1)), own, j - i))
                 two.append(summed(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), own, j - i))
@@ -219,7 +219,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
     first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
     centres = written(index.groupBy("token").agg(F.count("*").alias("held"), F.min_by("gid", first).alias("centre")).filter("held > 1").select("token", "centre"), "jaccard-centres")
-    live = written(index.join(checked(centres), "token").select("token", "gid", "n", "centre"), "jaccard-index")
+    # rank: shingles of the own prefix before this one that others hold too
+    rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
+    live = written(index.join(checked(centres), "token").select("token", "gid", "n", "centre", rank.alias("rank")), "jaccard-index")
     # the most that a group's overlap can be: its size less the prefix shingles that nothing else holds
     bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.count("*").alias("held")).select("gid", "n", (F.col("n") - F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
     other = bounds.withColumnsRenamed({"gid": "centre", "n": "m", "most": "top"})
@@ -236,13 +238,14 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     placed = written(nodes.join(known, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     centre_of = placed.filter("gid = node").select(F.col("gid").alias("centre"), F.col("component").alias("of_centre"))
-    table_ = live.drop("n").join(bounds, "gid").join(span, "gid").join(centre_of, "centre").select("token", "gid", "n", "most", (~((F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre")))).alias("minor"), "low", "high")
+    table_ = live.drop("n").join(bounds, "gid").join(span, "gid").join(centre_of, "centre").select("token", "gid", "n", (F.col("most") - F.col("rank")).alias("reach"), (~((F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre")))).alias("minor"), "low", "high")
     table_ = written(table_, "jaccard-table")
     left, right = table_.filter("minor").alias("l"), table_.alias("r")
     l_, r_ = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     apart = ~((l_("low") == l_("high")) & (r_("low") == r_("high")) & (l_("low") == r_("low")))
     once = (l_("gid") < r_("gid")) | ~r_("minor")
-    close = ((100 + PERCENT) * F.least(l_("most"), r_("most")) >= PERCENT * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= PERCENT * F.greatest(l_("n"), r_("n")))
+    # reach: the most that the overlap can be if this shingle is the first that the two share; for one of their shingles it is
+    close = ((100 + PERCENT) * F.least(l_("reach"), r_("reach")) >= PERCENT * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= PERCENT * F.greatest(l_("n"), r_("n")))
     crossing = left.join(right, (l_("token") == r_("token")) & (l_("gid") != r_("gid")) & apart & once & close).select(l_("gid").alias("g"), r_("gid").alias("h")).distinct()
     inner = members.select(F.col("gid").alias("g")).distinct().select("g", F.col("g").alias("h"))  # members of one group
     crossing = crossing.unionByName(inner)

@@ -166,8 +166,13 @@ def matches(block: Windows, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, starts, found))
 
 
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, spans (first word, word after the last, ...) and items (ids as strings) added."""
+def scan(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """docs with n_words, spans (first word, word after the last, ...) and items (ids as strings) added; options as in ``_scanned``."""
+    return _scanned(docs, items, **options).withColumnsRenamed({"__n": "n_words", "__spans": "spans", "__items": "items"})
+
+
+def _scanned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the columns of ``scan`` under names that clash with none."""
     spark = docs.sparkSession
     total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
@@ -179,7 +184,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
         block = windows_of(got.column("k").to_pylist(), got.column("t").to_pylist(), window, shingle)
         block.choose(corpus_counts(docs, text, block.tokens, block.sizes))
         out = _marked(out, spark.sparkContext.broadcast(block), names.index(text))
-    return out.withColumnsRenamed({"__n": "n_words", "__spans": "spans", "__items": "items"})
+    return out
 
 
 def _marked(rows: DataFrame, shared, text_at: int) -> DataFrame:
@@ -254,4 +259,4 @@ FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark window go."""
-    return scan(docs, table(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0).select(*docs.columns)
+    return _scanned(docs, table(spark, sf_dir, "benchmark")).filter(F.size("__spans") == 0).select(*docs.columns)

@@ -12,10 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
+#: Most rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size, if it is larger, to what workers of a small executor can hold."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,12 +76,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents that hold about ``most`` bytes each."""
+def steps(offsets: np.ndarray, most: int = STEP_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of whole documents that hold about ``most`` bytes and at most ``rows`` documents each."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + rows, max(i + 1, j))
         yield i, j
         i = j
 

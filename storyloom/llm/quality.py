@@ -29,7 +29,8 @@ NEIGHBOURS = 25
 SHARPNESS = 12.0
 THRESHOLD = 0.7
 PRIOR = 0.5
-BLOCK = 512
+#: Documents that are counted and compared at once.
+BLOCK = 256
 
 #: Classes of bytes for the trigrams.
 KINDS = 16
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     def features(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, rows=BLOCK):
                 terms = term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = [np.flatnonzero(row).astype(np.int32) for row in terms]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(ids, pa.list_(pa.int32())), pa.array([row[at] for row, at in zip(terms, ids, strict=True)], pa.list_(pa.float32()))], ["k", "y", "ids", "share"])
@@ -178,7 +179,7 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", key:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             out = np.full(batch.num_rows, 0.5)
-            for i, j in steps(offsets) if m is not None else ():
+            for i, j in steps(offsets, rows=BLOCK) if m is not None else ():
                 out[i:j] = m.vote(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["key", "score"])
 
@@ -202,7 +203,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         for batch in batches:
             data, offsets = utf8(batch.column(names.index("text")))
             good = np.ones(batch.num_rows, bool)
-            for i, j in steps(offsets) if m is not None else ():
+            for i, j in steps(offsets, rows=BLOCK) if m is not None else ():
                 good[i:j] = m.vote(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) >= THRESHOLD
             yield batch.filter(pa.array(good))
 

@@ -7,8 +7,9 @@
    one of their first n - ceil(t n) + 1 shingles. Sets with identical prefixes and size collapse to one group;
    only groups enter the index.
 3. Group pairs. A shingle of several prefixes has a centre, the group where it stands first. Each group of the
-   shingle is paired with the centre; size and overlap bounds filter the pairs (shingles that no other prefix
-   holds can't be in an overlap). Groups expand to members, and exact sets decide. Members that are in their
+   shingle is paired with the centre; size and overlap bounds filter the pairs (of the two sets, a prefix shingle
+   that no other prefix holds can't be in the overlap if it stands in the prefix that ends first: the other set
+   would have it in its own prefix; of the other set nothing is taken off). Groups expand to members, and exact sets decide. Members that are in their
    centre's component need no further pair: all that is missing is a link they already have. The others, few,
    are paired with all groups of the shingle in other components, and are decided alike. So every pair that the
    prefix filter admits is either decided or within one component, and no group emits all its pairs.
@@ -215,18 +216,21 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     groups = prefix.groupBy("n", "whole").agg(F.min("key").alias("gid"), F.count("*").alias("size")).filter("size > 1").select("n", "whole", "gid")
     members = written(prefix.select("key", "n", "whole").join(groups, ["n", "whole"]).filter("key <> gid").select("gid", F.col("key").alias("node")).distinct(), "jaccard-members")
     heads = prefix.join(checked(members.select(F.col("node").alias("key"))), "key", "left_anti")
-    index = heads.select(F.col("key").alias("gid"), "n", F.posexplode("tokens").alias("pos", "token"))
+    # end: the prefix's last token in the order of the tokens, which are unsigned
+    end = F.get("tokens", F.size("tokens") - 1).bitwiseXOR(F.lit(-(1 << 63)))
+    index = heads.select(F.col("key").alias("gid"), "n", end.alias("end"), F.posexplode("tokens").alias("pos", "token"))
 
     first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
     centres = written(index.groupBy("token").agg(F.count("*").alias("held"), F.min_by("gid", first).alias("centre")).filter("held > 1").select("token", "centre"), "jaccard-centres")
     # rank: shingles of the own prefix before this one that others hold too
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
-    live = written(index.join(checked(centres), "token").select("token", "gid", "n", "centre", rank.alias("rank")), "jaccard-index")
-    # the most that a group's overlap can be: its size less the prefix shingles that nothing else holds
-    bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.count("*").alias("held")).select("gid", "n", (F.col("n") - F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
-    other = bounds.withColumnsRenamed({"gid": "centre", "n": "m", "most": "top"})
+    live = written(index.join(checked(centres), "token").select("token", "gid", "n", "end", "centre", "pos", rank.alias("rank")), "jaccard-index")
+    # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
+    bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
+    other = bounds.withColumnsRenamed({"gid": "centre", "n": "m", "end": "stop", "most": "top"})
     star = live.filter("gid <> centre").select("gid", "centre").distinct().join(bounds, "gid").join(other, "centre")
-    star = star.filter(((100 + PERCENT) * F.least("most", "top") >= PERCENT * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select("gid", "centre")
+    overlap = F.least(F.when(F.col("end") <= F.col("stop"), F.col("most")).otherwise(F.col("n")), F.when(F.col("stop") <= F.col("end"), F.col("top")).otherwise(F.col("m")))
+    star = star.filter(((100 + PERCENT) * overlap >= PERCENT * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select("gid", "centre")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
     grown = star.join(members, "gid").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     pairs = written(star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(within).unionByName(grown).filter("a <> b").distinct(), "jaccard-pairs")
@@ -238,14 +242,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     placed = written(nodes.join(known, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     centre_of = placed.filter("gid = node").select(F.col("gid").alias("centre"), F.col("component").alias("of_centre"))
-    table_ = live.drop("n").join(bounds, "gid").join(span, "gid").join(centre_of, "centre").select("token", "gid", "n", (F.col("most") - F.col("rank")).alias("reach"), (~((F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre")))).alias("minor"), "low", "high")
+    table_ = live.drop("n", "end").join(bounds, "gid").join(span, "gid").join(centre_of, "centre").select("token", "gid", "n", "end", (F.col("most") - F.col("rank")).alias("reach"), (F.col("n") - F.col("pos")).alias("left"), (~((F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre")))).alias("minor"), "low", "high")
     table_ = written(table_, "jaccard-table")
     left, right = table_.filter("minor").alias("l"), table_.alias("r")
     l_, r_ = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     apart = ~((l_("low") == l_("high")) & (r_("low") == r_("high")) & (l_("low") == r_("low")))
     once = (l_("gid") < r_("gid")) | ~r_("minor")
-    # reach: the most that the overlap can be if this shingle is the first that the two share; for one of their shingles it is
-    close = ((100 + PERCENT) * F.least(l_("reach"), r_("reach")) >= PERCENT * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= PERCENT * F.greatest(l_("n"), r_("n")))
+    # reach, left: the most that the overlap can be if this shingle is the first that the two share (for one of their shingles it is), for the prefix that ends first and for the other
+    overlap = F.least(F.when(l_("end") <= r_("end"), l_("reach")).otherwise(l_("left")), F.when(r_("end") <= l_("end"), r_("reach")).otherwise(r_("left")))
+    close = ((100 + PERCENT) * overlap >= PERCENT * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= PERCENT * F.greatest(l_("n"), r_("n")))
     crossing = left.join(right, (l_("token") == r_("token")) & (l_("gid") != r_("gid")) & apart & once & close).select(l_("gid").alias("g"), r_("gid").alias("h")).distinct()
     inner = members.select(F.col("gid").alias("g")).distinct().select("g", F.col("g").alias("h"))  # members of one group
     crossing = crossing.unionByName(inner)

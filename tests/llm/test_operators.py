@@ -82,6 +82,36 @@ def test_jaccard_repeated_rows(docs):
     assert len(rows) == 2 * len(once) and all(once[r["doc_id"]] == r["component_id"] for r in rows)
 
 
+def pieces_of(seed):
+    """Texts, each alone with one copy that has words appended or cut, at similarities from 0.84 to 0.95."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    texts = []
+    for n in (43, 93, 203):
+        for share in (0.845, 0.852, 0.87, 0.9, 0.92, 0.94, 0.95):
+            own = [word() for _ in range(n)]
+            more = round((n - 3) * (1 / share - 1))
+            texts += [" ".join(own), " ".join([*own, *(word() for _ in range(more))])]
+            own = [word() for _ in range(n)]
+            texts += [" ".join(own), " ".join(own[: 3 + round((n - 3) * share)])]
+            both = [word() for _ in range(n)]
+            texts += [" ".join([*both, *(word() for _ in range(more // 2))]), " ".join([*(word() for _ in range(more - more // 2)), *both])]
+    return texts
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_jaccard_links_appended_and_cut_passages(spark, seed):
+    texts = pieces_of(seed)
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    want = {}
+    for i in range(0, len(texts), 2):
+        linked = 100 * len(sets[i] & sets[i + 1]) >= 85 * len(sets[i] | sets[i + 1])
+        want |= {i: i, i + 1: i if linked else i + 1}
+    found = near_duplicates.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+    assert 20 < sum(i != c for i, c in want.items()) < len(texts) // 2
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 300])
 def test_decontamination_equals_brute_force(spark, docs, prose, block_bytes):
     texts = dict(prose)

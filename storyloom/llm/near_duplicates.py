@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import MULTIPLIER, NOT_SPACE, mix, steps, table, utf8, word_hashes, word_spans, written
 
+#: The query's shingle size; its links have 100 * intersection >= PERCENT * union.
 WORDS = 4
-#: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: The pipeline stage's.
+STAGE_WORDS = 5
+STAGE_PERCENT = 80
 SKETCH_BITS = 20
 SLICES = 16
 BROADCAST_ROWS = 2_000_000
@@ -82,7 +85,7 @@ def summed(values: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def features(docs: DataFrame, text: str, key: str) -> DataFrame:
+def features(docs: DataFrame, text: str, key: str, words: int = WORDS) -> DataFrame:
     """Rows of sets (key, n, fp1, fp2) and, with a slice's number instead of a key, of the sketch."""
     kind = dict(docs.dtypes)[key]
 
@@ -93,7 +96,7 @@ def features(docs: DataFrame, text: str, key: str) -> DataFrame:
             data, offsets = utf8(batch.column(1))
             sizes, one, two = [], [], []
             for i, j in steps(offsets):
-                own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 np.add.at(counts, (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 sizes.append(np.bincount(own, minlength=j - i))
                 one.append(summed(mix(value + np.uint64(1)), own, j - i))
@@ -127,12 +130,12 @@ def sketch(rows: DataFrame) -> np.ndarray:
     return (counts.reshape(-1).astype(np.float32).view(np.uint32) >> np.uint32(15)).astype(np.uint16)
 
 
-def prefix_size(n):
+def prefix_size(n, percent: int = PERCENT):
     """Shingles of which two linked sets share one: n - ceil(t n) + 1, at most n."""
-    return n - (n * PERCENT + 99) // 100 + 1
+    return n - (n * percent + 99) // 100 + 1
 
 
-def prefixes(docs: DataFrame, order: np.ndarray, text: str, key: str) -> DataFrame:
+def prefixes(docs: DataFrame, order: np.ndarray, text: str, key: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n, whole, tokens): the prefix in the order's sequence; a token is the order's class and 48 bits of the hash."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     kind = dict(docs.dtypes)[key]
@@ -142,13 +145,13 @@ def prefixes(docs: DataFrame, order: np.ndarray, text: str, key: str) -> DataFra
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in steps(offsets):
-                own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 token = (classes[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(48)) | (value & np.uint64((1 << 48) - 1))
                 by = np.lexsort((token, own))
                 own, token = own[by], token[by]
                 n = np.bincount(own, minlength=j - i)
                 first = np.cumsum(n) - n
-                keep = prefix_size(n)
+                keep = prefix_size(n, percent)
                 inside = np.arange(len(own)) - first[own] < keep[own]
                 own, token = own[inside], token[inside]
                 ends = np.r_[0, np.cumsum(np.minimum(keep, n))].astype(np.int32)
@@ -163,7 +166,7 @@ def checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
+def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of pairs(a, b) whose sets link, by exact counts over whole texts."""
     kind = dict(docs.dtypes)[key]
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
@@ -174,14 +177,14 @@ def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame
         for batch in batches:
             at = np.unique(np.r_[np.arange(0, batch.num_rows, 256), batch.num_rows])
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                sets = [shingle_sets(*utf8(batch.column(c).slice(i, j - i))) for c in (2, 3)]
+                sets = [shingle_sets(*utf8(batch.column(c).slice(i, j - i)), words) for c in (2, 3)]
                 n = [np.bincount(own, minlength=j - i) for own, _ in sets]
                 own, value = (np.concatenate([s[x] for s in sets]) for x in (0, 1))
                 by = np.lexsort((value, own))
                 own, value = own[by], value[by]
                 twice = (own[1:] == own[:-1]) & (value[1:] == value[:-1])
                 both = np.bincount(own[1:][twice], minlength=j - i)
-                linked = (both > 0) & (100 * both >= PERCENT * (n[0] + n[1] - both))
+                linked = (both > 0) & (100 * both >= percent * (n[0] + n[1] - both))
                 yield batch.slice(i, j - i).filter(pa.array(linked)).select(["a", "b"])
 
     return written(joined.mapInArrow(run, f"a {kind}, b {kind}"), "jaccard-links")
@@ -202,9 +205,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id) of every row."""
-    rows = features(docs, text, key)
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) of every row, by shingles of so many words and links of so many per cent."""
+    rows = features(docs, text, key, words)
     order = sketch(rows)
     sets = rows.filter("slice IS NULL").select("key", "n", "fp1", "fp2")
     alike = sets.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("key").alias("node"))
@@ -212,7 +215,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     copies = written(named.filter("node IS NULL OR key <> node").select("key").distinct(), "jaccard-copies")
 
     distinct = docs.filter(F.col(key).isNotNull()).join(checked(copies.withColumnRenamed("key", key)), key, "left_anti")
-    prefix = written(prefixes(distinct, order, text, key), "jaccard-prefixes")
+    prefix = written(prefixes(distinct, order, text, key, words, percent), "jaccard-prefixes")
     groups = prefix.groupBy("n", "whole").agg(F.min("key").alias("gid"), F.count("*").alias("size")).filter("size > 1").select("n", "whole", "gid")
     members = written(prefix.select("key", "n", "whole").join(groups, ["n", "whole"]).filter("key <> gid").select("gid", F.col("key").alias("node")).distinct(), "jaccard-members")
     heads = prefix.join(checked(members.select(F.col("node").alias("key"))), "key", "left_anti")
@@ -226,15 +229,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
     live = written(index.join(checked(centres), "token").select("token", "gid", "n", "end", "centre", "pos", rank.alias("rank")), "jaccard-index")
     # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
-    bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {PERCENT} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
+    bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
     other = bounds.withColumnsRenamed({"gid": "centre", "n": "m", "end": "stop", "most": "top"})
     star = live.filter("gid <> centre").select("gid", "centre").distinct().join(bounds, "gid").join(other, "centre")
     overlap = F.least(F.when(F.col("end") <= F.col("stop"), F.col("most")).otherwise(F.col("n")), F.when(F.col("stop") <= F.col("end"), F.col("top")).otherwise(F.col("m")))
-    star = star.filter(((100 + PERCENT) * overlap >= PERCENT * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select("gid", "centre")
+    star = star.filter(((100 + percent) * overlap >= percent * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("gid", "centre")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
     grown = star.join(members, "gid").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     pairs = written(star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(within).unionByName(grown).filter("a <> b").distinct(), "jaccard-pairs")
-    links = decided(docs, pairs, text, key)
+    links = decided(docs, pairs, text, key, words, percent)
     known = components(links)
 
     # nodes of each group, with their components so far
@@ -250,7 +253,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     once = (l_("gid") < r_("gid")) | ~r_("minor")
     # reach, left: the most that the overlap can be if this shingle is the first that the two share (for one of their shingles it is), for the prefix that ends first and for the other
     overlap = F.least(F.when(l_("end") <= r_("end"), l_("reach")).otherwise(l_("left")), F.when(r_("end") <= l_("end"), r_("reach")).otherwise(r_("left")))
-    close = ((100 + PERCENT) * overlap >= PERCENT * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= PERCENT * F.greatest(l_("n"), r_("n")))
+    close = ((100 + percent) * overlap >= percent * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= percent * F.greatest(l_("n"), r_("n")))
     crossing = left.join(right, (l_("token") == r_("token")) & (l_("gid") != r_("gid")) & apart & once & close).select(l_("gid").alias("g"), r_("gid").alias("h")).distinct()
     inner = members.select(F.col("gid").alias("g")).distinct().select("g", F.col("g").alias("h"))  # members of one group
     crossing = crossing.unionByName(inner)
@@ -259,13 +262,13 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.limit(1).count():
-        known = components(links.unionByName(decided(docs, rest, text, key)))
+        known = components(links.unionByName(decided(docs, rest, text, key, words, percent)))
     final = named.join(known, "node", "left").select("key", "n", F.coalesce("component", "node", "key").alias("component_id"))
     return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents"), words=WORDS, percent=PERCENT)
 
 
 ORACLE = """
@@ -282,6 +285,6 @@ FROM words d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the smallest id stays."""
-    found = join(docs.select("doc_id", "text"))
+    found = join(docs.select("doc_id", "text"), words=STAGE_WORDS, percent=STAGE_PERCENT)
     gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
     return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)

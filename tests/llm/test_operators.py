@@ -112,6 +112,14 @@ def test_jaccard_links_appended_and_cut_passages(spark, seed):
     assert 20 < sum(i != c for i, c in want.items()) < len(texts) // 2
 
 
+def test_jaccard_stage_takes_five_words_and_80_percent(spark):
+    own = [f"w{i}" for i in range(104)]
+    texts = [own, [*own, *(f"x{i}" for i in range(20))], [*own, *(f"y{i}" for i in range(30))]]  # 4 words: 101 of 121; 5 words: 100 of 120, 100 of 130
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_duplicates.jaccard_stage(spark, df, "").collect()) == [0, 2]
+    assert sorted((r["n_shingles"], r["component_id"]) for r in near_duplicates.join(df).collect()) == [(101, 0), (121, 1), (131, 2)]
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 300])
 def test_decontamination_equals_brute_force(spark, docs, prose, block_bytes):
     texts = dict(prose)

@@ -155,6 +155,22 @@ def test_model_stage_bills_failures_and_skips_blanks(spark):
     assert got == {1: ("a b c", 3, None), 2: (None, 0, None), 3: (None, 0, None), 4: (None, 2, "digit")}
 
 
+def test_stream_cost_daily_keeps_days_of_any_file_order(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from storyloom.plans.vector_queries import stream_cost_daily
+
+    folder, days = tmp_path / "events.parquet", [40, 3, 25, 60, 10, 3, 55, 1, 30, 2, 60, 12]  # one a file, four files a batch
+    for i, day in enumerate(days):
+        rows = [(dt.datetime(2024, 1, 1, h) + dt.timedelta(days=day), float(1000 * i + h)) for h in range(5)]
+        spark.createDataFrame(rows, "ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(folder))
+    want = spark.read.parquet(str(folder)).groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col("value") / 1000).alias("usd"), F.count("*").alias("calls"))
+    plain = lambda df: sorted((r["day"], round(r["usd"], 6), r["calls"]) for r in df.collect())
+    assert plain(stream_cost_daily(spark, str(tmp_path))) == plain(want)
+
+
 def test_streams_equal_batches(spark, sf):
     import __spark_entry__ as entry
 

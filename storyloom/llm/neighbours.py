@@ -4,13 +4,13 @@ A unit vector, padded to a power of two, goes through a fast pseudo-rotation (th
 a Hadamard transform); its bucket in a table is the nearest signed axis. Each of ``TABLES`` tables has its own
 signs. A query also probes the next nearest axes, ``PROBES`` in each table. Buckets are Spark groups: the
 queries that probe a bucket meet its rows, exact distances are computed in blocks in double precision, and only
-each query's best of the bucket goes on. A bucket of more than ``BLOCK_ROWS`` rows is split by a hash of the
-id, and its queries go to each part, so that no task holds a hot bucket. All rows are indexed; no candidate is
+each query's best ids of the bucket go on. A bucket of more than ``BLOCK_ROWS`` rows is split by a hash of id
+and vector, and its queries go to each part, so that no task holds a hot bucket. All rows are indexed; no candidate is
 dropped before its exact distance is known. Queries that found fewer than k neighbours probe all axes.
 
 Vectors that are null, empty or zero or hold null or non-finite components take no part. Vectors of other
 sizes form spaces of their own. Equal distances go to the smaller id; repeated rows of an id count once, with
-the smallest distance. Empty tables give no rows.
+the smallest distance: equal rows become one before the index, and a bucket's best are its best ids. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -93,11 +93,11 @@ def hashed(rows: DataFrame, probes: int, tables: int, kind: str) -> DataFrame:
 def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, key, score) of the k nearest found for every query row."""
     kind = dict(rows.dtypes)[key]
-    good = rows.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("v"), is_query.alias("asks"))
+    good = rows.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("v"), is_query.alias("asks")).groupBy("id", "v").agg(F.max("asks").alias("asks"))
     base = hashed(good.select("id", "v"), 1, tables, kind)
     # one row for each bucket: tables x signed axes, whatever the number of vectors
     parts = base.groupBy("dim", "place").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    index = base.join(F.broadcast(parts), ["dim", "place"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("dim", "place", "part", "id", "v")
+    index = base.join(F.broadcast(parts), ["dim", "place"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).select("dim", "place", "part", "id", "v")
 
     def search(queries: DataFrame, width: int, over: int) -> DataFrame:
         asked = hashed(queries.select("id", "v"), width, over, kind).join(F.broadcast(parts), ["dim", "place"]).select("dim", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
@@ -111,18 +111,17 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
             q_id, c_id = left.column("id").to_numpy(), right.column("id").to_numpy()
             order = np.argsort(c_id, kind="stable")
             c, c_id = c[order], c_id[order]
+            starts = np.flatnonzero(np.r_[True, c_id[1:] != c_id[:-1]])
             squares, out = (c * c).sum(axis=1), []
             for i in range(len(q)):
                 rough = squares - 2 * (c @ q[i])
                 rough[c_id == q_id[i]] = np.inf
-                take = min(4 * k, len(c))
-                near = np.argpartition(rough, take - 1)[:take] if take < len(c) else np.arange(len(c))
-                edge = rough[near].max()
-                near = np.sort(np.concatenate([near, np.flatnonzero((rough <= edge + 1e-9 * (1 + abs(edge))) & np.isfinite(rough))])) if take < len(c) and np.isfinite(edge) else np.sort(near)
-                near = np.unique(near)
-                near = near[np.isfinite(rough[near])]
+                low = np.minimum.reduceat(rough, starts)  # of each id
+                edge = np.partition(low, 4 * k - 1)[4 * k - 1] if 4 * k < len(low) else np.inf
+                near = np.flatnonzero(np.isfinite(rough) & (rough <= edge + 1e-9 * (1 + abs(edge))))
                 exact = np.sqrt(((c[near] - q[i]) ** 2).sum(axis=1))
-                best = np.lexsort((c_id[near], exact))[:k]
+                best = np.lexsort((c_id[near], exact))
+                best = best[np.sort(np.unique(c_id[near][best], return_index=True)[1])[:k]]
                 out.append((np.full(len(best), q_id[i]), c_id[near][best], exact[best]))
             return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
 

@@ -384,6 +384,15 @@ def test_neighbours_split_hot_buckets_and_fill_up(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_an_id_with_many_rows(spark):
+    turn = lambda a: [math.cos(a), math.sin(a), 0.0]
+    rows = [(0, turn(0.0))] + [(1, turn(0.001))] * 30 + [(2, turn(0.001 + i / 1e5)) for i in range(60)] + [(i, turn(i / 100)) for i in range(3, 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block_rows in (4096, 9):
+        found = neighbours.nearest(df, F.col("vec_id") == 0, block_rows=block_rows).collect()
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 11))
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, sf):
     import corpus_pipeline
 

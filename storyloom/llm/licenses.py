@@ -4,7 +4,8 @@ Every text's words give a rolling hash of k words at each place; a Spark join wi
 texts (a few fixed texts, so of a fixed size) gives pairs of places. The difference of the two places is the
 diagonal: a copied passage votes for one. Votes are counted by text and diagonal; diagonals that lie within
 ``NEAR`` of each other (a word put in or left out moves the diagonal) and touch are merged; a merged span is
-verified by the share of the template's words that stand in it. Verified spans give labels and a score.
+verified by the share of the template's words that stand in it, a span of ``LONG`` or more words by the share of
+the words of that stretch of the template which it matched, so that a part of a notice counts. Verified spans give labels and a score.
 
 Base labels come from three fixed phrases of consecutive words and always stay.
 
@@ -23,7 +24,7 @@ K = 3
 NEAR = 3
 MIN_VOTES = 2
 MIN_SHARE = 0.6
-#: Words of a span beyond which the share of a long template counts by what the span covers.
+#: Words of a span, and of its stretch of the template, from which the share counts by that stretch.
 LONG = 12
 
 #: Base phrases and their labels.
@@ -88,9 +89,10 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     known = templates(spark)
     hits = hashes.join(F.broadcast(known.select("template", "t_place", "hash")), "hash").select("key", "text_hash", "template", (F.col("place") - F.col("t_place")).alias("diagonal"), "place")
     votes = hits.groupBy("key", "text_hash", "template", "diagonal").agg(F.countDistinct("place").alias("votes"), F.min("place").alias("first"), (F.max("place") + K).alias("last"))
+    votes = votes.withColumns({"t_first": F.col("first") - F.col("diagonal"), "t_last": F.col("last") - F.col("diagonal")})
     order = Window.partitionBy("key", "text_hash", "template").orderBy("first", "diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.lag("diagonal").over(order) - F.col("diagonal") > NEAR) | (F.col("first") > F.lag("last").over(order) + K + NEAR)
-    merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order)).groupBy("key", "text_hash", "template", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order)).groupBy("key", "text_hash", "template", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"))
     sizes = F.broadcast(known.select("template", "label", "t_words").distinct())
     likely = merged.filter(F.col("votes") >= MIN_VOTES).join(sizes, "template")
     return _verified(likely, keyed)
@@ -98,12 +100,15 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 def _verified(likely: DataFrame, keyed: DataFrame) -> DataFrame:
     own = keyed.filter(F.exists("w", lambda x: x.isin("license", "licensed", "permitted", "granted"))).dropDuplicates(["key", "text_hash"])
-    joined = likely.join(own, likely["key"].eqNullSafe(own["key"]) & (likely["text_hash"] == own["text_hash"]), "left").select(likely["key"], likely["text_hash"], "label", "first", "last", "votes", "t_words", "w")
+    joined = likely.join(own, likely["key"].eqNullSafe(own["key"]) & (likely["text_hash"] == own["text_hash"]), "left").select(likely["key"], likely["text_hash"], "label", "first", "last", "votes", "t_first", "t_last", "t_words", "w")
     inside = F.slice(F.col("w"), F.col("first") + 1, F.greatest(F.lit(1), (F.col("last") - F.col("first")).cast("int")))
-    same = F.size(F.array_intersect("t_words", inside))
-    whole = F.size(F.array_distinct("t_words"))
+    stretch = F.slice(F.col("t_words"), F.col("t_first").cast("int") + 1, (F.col("t_last") - F.col("t_first")).cast("int"))
+    long = (F.col("last") - F.col("first") >= LONG) & (F.col("t_last") - F.col("t_first") >= LONG)
+    asked = F.when(long, stretch).otherwise(F.col("t_words"))
+    same = F.size(F.array_intersect(asked, inside))
+    whole = F.size(F.array_distinct(asked))
     # a text without the words above has only its votes to show
-    share = F.when(F.col("w").isNotNull(), same / whole).otherwise((F.col("votes") + K - 1) / F.size("t_words"))
+    share = F.when(F.col("w").isNotNull(), same / whole).otherwise((F.col("votes") + K - 1) / F.size(asked))
     return joined.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= MIN_SHARE).select("key", "text_hash", "label", "first", "last", "share")
 
 

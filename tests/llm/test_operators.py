@@ -299,6 +299,18 @@ def test_licenses_merge_shifted_diagonals(spark):
     assert len(spans) == 1 and spans[0]["label"] == "apache" and spans[0]["first"] == 2
 
 
+def test_licenses_of_partial_notices(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of",
+        "apache": "# You may not use this file except in compliance with the License. You may obtain",
+        "gpl": "This program is free software; you can redistribute it and/or modify it under the terms",
+        "bsd": "note: redistribution and use in source and binary forms with or without modification are welcome",
+        "": "permission is hereby granted to read; obtaining a copy of this software and a license is up to any person free of doubt",
+    }
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()
+    assert [r["labels"] for r in sorted(rows, key=lambda r: r["doc_id"])] == list(texts)
+
+
 def test_language_of_held_out_texts(spark, sf):
     rows = language.op9_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
     right, n = rows.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()

@@ -21,6 +21,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -52,18 +53,38 @@ SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@"
 FOLDS = str.maketrans(HOMOGLYPHS)
 SWAPS = str.maketrans(SUBSTITUTIONS)
 FOREIGN = re.compile(r"[^\x00-\u024F]|\u00AD|\u0131")
-SWAPPED = re.compile(r"[0-9@$!][^\W\d_]")
-MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])[^\W_]*[0-9@$!]+[^\W_][\w@$!]*")
+SWAPPED = re.compile(r"[0-9@$!][^\W\d_]|[^\W\d_][0-9@$]")
+#: A run of letters, digits, @ and $ with one of the latter three; ! counts between them, and apart before them.
+MIXED = re.compile(r"(?<![^\W_])(?<![@$])(!?)((?:(?<=!)[^\W\d_]|[^\W\d_]*+(?:[0-9@$]|(?<=[^\W_])!(?=[^\W_]|[@$])))(?:[^\W_]|[@$]|!(?=[^\W_]|[@$]))*)")
+LETTER = re.compile(r"[^\W\d_]")
+#: Substitutions at a word's end: letters ("idio7"), or a number or sign behind it ("idiot1").
+TAIL = re.compile(r"(?<=[^\W\d_])[013457@$]+$")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str | None) -> str:
-    """Lower case, homoglyphs and full-width forms to plain letters, digit substitutions inside mixed words."""
+def fold(text: str | None, size: Callable[[str], int] | None = None) -> str:
+    """Lower case, homoglyphs and full-width forms to plain letters, digit substitutions inside mixed words.
+
+    With ``size``, the length of the lexicon's longest match at a word, a word that can be read with or without its
+    last substitutions, or a ! before it, is read as what matches longest.
+    """
     text = (text or "").lower()
     if FOREIGN.search(text):
         text = unicodedata.normalize("NFKC", text)
         text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").translate(FOLDS)
-    return MIXED.sub(lambda m: m[0].translate(SWAPS), text) if SWAPPED.search(text) else text
+    if not SWAPPED.search(text):
+        return text
+
+    def read(m: re.Match) -> str:
+        mark, run = m[1], m[2]
+        if not LETTER.search(run):
+            return m[0]
+        full, stem = run.translate(SWAPS), TAIL.sub("", run).translate(SWAPS)
+        if size is None:
+            return mark + full
+        return max([mark + stem, mark + full, *([f"i{stem}", f"i{full}"] if mark else [])], key=size)
+
+    return MIXED.sub(read, text)
 
 
 @dataclass
@@ -88,7 +109,8 @@ class Lexicon:
 
     def hits(self, text: str | None, machine: ahocorasick.Automaton) -> tuple[float, int, int]:
         """Sum of weights, number of hits, number of words."""
-        words = WORD.findall(fold(text))
+        size = lambda word: max((n for _, (_, _, n) in machine.iter(f" {' '.join(WORD.findall(word))} ")), default=0) if len(machine) else 0
+        words = WORD.findall(fold(text, size))
         if not words or not len(machine):
             return 0.0, 0, len(words)
         line = " " + " ".join(words) + " "
@@ -111,6 +133,11 @@ class Lexicon:
         return 1 / (1 + math.exp(-z))
 
 
+def plain(word: str) -> int:
+    """No lexicon yet: substitutions at a word's end are left off."""
+    return 0
+
+
 def candidates(words: list[str]) -> list[tuple[str, int]]:
     """Each word as an entry, and its beginnings, with the word's place."""
     return [(w, i) for i, w in enumerate(words)] + [(w[:k] + "*", i) for i, w in enumerate(words) for k in PREFIX_LENGTHS if len(w) > k]
@@ -129,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in batches:
             found: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[int(y == 1)].update({c for c, _ in candidates(list(set(WORD.findall(fold(t)))))})
+                found[int(y == 1)].update({c for c, _ in candidates(list(set(WORD.findall(fold(t, plain)))))})
             for y, own in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["entry", "y", "n"])
 
@@ -145,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in batches:
             found = set()
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = WORD.findall(fold(t))
+                words = WORD.findall(fold(t, plain))
                 found |= {(c, words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "", words[i], int(y == 1)) for c, i in candidates(words) if c in known}
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int32() if j == 4 else pa.string()) for j in range(5)], ["entry", "before", "after", "word", "y"])
 

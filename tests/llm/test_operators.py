@@ -365,6 +365,15 @@ def test_toxicity_folds_and_exceptions(spark):
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_folds_at_any_boundary():
+    assert [toxicity.fold(t) for t in ("(1d1ot)", '"1d1ot"', "dumb-1d1ot", "idio7", "a$$", "1d1ot!", "1d!ot!", "1999 3 $100 wow!")] == ["(idiot)", '"idiot"', "dumb-idiot", "idiot", "ass", "idiot!", "idiot!", "1999 3 $100 wow!"]
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "ass": 4.0, "trash": 4.0}, {})
+    machine = lexicon.machine()
+    for text in ("(1d1ot)", '"1d1ot"', "dumb-1d1ot", "so_1d1ot", "idio7", "a$$", "1d1ot!", "1d!ot!", "!d1ot", "!diot", "idiot1", "idiot!", "7ra5h2", "trash5."):
+        assert lexicon.hits(text, machine)[1] == 1, text
+    assert lexicon.hits("1999 wow! 100$ as7", machine)[1] == 0
+
+
 def test_neighbours_against_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids = np.array([r["vec_id"] for r in rows])

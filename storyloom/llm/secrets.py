@@ -3,8 +3,8 @@
 Base spans come from three patterns (assignments, access keys, long hex). The method adds spans of kind
 ``random``: runs of key-like characters whose characters-per-token ratio under a byte-pair vocabulary is low.
 Natural words and names reach three or more characters per token, random strings less than two. Known digests
-(hex of a digest's length after a digest's name), UUIDs and identifiers (parts of letters or of digits only,
-joined by marks) are left out, and so is what overlaps a base span.
+(hex of a digest's length after a digest's name) and runs that are a UUID, with nothing beside it but a name, are
+left out. Of a random run that overlaps base spans the parts outside them are added, but for a name before a mark.
 
 Offsets are code points, ends exclusive. Null texts count as empty: no spans, the digest of an empty string.
 Very long texts are scanned whole. Empty tables give no rows, repeated rows equal results; only the named
@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: A candidate of the method: this many key-like characters, digits and letters among them.
+#: A candidate of the method: this many key-like characters, letters among them.
 RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CHARS_PER_TOKEN = 2.1
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -68,25 +68,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def known(text: str, start: int, run: str) -> bool:
-    """Whether a run is a digest that says so, a UUID or an identifier."""
-    if UUID.search(run):
-        return True
-    if len(run) in DIGEST_SIZES and all(c in "0123456789abcdefABCDEF" for c in run) and DIGEST.search(text[max(0, start - 24) : start]):
+def name(text: str, path: str) -> bool:
+    """Whether all parts of a text are letters and words: one token, or few for their length."""
+    parts = [p for p in PARTS.split(text) if p]
+    return all(p.isalpha() and ((n := len(encoding(path).encode_ordinary(p))) == 1 or len(p) >= CHARS_PER_TOKEN * n) for p in parts)
+
+
+def known(text: str, start: int, run: str, path: str) -> bool:
+    """Whether a run is a digest that says so, or a UUID with at most a name beside it."""
+    if UUID.search(run) and name(UUID.sub("=", run), path):
         return True
-    return all(p.isalpha() or p.isdigit() for p in PARTS.split(run) if p)
+    return len(run) in DIGEST_SIZES and all(c in "0123456789abcdefABCDEF" for c in run) and bool(DIGEST.search(text[max(0, start - 24) : start]))
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], path: str, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     found = []
     for m in RANDOM.finditer(text):
         run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or known(text, m.start(), run):
+        if not any(c.isalpha() for c in run) or known(text, m.start(), run, path):
             continue
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
+        if len(run) >= chars_per_token * len(encoding(path).encode_ordinary(run)):
             continue
-        if len(run) < chars_per_token * len(encoding(path).encode_ordinary(run)):
-            found.append((m.start(), m.end(), 3))
+        at = m.start()
+        for s, e in sorted((s, e) for s, e, _ in taken if s < m.end() and m.start() < e):
+            if s > at and not (text[s - 1] in "+/_=-" and name(text[at:s], path)):
+                found.append((at, s, 3))
+            at = max(at, e)
+        if at < m.end():
+            found.append((at, m.end(), 3))
     return found
 
 

@@ -270,6 +270,19 @@ def test_secrets_equal_the_stated_rules(spark):
     assert rows[9]["spans"] == rows[9]["base"]  # the method leaves a named digest alone
 
 
+def test_secrets_of_letters_parts_uuids_and_beside_base_spans():
+    path, uuid, key = secrets.vocabulary(), "123e4567-e89b-12d3-a456-426614174000", "q8Zr4kT1vX9mB2nL7cJ5"
+
+    def found(t):
+        return [t[s:e] for s, e, _ in secrets.random_spans(t, secrets.base_spans(t), path)]
+
+    for run in ("QWXZKJHG-29384716-PLMKNVTR", "qXzvKjWpQhZrTbNmLxGd", f"{key}_{uuid}"):
+        assert found(f"a {run} b") == [run]
+    assert found(f"x Zk9Q{'0123456789abcdef' * 2}Xw7R y") == ["Zk9Q", "Xw7R"]
+    for t in (f"id {uuid}", f"request_id={uuid}", "internationalization_configuration", "2024-01-15-2024-02-15", "snake_case_name_2024_final_version", "sha256: " + "ab" * 32, f"my_api_token={key}"):
+        assert found(t) == [], t
+
+
 def test_redaction_keeps_documents_and_columns(spark):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     rows = {r["doc_id"]: r for r in secrets.redact(df).collect()}

@@ -203,7 +203,9 @@ def validate_pitches(spark: SparkSession, sf: str) -> DataFrame:
     """Week responses, one JSON text for each cluster of candidates: evidence must be a page's URL, ids a candidate's."""
     from storyloom.operators.briefs import valid_pitches
 
-    rows = model(spark, sf, "candidates").filter("candidate_id % 5 < 4").join(model(spark, sf, "pages").select(F.col("page_id"), "url"), F.expr("page_id = candidate_id % 200"), "left")
+    pages = model(spark, sf, "pages").select("page_id", "url")
+    candidates = model(spark, sf, "candidates").join(F.broadcast(pages.agg(F.count("*").alias("n_pages"))))
+    rows = candidates.join(pages, F.expr("page_id = try_mod(candidate_id, n_pages)"), "left")
     pitch = F.struct(*[F.lit(n).alias(n) for n in ("hook", "thesis", "steelman", "break", "why_now")], F.when(F.col("candidate_id") % 11 == 10, " ").otherwise("fits").alias("fit"), F.array(F.struct(F.lit("t").alias("title"), F.coalesce("url", F.lit("http://unknown.example/")).alias("url"))).alias("evidence"), F.array(F.col("candidate_id").cast("string"), F.lit("none")).alias("candidate_ids"))
     responses = rows.groupBy("cluster_id").agg(F.to_json(F.struct(F.collect_list(pitch).alias("pitches"))).alias("raw"))
     urls, ids = model(spark, sf, "pages").select("url"), model(spark, sf, "candidates").select(F.col("candidate_id").cast("string").alias("id"))

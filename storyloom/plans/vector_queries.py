@@ -72,21 +72,21 @@ def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
 MERGE = f"""c AS (SELECT *, vec_id % 17 AS e1, vec_id % 23 AS e2 FROM {{vectors}} WHERE vec_id % 4 = 2), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {sim('a', 'b')} AS distance FROM c a JOIN c b ON a.primary_domain = b.primary_domain AND a.vec_id < b.vec_id AND (a.e1 = b.e1 OR a.e2 = b.e2) WHERE 1 - {sim('a', 'b')} < 0.9)"""
 
 
-def merging(spark: SparkSession, sf: str) -> DataFrame:
-    v = rows(spark, sf).filter("id % 4 = 2")
+def merging(v: DataFrame) -> DataFrame:
     entities = v.select("id", F.explode(F.array(F.concat(F.lit("e"), (F.col("id") % 17).cast("string")), F.concat(F.lit("f"), (F.col("id") % 23).cast("string")))).alias("entity"))
     return clusters.merge_pairs(v, entities, 0.9)
 
 
 @query("merge_candidates", f"WITH {MERGE} SELECT a, b, round(distance, 4) AS distance FROM pairs")
 def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return merging(spark, sf).withColumn("distance", four("distance"))
+    return merging(rows(spark, sf).filter("id % 4 = 2")).withColumn("distance", four("distance"))
 
 
 @query("compact_clusters")
 def compact_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    state = rows(spark, sf).filter("id % 4 = 2").select("id", (F.col("id") % 13 + 1).alias("item_count"), F.col("published_at").alias("first_seen_at"), (F.col("published_at") + F.expr("INTERVAL 5 HOUR")).alias("last_seen_at"), F.lit("active").alias("status"), "vector")
-    merges = clusters.compaction(merging(spark, sf), state)
+    v = rows(spark, sf)
+    state = v.select("id", (F.col("id") % 13 + 1).alias("item_count"), F.col("published_at").alias("first_seen_at"), (F.col("published_at") + F.expr("INTERVAL 5 HOUR")).alias("last_seen_at"), F.lit("active").alias("status"), "vector")
+    merges = clusters.compaction(merging(v), state)
     return clusters.compacted(state, merges).select("id", "item_count", "first_seen_at", "last_seen_at", "status", "merged_into", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"))
 
 

@@ -155,6 +155,17 @@ def test_model_stage_bills_failures_and_skips_blanks(spark):
     assert got == {1: ("a b c", 3, None), 2: (None, 0, None), 3: (None, 0, None), 4: (None, 2, "digit")}
 
 
+def test_compact_clusters_and_pitches_read_all_rows(spark):
+    from storyloom.plans import text_queries, vector_queries
+    from storyloom.sources.lens import model
+
+    sf = "/root/testdata/sf0.001"
+    ids = lambda df, c: sorted(r[c] for r in df.select(c).distinct().collect())
+    assert ids(vector_queries.compact_clusters(spark, sf), "id") == ids(model(spark, sf, "vectors"), "vec_id")
+    seen = text_queries.validate_pitches(spark, sf).select("response_id").distinct().collect()
+    assert {r["response_id"] for r in seen} == set(ids(model(spark, sf, "candidates"), "cluster_id"))
+
+
 def test_stream_cost_daily_keeps_days_of_any_file_order(spark, tmp_path):
     import datetime as dt
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,47 +18,140 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer document is a step of its own.
 STEP_BYTES = 500_000
-#: Most rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+#: Most rows of an Arrow batch while an intermediate table is written; Spark itself ends a batch at 64 MB.
 BATCH_ROWS = 2000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What may be broadcast at once, and what a row of a few numbers takes in a broadcast relation.
+BROADCAST_BYTES = 8_000_000
+ROW_BYTES = 40
+#: A table of so many rows is no burden to one task.
+SMALL_ROWS = 20_000
 
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size, if it is larger, to what workers of a small executor can hold."""
-    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine a temporary one is set if there is none."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(folder)
     return folder
 
 
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of all operators called inside go to one folder, which goes at the end: use their results before it."""
+    folder = f"{_FOLDER.get() or shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    before = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for the jobs inside; the session's setting comes back."""
+    before = spark.conf.get(BATCH_SETTING)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(rows: DataFrame, row_bytes: int = ROW_BYTES) -> bool:
+    """Whether a table of small rows fits BROADCAST_BYTES."""
+    return rows.count() * row_bytes <= BROADCAST_BYTES
+
+
+def checked(rows: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """rows with a broadcast hint if they fit BROADCAST_BYTES; beyond, Spark shuffles."""
+    return F.broadcast(rows) if few(rows, row_bytes) else rows
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, parts) of the keys with more rows than half a shuffle partition's fair share, None if there are none.
+
+    There are at most twice as many as partitions. Up to SMALL_ROWS rows no task is too large.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    if total <= SMALL_ROWS:
+        return None
+    fair = max(1, total // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > fair).select(*keys, F.ceil(F.col("__n") / fair).cast("int").alias("__parts"))
+    found = hot.collect()
+    return spark.createDataFrame(found, hot.schema) if found else None
+
+
+def spread(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has few rows of each key: rows of hot keys of left (or of ``counted``) are dealt over parts, and right's go to each."""
+    hot = hot_keys(left if counted is None else counted, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), parts)).drop("__parts")
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__part"], how).drop("__part")
+
+
+def give_back() -> None:
+    """Returns to the system what the allocators of a Python worker hold; workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its worker's free memory back when the partition ends."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the quarter of the documents that no model may learn from."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def one_text(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Of repeated rows of a key one, with the smallest text and the largest other columns."""
+    others = [F.max(c).alias(c) for c in rows.columns if c not in (key, text)]
+    return rows.groupBy(key).agg(F.min(text).alias(text), *others)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """About ``rows`` of the ``total`` rows of df, picked by a hash of the key: the same rows in every run and on every cluster."""
     if total <= rows:

@@ -7,12 +7,16 @@ document. A hit at a word gives the window's only possible place; it counts if t
 document (length and position bounds) and all words there are the window's, compared one by one as 64-bit
 word hashes.
 
-The benchmark is handled in blocks of about ``block_bytes`` of text, so what is broadcast at once has a fixed
-size; further blocks are further narrow steps over the same rows, without a shuffle.
+A benchmark of at most ``block_bytes`` of text (equal items counted once) is broadcast, and both passes are narrow
+steps without a shuffle. A larger one stays distributed (``_joined``): a mask of 2^24 buckets, a fixed size, tells which
+shingles of the documents may be an item's; only those become rows, each with the words around it. Spark counts them,
+picks each distinct window's rarest, joins documents and windows on it, hot shingles dealt over tasks, and compares the
+words. Both ways give the same rows.
 
 Null and empty texts have no words; an item without words has no window; a null item_id stays out of the item
-list but its windows still mark words. Very long texts are read whole. Repeated items count once by their id,
-repeated documents get equal rows. An empty table of items gives documents without hits.
+list but its windows still mark words. Very long texts are read whole. Repeated items count once by their id, and so do
+several texts under one id. Repeated documents get equal rows. Of equally rare shingles the smaller hash is the prefix.
+An empty table of items gives documents without hits.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import ALNUM, MULTIPLIER, mix, steps, table, utf8, word_hashes, word_spans
+from storyloom.llm.common import ALNUM, MULTIPLIER, checked, lean, mix, spread, steps, table, utf8, word_hashes, word_spans, written
 
 WINDOW = 10
 SHINGLE = 3
 BLOCK_BYTES = 8_000_000
 FILTER_BITS = 20
+MASK_BITS = 24
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +141,7 @@ def corpus_counts(docs: DataFrame, text: str, tokens: np.ndarray, sizes: tuple[i
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
     out = np.zeros(len(tokens), np.int64)
-    for r in docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in docs.select(text).mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_batches():
         out[r.column(0).to_numpy()] = r.column(1).to_numpy()
     return out
 
@@ -167,24 +172,130 @@ def matches(block: Windows, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 
 def scan(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs with n_words, spans (first word, word after the last, ...) and items (ids as strings) added; options as in ``_scanned``."""
-    return _scanned(docs, items, **options).withColumnsRenamed({"__n": "n_words", "__spans": "spans", "__items": "items"})
+    """docs with n_words, spans (first word, word after the last, ...) and items (ids as strings) added, in place of columns of these names; options as in ``_scanned``."""
+    named = {"__n": "n_words", "__spans": "spans", "__items": "items"}
+    return _scanned(docs.drop(*(n for n in named.values() if n != options.get("text", "text"))), items, **options).withColumnsRenamed(named)
 
 
 def _scanned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the columns of ``scan`` under names that clash with none."""
-    spark = docs.sparkSession
-    total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // block_bytes))
-    rows = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t"))
-    names = docs.columns
+    rows = written(items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).filter("t IS NOT NULL").distinct(), "decontamination-items")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("k"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    if total > block_bytes:
+        return _joined(docs, rows, text, window, shingle)
+    got = rows.orderBy("k", "t").toArrow()
+    block = windows_of(got.column("k").to_pylist(), got.column("t").to_pylist(), window, shingle)
+    block.choose(corpus_counts(docs, text, block.tokens, block.sizes))
     out = docs.withColumns({"__n": F.lit(0).cast("long"), "__spans": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")})
-    for b in range(blocks):
-        got = rows.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).orderBy("k", "t").toArrow()
-        block = windows_of(got.column("k").to_pylist(), got.column("t").to_pylist(), window, shingle)
-        block.choose(corpus_counts(docs, text, block.tokens, block.sizes))
-        out = _marked(out, spark.sparkContext.broadcast(block), names.index(text))
-    return out
+    return _marked(out, docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text))
+
+
+def item_mask(rows: DataFrame, window: int, shingle: int) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Buckets of all shingles of the items, and the sizes of shingles in use; the driver gets packed bits of a fixed size."""
+
+    def run(batches):
+        mask, sizes = np.zeros(1 << MASK_BITS, bool), set()
+        for batch in batches:
+            for words in item_words(batch.column(1)):
+                if len(words):
+                    k = min(shingle, window, len(words))
+                    sizes.add(k)
+                    mask[(shingles(words, k) >> np.uint64(64 - MASK_BITS)).astype(np.int64)] = True
+        for i, part in enumerate(np.packbits(mask).reshape(16, -1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], ["slice", "bits", "sizes"])
+
+    def either(batches):
+        found: dict[int, np.ndarray] = {}
+        sizes: set[int] = set()
+        for batch in batches:
+            for i, bits, own in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                found[i] = found.get(i, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+                sizes |= set(own)
+        for i, part in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], ["slice", "bits", "sizes"])
+
+    kind = "slice int, bits binary, sizes array<int>"
+    bits, sizes = np.zeros((16, (1 << MASK_BITS) // 128), np.uint8), set()
+    for r in rows.select("k", "t").mapInArrow(lean(run), kind).repartition(16, "slice").mapInArrow(lean(either), kind).collect():
+        bits[r["slice"]] |= np.frombuffer(r["bits"], np.uint8)
+        sizes |= set(r["sizes"])
+    return np.unpackbits(bits.reshape(-1)).astype(bool), tuple(sorted(sizes))
+
+
+def item_words(column: pa.Array) -> list[np.ndarray]:
+    data, offsets = utf8(column)
+    begins, ends, at = word_spans(data, offsets, ALNUM)
+    words = word_hashes(data, begins, ends)
+    return [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _joined(docs: DataFrame, rows: DataFrame, text: str, window: int, shingle: int) -> DataFrame:
+    """The distributed form of ``_scanned`` for rows(k, t) of any size; documents are told apart by their text's digest."""
+    shared = docs.sparkSession.sparkContext.broadcast(item_mask(rows, window, shingle))
+    digest_of = F.unhex(F.sha1(F.coalesce(text, F.lit("")).cast("binary")))
+
+    def emit(batches):  # (digest, token, place, before, around) of every shingle that may be an item's
+        mask, ks = shared.value
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in steps(offsets):
+                own = data[offsets[i] : offsets[j]]
+                begins, ends, at = word_spans(own, offsets[i : j + 1] - offsets[i], ALNUM)
+                words = word_hashes(own, begins, ends)
+                for k in ks:
+                    token = shingles(words, k)
+                    place = np.flatnonzero(mask[(token >> np.uint64(64 - MASK_BITS)).astype(np.int64)])
+                    doc = np.searchsorted(at, place, "right") - 1
+                    inside = place + k <= at[doc + 1]
+                    place, doc = place[inside], doc[inside]
+                    low, high = np.maximum(at[doc], place - (window - k)), np.minimum(at[doc + 1], place + window)
+                    around = [words[a:b].tobytes() for a, b in zip(low, high, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(token[place].view(np.int64)), pa.array(place - at[doc]), pa.array((place - low).astype(np.int32)), pa.array(around, pa.binary())], ["digest", "token", "place", "before", "around"])
+
+    def cut(batches):  # (k, win, size, token, offset) of every shingle of every window
+        for batch in batches:
+            ids, wins, sizes, tokens, offsets = [], [], [], [], []
+            for key, words in zip(batch.column(0).to_pylist(), item_words(batch.column(1)), strict=True):
+                n = min(window, len(words))
+                k = min(shingle, n)
+                own = shingles(words, k).view(np.int64) if n else []
+                for start in range(len(words) - n + 1 if n else 0):
+                    for o in range(n - k + 1):
+                        ids.append(key)
+                        wins.append(words[start : start + n].tobytes())
+                        sizes.append(n)
+                        tokens.append(int(own[start + o]))
+                        offsets.append(o)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(wins, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64()), pa.array(offsets, pa.int32())], ["k", "win", "size", "token", "offset"])
+
+    seen = written(docs.select(digest_of.alias("digest"), F.col(text).alias("t")).mapInArrow(lean(emit), "digest binary, token long, place long, before int, around binary"), "decontamination-seen")
+    windows = written(rows.select("k", "t").mapInArrow(lean(cut), "k string, win binary, size int, token long, offset int"), "decontamination-windows")
+    counts = seen.groupBy("token").agg(F.count("*").alias("n"))
+    tried = written(windows.select("win", "size", "token", "offset").distinct(), "decontamination-tried")
+    rarest = spread(tried, counts, ["token"]).groupBy("win", "size").agg(F.min(F.struct("n", "token", "offset")).alias("s")).select("win", "size", "s.token", "s.offset")
+    near = spread(seen, rarest, ["token"]).filter((F.col("before") >= F.col("offset")) & F.expr("substring(around, (before - offset) * 8 + 1, size * 8) = win"))
+    hits = written(near.select("digest", (F.col("place") - F.col("offset")).cast("int").alias("start"), "size", "win").distinct(), "decontamination-hits")
+    spans = hits.groupBy("digest").agg(F.flatten(F.array_sort(F.collect_list(F.array("start", F.col("start") + F.col("size"))))).alias("__spans"))
+    owners = windows.filter("k IS NOT NULL").select("win", "k").distinct()
+    ids = spread(hits.select("digest", "win").distinct().transform(lambda d: written(d, "decontamination-found")), owners, ["win"]).groupBy("digest").agg(F.array_sort(F.collect_set("k")).alias("__items"))
+    found = written(spans.join(ids, "digest", "left"), "decontamination-spans")
+    counted = docs.withColumns({"__digest": digest_of, "__n": F.lit(0).cast("long")})
+    marked = counted.join(checked(found.withColumnRenamed("digest", "__digest"), 1000), "__digest", "left").drop("__digest")
+    none = lambda kind: F.array().cast(kind)
+    return _numbered(marked.withColumns({"__spans": F.coalesce("__spans", none("array<int>")), "__items": F.coalesce("__items", none("array<string>"))}).select(*docs.columns, "__n", "__spans", "__items"), docs.columns.index(text))
+
+
+def _numbered(rows: DataFrame, text_at: int) -> DataFrame:
+    """rows with the number of the text's words in the last column but two."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(text_at))
+            counts = [np.diff(word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)[2]) for i, j in steps(offsets)]
+            columns = [*batch.columns[:-3], pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int64()), *batch.columns[-2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def _marked(rows: DataFrame, shared, text_at: int) -> DataFrame:
@@ -199,15 +310,17 @@ def _marked(rows: DataFrame, shared, text_at: int) -> DataFrame:
                 counts.append(np.diff(at))
                 doc, start, window = matches(block, word_hashes(own, begins, ends), at)
                 local = start - at[doc]
+                by = np.argsort(doc, kind="stable")
+                doc, window, local = doc[by], window[by], local[by]
                 for d in np.unique(doc):
-                    mine = doc == d
+                    mine = slice(np.searchsorted(doc, d), np.searchsorted(doc, d, "right"))
                     spans[i + d] = (spans[i + d] or []) + np.stack([local[mine], local[mine] + block.size[window[mine]]], axis=1).reshape(-1).tolist()
                     new = {block.ids[x] for x in np.unique(block.item[window[mine]])} - {None}
                     items[i + d] = sorted(set(items[i + d] or []) | new)
             columns = [*batch.columns[:-3], pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -258,5 +371,8 @@ FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark window go."""
+    """Pipeline stage: documents that hold a benchmark window go, repeated rows alike; all columns stay, whatever their names.
+
+    Null and empty texts have no words and stay; very long ones are read whole. An empty table or benchmark drops nothing.
+    """
     return _scanned(docs, table(spark, sf_dir, "benchmark")).filter(F.size("__spans") == 0).select(*docs.columns)

@@ -2,12 +2,15 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes, A-Z folded, other ASCII as a
 blank). A linear softmax on that mean gives the language. Embeddings and softmax are trained together by
-stochastic gradient descent in numpy on a bounded sample of the labelled texts (``sample_rows``); a
+stochastic gradient descent in numpy on a bounded sample of the labelled texts (about ``sample_rows`` in all, at
+least ``LEAST_ROWS`` for each language, so that rare languages are learned too; every language is a class); a
 temperature, fitted on a part of the sample that the descent never saw, calibrates the probabilities, and a
 threshold on them (``reject_share`` of correct held-back texts) marks predictions as rejected.
 
 Null texts and texts without a letter give ``und`` and score 0. Very long texts are read whole in one pass.
-Empty tables give no rows; repeated rows give equal predictions. If no row is labelled, all is ``und``.
+Empty tables give no rows; repeated rows give equal predictions; of several texts under one id the smallest is
+learned from, under the largest of its labels. Equal probabilities go to the language whose name comes first. If no
+row is labelled, all is ``und``.
 Only the columns named in the call are read, so further columns and their names do not matter.
 """
 
@@ -20,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import LOWER, bounded_sample, held_out, steps, table, utf8
+from storyloom.llm.common import LOWER, held_out, lean, one_text, steps, table, utf8
 
 BUCKET_BITS = 15
 DIMENSIONS = 16
 SAMPLE_ROWS = 4000
+LEAST_ROWS = 20
 ORDERS = (2, 3, 4)
 FOLD = LOWER.copy()
 FOLD[:128][~(((LOWER[:128] >= 97) & (LOWER[:128] <= 122)))] = 32
@@ -48,7 +52,8 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     for order in ORDERS:
         h = np.zeros(len(x), np.uint32)
         for k in range(order):
-            h[: len(x) - k] = h[: len(x) - k] * np.uint32(0x01000193) + x[k:] + np.uint32(1)
+            n = max(0, len(x) - k)
+            h[:n] = h[:n] * np.uint32(0x01000193) + x[k:] + np.uint32(1)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(order * 0x27D4EB2F)
         out.append(((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32), left >= order))
     return out
@@ -105,14 +110,16 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """A model of the labelled rows of docs: at most about ``sample_rows`` for each language, picked by hash."""
+    """A model of the labelled rows of docs: about ``sample_rows`` in all, the same number of each language, picked by a hash of the key."""
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(500).collect()}
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    each = max(20, sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, each / n))])
-    picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_003)) < share[F.col("y")] * 1_000_003)
+    each = max(LEAST_ROWS, sample_rows // len(counts))
+    # a row for each class of the softmax, which the model on the driver holds anyway
+    shares = docs.sparkSession.createDataFrame([(y, min(1.0, each / n)) for y, n in counts.items()], "y string, part double")
+    picked = rows.join(F.broadcast(shares), "y").filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_003)) < F.col("part") * 1_000_003)
+    picked = one_text(picked.select("k", "t", "y"), "k", "t")
 
     def features(batches):
         for batch in batches:
@@ -121,7 +128,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
                 part = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.list_(pa.int32())), pa.array([p[1] for p in part], pa.list_(pa.float32())), batch.column(1)[i:j], batch.column(2)[i:j]], ["ids", "share", "y", "k"])
 
-    got = picked.select("t", "y", "k").mapInArrow(features, f"ids array<int>, share array<float>, y string, k {dict(rows.dtypes)['k']}").toArrow().sort_by("k")
+    got = picked.select("t", "y", "k").mapInArrow(lean(features), f"ids array<int>, share array<float>, y string, k {dict(rows.dtypes)['k']}").toArrow().sort_by("k")
     flat = lambda name, kind: [np.asarray(x.values.to_numpy(zero_copy_only=False), kind) for x in got.column(name)]
     return fit(list(zip(flat("ids", np.int32), flat("share", np.float32), got.column("y").to_pylist(), strict=True)))
 
@@ -158,7 +165,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(reject, pa.bool_())], ["key", "lang_pred", "score", "rejected"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -174,6 +181,3 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()))
     return predict(docs, model).withColumn("held_out", held_out())
-
-
-__all__ = ["LanguageModel", "bounded_sample", "fit", "op9_language", "predict", "train"]

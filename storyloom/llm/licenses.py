@@ -2,23 +2,31 @@
 
 Every text's words give a rolling hash of k words at each place; a Spark join with the hashes of the template
 texts (a few fixed texts, so of a fixed size) gives pairs of places. The difference of the two places is the
-diagonal: a copied passage votes for one. Votes are counted by text and diagonal; diagonals that lie within
-``NEAR`` of each other (a word put in or left out moves the diagonal) and touch are merged; a merged span is
-verified by the share of the template's words that stand in it, a span of ``LONG`` or more words by the share of
-the words of that stretch of the template which it matched, so that a part of a notice counts. Verified spans give labels and a score.
+diagonal: a copied passage votes for one. Votes are counted by text and diagonal. Diagonals within ``NEAR`` of the
+next (a word put in or left out moves the diagonal) form a band; of a band, stretches that touch are one span.
+
+A span is verified by place: it holds the template's words that stand, at their places in order, on the span's
+diagonals, in runs of k words at least. Their share of the template must reach ``MIN_SHARE``; of a span of ``LONG``
+or more words, their share of the stretch of the template between its first and last such word, so that a part of
+a notice counts. Scrambled words stand on no diagonal together. Licenses share sentences, so a verified span that
+lies within another one's place in the text doesn't count. The others give labels and a score.
 
 Base labels come from three fixed phrases of consecutive words and always stay.
 
 Null texts count as empty. Very long texts are scanned whole. Rows are told apart by id and text, so repeated
-rows get equal results and a shared id with different texts gets each text's own. Empty tables give no rows.
+rows get equal results and a shared id with different texts gets each text's own. Equal votes need no order: all
+spans count. Empty tables give no rows. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import table
+from storyloom.llm.license_texts import TEXTS
 
 K = 3
 NEAR = 3
@@ -29,19 +37,6 @@ LONG = 12
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Public license notices, as lower-case words.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-]
 
 
 def words(text: Column) -> Column:
@@ -75,41 +70,35 @@ def phrase_places(w: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, t_words, t_place, hash) of the fixed texts."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, t string")
-    split = rows.select("template", "label", F.split("t", " ").alias("t_words"))
-    return split.select("template", "label", "t_words", F.posexplode(rolling(F.col("t_words"))).alias("t_place", "hash"))
+    """(template, label, t_size, t_place, hash) of the fixed texts."""
+    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEXTS)], "template int, label string, t string").select("template", "label", words(F.col("t")).alias("w"))
+    return rows.select("template", "label", F.size("w").alias("t_size"), F.posexplode(rolling(F.col("w"))).alias("t_place", "hash"))
 
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text_hash, label, first, last, share) of every verified span; places are words from 0, last exclusive."""
-    spark = docs.sparkSession
-    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("w"))
-    hashes = keyed.select("key", "text_hash", F.posexplode(rolling(F.col("w"))).alias("place", "hash"))
-    known = templates(spark)
-    hits = hashes.join(F.broadcast(known.select("template", "t_place", "hash")), "hash").select("key", "text_hash", "template", (F.col("place") - F.col("t_place")).alias("diagonal"), "place")
-    votes = hits.groupBy("key", "text_hash", "template", "diagonal").agg(F.countDistinct("place").alias("votes"), F.min("place").alias("first"), (F.max("place") + K).alias("last"))
-    votes = votes.withColumns({"t_first": F.col("first") - F.col("diagonal"), "t_last": F.col("last") - F.col("diagonal")})
-    order = Window.partitionBy("key", "text_hash", "template").orderBy("first", "diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.lag("diagonal").over(order) - F.col("diagonal") > NEAR) | (F.col("first") > F.lag("last").over(order) + K + NEAR)
-    merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order)).groupBy("key", "text_hash", "template", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"))
-    sizes = F.broadcast(known.select("template", "label", "t_words").distinct())
-    likely = merged.filter(F.col("votes") >= MIN_VOTES).join(sizes, "template")
-    return _verified(likely, keyed)
-
-
-def _verified(likely: DataFrame, keyed: DataFrame) -> DataFrame:
-    own = keyed.filter(F.exists("w", lambda x: x.isin("license", "licensed", "permitted", "granted"))).dropDuplicates(["key", "text_hash"])
-    joined = likely.join(own, likely["key"].eqNullSafe(own["key"]) & (likely["text_hash"] == own["text_hash"]), "left").select(likely["key"], likely["text_hash"], "label", "first", "last", "votes", "t_first", "t_last", "t_words", "w")
-    inside = F.slice(F.col("w"), F.col("first") + 1, F.greatest(F.lit(1), (F.col("last") - F.col("first")).cast("int")))
-    stretch = F.slice(F.col("t_words"), F.col("t_first").cast("int") + 1, (F.col("t_last") - F.col("t_first")).cast("int"))
-    long = (F.col("last") - F.col("first") >= LONG) & (F.col("t_last") - F.col("t_first") >= LONG)
-    asked = F.when(long, stretch).otherwise(F.col("t_words"))
-    same = F.size(F.array_intersect(asked, inside))
-    whole = F.size(F.array_distinct(asked))
-    # a text without the words above has only its votes to show
-    share = F.when(F.col("w").isNotNull(), same / whole).otherwise((F.col("votes") + K - 1) / F.size(asked))
-    return joined.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= MIN_SHARE).select("key", "text_hash", "label", "first", "last", "share")
+    known = templates(docs.sparkSession)
+    own = ["key", "text_hash", "template"]
+    split = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("w"))
+    hashes = split.select("key", "text_hash", F.posexplode(rolling(F.col("w"))).alias("place", "hash"))
+    hits = hashes.join(F.broadcast(known.select("template", "t_place", "hash")), "hash").select(*own, (F.col("place") - F.col("t_place")).alias("diagonal"), "t_place")
+    votes = hits.groupBy(*own, "diagonal").agg(F.collect_set("t_place").alias("t_places")).withColumns({"first": F.array_min("t_places") + F.col("diagonal"), "last": F.array_max("t_places") + F.col("diagonal") + K})
+    by_diagonal = Window.partitionBy(*own).orderBy("diagonal")
+    banded = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR).cast("int")).withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(by_diagonal))
+    by_place = Window.partitionBy(*own, "band").orderBy("first", "diagonal")
+    apart = F.col("first") > F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) + K + NEAR
+    runs = banded.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("new").over(by_place))
+    merged = runs.groupBy(*own, "band", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("t_places"))).alias("t_places"))
+    sizes = F.broadcast(known.select("template", "label", "t_size").distinct())
+    standing = F.size(F.array_distinct(F.flatten(F.transform("t_places", lambda p: F.sequence(p, p + (K - 1))))))
+    stretch = F.array_max("t_places") + K - F.array_min("t_places")
+    asked = F.when((F.col("last") - F.col("first") >= LONG) & (stretch >= LONG), stretch).otherwise(F.col("t_size"))
+    verified = merged.filter(F.size("t_places") >= MIN_VOTES).join(sizes, "template").withColumn("share", standing / asked)
+    verified = verified.filter(F.col("share") >= MIN_SHARE)
+    earlier = F.max("last").over(Window.partitionBy("key", "text_hash").orderBy("first").rangeBetween(Window.unboundedPreceding, -1))
+    longer = F.max("last").over(Window.partitionBy("key", "text_hash", "first"))
+    outer = verified.withColumns({"earlier": earlier, "longer": longer}).filter((F.coalesce("earlier", F.lit(-1)) < F.col("last")) & (F.col("longer") == F.col("last")))
+    return outer.select("key", "text_hash", "label", "first", "last", "share")
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -135,3 +124,30 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{' '.join(re.findall('[a-z0-9]+', text.lower()))}')" for i, (label, text) in enumerate(TEXTS))
+PLACES = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM one WHERE " + " AND ".join(f"w[i + {o}] = '{part}'" for o, part in enumerate(phrase.split())) for phrase, label in PHRASES.items())
+ORACLE = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+one AS (SELECT doc_id, w, i FROM words, LATERAL unnest(generate_series(1, len(w))) AS t(i) WHERE list_contains(w, 'license')),
+places AS ({PLACES}),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS first, max(place) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1),
+known AS (SELECT template, label, string_split(t, ' ') AS w FROM (VALUES {TEMPLATE_ROWS}) AS v(template, label, t)),
+grams AS (SELECT doc_id, i - 1 AS place, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM words, LATERAL unnest(generate_series(1, len(w) - 2)) AS t(i)),
+t_grams AS (SELECT template, i - 1 AS t_place, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM known, LATERAL unnest(generate_series(1, len(w) - 2)) AS t(i)),
+hits AS (SELECT DISTINCT doc_id, template, place - t_place AS diagonal, t_place FROM grams JOIN t_grams USING (g)),
+votes AS (SELECT doc_id, template, diagonal, min(t_place) + diagonal AS first, max(t_place) + diagonal + {K} AS last FROM hits GROUP BY 1, 2, 3),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > {NEAR} THEN 1 ELSE 0 END AS new FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+bands AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM steps),
+gaps AS (SELECT *, CASE WHEN first > max(last) OVER (PARTITION BY doc_id, template, band ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {K + NEAR} THEN 1 ELSE 0 END AS new FROM bands),
+runs AS (SELECT doc_id, template, diagonal, first, last, band, sum(new) OVER (PARTITION BY doc_id, template, band ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+standing AS (SELECT r.doc_id, r.template, band, run, min(first) AS first, max(last) AS last, count(DISTINCT t_place) AS n, min(t_place) AS low, max(t_place) + {K} AS high FROM runs r JOIN hits h ON h.doc_id = r.doc_id AND h.template = r.template AND h.diagonal = r.diagonal GROUP BY 1, 2, 3, 4),
+covered AS (SELECT r.doc_id, r.template, band, run, count(DISTINCT t_place + o) AS n_words FROM runs r JOIN hits h ON h.doc_id = r.doc_id AND h.template = r.template AND h.diagonal = r.diagonal, LATERAL unnest(generate_series(0, {K - 1})) AS t(o) GROUP BY 1, 2, 3, 4),
+shares AS (SELECT s.doc_id, s.first, s.last, k.label, n_words / CASE WHEN s.last - s.first >= {LONG} AND high - low >= {LONG} THEN high - low ELSE len(k.w) END AS share FROM standing s JOIN covered USING (doc_id, template, band, run) JOIN known k USING (template) WHERE n >= {MIN_VOTES}),
+verified AS (SELECT * FROM shares WHERE share >= {MIN_SHARE}),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM verified v WHERE NOT EXISTS (SELECT 1 FROM verified o WHERE o.doc_id = v.doc_id AND (o.first < v.first AND o.last >= v.last OR o.first = v.first AND o.last > v.last)) GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, unnest(labels) AS label FROM more UNION ALL SELECT doc_id, label FROM places) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
+CAST(greatest(coalesce(m.share, 0), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS score FROM words d LEFT JOIN base b USING (doc_id) LEFT JOIN every e USING (doc_id) LEFT JOIN more m USING (doc_id)
+"""

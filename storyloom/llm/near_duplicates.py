@@ -9,19 +9,25 @@
 3. Group pairs. A shingle of several prefixes has a centre, the group where it stands first. Each group of the
    shingle is paired with the centre; size and overlap bounds filter the pairs (of the two sets, a prefix shingle
    that no other prefix holds can't be in the overlap if it stands in the prefix that ends first: the other set
-   would have it in its own prefix; of the other set nothing is taken off). Groups expand to members, and exact sets decide. Members that are in their
-   centre's component need no further pair: all that is missing is a link they already have. The others, few,
-   are paired with all groups of the shingle in other components, and are decided alike. So every pair that the
-   prefix filter admits is either decided or within one component, and no group emits all its pairs.
+   would have it in its own prefix; of the other set nothing is taken off). Groups expand to members, and exact sets
+   decide. A second round does the same with a second centre: of each shingle the first group, and of each group the
+   first member, that the first centre's component doesn't hold. Two that are in one component need no further pair:
+   all that is missing is a link they already have. What is then still outside the first centre's component meets
+   those of its shingle, or group, that are in other components, and is decided alike. So every pair that the prefix
+   filter admits is either decided or within one component, and no group emits pairs of one component.
 4. Components by label propagation with pointer jumping, as joins.
 
-Hot shingles and hot groups of equal texts are pre-aggregated; joins on them are split by Spark's skew join,
-as one side has one row for each key. What is broadcast is of a fixed size, or of a counted one (ids below
-``BROADCAST_ROWS``) with a shuffled join beyond it.
+Texts are read three times: for the sketch, for the prefixes, and, of the documents in pairs alone, for the sorted
+hash sets that decide. Joins deal hot keys (copies of one text, shingles, centres, hubs, large components) over tasks:
+``spread`` counts keys first and splits those beyond half a partition's fair share. What is broadcast is of a fixed
+size (the sketch), has at most twice as many rows as there are partitions (hot keys), or fits ``BROADCAST_BYTES``
+by its count, with a shuffled join beyond it.
 
 Null, empty and blank texts have an empty set and link with nothing. A text of fewer words than a shingle is
 one shingle. Very long texts are read whole. Repeated rows of an id with one text get equal results; different
-texts under one id count as linked. An empty table gives no rows. Only the named columns are read.
+texts under one id count as linked. Rows without an id have the size of their set and no component. Ties between
+centres fall by a hash of the id. An empty table gives no rows. Only the named columns are read, so others may have
+any name.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import MULTIPLIER, NOT_SPACE, mix, steps, table, utf8, word_hashes, word_spans, written
+from storyloom.llm.common import MULTIPLIER, NOT_SPACE, checked, few, lean, mix, spread, steps, table, utf8, word_hashes, word_spans, written
 
 #: The query's shingle size; its links have 100 * intersection >= PERCENT * union.
 WORDS = 4
@@ -43,7 +49,6 @@ STAGE_WORDS = 5
 STAGE_PERCENT = 80
 SKETCH_BITS = 20
 SLICES = 16
-BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +113,7 @@ def features(docs: DataFrame, text: str, key: str, words: int = WORDS) -> DataFr
             none = pa.nulls(SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, key_type), none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["key", "n", "fp1", "fp2", "slice", "counts"])
 
-    return written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, fp1 long, fp2 long, slice int, counts binary"), "jaccard-sets")
+    return written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {kind}, n long, fp1 long, fp2 long, slice int, counts binary"), "jaccard-sets")
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -123,7 +128,7 @@ def sketch(rows: DataFrame) -> np.ndarray:
         for s, part in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
-    got = rows.filter("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect()
+    got = rows.filter("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(lean(run), "slice int, counts binary").collect()
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for r in got:
         counts[r["slice"]] += np.frombuffer(r["counts"], np.int64)
@@ -158,36 +163,44 @@ def prefixes(docs: DataFrame, order: np.ndarray, text: str, key: str, words: int
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(summed(mix(token), own, j - i)), lists], ["key", "n", "whole", "tokens"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, whole long, tokens array<long>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {kind}, n long, whole long, tokens array<long>")
 
 
-def checked(ids: DataFrame) -> DataFrame:
-    """ids with a broadcast hint if they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def hash_sets(docs: DataFrame, ids: DataFrame, text: str, key: str, words: int, repeated: bool) -> DataFrame:
+    """(id, hashes) of the documents with the given ids: their sets' hashes, sorted, eight bytes each."""
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(checked(ids), "id", "left_semi")
+    texts = texts.dropDuplicates(["id", "text"]) if repeated else texts
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in steps(offsets):
+                own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                ends = np.searchsorted(own, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "hashes"])
 
+    return texts.mapInArrow(lean(run), f"id {dict(docs.dtypes)[key]}, hashes binary")
 
-def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs(a, b) whose sets link, by exact counts over whole texts."""
+
+def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = WORDS, percent: int = PERCENT, repeated: bool = True) -> DataFrame:
+    """Those of pairs(a, b) whose sets link, by exact counts; many pairs may share their b."""
     kind = dict(docs.dtypes)[key]
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(checked(ids), "id", "left_semi")
-    joined = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    sets = hash_sets(docs, ids, text, key, words, repeated)
+    left = pairs.join(sets.withColumnsRenamed({"id": "a", "hashes": "hashes_a"}), "a")
+    joined = spread(left, sets.withColumnsRenamed({"id": "b", "hashes": "hashes_b"}), ["b"], counted=pairs).select("a", "b", "hashes_a", "hashes_b")
 
     def run(batches):
         for batch in batches:
-            at = np.unique(np.r_[np.arange(0, batch.num_rows, 256), batch.num_rows])
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                sets = [shingle_sets(*utf8(batch.column(c).slice(i, j - i)), words) for c in (2, 3)]
-                n = [np.bincount(own, minlength=j - i) for own, _ in sets]
-                own, value = (np.concatenate([s[x] for s in sets]) for x in (0, 1))
-                by = np.lexsort((value, own))
-                own, value = own[by], value[by]
-                twice = (own[1:] == own[:-1]) & (value[1:] == value[:-1])
-                both = np.bincount(own[1:][twice], minlength=j - i)
-                linked = (both > 0) & (100 * both >= percent * (n[0] + n[1] - both))
-                yield batch.slice(i, j - i).filter(pa.array(linked)).select(["a", "b"])
+            linked = np.zeros(batch.num_rows, bool)
+            for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
+                both = np.sort(np.concatenate([one, two]), kind="stable")
+                n = int((both[1:] == both[:-1]).sum())
+                linked[i] = n > 0 and 100 * n >= percent * (len(one) + len(two) - n)
+            yield batch.filter(pa.array(linked)).select(["a", "b"])
 
-    return written(joined.mapInArrow(run, f"a {kind}, b {kind}"), "jaccard-links")
+    return written(joined.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct(), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,76 +208,132 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "jaccard-edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), "jaccard-labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
+        near = spread(edges, labels.select(F.col("node").alias("b"), "component"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        lower = written(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component")), "jaccard-lower")
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = written(lower.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "jaccard-labels")
+        new = written(spread(lower, jump, ["component"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "jaccard-labels")
         changed = new.filter("component <> old").limit(1).count()
         labels = new.select("node", "component")
         if not changed:
             return labels
 
 
+def _placed(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(gid, node, component) of every member of every group; a node without links is its own component."""
+    return written(nodes.join(known, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
+
+
+def _fits(n: str, m: str, overlap, percent: int):
+    """Whether sets of so many shingles can link with an overlap of at most so many."""
+    return ((100 + percent) * overlap >= percent * (F.col(n) + F.col(m))) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+
+
+def _starred(live: DataFrame, bounds: DataFrame, members: DataFrame, inner: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all nodes of live(gid, centre), centre a group, and of inner(a, b), that may link."""
+    other = bounds.withColumnsRenamed({"gid": "centre", "n": "m", "end": "stop", "most": "top"})
+    drawn = written(live.filter("gid <> centre").select("gid", "centre").distinct().join(bounds, "gid"), "jaccard-drawn")
+    overlap = F.least(F.when(F.col("end") <= F.col("stop"), F.col("most")).otherwise(F.col("n")), F.when(F.col("stop") <= F.col("end"), F.col("top")).otherwise(F.col("m")))
+    star = written(spread(drawn, other, ["centre"]).filter(_fits("n", "m", overlap, percent)).select("gid", "centre"), "jaccard-star")
+    grown = spread(members, star, ["gid"]).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(grown).unionByName(inner).filter("a <> b").distinct()
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row, by shingles of so many words and links of so many per cent."""
     rows = features(docs, text, key, words)
     order = sketch(rows)
     sets = rows.filter("slice IS NULL").select("key", "n", "fp1", "fp2")
-    alike = sets.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("key").alias("node"))
-    named = sets.join(alike, ["fp1", "fp2", "n"], "left").select("key", "n", "node")
-    copies = written(named.filter("node IS NULL OR key <> node").select("key").distinct(), "jaccard-copies")
-
-    distinct = docs.filter(F.col(key).isNotNull()).join(checked(copies.withColumnRenamed("key", key)), key, "left_anti")
-    prefix = written(prefixes(distinct, order, text, key, words, percent), "jaccard-prefixes")
-    groups = prefix.groupBy("n", "whole").agg(F.min("key").alias("gid"), F.count("*").alias("size")).filter("size > 1").select("n", "whole", "gid")
-    members = written(prefix.select("key", "n", "whole").join(groups, ["n", "whole"]).filter("key <> gid").select("gid", F.col("key").alias("node")).distinct(), "jaccard-members")
+    full = sets.filter("n > 0 AND key IS NOT NULL")
+    repeated = full.count() > full.select("key").distinct().count()
+    alike = written(full.groupBy("fp1", "fp2", "n").agg(F.min("key").alias("node")), "jaccard-alike")
+    named = written(spread(full, alike, ["fp1", "fp2", "n"]).select("key", "n", "node"), "jaccard-named")
+    copies = written(named.filter("key <> node").select("key").distinct(), "jaccard-copies")
+
+    distinct = docs.filter(F.col(key).isNotNull())
+    early = few(copies)  # else narrow prefixes are joined, not texts
+    if early:
+        distinct = distinct.join(F.broadcast(copies.withColumnRenamed("key", key)), key, "left_anti")
+    prefix = prefixes(distinct, order, text, key, words, percent)
+    prefix = prefix if early else prefix.join(copies, "key", "left_anti")
+    prefix = written(prefix.dropDuplicates(["key", "n", "whole"]) if repeated else prefix, "jaccard-prefixes")
+    groups = written(prefix.groupBy("n", "whole").agg(F.min("key").alias("gid"), F.count("*").alias("size")).filter("size > 1").select("n", "whole", "gid"), "jaccard-groups")
+    members = written(spread(prefix.select("key", "n", "whole"), groups, ["n", "whole"]).filter("key <> gid").select("gid", F.col("key").alias("node")).distinct(), "jaccard-members")
     heads = prefix.join(checked(members.select(F.col("node").alias("key"))), "key", "left_anti")
     # end: the prefix's last token in the order of the tokens, which are unsigned
     end = F.get("tokens", F.size("tokens") - 1).bitwiseXOR(F.lit(-(1 << 63)))
-    index = heads.select(F.col("key").alias("gid"), "n", end.alias("end"), F.posexplode("tokens").alias("pos", "token"))
+    index = written(heads.select(F.col("key").alias("gid"), "n", end.alias("end"), F.posexplode("tokens").alias("pos", "token")), "jaccard-tokens")
 
     first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
     centres = written(index.groupBy("token").agg(F.count("*").alias("held"), F.min_by("gid", first).alias("centre")).filter("held > 1").select("token", "centre"), "jaccard-centres")
     # rank: shingles of the own prefix before this one that others hold too
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
-    live = written(index.join(checked(centres), "token").select("token", "gid", "n", "end", "centre", "pos", rank.alias("rank")), "jaccard-index")
+    live = written(spread(index, centres, ["token"]).select("token", "gid", "n", "end", "centre", "pos", rank.alias("rank")), "jaccard-index")
     # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
     bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
-    other = bounds.withColumnsRenamed({"gid": "centre", "n": "m", "end": "stop", "most": "top"})
-    star = live.filter("gid <> centre").select("gid", "centre").distinct().join(bounds, "gid").join(other, "centre")
-    overlap = F.least(F.when(F.col("end") <= F.col("stop"), F.col("most")).otherwise(F.col("n")), F.when(F.col("stop") <= F.col("end"), F.col("top")).otherwise(F.col("m")))
-    star = star.filter(((100 + percent) * overlap >= percent * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("gid", "centre")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
-    grown = star.join(members, "gid").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    pairs = written(star.select(F.col("gid").alias("a"), F.col("centre").alias("b")).unionByName(within).unionByName(grown).filter("a <> b").distinct(), "jaccard-pairs")
-    links = decided(docs, pairs, text, key, words, percent)
+    pairs = written(_starred(live, bounds, members, within, percent), "jaccard-pairs")
+    links = decided(docs, pairs, text, key, words, percent, repeated)
     known = components(links)
 
-    # nodes of each group, with their components so far
-    nodes = live.select("gid").distinct().select("gid", F.col("gid").alias("node")).unionByName(members)
-    placed = written(nodes.join(known, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
+    # the second round: of each shingle, and of each group, what the first centre's component doesn't hold has a centre of its own
+    nodes = written(live.select("gid").distinct().select("gid", F.col("gid").alias("node")).unionByName(members), "jaccard-members")
+    placed = _placed(nodes, known)
+    table_ = _open_groups(live, bounds, placed)
+    seconds = table_.filter("minor").groupBy("token").agg(F.min_by("gid", F.struct(F.xxhash64("gid"), "gid")).alias("second"))
+    own = placed.filter("gid = node").select("gid", F.col("component").alias("of_gid"))
+    lost = spread(placed, own, ["gid"]).filter("component <> of_gid")
+    chosen = written(lost.groupBy("gid").agg(F.min("node").alias("second")), "jaccard-inner")
+    inner = spread(placed, chosen, ["gid"]).select(F.col("node").alias("a"), F.col("second").alias("b"))
+    again = _starred(spread(table_.select("token", "gid"), seconds, ["token"]).select("gid", F.col("second").alias("centre")), bounds, members, inner, percent)
+    again = written(_untried(again, pairs), "jaccard-again")
+    if again.limit(1).count():
+        links = links.unionByName(decided(docs, again, text, key, words, percent, repeated))
+        known = components(links)
+        placed = _placed(nodes, known)
+        pairs = pairs.unionByName(again)
+
+    rest = written(_untried(_rest(_open_groups(live, bounds, placed), placed, chosen, percent), pairs), "jaccard-rest")
+    if rest.limit(1).count():
+        known = components(links.unionByName(decided(docs, rest, text, key, words, percent, repeated)))
+    empty = sets.filter("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("node"))
+    final = spread(named, known, ["node"], "left").select("key", "n", "node", "component").unionByName(empty.withColumn("component", F.col("key")))
+    return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """pairs less those tried in either direction."""
+    both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
+def _open_groups(live: DataFrame, bounds: DataFrame, placed: DataFrame) -> DataFrame:
+    """live with each group's span of components and whether part of it is outside the component of the shingle's centre (then it is minor)."""
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    centre_of = placed.filter("gid = node").select(F.col("gid").alias("centre"), F.col("component").alias("of_centre"))
-    table_ = live.drop("n", "end").join(bounds, "gid").join(span, "gid").join(centre_of, "centre").select("token", "gid", "n", "end", (F.col("most") - F.col("rank")).alias("reach"), (F.col("n") - F.col("pos")).alias("left"), (~((F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre")))).alias("minor"), "low", "high")
-    table_ = written(table_, "jaccard-table")
-    left, right = table_.filter("minor").alias("l"), table_.alias("r")
-    l_, r_ = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    apart = ~((l_("low") == l_("high")) & (r_("low") == r_("high")) & (l_("low") == r_("low")))
-    once = (l_("gid") < r_("gid")) | ~r_("minor")
+    out = written(live.join(bounds.select("gid", "most"), "gid").join(span, "gid"), "jaccard-open")
+    of_centre = placed.filter("gid = node").select(F.col("gid").alias("centre"), F.col("component").alias("of_centre"))
+    held = (F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre"))
+    return written(spread(out, of_centre, ["centre"]).withColumn("minor", ~held).drop("of_centre"), "jaccard-table")
+
+
+def _rest(table_: DataFrame, placed: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that no centre has brought into one component."""
+    table_ = table_.select("token", "gid", "n", "end", (F.col("most") - F.col("rank")).alias("reach"), (F.col("n") - F.col("pos")).alias("left"), "minor", "low", "high")
+    kept = ["gid", "n", "end", "reach", "left", "minor", "low", "high"]
+    one = written(table_.filter("minor"), "jaccard-minor")
+    two = table_.join(checked(one.select("token").distinct()), "token", "left_semi").withColumnsRenamed({c: f"{c}_r" for c in kept})
+    apart = ~((F.col("low") == F.col("high")) & (F.col("low_r") == F.col("high_r")) & (F.col("low") == F.col("low_r")))
+    once = (F.col("gid") < F.col("gid_r")) | ~F.col("minor_r")
     # reach, left: the most that the overlap can be if this shingle is the first that the two share (for one of their shingles it is), for the prefix that ends first and for the other
-    overlap = F.least(F.when(l_("end") <= r_("end"), l_("reach")).otherwise(l_("left")), F.when(r_("end") <= l_("end"), r_("reach")).otherwise(r_("left")))
-    close = ((100 + percent) * overlap >= percent * (l_("n") + r_("n"))) & (100 * F.least(l_("n"), r_("n")) >= percent * F.greatest(l_("n"), r_("n")))
-    crossing = left.join(right, (l_("token") == r_("token")) & (l_("gid") != r_("gid")) & apart & once & close).select(l_("gid").alias("g"), r_("gid").alias("h")).distinct()
-    inner = members.select(F.col("gid").alias("g")).distinct().select("g", F.col("g").alias("h"))  # members of one group
-    crossing = crossing.unionByName(inner)
-    x, y = placed.select(F.col("gid").alias("g"), F.col("node").alias("a"), F.col("component").alias("ca")), placed.select(F.col("gid").alias("h"), F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = crossing.join(x, "g").join(y, "h").filter("a <> b AND ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.limit(1).count():
-        known = components(links.unionByName(decided(docs, rest, text, key, words, percent)))
-    final = named.join(known, "node", "left").select("key", "n", F.coalesce("component", "node", "key").alias("component_id"))
-    return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    overlap = F.least(F.when(F.col("end") <= F.col("end_r"), F.col("reach")).otherwise(F.col("left")), F.when(F.col("end_r") <= F.col("end"), F.col("reach_r")).otherwise(F.col("left_r")))
+    crossing = spread(one, two, ["token"]).filter((F.col("gid") != F.col("gid_r")) & apart & once & _fits("n", "n_r", overlap, percent)).select(F.col("gid").alias("g"), F.col("gid_r").alias("h"))
+    crossing = written(crossing.unionByName(chosen.select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct(), "jaccard-crossing")
+    parts = written(placed.select("gid", "component").distinct(), "jaccard-parts")
+    side = lambda g, c: parts.select(F.col("gid").alias(g), F.col("component").alias(c))
+    halves = written(spread(crossing, side("g", "ca"), ["g"]), "jaccard-halves")
+    across = written(spread(halves, side("h", "cb"), ["h"]).filter("ca <> cb"), "jaccard-across")
+    node = lambda g, c, n: placed.select(F.col("gid").alias(g), F.col("component").alias(c), F.col("node").alias(n))
+    left = written(spread(across, node("g", "ca", "a"), ["g", "ca"]), "jaccard-left")
+    return spread(left, node("h", "cb", "b"), ["h", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +353,11 @@ FROM words d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest id stays."""
+    """Pipeline stage: of each group of near copies the document with the smallest id stays; all columns stay, whatever their names.
+
+    Null, empty and blank texts stay, as they link with nothing, and so do rows without an id; very long texts are read
+    whole. Of repeated rows of an id that stays all stay. An empty table gives no rows.
+    """
     found = join(docs.select("doc_id", "text"), words=STAGE_WORDS, percent=STAGE_PERCENT)
     gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
     return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)

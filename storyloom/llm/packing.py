@@ -2,7 +2,9 @@
 
 ``tokenize`` gives each document's ids (byte-pair vocabulary file, then the id that ends a document), cut into
 pieces of the sequence's size where a document is longer; the first piece may be shorter. Each distinct
-pre-token is encoded once and kept in a bounded cache, which gives the same ids as encoding the whole text.
+pre-token is encoded once and kept in a cache of bounded size for the time of a partition, which gives the same ids
+as encoding the whole text. A text that holds one of the vocabulary's special strings, or characters beyond the plain
+alphabet, goes whole through the vocabulary file.
 
 ``pack`` places pieces by rounds. A round range-sorts the pieces still to place and the gaps of open
 sequences, both by size, largest first. One sweep over each range partition gives each piece the smallest gap
@@ -33,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import table, utf8, written
+from storyloom.llm.common import lean, table, utf8, written
 
 SIZE = 1024
 END_ID = 2
 #: Pieces of at most this many ids travel in bundles of at most twice that.
 SHORT = 64
-#: Distinct pre-tokens that a worker keeps; the cache starts anew beyond.
-CACHE = 500_000
+#: Bytes of pre-tokens and their ids that a worker keeps during a partition; the cache starts anew beyond.
+CACHE_BYTES = 24_000_000
+#: What a cached pre-token takes besides.
+ENTRY_BYTES = 120
 STEP_CHARS = 1_000_000
 ROWS_A_PARTITION = 40_000
 #: The largest row number beside a document's place; bundles take numbers from here.
@@ -81,12 +85,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
         with open(ranks, "rb") as lines:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
         self.line_end = self.pieces.encode_ordinary("\n")[0]
         self.kept: dict[str, bytes] = {}
+        self.held = 0
+
+    def clear(self) -> None:
+        self.kept, self.held = {}, 0
 
     def keep(self, new: set[str]) -> None:
         """Encodes new pre-tokens: those that aren't blank as the lines of one text, whose line ends part the ids again."""
@@ -96,15 +105,17 @@ class Encoder:
         if len(ends) == len(lines) - 1:
             raw, starts, stops = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()], (4 * ends).tolist()
             self.kept.update(zip(lines, (raw[a:b] for a, b in zip(starts, [*stops, len(raw)], strict=True)), strict=True))
+            self.held += len(raw) + sum(map(len, lines)) + ENTRY_BYTES * len(lines)
             new = new.difference(lines)
         for word in new:
-            self.kept[word] = np.asarray(self.pieces.encode_ordinary(word), "<u4").tobytes()
+            self.kept[word] = own = np.asarray(self.pieces.encode_ordinary(word), "<u4").tobytes()
+            self.held += len(own) + len(word) + ENTRY_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, odd = patterns()
-        if len(self.kept) > CACHE:
-            self.kept = {}
-        plain = [not odd.search(t) for t in texts]
+        if self.held > CACHE_BYTES:
+            self.clear()
+        plain = [not odd.search(t) and not self.special.search(t) for t in texts]
         parts = [cut.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
         found = [list(map(self.kept.get, own)) for own in parts]
         gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
@@ -136,6 +147,12 @@ def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
 
     def run(batches):
         own = encoder(path, ranks)
+        try:
+            yield from pieces_of(own, batches)
+        finally:
+            own.clear()
+
+    def pieces_of(own, batches):
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             i = 0
@@ -162,11 +179,7 @@ def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
                 i = j
 
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
-
-
-def _counts(rows: DataFrame, column: str) -> dict[int, int]:
-    return {r[0]: r[1] for r in rows.groupBy(column).count().collect()}
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), schema).withColumnRenamed("key", key)
 
 
 def _sweep(batches):
@@ -200,15 +213,24 @@ def _sweep(batches):
 SWEPT = "part int, kind int, id long, size int, used int, seq long, rank long"
 
 
-def _round(left: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One sweep: (placements, pieces still to place, gaps)."""
-    spark = left.sparkSession
-    merged = gaps.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.col("room").alias("size"), "used").unionByName(left.select(F.lit(1).alias("kind"), "id", F.col("length").alias("size"), F.lit(0).alias("used")))
-    parts = max(1, min(4096, ceil(rows / ROWS_A_PARTITION)))
+#: kind 0: a gap (id: its sequence, size: what is free, used: what is not); 1: a piece to place; 2: a placed piece (seq, used: its offset).
+STATE = ["kind", "id", "size", "used", "seq"]
+
+
+def _histogram(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Numbers of gaps and of pieces to place, by size."""
+    found: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for r in state.filter("kind < 2").groupBy("kind", "size").count().collect():
+        found[r["kind"]][r["size"]] = r["count"]
+    return found
+
+
+def _round(state: DataFrame, rows: int) -> DataFrame:
+    """One sweep: the state after it, with the pieces that it placed."""
+    spark = state.sparkSession
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    swept = merged.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "kind", "id", "size", "used").mapInArrow(_sweep, SWEPT)
-    swept = written(swept, "packing-sweep")
-    pieces, spaces = swept.filter("kind = 1"), swept.filter("kind = 0")
+    dealt = state.repartitionByRange(max(1, ceil(rows / ROWS_A_PARTITION)), *order).sortWithinPartitions(*order)
+    swept = written(dealt.select(F.spark_partition_id().alias("part"), "kind", "id", "size", "used").mapInArrow(lean(_sweep), SWEPT), "packing-sweep")
     over = sorted((r["part"], r["pieces"], r["spaces"]) for r in swept.filter("rank >= 0").groupBy("part").agg(F.sum("kind").alias("pieces"), F.sum(1 - F.col("kind")).alias("spaces")).collect())
     stack, spans = [], []  # (part, first free rank, gaps left) with the smallest gaps on top
     for part, n_pieces, n_spaces in over:
@@ -222,17 +244,23 @@ def _round(left: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, Data
                 stack.append((own, first + take, n - take))
         if n_spaces:
             stack.append((part, 0, n_spaces))
-    near = pieces.filter("seq >= 0").select("id", "seq", F.col("used").alias("at"))
-    rest, room = pieces.filter("seq < 0"), spaces.select(F.col("id").alias("seq"), F.col("size").alias("room"), "used")
-    if spans:
-        links = F.broadcast(spark.createDataFrame(spans, "part int, low long, high long, own int, shift long"))  # at most two rows for each partition
-        ask = rest.join(links, "part").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("id", F.col("size").alias("length"), "own", (F.col("rank") + F.col("shift")).alias("rank"))
-        free = spaces.filter("rank >= 0").select(F.col("part").alias("own"), "rank", F.col("id").alias("seq"), F.col("used").alias("at"))
-        far = written(ask.join(free, ["own", "rank"]).select("id", "seq", "at", "length"), "packing-ranks")
-        rest = rest.join(far.select("id"), "id", "left_anti")
-        room = room.join(far.select("seq", "length"), "seq", "left").select("seq", (F.col("room") - F.coalesce("length", F.lit(0))).cast("int").alias("room"), (F.col("used") + F.coalesce("length", F.lit(0))).cast("int").alias("used"))
-        near = near.unionByName(far.select("id", "seq", "at"))
-    return near, rest.select("id", F.col("size").alias("length")), room
+    near = swept.select(F.when((F.col("kind") == 1) & (F.col("seq") >= 0), 2).otherwise(F.col("kind")).alias("kind"), "id", "size", "used", "seq", "part", "rank")
+    if not spans:
+        return written(near.select(*STATE), "packing-state")
+    # at most two rows for each partition
+    links = spark.createDataFrame(spans, "part int, low long, high long, own int, shift long")
+    asks = F.broadcast(links.select(F.col("part").alias("p"), "low", "high", F.col("own"), "shift"))
+    takes = F.broadcast(links.select(F.col("own").alias("p"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high")))
+    within = (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    pieces, spaces = near.filter("kind = 1").join(asks, within, "left"), near.filter("kind = 0").join(takes, within, "left")
+    asking = pieces.filter("p IS NOT NULL").select("id", "size", "own", (F.col("rank") + F.col("shift")).alias("rank"))
+    free = spaces.filter("p IS NOT NULL").select(F.col("part").alias("own"), "rank", F.col("id").alias("gap"), F.col("size").alias("room"), F.col("used").alias("at"))
+    both = asking.join(free, ["own", "rank"])
+    placed = F.struct(F.lit(2).alias("kind"), F.col("id"), F.col("size"), F.col("at").alias("used"), F.col("gap").alias("seq"))
+    shrunk = F.struct(F.lit(0).alias("kind"), F.col("gap").alias("id"), (F.col("room") - F.col("size")).cast("int").alias("size"), (F.col("at") + F.col("size")).cast("int").alias("used"), F.lit(-1).cast("long").alias("seq"))
+    far = both.select(F.inline(F.array(placed, shrunk)))
+    still = pieces.filter("p IS NULL").select(*STATE).unionByName(spaces.filter("p IS NULL").select(*STATE)).unionByName(near.filter("kind = 2").select(*STATE))
+    return written(still.unionByName(far), "packing-state")
 
 
 def _bundles(short: DataFrame, size: int, rows: int) -> DataFrame:
@@ -258,55 +286,57 @@ def _bundles(short: DataFrame, size: int, rows: int) -> DataFrame:
         base = BUNDLES + int(part[0]) * (1 << 40)
         yield pa.RecordBatch.from_arrays([pa.array(base + np.array(bundle, np.int64)), pa.array(ids), pa.array(np.array(at, np.int32)), pa.array(np.array([total[b] for b in bundle], np.int32))], ["bundle", "id", "at", "total"])
 
-    parts = max(1, min(4096, ceil(rows / ROWS_A_PARTITION)))
     order = [F.desc("length"), F.asc("id")]
-    return short.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "length").mapInArrow(run, "bundle long, id long, at int, total int")
+    return short.repartitionByRange(max(1, ceil(rows / ROWS_A_PARTITION)), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "length").mapInArrow(lean(run), "bundle long, id long, at int, total int")
+
+
+def _openings(state: DataFrame, stuck: dict[int, int], size: int) -> tuple[Column, set[int]]:
+    """Which pieces open a sequence, and the lengths of which all do.
+
+    All of more than half a sequence; if there are none, as many of the others, the largest first, as their total length needs.
+    """
+    if big := {n for n in stuck if 2 * n > size}:
+        return F.col("size").isin(sorted(big)), big
+    need, whole, part = max(1, ceil(sum(n * c for n, c in stuck.items()) / size)), set(), F.lit(False)
+    for n in sorted(stuck, reverse=True):
+        if need <= 0:
+            break
+        if need < stuck[n]:  # part of a class, by hash, but at least one
+            one = state.filter((F.col("kind") == 1) & (F.col("size") == n)).agg(F.min("id")).first()[0]
+            part = (F.col("size") == n) & ((F.col("id") == one) | (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(need / stuck[n] * 1_000_003)))
+        else:
+            whole.add(n)
+        need -= stuck[n]
+    return F.col("size").isin(sorted(whole)) | part, whole
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """(id, sequence_id, offset) of every piece of ``pieces(id, length)``; ids are unique, below 2^61, lengths 1 to size."""
-    spark = pieces.sparkSession
-    every = pieces.select("id", F.col("length").cast("int").alias("length"))
-    placed = [every.filter(F.col("length") == size).select("id", F.col("id").alias("seq"), F.lit(0).alias("at"))]
-    histogram = {n: c for n, c in _counts(every, "length").items() if n < size}
-    members = None
-    if short := sum(c for n, c in histogram.items() if n <= SHORT):
-        members = written(_bundles(every.filter(F.col("length") <= SHORT), 2 * SHORT, short), "packing-bundles")
-        left = every.filter((F.col("length") > SHORT) & (F.col("length") < size)).unionByName(members.select(F.col("bundle").alias("id"), F.col("total").alias("length")).distinct())
-    else:
-        left = every.filter(F.col("length") < size)
-    gaps = spark.createDataFrame([], "seq long, room int, used int")
-    rooms: dict[int, int] = {}
-    while histogram := _counts(left, "length"):
-        widest = max(rooms, default=0)
-        stuck = {n: c for n, c in histogram.items() if n > widest}
+    every = pieces.select("id", F.col("length").cast("int").alias("size"))
+    placed = [every.filter(F.col("size") == size).select("id", F.col("id").alias("seq"), F.lit(0).alias("at"))]
+    left, members = every.filter(F.col("size") < size), None
+    if short := every.filter(F.col("size") <= SHORT).count():
+        members = written(_bundles(every.filter(F.col("size") <= SHORT).withColumnRenamed("size", "length"), 2 * SHORT, short), "packing-bundles")
+        left = left.filter(F.col("size") > SHORT).unionByName(members.select(F.col("bundle").alias("id"), F.col("total").alias("size")).distinct())
+    state = left.select(F.lit(1).alias("kind"), "id", "size", F.lit(0).alias("used"), F.lit(-1).cast("long").alias("seq"))
+    rooms, histogram = _histogram(state)
+    while histogram:
+        stuck = {n: c for n, c in histogram.items() if n > max(rooms, default=0)}
         if stuck:
-            big = sum(c for n, c in stuck.items() if 2 * n > size)
-            small = {n: c for n, c in stuck.items() if 2 * n <= size}
-            need = 0 if big else max(1, ceil(sum(n * c for n, c in small.items()) / size))  # the large ones' gaps come first
-            opens = F.col("length") > size // 2
-            for n in sorted(small, reverse=True):
-                if need <= 0:
-                    break
-                share = min(1.0, need / small[n])
-                mine = F.col("length") == n
-                if share < 1:  # part of a class, by hash, but at least one
-                    one = left.filter(mine).agg(F.min("id")).first()[0]
-                    mine = mine & ((F.col("id") == one) | (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(share * 1_000_003)))
-                opens = opens | mine
-                need -= small[n]
-            opens = opens & (F.col("length") > widest)
-            new = left.filter(opens)
-            placed.append(new.select("id", F.col("id").alias("seq"), F.lit(0).alias("at")))
-            gaps = gaps.unionByName(new.select(F.col("id").alias("seq"), (F.lit(size) - F.col("length")).cast("int").alias("room"), F.col("length").alias("used")))
-            left = left.filter(~opens)
-            histogram = _counts(left, "length")
+            opens, whole = _openings(state, stuck, size)
+            opens = (F.col("kind") == 1) & opens
+            placed.append(state.filter(opens).select("id", F.col("id").alias("seq"), F.lit(0).alias("at")))
+            gap = F.struct(F.lit(0).alias("kind"), F.col("id"), (F.lit(size) - F.col("size")).cast("int").alias("size"), F.col("size").alias("used"), F.col("seq"))
+            state = state.select(F.inline(F.array(F.when(opens, gap).otherwise(F.struct(*STATE)))))
+            rooms = rooms | {size - n: rooms.get(size - n, 0) + histogram[n] for n in stuck}
+            histogram = {n: c for n, c in histogram.items() if n not in whole}
             if not histogram:
                 break
         least = min(histogram)
-        near, left, gaps = _round(left, gaps.filter(F.col("room") >= least), sum(histogram.values()) + sum(c for n, c in rooms.items() if n >= least))
-        placed.append(near)
-        rooms = _counts(gaps, "room")
+        state = state.filter((F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("size") >= least)))
+        state = _round(state, sum(histogram.values()) + sum(c for n, c in rooms.items() if n >= least))
+        placed.append(state.filter("kind = 2").select("id", "seq", F.col("used").alias("at")))
+        rooms, histogram = _histogram(state)
     found = placed[0]
     for part in placed[1:]:
         found = found.unionByName(part)
@@ -334,7 +364,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: where each kept document's ids lie in the training sequences."""
-    return packed(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
+    """Last pipeline stage: where each kept document's ids lie in the training sequences.
 
+    Null and empty texts are the end id alone, very long ones several pieces, repeated rows are packed each for itself,
+    an empty table gives no rows. Columns other than doc_id and text end here, whatever their names.
+    """
+    return packed(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,15 +1,21 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms of a text are trigrams of character classes plus a few binned form terms (share of repeated words, of
-repeated neighbours and lines, of capitals and marks, mean word length, size). A bounded sample of labelled
-texts (``sample_rows``) gives the term weights and, by a truncated singular value decomposition in numpy, the
-latent space; its labelled vectors are broadcast (``sample_rows`` x ``RANK`` floats, so of a fixed size). Every
-document is projected and compared with all labelled vectors by exact cosine products, block by block; the
-``neighbours`` nearest vote with weights that grow with similarity.
+Terms of a text are its words and its subwords (byte trigrams, blanks and marks among them), as written, hashed to
+fixed numbers of buckets, and a few binned form terms (share of repeated words, of repeated neighbours and lines, of
+capitals and marks, mean word length, size). A bounded sample of labelled texts (``sample_rows``) gives the terms'
+inverse document frequencies and, by a truncated singular value decomposition in numpy, the latent space; its
+labelled vectors are broadcast (``sample_rows`` x ``RANK`` numbers, so of a fixed size). Every document is projected
+and compared with all labelled vectors by exact cosine products, in blocks of a fixed shape; the ``neighbours``
+nearest vote with weights that grow with similarity.
+
+A score depends on its own text alone: projection is a sum over the text's own terms, blocks have one shape
+whatever a batch holds, and similarities are rounded to nine places. So repeated rows have equal scores. Ties in
+similarity fall to the smaller id of the labelled row.
 
 Null texts count as empty texts: they get the vote of the labelled texts nearest to an empty one. Very long
-texts are read whole in one pass. Empty tables give no rows, repeated rows equal scores, ties in similarity
-fall to the smaller doc_id of the labelled row. Without labelled rows the score is 0.5.
+texts are read whole in one pass. Of several texts under one labelled id the smallest is learned from, of several
+labels the largest counts. Empty tables give no rows. Without labelled rows the score is 0.5. Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -21,88 +27,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import NOT_SPACE, bounded_sample, held_out, steps, table, utf8, word_hashes, word_spans
+from storyloom.llm.common import MULTIPLIER, NOT_SPACE, bounded_sample, held_out, lean, mix, one_text, steps, table, utf8, word_spans
 
 SAMPLE_ROWS = 4000
-RANK = 48
+RANK = 64
 NEIGHBOURS = 25
 SHARPNESS = 12.0
 THRESHOLD = 0.7
 PRIOR = 0.5
-#: Documents that are counted and compared at once.
-BLOCK = 256
+#: Documents that are counted at once, and compared at once.
+BLOCK = 128
 
-#: Classes of bytes for the trigrams.
-KINDS = 16
+SUBWORD_BITS, WORD_BITS = 12, 11
+SUBWORDS, WORDS = 1 << SUBWORD_BITS, 1 << WORD_BITS
+BINS = 12
+FORMS = 8
+FORM_WEIGHT = 0.35
+TERMS = SUBWORDS + WORDS + BINS * FORMS
 
+UPPER, LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+UPPER[65:91] = True
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+MARK[33:48] = MARK[58:65] = MARK[91:97] = MARK[123:127] = True
 
-def byte_kinds() -> np.ndarray:
-    out = np.full(256, 15, np.int32)
-    out[97:123], out[65:91], out[48:58], out[128:] = 0, 2, 3, 4
-    for c in b"aeiou":
-        out[c] = 1
-    for kind, chars in enumerate((b" ", b"\n", b".", b",;:", b"!", b"|", b"#%&$*@", b"\"'`", b"()[]{}<>", b"-_/+="), 5):
-        for c in chars:
-            out[c] = kind
-    return out
 
+def hashed_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word as written."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    size = ends - begins
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+    powers = np.cumprod(np.full(int(size.max()), MULTIPLIER, np.uint64))
+    letters = data[place + np.repeat(begins, size)].astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(letters * powers[place], first) + size.astype(np.uint64))
 
-KIND = byte_kinds()
-BINS = 12
-FORMS = 8
-TERMS = KINDS**3 + BINS * FORMS
+
+def shares(own: np.ndarray, bucket: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Text x bucket: square roots of the buckets' shares of each text's terms."""
+    counts = np.bincount(own * size + bucket, minlength=n * size).reshape(n, size)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+
+
+def distinct_per(own: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    order = np.lexsort((value, own))
+    own, value = own[order], value[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (value[1:] != value[:-1])
+    return np.bincount(own, weights=fresh, minlength=n)
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Text x term, as float32: square roots of counts over the root of the length, and form terms."""
+    """Text x term, as float32: shares of subwords and words, and form terms."""
     n = len(offsets) - 1
     out = np.zeros((n, TERMS), np.float32)
     size = np.diff(offsets)
     doc = np.repeat(np.arange(n), size)
     if len(data) >= 3:
-        k = KIND[data]
-        code = (k[:-2] * KINDS + k[1:-1]) * KINDS + k[2:]
+        x = data.astype(np.uint32)
+        code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
+        code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SUBWORD_BITS)
         same = doc[:-2] == doc[2:]
-        counts = np.bincount(doc[:-2][same] * KINDS**3 + code[same], minlength=n * KINDS**3).reshape(n, -1)
-        out[:, : KINDS**3] = np.sqrt(counts / np.maximum(size - 2, 1)[:, None])
-    sums = lambda mask: np.bincount(doc, weights=mask, minlength=n)
-    k = KIND[data]
-    upper, lower, marks = sums(k == 2), sums((k < 2) | (k == 4)), sums(k >= 7)
+        out[:, :SUBWORDS] = shares(doc[:-2][same], code[same].astype(np.int64), n, SUBWORDS)
     begins, ends, at = word_spans(data, offsets, NOT_SPACE)
-    words = word_hashes(data, begins, ends)
+    words = hashed_words(data, begins, ends)
     own = np.repeat(np.arange(n), np.diff(at))
+    out[:, SUBWORDS : SUBWORDS + WORDS] = shares(own, (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), n, WORDS)
+    sums = lambda mask: np.bincount(doc, weights=mask, minlength=n)
+    upper, letters, marks, lines = sums(UPPER[data]), sums(LETTER[data]), sums(MARK[data]), sums(data == 10)
     total = np.maximum(np.diff(at), 1)
-    order = np.lexsort((words, own))
-    fresh = np.ones(len(words), bool)
-    fresh[1:] = (words[order][1:] != words[order][:-1]) | (own[order][1:] != own[order][:-1])
-    distinct = np.bincount(own[order], weights=fresh, minlength=n)
     twice = np.zeros(len(words), bool)
     twice[1:] = (words[1:] == words[:-1]) & (own[1:] == own[:-1])
-    lines = data == 10
-    line_starts, line_ends, line_at = word_spans(data, offsets, np.arange(256) != 10)
-    line_hash = word_hashes(data, line_starts, line_ends)
-    line_own = np.repeat(np.arange(n), np.diff(line_at))
-    pairs = np.unique(np.stack([line_own.astype(np.uint64), line_hash]), axis=1) if len(line_hash) else np.zeros((2, 0), np.uint64)
-    line_distinct = np.bincount(pairs[0].astype(np.int64), minlength=n)
-    line_total = np.maximum(np.diff(line_at), 1)
+    line_begins, line_ends, line_at = word_spans(data, offsets, np.arange(256) != 10)
+    line_distinct = distinct_per(np.repeat(np.arange(n), np.diff(line_at)), hashed_words(data, line_begins, line_ends), n)
     length = np.bincount(own, weights=ends - begins, minlength=n) / total
     safe = np.maximum(size, 1)
     forms = [
-        1 - np.minimum(distinct / total, 1),
+        1 - np.minimum(distinct_per(own, words, n) / total, 1),
         np.bincount(own, weights=twice, minlength=n) / total,
-        1 - np.minimum(line_distinct / line_total, 1),
-        upper / np.maximum(upper + lower, 1),
+        1 - np.minimum(line_distinct / np.maximum(np.diff(line_at), 1), 1),
+        upper / np.maximum(letters, 1),
         np.sqrt(marks / safe),
         np.minimum(length / 24, 1),
         np.minimum(np.log2(size + 1) / 20, 1),
-        np.minimum(sums(lines) / safe * 10, 1),
+        np.minimum(lines / safe * 10, 1),
     ]
     for i, value in enumerate(forms):
         place = np.clip(value, 0, 1) * (BINS - 1)  # a value between two bins counts for both
         low = np.floor(place).astype(int)
-        base = KINDS**3 + i * BINS
-        out[np.arange(n), base + low] += (1 - (place - low)).astype(np.float32) * 0.35
-        out[np.arange(n), base + np.minimum(low + 1, BINS - 1)] += (place - low).astype(np.float32) * 0.35
+        base = SUBWORDS + WORDS + i * BINS
+        out[np.arange(n), base + low] += (1 - (place - low)).astype(np.float32) * FORM_WEIGHT
+        out[np.arange(n), base + np.minimum(low + 1, BINS - 1)] += (place - low).astype(np.float32) * FORM_WEIGHT
     return out
 
 
@@ -110,43 +125,53 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class QualityModel:
     weights: np.ndarray  # inverse document frequencies
     space: np.ndarray  # term x rank
-    vectors: np.ndarray  # labelled x rank, of length 1
+    vectors: np.ndarray  # labelled x rank, of length 1, in the order of their ids
     labels: np.ndarray
     base: float
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        latent = (terms * self.weights) @ self.space
-        return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        """Unit vectors in the latent space, each from its own row's terms alone."""
+        out = np.zeros((len(terms), self.space.shape[1]))
+        for latent, row in zip(out, terms, strict=True):
+            at = np.flatnonzero(row)
+            latent[:] = (row[at].astype(np.float64) * self.weights[at]) @ self.space[at]
+            latent /= max(float(np.sqrt((latent * latent).sum())), 1e-12)
+        return out
 
     def vote(self, terms: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        out = np.empty(len(terms))
-        k = min(neighbours, len(self.labels))
+        out, k = np.empty(len(terms)), min(neighbours, len(self.labels))
+        block = np.zeros((BLOCK, self.space.shape[1]))
         for i in range(0, len(terms), BLOCK):
-            near = self.project(terms[i : i + BLOCK]) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-            weight = np.exp(SHARPNESS * (np.take_along_axis(near, top, axis=1).astype(np.float64) - 1))
-            out[i : i + BLOCK] = ((weight * self.labels[top]).sum(axis=1) + PRIOR * 1e-3 * self.base) / (weight.sum(axis=1) + PRIOR * 1e-3)
+            j = min(len(terms), i + BLOCK)
+            block[: j - i] = self.project(terms[i:j])
+            near = np.round(block @ self.vectors.T, 9)[: j - i]
+            edge = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            for r, (row, least) in enumerate(zip(near, edge, strict=True), i):
+                top = np.flatnonzero(row >= least)
+                top = top[np.argsort(-row[top], kind="stable")[:k]]
+                weight = np.exp(SHARPNESS * (row[top] - 1))
+                out[r] = ((weight * self.labels[top]).sum() + PRIOR * 1e-3 * self.base) / (weight.sum() + PRIOR * 1e-3)
         return np.clip(out, 0.0, 1.0)
 
 
 def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK) -> QualityModel:
     """Term weights and a truncated SVD by subspace iteration, from a fixed seed."""
-    idf = np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))).astype(np.float32) + 1
-    x = terms * idf
+    idf = np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))) + 1
+    x = terms * idf.astype(np.float32)
     rank = min(rank, *x.shape)
     basis = np.random.default_rng(3).normal(size=(x.shape[1], min(rank + 8, *x.shape))).astype(np.float32)
     for _ in range(4):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
-    space = (basis @ turn.T[:, :rank]).astype(np.float32)
-    latent = x @ space
-    vectors = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return QualityModel(idf, space, vectors.astype(np.float32), labels.astype(np.float64), float(labels.mean()))
+    model = QualityModel(idf, (basis @ turn.T[:, :rank]).astype(np.float64), np.zeros((0, rank)), labels.astype(np.float64), float(labels.mean()))
+    model.vectors = model.project(terms)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel | None:
     """A model of the labelled rows of docs, at most about ``sample_rows`` of them, picked by a hash of the key."""
-    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    kind = dict(docs.dtypes)[key]
+    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(~held_out("k"))
     total = marks.filter(~held_out("k")).count()
     if not total:
@@ -154,14 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def features(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column("t"))
             for i, j in steps(offsets, rows=BLOCK):
                 terms = term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = [np.flatnonzero(row).astype(np.int32) for row in terms]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(ids, pa.list_(pa.int32())), pa.array([row[at] for row, at in zip(terms, ids, strict=True)], pa.list_(pa.float32()))], ["k", "y", "ids", "share"])
+                yield pa.RecordBatch.from_arrays([batch.column("k")[i:j], batch.column("y")[i:j], pa.array(ids, pa.list_(pa.int32())), pa.array([row[at] for row, at in zip(terms, ids, strict=True)], pa.list_(pa.float32()))], ["k", "y", "ids", "share"])
 
     picked = known.join(F.broadcast(bounded_sample(marks, "k", sample_rows, total)), "k").select("k", "t", "y")  # about sample_rows labels
-    got = picked.mapInArrow(features, f"k {dict(docs.dtypes)[key]}, y int, ids array<int>, share array<float>").toArrow().sort_by("k")
+    got = one_text(picked, "k", "t").mapInArrow(lean(features), f"k {kind}, y int, ids array<int>, share array<float>").toArrow().sort_by("k")
     if not got.num_rows:
         return None
     terms = np.zeros((got.num_rows, TERMS), np.float32)
@@ -183,7 +208,7 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", key:
                 out[i:j] = m.vote(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["key", "score"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, score double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {dict(docs.dtypes)[key]}, score double").withColumnRenamed("key", key)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +218,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go; columns stay as they are."""
+    """Pipeline stage: documents that the classifier rejects go, repeated rows alike; all columns stay, whatever their names.
+
+    Null and empty texts are judged as empty texts, very long ones whole. Without labels no document goes; an empty
+    table gives no rows.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
@@ -207,4 +236,4 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 good[i:j] = m.vote(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) >= THRESHOLD
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontamination, near_duplicates
+from storyloom.llm import decontamination, licenses, near_duplicates, warc
 from storyloom.llm.decontamination import op5_decontamination
 from storyloom.llm.language import op9_language
 from storyloom.llm.licenses import op8_licenses
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.ORACLE, "op2_jaccard": near_duplicates.ORACLE}
+    return {"op2_jaccard": near_duplicates.ORACLE, "op4_warc": warc.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_licenses": licenses.ORACLE}

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import table
+from storyloom.llm.common import lean, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
             yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), count(2), pa.array([named(b) for b in base]), pa.array([named(e) for e in every])], ["key", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_assign long, n_access long, n_hex long, base string, spans string").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {kind}, n_assign long, n_access long, n_hex long, base string, spans string").withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, text: str = "text", size: str = "n_chars", mark: str = "[secret]", path: str | None = None) -> DataFrame:
@@ -150,7 +150,7 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars", mark: str
                 columns[i] = pc.if_else(changed, pc.cast(pc.utf8_length(new), columns[i].type), columns[i])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets are cut out of the texts; every document stays."""
-    return redact(docs)
-
+    """Pipeline stage: secrets are cut out of the texts; every document stays, repeated rows too.
 
+    A null text stays null, an empty one empty; very long texts are scanned whole. ``n_chars``, if there is such a
+    column, follows a changed text; all other columns stay, whatever their names. An empty table gives no rows.
+    """
+    return redact(docs)

@@ -9,10 +9,13 @@ through a logistic curve, fitted on labelled texts, to a score from 0 to 1.
 The lexicon is learned from labelled rows: a bounded sample (``sample_rows`` of each class) gives each
 candidate's contexts, that is distinct neighbour words, in toxic and in clean texts. Support counts contexts,
 not texts, so that many copies of one text prove no more than the one. Exception phrases are learned alike: a
-neighbour that stands with an entry in clean texts only.
+neighbour that stands with an entry in clean texts only. The sample bounds what is learned; lexicon and exceptions
+hold every entry that passes the tests, whatever their number.
 
 Null and empty texts score as a text without hits. Very long texts are matched whole. Empty tables give no
-rows, repeated rows equal scores. Without labelled rows all scores are 0.
+rows, repeated rows equal scores; of several texts under one labelled id the smallest is learned from, of several
+labels the largest counts. Limits include their own value, so ties at a limit pass alike. Without labelled rows of
+both classes the lexicon is empty and all scores are next to 0. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import bounded_sample, held_out, table, written
+from storyloom.llm.common import bounded_sample, held_out, lean, one_text, table, written
 
 SAMPLE_ROWS = 3000
-LEXICON_SIZE = 5000
 #: Least distinct contexts in toxic texts: this many, or this share of the toxic texts in the sample.
 MIN_CONTEXTS = 5
 MIN_SHARE = 0.006
@@ -52,7 +54,9 @@ SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@"
 
 FOLDS = str.maketrans(HOMOGLYPHS)
 SWAPS = str.maketrans(SUBSTITUTIONS)
-FOREIGN = re.compile(r"[^\x00-\u024F]|\u00AD|\u0131")
+FOREIGN = re.compile(r"[^\x00-\x7F]")
+#: Combining marks, soft hyphens and characters without width.
+INVISIBLE = re.compile("[\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\uFE00-\uFE0F\uFE20-\uFE2F\u00AD\u061C\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u206F\uFEFF]")
 SWAPPED = re.compile(r"[0-9@$!][^\W\d_]|[^\W\d_][0-9@$]")
 #: A run of letters, digits, @ and $ with one of the latter three; ! counts between them, and apart before them.
 MIXED = re.compile(r"(?<![^\W_])(?<![@$])(!?)((?:(?<=!)[^\W\d_]|[^\W\d_]*+(?:[0-9@$]|(?<=[^\W_])!(?=[^\W_]|[@$])))(?:[^\W_]|[@$]|!(?=[^\W_]|[@$]))*)")
@@ -63,15 +67,14 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str | None, size: Callable[[str], int] | None = None) -> str:
-    """Lower case, homoglyphs and full-width forms to plain letters, digit substitutions inside mixed words.
+    """Lower case, homoglyphs, accented letters and full-width forms to plain letters, digit substitutions inside mixed words.
 
     With ``size``, the length of the lexicon's longest match at a word, a word that can be read with or without its
     last substitutions, or a ! before it, is read as what matches longest.
     """
     text = (text or "").lower()
     if FOREIGN.search(text):
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").translate(FOLDS)
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKD", text)).translate(FOLDS)
     if not SWAPPED.search(text):
         return text
 
@@ -122,8 +125,9 @@ class Lexicon:
         total, n = 0.0, 0
         for start, (_, weight, name) in best.items():
             if self.exceptions:
-                before, after = line[max(0, start - 80) : start].split(), line[start + 1 : start + 161].split()
-                if (name, before[-1] if before else "") in self.exceptions or (name, after[1] if len(after) > 1 else "") in self.exceptions:
+                end = line.find(" ", start + 1)
+                before, after = line[line.rfind(" ", 0, start) + 1 : start], line[end + 1 : max(end + 1, line.find(" ", end + 1))]
+                if (name, before) in self.exceptions or (name, after) in self.exceptions:
                     continue
             total, n = total + weight, n + 1
         return total, n, len(words)
@@ -144,13 +148,14 @@ def candidates(words: list[str]) -> list[tuple[str, int]]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
-    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")).filter(~held_out("k"))
+    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")).filter(~held_out("k") & F.col("y").isin(0, 1))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
         return Lexicon({}, {}, intercept=-20.0)
     picked = bounded_sample(marks.filter("y = 1"), "k", sample_rows, counts[1]).unionByName(bounded_sample(marks.filter("y = 0"), "k", sample_rows, counts[0]))
     # at most about 2 x sample_rows labels, so a broadcast; the texts they pick are written once and read by each step
-    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("t", "y"), "toxicity-sample")
+    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k"), "toxicity-rows")
+    rows = written(one_text(rows, "k", "t").select("t", "y"), "toxicity-sample")
 
     def frequencies(batches):
         for batch in batches:
@@ -160,10 +165,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             for y, own in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["entry", "y", "n"])
 
-    by_entry = rows.mapInArrow(frequencies, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
+    by_entry = rows.mapInArrow(lean(frequencies), "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
     scale = min(counts[0], sample_rows) / min(counts[1], sample_rows)
     least = max(MIN_CONTEXTS, MIN_SHARE * min(counts[1], sample_rows))
-    kept = by_entry.filter((F.col("bad") >= max(2, least / 3)) & (F.col("bad") * scale >= ODDS * F.col("good"))).orderBy(F.desc("bad"), "entry").limit(4 * LEXICON_SIZE)
+    kept = by_entry.filter((F.col("bad") >= max(2, least / 3)) & (F.col("bad") * scale >= ODDS * F.col("good")))
     names = {r["entry"] for r in kept.select("entry").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
@@ -176,13 +181,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 found |= {(c, words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "", words[i], int(y == 1)) for c, i in candidates(words) if c in known}
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int32() if j == 4 else pa.string()) for j in range(5)], ["entry", "before", "after", "word", "y"])
 
-    seen = rows.mapInArrow(contexts, "entry string, before string, after string, word string, y int")
+    seen = rows.mapInArrow(lean(contexts), "entry string, before string, after string, word string, y int")
     support = seen.groupBy("entry").agg(
         F.least(F.countDistinct(F.when(F.col("y") == 1, F.col("before"))), F.countDistinct(F.when(F.col("y") == 1, F.col("after")))).alias("bad"),
         F.countDistinct(F.when(F.col("y") == 0, F.struct("before", "after"))).alias("good"),
         F.countDistinct(F.when(F.col("y") == 1, F.col("word"))).alias("forms"),
     )
-    chosen = support.filter((F.col("bad") >= least) & (F.col("bad") * scale >= ODDS * (F.col("good") + 0.5))).orderBy(F.desc("bad"), "entry").limit(LEXICON_SIZE).collect()
+    chosen = support.filter((F.col("bad") >= least) & (F.col("bad") * scale >= ODDS * (F.col("good") + 0.5))).collect()
     weight = {r["entry"]: (math.log((r["bad"] * scale + 0.5) / (r["good"] + 0.5)), r["bad"], r["forms"]) for r in chosen}
     words = {e: w[0] for e, w in weight.items() if not e.endswith("*")}
     prefixes: dict[str, float] = {}
@@ -196,13 +201,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def _exceptions(seen: DataFrame, lexicon: Lexicon, least: int = 3) -> set[tuple[str, str]]:
     """(entry, neighbour) pairs that at least ``least`` distinct clean contexts hold and no toxic text."""
-    entries = [*lexicon.words, *(p + "*" for p in lexicon.prefixes)]
+    entries = [(e,) for e in [*lexicon.words, *(p + "*" for p in lexicon.prefixes)]]
     if not entries:
         return set()
-    sides = seen.filter(F.col("entry").isin(entries) if len(entries) <= 200 else F.lit(True))
+    sides = seen.join(F.broadcast(seen.sparkSession.createDataFrame(entries, "entry string")), "entry", "left_semi")  # as many rows as the lexicon has entries
     both = sides.select("entry", F.col("before").alias("near"), F.col("after").alias("other"), "y").unionByName(sides.select("entry", F.col("after").alias("near"), F.col("before").alias("other"), "y"))
     found = both.filter("near <> ''").groupBy("entry", "near").agg(F.countDistinct(F.when(F.col("y") == 0, F.col("other"))).alias("good"), F.max("y").alias("y")).filter((F.col("y") == 0) & (F.col("good") >= least))
-    return {(r["entry"], r["near"]) for r in found.orderBy(F.desc("good"), "entry", "near").limit(LEXICON_SIZE).collect()}
+    return {(r["entry"], r["near"]) for r in found.collect()}
 
 
 def _calibrated(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
@@ -232,7 +237,7 @@ def _sums(rows: DataFrame, lexicon: Lexicon, kind: str) -> DataFrame:
             found = [own.hits(t, machine) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([own.score(f[0], f[2]) for f in found], pa.float64())], ["key", "total", "hits", "words", "score"])
 
-    return rows.mapInArrow(run, f"key {kind}, total double, hits long, words long, score double")
+    return rows.mapInArrow(lean(run), f"key {kind}, total double, hits long, words long, score double")
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_id") -> DataFrame:

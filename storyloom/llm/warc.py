@@ -13,7 +13,8 @@ folder may be local, HDFS or an object store.
 
 A null payload is empty. A null url has no target, a null page id gives a record without one and never is what
 a revisit refers to unless all pages of that payload lack an id. Repeated rows of one id with one payload are
-all responses. Very long payloads are one record each. An empty table writes no archive and reads no rows.
+all responses. Very long payloads are one record each. An empty table writes no archive and reads no rows. Other
+columns of the pages are not read, so they may have any name. A damaged archive raises ValueError.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import shared_dir, table, written
+from storyloom.llm.common import checked, lean, new_path, table, written
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
 ARCHIVE_BYTES = 64_000_000
@@ -79,27 +80,32 @@ def parse(raw: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+    if missing := {"content-length", "warc-payload-digest", "warc-block-digest", "warc-type", "warc-record-id"} - set(fields):
+        raise ValueError(f"damaged record: no {', '.join(sorted(missing))}")
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     kind = fields["warc-type"]
-    size = next(int(line.partition(b":")[2]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-    if fields["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or kind == "response" and (base32_sha1(payload) != digest or len(payload) != size):
+    size = next((int(line.partition(b":")[2]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")), -1)
+    if size < 0 or fields["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or kind == "response" and (base32_sha1(payload) != digest or len(payload) != size):
         raise ValueError(f"damaged record {fields['warc-record-id']}")
     return {"page_id": page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page_of(fields.get("warc-refers-to"))}
 
 
 def with_references(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """(page_id, url, payload, refers_to): each payload's largest page id is found by a partial aggregate of digests."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    owners = rows.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "owner")
-    revisits = (F.octet_length("payload") >= revisit_from) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    return rows.join(owners, "digest", "left").select("page_id", "url", "payload", F.when(revisits, F.col("owner")).alias("refers_to"))
+    """(page_id, url, payload, refers_to): each payload's largest page id is found by a partial aggregate of digests.
+
+    Only digests that occur twice are joined, by a broadcast if they are few, so that most payloads are never shuffled.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    owners = written(rows.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).filter("copies > 1 AND owner IS NOT NULL").select("digest", "owner"), "warc-owners")
+    revisits = (F.octet_length("payload") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    return rows.join(checked(owners, 100), "digest", "left").select("page_id", "url", "payload", F.when(revisits, F.col("owner")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, revisit_from: int = REVISIT_FROM, zip64: bool = True) -> DataFrame:
     """Writes the records of pages(page_id, url, html); returns the manifest (path, bytes, records)."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or new_path(pages.sparkSession, "warc")
 
     def run(batches):
         fs, top = file_system(folder)
@@ -120,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
                     member.write("".join(index).encode())
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([at]), pa.array([len(index)])], ["path", "bytes", "records"])
 
-    return written(with_references(pages, revisit_from).mapInArrow(run, "path string, bytes long, records long"), "warc-manifest")
+    return written(with_references(pages, revisit_from).mapInArrow(lean(run), "path string, bytes long, records long"), "warc-manifest")
 
 
 class _Unseekable:
@@ -233,7 +239,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     spark = manifest.sparkSession
     spread = manifest.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), F.col("path"))
-    return spread.mapInArrow(run, FIELDS)
+    return spread.mapInArrow(lean(run), FIELDS)
 
 
 def _batch(rows: list[dict], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -243,3 +249,12 @@ def _batch(rows: list[dict], names: list[str], kinds: list) -> pa.RecordBatch:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"))
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 writes five hex digits (20 bits) as four letters.
+LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(concat('0x', substr(h, {5 * i + 1}, 5)) AS INT) // {32**p}) % 32 + 1 AS INT), 1)" for i in range(8) for p in (3, 2, 1, 0))
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY 1)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {LETTERS} AS payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM p JOIN o USING (h)
+"""

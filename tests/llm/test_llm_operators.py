@@ -120,10 +120,10 @@ def test_jaccard_stage_takes_five_words_and_80_percent(spark):
     assert sorted((r["n_shingles"], r["component_id"]) for r in near_duplicates.join(df).collect()) == [(101, 0), (121, 1), (131, 2)]
 
 
-@pytest.mark.parametrize("block_bytes", [8_000_000, 300])
+@pytest.mark.parametrize("block_bytes", [8_000_000, 0])
 def test_decontamination_equals_brute_force(spark, docs, prose, block_bytes):
     texts = dict(prose)
-    items = [(1, " ".join((texts[1] or "").split()[:14])), (2, "one two"), (10, texts[124]), (3, None), (4, ""), (None, "one"), (5, "never seen words here at all")]
+    items = [(1, " ".join((texts[1] or "").split()[:14])), (2, "one two"), (10, texts[124]), (3, None), (4, ""), (None, "one"), (None, "one"), (10, texts[124]), (10, texts[7]), (5, "never seen words here at all")]
     windows = []
     for i, t in items:
         w = WORDS.findall(low(t))
@@ -151,7 +151,6 @@ def test_packing_round_trip_and_order(spark, docs, prose):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     rows = packing.packed(docs).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -202,7 +201,6 @@ def test_pretokens_of_odd_texts_match_the_tokenizer():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = ["", "  two  blanks \n\n x", "it's we'll 12a3", "naïve ½ x²", "日本語 text", "tab\tand nbsp", "<|endoftext|> y", "é combining", "\x1c sep \x85 nel", "a" * 5000]
     got = packing.Encoder(path, packing.vocabulary("byte_bpe_50k.tiktoken")).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
@@ -367,7 +365,7 @@ def test_toxicity_of_held_out_labels(spark, sf):
 
 
 def test_toxicity_folds_and_exceptions(spark):
-    assert toxicity.fold("1d1оt IDIOT ｉｄｉｏｔ ídiot 1999 3") == "idiot idiot idiot idiot 1999 3" or toxicity.fold("1d1оt") == "idiot"
+    assert toxicity.fold("1d1оt IDIOT ｉｄｉｏｔ \u00eddiot i\u0301diot i\u200bdiot i\u00addiot 1999 3") == "idiot " * 7 + "1999 3"
     lexicon = toxicity.Lexicon({"trash": 4.0}, {"idio": 4.0}, {("trash", "can")})
     machine = lexicon.machine()
     assert lexicon.hits("an 1d1оt, Idiocy", machine)[1] == 2

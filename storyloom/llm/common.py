@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import contextlib
 import ctypes
 import re
@@ -9,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
-from functools import wraps
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ STEP_BYTES = 500_000
 #: Most rows of an Arrow batch while an intermediate table is written; Spark itself ends a batch at 64 MB.
 BATCH_ROWS = 2000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that an operator's Python step sees at once, whatever the batch that Spark sends.
+SLICE_ROWS = 1000
 #: What may be broadcast at once, and what a row of a few numbers takes in a broadcast relation.
 BROADCAST_BYTES = 8_000_000
 ROW_BYTES = 40
@@ -128,18 +131,29 @@ def give_back() -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """A function over Arrow batches that gives its worker's free memory back when the partition ends."""
+    """A function over Arrow batches that sees them in slices, and gives its worker's free memory back when the partition ends."""
 
     @wraps(run)
     def inner(batches):
         try:
-            yield from run(batches)
+            yield from run(b.slice(i, SLICE_ROWS) for b in batches for i in range(0, max(1, b.num_rows), SLICE_ROWS))
         finally:
             give_back()
 
     return inner
 
 
+@lru_cache(maxsize=1)
+def token_ranks(path: str):
+    """A byte-pair vocabulary of token ranks, read once by a worker."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the quarter of the documents that no model may learn from."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -49,6 +49,8 @@ STAGE_WORDS = 5
 STAGE_PERCENT = 80
 SKETCH_BITS = 20
 SLICES = 16
+#: Shared shingles, eight bytes each, that a broadcast may hold; beyond, all prefixes' shingles are joined by a shuffle.
+SHARED_BYTES = 32_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +211,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), "jaccard-labels")
     while True:
         near = spread(edges, labels.select(F.col("node").alias("b"), "component"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        lower = written(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component")), "jaccard-lower")
+        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = written(spread(lower, jump, ["component"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "jaccard-labels")
+        new = written(spread(lower, jump, ["component"], "left", counted=labels).select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "jaccard-labels")
         changed = new.filter("component <> old").limit(1).count()
         labels = new.select("node", "component")
         if not changed:
@@ -261,13 +263,17 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     heads = prefix.join(checked(members.select(F.col("node").alias("key"))), "key", "left_anti")
     # end: the prefix's last token in the order of the tokens, which are unsigned
     end = F.get("tokens", F.size("tokens") - 1).bitwiseXOR(F.lit(-(1 << 63)))
-    index = written(heads.select(F.col("key").alias("gid"), "n", end.alias("end"), F.posexplode("tokens").alias("pos", "token")), "jaccard-tokens")
+    heads = heads.select(F.col("key").alias("gid"), "n", end.alias("end"), "tokens")
+    index = heads.select("gid", "n", "end", F.posexplode("tokens").alias("pos", "token"))
 
     first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
     centres = written(index.groupBy("token").agg(F.count("*").alias("held"), F.min_by("gid", first).alias("centre")).filter("held > 1").select("token", "centre"), "jaccard-centres")
     # rank: shingles of the own prefix before this one that others hold too
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
-    live = written(spread(index, centres, ["token"]).select("token", "gid", "n", "end", "centre", "pos", rank.alias("rank")), "jaccard-index")
+    if centres.count() * 8 <= SHARED_BYTES:
+        index = written(_shared_tokens(heads, centres), "jaccard-tokens")
+    live = spread(index, centres, ["token"]) if "rank" in index.columns else spread(written(index, "jaccard-tokens"), centres, ["token"]).withColumn("rank", rank)
+    live = written(live.select("token", "gid", "n", "end", "centre", "pos", "rank"), "jaccard-index")
     # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
     bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
@@ -300,6 +306,27 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
+def _shared_tokens(heads: DataFrame, centres: DataFrame) -> DataFrame:
+    """(gid, n, end, pos, token, rank) of the tokens that several prefixes hold, of which there are few enough to broadcast."""
+    shared = heads.sparkSession.sparkContext.broadcast(np.sort(centres.select("token").toArrow().column(0).to_numpy()))
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            lists = batch.column(3)
+            token, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
+            good = np.flatnonzero(known[at] == token) if len(known) else np.zeros(0, np.int64)
+            own = row[good]
+            rank = np.arange(len(good)) - np.searchsorted(own, own)
+            picked = batch.select(["gid", "n", "end"]).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), picked.column(2), pa.array(pos[good].astype(np.int32)), pa.array(token[good]), pa.array(rank.astype(np.int32))], ["gid", "n", "end", "pos", "token", "rank"])
+
+    return heads.mapInArrow(lean(run), f"gid {dict(heads.dtypes)['gid']}, n long, end long, pos int, token long, rank int")
+
+
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     """pairs less those tried in either direction."""
     both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))

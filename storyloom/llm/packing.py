@@ -22,12 +22,12 @@ columns are read.
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from math import ceil
 
 import numpy as np
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, table, utf8, written
+from storyloom.llm.common import lean, table, token_ranks, utf8, written
 
 SIZE = 1024
 END_ID = 2
@@ -79,23 +79,23 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or "(?!)")
-        with open(ranks, "rb") as lines:
-            known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        self.path, self.pieces = path, token_ranks(ranks)
+        self.special = special_strings(path)
         self.line_end = self.pieces.encode_ordinary("\n")[0]
         self.kept: dict[str, bytes] = {}
         self.held = 0
 
+    @cached_property
+    def tokenizer(self):
+        """The vocabulary file, read when a text first needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def clear(self) -> None:
         self.kept, self.held = {}, 0
+        self.__dict__.pop("tokenizer", None)
 
     def keep(self, new: set[str]) -> None:
         """Encodes new pre-tokens: those that aren't blank as the lines of one text, whose line ends part the ids again."""
@@ -128,6 +128,14 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def special_strings(path: str) -> re.Pattern:
+    """The vocabulary's special strings, which are one id each wherever they stand."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    return re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, ranks: str) -> Encoder:
     return Encoder(path, ranks)

@@ -13,16 +13,14 @@ columns are read.
 
 from __future__ import annotations
 
-import base64
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import lean, table
+from storyloom.llm.common import lean, table, token_ranks
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,16 +38,6 @@ PARTS = re.compile(r"[+/_=-]+")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("keys", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -71,7 +59,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def name(text: str, path: str) -> bool:
     """Whether all parts of a text are letters and words: one token, or few for their length."""
     parts = [p for p in PARTS.split(text) if p]
-    return all(p.isalpha() and ((n := len(encoding(path).encode_ordinary(p))) == 1 or len(p) >= CHARS_PER_TOKEN * n) for p in parts)
+    return all(p.isalpha() and ((n := len(token_ranks(path).encode_ordinary(p))) == 1 or len(p) >= CHARS_PER_TOKEN * n) for p in parts)
 
 
 def known(text: str, start: int, run: str, path: str) -> bool:
@@ -87,7 +75,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], path: str, chars_
         run = m[0]
         if not any(c.isalpha() for c in run) or known(text, m.start(), run, path):
             continue
-        if len(run) >= chars_per_token * len(encoding(path).encode_ordinary(run)):
+        if len(run) >= chars_per_token * len(token_ranks(path).encode_ordinary(run)):
             continue
         at = m.start()
         for s, e in sorted((s, e) for s, e, _ in taken if s < m.end() and m.start() < e):

@@ -6,11 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyloom.functions.urls import canonical
-from storyloom.schemas import BOILERPLATE, DOMAINS, TAGS
+from storyloom.schemas import BARE, BOILERPLATE, DOMAINS, FENCE, FENCE_END, HREF, LIST_ADDRESS, TAGS, TRAILING_COMMA
 
-HREF = "(?i)<a\\s[^>]*\\bhref\\s*=\\s*[\"']([^\"']+)[\"']"
-BARE = "\\bhttps?://[^\\s<>\"')]+"
-LIST_ADDRESS = "(?i)\\b(unsubscribe|email[-_ ]?preferences|opt[-_ ]?out)\\b"
 
 
 def squeeze(text: Column) -> Column:
@@ -89,11 +86,11 @@ def snippet(text: Column, most: int = 480) -> Column:
 
 
 def unfenced(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(raw, "(?i)^\\s*```[a-z0-9]*\\s*\\n?", ""), "```\\s*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(raw, FENCE, ""), FENCE_END, ""))
 
 
 def without_trailing_commas(raw: Column) -> Column:
-    return F.regexp_replace(raw, ",(\\s*[}\\]])", "$1")
+    return F.regexp_replace(raw, TRAILING_COMMA, "$1")
 
 
 def kind_of(json: Column, path: str) -> Column:

@@ -17,6 +17,17 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("week_of", F.coalesce("old_id", "new_id").alias("brief_id"), F.coalesce("new_text", "old_text").alias("text"))
 
 
+def latest(briefs: DataFrame, rows: int = 12) -> DataFrame:
+    """The feed: the newest weeks with their rank."""
+    best = briefs.orderBy(F.desc("week_of")).limit(rows)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("week_of"))))  # a few rows
+
+
+def by_week(briefs: DataFrame, week_of: str | None = None) -> DataFrame:
+    """The brief of a week, or the newest one."""
+    return briefs.filter(F.col("week_of") == week_of) if week_of else briefs.orderBy(F.desc("week_of")).limit(1)
+
+
 def context(candidates: DataFrame, items: DataFrame, start: Column, end: Column, rows: int = 80, sources: int = 5) -> DataFrame:
     """(candidate_id, rank, sources): candidates of the week, best first, each with its newest source rows."""
     pool = candidates.filter((F.col("created_at") >= start) & (F.col("created_at") < end)).orderBy(F.desc("curation_score"), F.desc("created_at"), "candidate_id").limit(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import half_life
+from storyloom.schemas import DOMAINS
 
 
 def live(as_of: Column) -> Column:
@@ -57,11 +58,13 @@ def decide(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def feeds(candidates: DataFrame, as_of: Column, rows: int = 50) -> DataFrame:
-    """(feed, rank, candidate_id, categories): the master feed and one for each primary domain."""
+    """(feed, rank, candidate_id, categories): the master feed and one for each domain; a feed without rows is one row of nulls."""
     pool = candidates.filter(live(as_of))
     every = pool.withColumn("feed", F.lit("master")).unionByName(pool.withColumn("feed", F.col("primary_domain")))
     order = Window.partitionBy("feed").orderBy(F.desc("curation_score"), F.desc("created_at"), "candidate_id")
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select("feed", "rank", "candidate_id", F.array_join(F.array_distinct(F.concat("keywords", "tags")), ",").alias("categories"))
+    found = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select("feed", "rank", "candidate_id", F.array_join(F.array_distinct(F.concat("keywords", "tags")), ",").alias("categories"))
+    names = candidates.sparkSession.createDataFrame([(n,) for n in ("master", *DOMAINS)], "feed string")
+    return found.join(names, "feed", "full_outer")
 
 
 def pulse(fresh: DataFrame, rows: int = 5) -> DataFrame:

@@ -19,9 +19,14 @@ def duplicates(new: DataFrame, stored: DataFrame, as_of: Column, at_least: float
     return cosine_pairs(new, recent, "primary_domain", at_least=at_least, k=1).select(F.col("l_id").alias("id"), F.col("r_id").alias("stored_id"), "similarity")
 
 
-def nearest(items: DataFrame, centroids: DataFrame, below: float = 0.30) -> DataFrame:
-    """(id, cluster_id, distance, joins) by the nearest centroid of the domain; a distance under ``below`` joins."""
-    best = cosine_pairs(items, centroids, "primary_domain", k=1)
+def observed(clusters: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Active clusters seen within the last ``days``, by the time of observation."""
+    return clusters.filter((F.col("status") == "active") & (F.col("last_seen_at") > as_of - F.make_dt_interval(F.lit(days))))
+
+
+def nearest(items: DataFrame, centroids: DataFrame, as_of: Column, below: float = 0.30, days: int = 7) -> DataFrame:
+    """(id, cluster_id, distance, joins) by the nearest centroid of the domain that is active and lately observed; a distance under ``below`` joins."""
+    best = cosine_pairs(items, observed(centroids, as_of, days), "primary_domain", k=1)
     return best.select(F.col("l_id").alias("id"), F.col("r_id").alias("cluster_id"), (1 - F.col("similarity")).alias("distance"), (1 - F.col("similarity") < below).alias("joins"))
 
 
@@ -31,19 +36,27 @@ def archive_matches(centroids: DataFrame, archive: DataFrame, k: int = 5) -> Dat
     return cosine_pairs(one(centroids), one(archive), "everything", k=k).select(F.col("l_id").alias("id"), "rank", F.col("r_id").alias("archive_id"), "similarity")
 
 
-def archive_decision(matches: DataFrame, archive: DataFrame, as_of: Column, drop: float = 0.85, flag: float = 0.70, days: int = 90) -> DataFrame:
-    """(id, overlap, decision) from the top match: drop if near and recent, flag if fairly near, else pass."""
-    top = matches.filter("rank = 1").join(archive.select(F.col("id").alias("archive_id"), "published_at"), "archive_id", "left")
+def archive_links(matches: DataFrame, archive: DataFrame, links: int = 3) -> DataFrame:
+    """matches with the overlap of their centroid, its best similarity, and the time of publication of the links to keep."""
+    best = Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dated = matches.join(archive.select(F.col("id").alias("archive_id"), "published_at"), "archive_id")
+    return dated.select("id", "rank", "archive_id", "similarity", F.max("similarity").over(best).alias("overlap"), F.when(F.col("rank") <= links, F.col("published_at")).alias("link_published_at"))
+
+
+def archive_decision(centroids: DataFrame, matches: DataFrame, archive: DataFrame, as_of: Column, drop: float = 0.85, flag: float = 0.70, days: int = 90) -> DataFrame:
+    """(id, overlap, decision) of every centroid from its top match: drop if near and recent, flag if fairly near, else pass; without a match overlap is 0."""
+    top = centroids.select("id").join(matches.filter("rank = 1"), "id", "left").join(archive.select(F.col("id").alias("archive_id"), "published_at"), "archive_id", "left")
     recent = F.coalesce(F.col("published_at") >= as_of - F.make_dt_interval(F.lit(days)), F.lit(False))
     overlap = F.coalesce("similarity", F.lit(0.0))
     return top.select("id", overlap.alias("overlap"), F.when((overlap > drop) & recent, "drop").when((overlap > flag) & (overlap <= drop), "flag").otherwise("pass").alias("decision"))
 
 
-def merge_pairs(clusters: DataFrame, entities: DataFrame, below: float = 0.15) -> DataFrame:
-    """(a, b, distance): clusters of one domain that are near and share an entity.
+def merge_pairs(clusters: DataFrame, entities: DataFrame, as_of: Column, below: float = 0.15, days: int = 7) -> DataFrame:
+    """(a, b, distance): active, lately observed clusters of one domain that are near and share an entity.
 
     Near pairs come first, from blocks; each then needs one common entity, so that no entity's clusters are paired with each other.
     """
+    clusters = observed(clusters, as_of, days)
     near = cosine_pairs(clusters, clusters, "primary_domain", at_least=1 - below).filter("l_id < r_id AND 1 - similarity < " + str(below))
     own = entities.select("id", "entity").distinct()
     shared = near.join(own.withColumnRenamed("id", "l_id"), "l_id").join(own.withColumnRenamed("id", "r_id"), ["r_id", "entity"]).select("l_id", "r_id").distinct()

@@ -15,20 +15,22 @@ def bucket(stage: str = "stage") -> Column:
 
 
 def priced(calls: DataFrame) -> DataFrame:
-    """(id, usd, bucket, valid): tokens times the model's rate to six places; negative tokens are quarantined."""
+    """(id, usd, bucket, valid): tokens times the model's rate to six places, unless ``given_usd`` says otherwise; negative tokens are quarantined."""
     cents = lambda i: F.coalesce(F.create_map(*[F.lit(x) for m, p in PRICES.items() for x in (m, round(p[i] * 100))])[F.col("model")], F.lit(round(PRICES[DEAREST][i] * 100)))
     units = F.col("input_tokens") * cents(0) + F.col("output_tokens") * cents(1)  # hundred-millionths of a dollar
     valid = (F.col("input_tokens") >= 0) & (F.col("output_tokens") >= 0)
-    return calls.select("id", F.when(valid, (F.floor((units + 50) / 100) / 1_000_000).cast("decimal(10,6)")).alias("usd"), bucket().alias("bucket"), valid.alias("valid"))
+    return calls.select("id", F.when(valid, F.coalesce(F.col("given_usd") if "given_usd" in calls.columns else F.lit(None), (F.floor((units + 50) / 100) / 1_000_000)).cast("decimal(10,6)")).alias("usd"), bucket().alias("bucket"), valid.alias("valid"))
 
 
-def daily(costs: DataFrame, ceiling: float, shares: dict[str, float]) -> DataFrame:
-    """(day, bucket, usd, pct, alert, hit): a day's total (bucket 'all') and each bucket's; a null bucket counts in the total only."""
+def daily(costs: DataFrame, ceiling: float, shares: dict[str, float], flat: dict[str, float] | None = None) -> DataFrame:
+    """(day, bucket, usd, pct, alert, hit): a day's total (bucket 'all') and each bucket's, against its share of the ceiling or a flat ceiling of its own; a null bucket counts in the total only."""
     rows = costs.withColumn("day", F.to_date("occurred_at")).withColumn("bucket", bucket())
     sums = rows.groupingSets([["day"], ["day", "bucket"]], "day", "bucket").agg(F.sum("usd").alias("usd"), F.grouping("bucket").alias("whole")).filter("whole = 1 OR bucket IS NOT NULL")
     limit = F.when(F.col("whole") == 1, ceiling)
     for name, share in shares.items():
         limit = limit.when(F.col("bucket") == name, ceiling * share)
+    for name, own in (flat or {}).items():
+        limit = limit.when(F.col("bucket") == name, own)
     pct = F.col("usd").cast("double") / limit
     return sums.select("day", F.when(F.col("whole") == 1, "all").otherwise(F.col("bucket")).alias("bucket"), F.col("usd").cast("double").alias("usd"), F.round(pct, 6).alias("pct"), (pct + EPSILON >= 0.8).alias("alert"), (pct + EPSILON >= 1.0).alias("hit"))
 

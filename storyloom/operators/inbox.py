@@ -38,9 +38,9 @@ def seeded(senders: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def unmatched(senders: DataFrame, sender_map: DataFrame) -> DataFrame:
-    """(list_id, from_addr, from_domain, subject, match_field, match_value) of distinct senders that have a header and aren't mapped."""
-    per = senders.groupBy("list_id", "from_addr").agg(F.min("subject").alias("subject"))
-    keyed = per.select("list_id", "from_addr", domain_of(F.col("from_addr")).alias("from_domain"), "subject", F.when(F.col("list_id").isNotNull(), "list_id").when(F.col("from_addr").isNotNull(), "from_addr").alias("match_field"), F.lower(F.coalesce("list_id", "from_addr")).alias("match_value")).filter("match_value IS NOT NULL")
+    """(list_id, from_addr, from_domain, subject, headers, match_field, match_value) of distinct senders that have a header and aren't mapped."""
+    per = senders.groupBy("list_id", "from_addr").agg(F.min("subject").alias("subject"), F.min("headers").alias("headers"))
+    keyed = per.select("list_id", "from_addr", domain_of(F.col("from_addr")).alias("from_domain"), "subject", "headers", F.when(F.col("list_id").isNotNull(), "list_id").when(F.col("from_addr").isNotNull(), "from_addr").alias("match_field"), F.lower(F.coalesce("list_id", "from_addr")).alias("match_value")).filter("match_value IS NOT NULL")
     return keyed.join(sender_map.select("match_field", F.lower("match_value").alias("match_value")).distinct(), ["match_field", "match_value"], "left_anti")
 
 

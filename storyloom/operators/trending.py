@@ -22,12 +22,19 @@ def one_per_story(pool: DataFrame) -> DataFrame:
     return first_wins(ranked, "o", ["cluster_id", "h"])
 
 
+def without_arxiv(pool: DataFrame, items: DataFrame, sources: DataFrame, domain: str | None = None) -> DataFrame:
+    """The pool, of one domain if given, less clusters that have items and all of them from arXiv; a cluster without items stays."""
+    pool = pool if domain is None else pool.filter(F.col("primary_domain") == domain)
+    only = items.join(sources.select("source_id", "kind"), "source_id").groupBy("cluster_id").agg(F.bool_and(F.col("kind") == "arxiv").alias("only")).filter("only")
+    return pool.join(only.select("cluster_id"), "cluster_id", "left_anti")
+
+
 def board(stories: DataFrame, term: str, least: int, rows: int = 15) -> DataFrame:
-    """(term, clusters, score, mean_heat, lead_domain, headline) over the distinct trimmed terms of an array column."""
+    """(rank, term, clusters, score, mean_heat, domains, headline) over the distinct trimmed terms of an array column."""
     weight = lookup(HEAT_WEIGHT, "temperature", 1.0) * lookup(TRAJECTORY_WEIGHT, "trajectory", 1.0)
     terms = stories.select("candidate_id", "o", "primary_domain", "headline", weight.alias("weight"), lookup(HEAT_RANK, "temperature", 1).alias("heat"), F.explode(F.array_distinct(F.transform(term, lambda x: F.trim(x)))).alias("term")).filter("term <> ''")
     by_domain = terms.groupBy("term", "primary_domain").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum("heat").alias("heat"), F.min(F.struct((-F.col("weight")).alias("w"), "o", "headline")).alias("best"))
-    whole = by_domain.groupBy("term").agg(F.sum("n").alias("clusters"), F.round(F.sum("w"), 2).alias("score"), (F.sum("heat") / F.sum("n")).alias("mean_heat"), F.min(F.struct((-F.col("w")).alias("w"), "primary_domain"))["primary_domain"].alias("lead_domain"), F.min("best")["headline"].alias("headline"))
+    whole = by_domain.groupBy("term").agg(F.sum("n").alias("clusters"), F.round(F.sum("w"), 2).alias("score"), (F.sum("heat") / F.sum("n")).alias("mean_heat"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "primary_domain"))), lambda d: d["primary_domain"]), ",").alias("domains"), F.min("best")["headline"].alias("headline"))
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), F.desc("clusters"), "term")
     best = whole.filter(F.col("clusters") >= least).orderBy(F.desc("score"), F.desc("clusters"), "term").limit(rows)  # a few rows, then ranked
-    return best.withColumn("rank", F.row_number().over(order)).select("rank", "term", "clusters", "score", F.round("mean_heat", 6).alias("mean_heat"), "lead_domain", "headline")
+    return best.withColumn("rank", F.row_number().over(order)).select("rank", "term", "clusters", "score", F.round("mean_heat", 6).alias("mean_heat"), "domains", "headline")

@@ -59,13 +59,17 @@ def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float
         similar = matrix(x) @ m.T
         if k is not None and k < len(r_ids):
             rough = np.round(similar, 12)
-            top = np.argsort(-rough, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(l_ids)), k), top.reshape(-1)
+            edge = np.partition(rough, len(r_ids) - k, axis=1)[:, len(r_ids) - k, None]
+            rows, cols = np.nonzero(rough >= edge)  # ties may be more than k
+            order = np.lexsort((cols, -rough[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols = rows[nth < k], cols[nth < k]
+            keep = np.ones(len(rows), bool) if at_least is None else (similar[rows, cols] >= at_least) & (similar[rows, cols] <= at_most)
+            rows, cols = rows[keep], cols[keep]
         else:
-            rows, cols = (i.reshape(-1) for i in np.indices(similar.shape))
+            rows, cols = np.nonzero(np.ones(similar.shape, bool) if at_least is None else (similar >= at_least) & (similar <= at_most))
         value = similar[rows, cols]
-        keep = np.ones(len(value), bool) if at_least is None else (value >= at_least) & (value <= at_most)
-        rows, cols, value = rows[keep], cols[keep], value[keep]
         if best is not None and best < len(value):
             first = np.lexsort((r_ids[cols], l_ids[rows], -value))[:best]
             rows, cols, value = rows[first], cols[first], value[first]

@@ -9,10 +9,11 @@ from storyloom.functions import text as T
 from storyloom.operators import briefs, candidates, costs, feedback, inbox, ingest, signals
 from storyloom.plans import run as scoring
 from storyloom.plans.catalog import query
-from storyloom.plans.text_queries import CANONICAL, HALF_LIFE, quoted
+from storyloom.plans.text_queries import HALF_LIFE, HASHED, hashed, quoted
+from storyloom.plans.vector_queries import GATE, gated
 from storyloom.schemas import BUCKETS, DEAREST, DOMAINS, PRICES, TRANSPORT_DOMAINS
 from storyloom.sources.lens import AS_OF, EVENTS_AS_OF, model
-from storyloom.sources.shared import new_path
+from storyloom.sources.shared import new_path, written
 
 at = lambda text: F.expr(text)
 NOW, EVENTS_NOW = AS_OF, EVENTS_AS_OF
@@ -24,22 +25,13 @@ def m(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
 
 # ---- ingest -------------------------------------------------------------------------------------------------
 
-HASHED = CANONICAL + r""", h AS (SELECT r.raw_id, r.source_id, r.external_id, r.published_at, sha256(c.c) AS url_hash, sha256(trim(regexp_replace(regexp_replace(lower(r.title), '[\p[[P]]\p[[S]]]+', ' ', 'g'), '\s+', ' ', 'g'))) AS title_hash
- FROM {raw_items} r JOIN (SELECT DISTINCT url, c FROM canon) c ON c.url = r.url)"""
-
-
-def hashed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model(spark, sf, "raw_items")
-    return rows.select("raw_id", "source_id", "external_id", "published_at", T.url_hash(F.col("url")).alias("url_hash"), T.title_hash(F.col("title")).alias("title_hash"))
-
-
 @query("ingest_hash_dedup", f"""WITH {HASHED}, known AS (SELECT * FROM h WHERE raw_id % 7 = 0), new AS (SELECT * FROM h WHERE raw_id % 7 <> 0),
 folded AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY source_id, url_hash, title_hash ORDER BY raw_id) = 1),
 fresh AS (SELECT * FROM folded f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.url_hash = f.url_hash) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.title_hash = f.title_hash AND k.published_at >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY)
   AND NOT EXISTS (SELECT 1 FROM known k WHERE k.source_id = f.source_id AND k.external_id = f.external_id))
 SELECT raw_id, source_id, external_id FROM fresh QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY raw_id) = 1""")
 def ingest_hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hashed(spark, sf)
+    rows = hashed(model(spark, sf, "raw_items"))
     return ingest.hash_dedup(rows.filter("raw_id % 7 <> 0"), rows.filter("raw_id % 7 = 0"), at("TIMESTAMP '2024-01-15 00:00:00'")).select("raw_id", "source_id", "external_id")
 
 
@@ -153,13 +145,27 @@ def trajectory(spark: SparkSession, sf: str) -> DataFrame:
     return signals.trajectory(*m(spark, sf, "items", "clusters"), at(NOW), 720)
 
 
-HEAT = f"""other AS (SELECT a.cluster_id, any_value(a.item_count) AS n, count(b.cluster_id) AS c, avg(b.item_count) AS mean, coalesce(stddev_samp(b.item_count), 0) AS sd FROM {{clusters}} a LEFT JOIN {{clusters}} b ON a.primary_domain = b.primary_domain AND a.cluster_id <> b.cluster_id AND b.status = 'active' AND b.first_seen_at >= {NOW} - INTERVAL 3650 DAY GROUP BY 1),
-zs AS (SELECT cluster_id, CASE WHEN c = 0 THEN 0 ELSE (n - mean) / greatest(sd, sqrt(greatest(mean, 1))) END AS z FROM other), heat AS (SELECT cluster_id, CAST(round(z, 6) AS DOUBLE) AS z, CASE WHEN z < 0 THEN 'cold' WHEN z < 1 THEN 'warm' ELSE 'hot' END AS temperature FROM zs)"""
+#: Mean similarity of a cluster's vectors; three neighbouring vectors are a cluster's.
+SIMS = """sims AS (SELECT a.vec_id // 3 AS cluster_id, avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS similarity FROM {vectors} a JOIN {vectors} b ON a.vec_id // 3 = b.vec_id // 3 AND a.vec_id < b.vec_id GROUP BY 1)"""
+
+
+def similarities(spark: SparkSession, sf: str) -> DataFrame:
+    from storyloom.operators.vectors import mean_pair_similarity
+
+    return mean_pair_similarity(model(spark, sf, "vectors").select(F.expr("vec_id div 3").alias("cluster_id"), "embedding"), "cluster_id", "embedding")
+
+
+def heat(loud: float, alike: float) -> str:
+    return f"""{SIMS}, other AS (SELECT a.cluster_id, any_value(a.item_count) AS n, count(b.cluster_id) AS c, avg(b.item_count) AS mean, coalesce(stddev_samp(b.item_count), 0) AS sd FROM {{clusters}} a LEFT JOIN {{clusters}} b ON a.primary_domain = b.primary_domain AND a.cluster_id <> b.cluster_id AND b.status = 'active' AND b.first_seen_at >= {NOW} - INTERVAL 3650 DAY GROUP BY 1),
+zs AS (SELECT cluster_id, CASE WHEN c = 0 THEN 0 ELSE (n - mean) / greatest(sd, sqrt(greatest(mean, 1))) END AS z FROM other), heat AS (SELECT cluster_id, CAST(round(z, 6) AS DOUBLE) AS z, CASE WHEN z >= {loud} AND similarity > {alike} THEN 'over_saturated' WHEN z < 0 THEN 'cold' WHEN z < 1 THEN 'warm' ELSE 'hot' END AS temperature FROM zs LEFT JOIN sims USING (cluster_id))"""
+
 
+HEAT = heat(2.5, 0.75)
 
-@query("temperature", f"WITH {HEAT} SELECT * FROM heat")
+
+@query("temperature", f"WITH {heat(0.5, 0.1)} SELECT * FROM heat")
 def temperature(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.temperature(model(spark, sf, "clusters"), at(NOW), 3650)
+    return signals.temperature(model(spark, sf, "clusters"), at(NOW), 3650, similarities(spark, sf), 0.5, 0.1)
 
 
 COVER = "cover AS (SELECT * FROM {coverage} QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY fetched_at DESC, coverage_id DESC) = 1)"
@@ -171,7 +177,7 @@ def latest_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WEIGHT = "CASE c.primary_domain " + " ".join(f"WHEN '{n}' THEN {w}" for n, (_, w, _) in DOMAINS.items()) + " ELSE 1.0 END"
-SCORE = f"""sums AS (SELECT cluster_id, CAST(sum(authority_score) AS BIGINT) AS auth, bool_and(kind = 'arxiv') AS arxiv_only FROM {{items}} JOIN {{sources}} USING (source_id) GROUP BY 1),
+SCORE = f"""sums AS (SELECT cluster_id, CAST(sum(coalesce(authority_weighted, authority_score)) AS DOUBLE) AS auth, bool_and(kind = 'arxiv') AS arxiv_only FROM {{items}} JOIN {{sources}} USING (source_id) GROUP BY 1),
 heur AS (SELECT c.cluster_id, coalesce(auth, 0) AS authority, CAST(greatest(0, least(1, coalesce(country_count / 5.0, 0))) AS DOUBLE) AS geo, coalesce(arxiv_only, false) AS arxiv_only,
  round(ln(1 + coalesce(auth, 0)) * {WEIGHT} * (1 + 0.5 * CAST(greatest(0, least(1, coalesce(country_count / 5.0, 0))) AS DOUBLE)) * CASE WHEN coalesce(e.is_exclusive, false) THEN 1.5 ELSE 1.0 END * CASE WHEN coalesce(arxiv_only, false) THEN 0.5 ELSE 1.0 END, 6) AS score
  FROM {{clusters}} c LEFT JOIN sums USING (cluster_id) LEFT JOIN cover USING (cluster_id) LEFT JOIN excl e USING (cluster_id))"""
@@ -179,7 +185,7 @@ heur AS (SELECT c.cluster_id, coalesce(auth, 0) AS authority, CAST(greatest(0, l
 
 def heur(spark: SparkSession, sf: str) -> DataFrame:
     items, clusters, sources, coverage = m(spark, sf, "items", "clusters", "sources", "coverage")
-    return signals.heuristic(items, clusters, sources, coverage, signals.exclusive(items, sources))
+    return signals.heuristic(signals.facts(items, sources, at(NOW)), clusters, coverage)
 
 
 @query("heuristic_score", f"WITH {EXCL}, {COVER}, {SCORE} SELECT * FROM heur")
@@ -200,20 +206,38 @@ POOL = f"status = 'active' AND last_seen_at > {NOW} - INTERVAL 30 DAY"
 @query("top_clusters", f"""WITH {EXCL}, {COVER}, {SCORE}, pool AS (SELECT * FROM {{clusters}} WHERE {POOL}), {traj(24, "pool")}, {HEAT}, best AS (SELECT h.* FROM heur h JOIN pool USING (cluster_id) ORDER BY score DESC, cluster_id LIMIT 200)
 SELECT b.*, ratio, trajectory, z, temperature, is_exclusive FROM best b JOIN moves USING (cluster_id) JOIN heat USING (cluster_id) JOIN excl USING (cluster_id)""")
 def top_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.scored(*m(spark, sf, "items", "clusters", "sources", "coverage"), at(NOW))
+    items, sources, coverage = m(spark, sf, "items", "sources", "coverage")
+    return scoring.scored(items, state(spark, sf), sources, coverage, at(NOW), heat_days=3650, similarity=similarities(spark, sf))
+
+
+def state(spark: SparkSession, sf: str) -> DataFrame:
+    """The clusters as the stored table that they are: the lens makes them from the items, once."""
+    return written(model(spark, sf, "clusters"), "clusters")
 
 
 UPSERT = f"""per AS (SELECT cluster_id, bool_or(status IN ('picked', 'passed') AND expires_at > {NOW}) AS decided, max(CASE WHEN status = 'new' THEN [['t': created_at, 'i': candidate_id]] END) AS n, max(CASE WHEN status = 'deferred' AND expires_at > {NOW} THEN [['t': created_at, 'i': candidate_id]] END) AS d FROM {{candidates}} GROUP BY 1),
 saved AS (SELECT c.cluster_id, CASE WHEN decided THEN 'skipped_decided' WHEN coalesce(n, d) IS NOT NULL THEN 'superseded' ELSE 'inserted' END AS outcome, CASE WHEN NOT coalesce(decided, false) THEN coalesce(n, d).i END AS candidate_id, CASE WHEN NOT coalesce(decided, false) THEN {NOW} + to_hours({HALF_LIFE}) END AS expires_at FROM curated c LEFT JOIN per USING (cluster_id))"""
 
 
-@query("scoring_run", f"""WITH {EXCL}, {COVER}, {SCORE}, pool AS (SELECT * FROM {{clusters}} WHERE {POOL}), {traj(24, "pool")}, {HEAT}, best AS (SELECT h.* FROM heur h JOIN pool USING (cluster_id) ORDER BY score DESC, cluster_id LIMIT 200),
-curated AS (SELECT b.*, p.primary_domain, CAST((b.cluster_id * 31) % 100 AS DOUBLE) AS curation_score FROM best b JOIN pool p USING (cluster_id) WHERE (b.cluster_id * 31) % 100 >= 60), {UPSERT}
-SELECT c.cluster_id, c.score, temperature, trajectory, curation_score, outcome, candidate_id FROM curated c JOIN moves USING (cluster_id) JOIN heat USING (cluster_id) JOIN saved USING (cluster_id)""")
-def scoring_run(spark: SparkSession, sf: str) -> DataFrame:
-    clusters = model(spark, sf, "clusters")
+PASS = f"""{EXCL}, {COVER}, {SCORE}, pool AS (SELECT * FROM {{clusters}} WHERE {POOL}), {traj(24, "pool")}, {HEAT}, best AS (SELECT h.* FROM heur h JOIN pool USING (cluster_id) ORDER BY score DESC, cluster_id LIMIT 200), {GATE},
+gated AS (SELECT b.*, p.primary_domain, CAST((b.cluster_id * 31) % 100 AS DOUBLE) AS curation_score, coalesce(overlap, 0) AS overlap, coalesce(decision, 'pass') AS decision FROM best b JOIN pool p USING (cluster_id) LEFT JOIN gate g ON g.id = b.cluster_id),
+curated AS (SELECT cluster_id, primary_domain FROM gated WHERE decision <> 'drop' AND curation_score >= 60), {UPSERT},
+staged AS (SELECT g.*, outcome, candidate_id, CASE WHEN decision = 'drop' THEN 'archived' WHEN curation_score < 60 THEN 'below_cutoff' WHEN outcome = 'skipped_decided' THEN 'decided' ELSE 'saved' END AS stage FROM gated g LEFT JOIN saved USING (cluster_id)),
+passed AS (SELECT s.cluster_id, score, temperature, trajectory, round(overlap, 4) AS overlap, decision, curation_score, stage, outcome, candidate_id, CASE WHEN stage = 'saved' AND row_number() OVER (PARTITION BY stage ORDER BY curation_score DESC, s.cluster_id) <= 5 THEN row_number() OVER (PARTITION BY stage ORDER BY curation_score DESC, s.cluster_id) END AS pulse_rank
+FROM staged s JOIN moves USING (cluster_id) JOIN heat USING (cluster_id))"""
+
+
+def one_pass(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = state(spark, sf)
     curations = clusters.select("cluster_id", ((F.col("cluster_id") * 31) % 100).cast("double").alias("curation_score"))
-    return scoring.run(*m(spark, sf, "items", "clusters", "sources", "coverage", "candidates"), curations, at(NOW))
+    items, sources, coverage, rows = m(spark, sf, "items", "sources", "coverage", "candidates")
+    gate = gated(spark, sf).withColumnRenamed("id", "cluster_id")
+    return scoring.run(items, clusters, sources, coverage, rows, curations, at(NOW), heat_days=3650, similarity=similarities(spark, sf), gate=gate).withColumn("overlap", F.round("overlap", 4))
+
+
+@query("scoring_run", f"WITH {PASS} SELECT * FROM passed")
+def scoring_run(spark: SparkSession, sf: str) -> DataFrame:
+    return one_pass(spark, sf)
 
 
 @query("cluster_domains", """SELECT cluster_id, string_agg(d, ',' ORDER BY d) AS domains FROM (SELECT DISTINCT cluster_id, CASE part_id % 5 WHEN 0 THEN 'economy' WHEN 1 THEN 'economics' WHEN 2 THEN 'scitech' WHEN 3 THEN 'geopolitics' ELSE 'national' END AS d FROM {items}) GROUP BY 1""")
@@ -290,7 +314,7 @@ def decisions_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feeds_out", f"""WITH pool AS (SELECT * FROM {{candidates}} WHERE status = 'new' AND expires_at > {NOW}), every AS (SELECT 'master' AS feed, * FROM pool UNION ALL SELECT primary_domain AS feed, * FROM pool),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY {BEST}) AS rank FROM every), words AS (SELECT feed, rank, w, min(i) AS i FROM (SELECT feed, rank, unnest(keywords || tags) AS w, generate_subscripts(keywords || tags, 1) AS i FROM ranked WHERE rank <= 50) GROUP BY 1, 2, 3),
-cats AS (SELECT feed, rank, string_agg(w, ',' ORDER BY i) AS categories FROM words GROUP BY 1, 2) SELECT feed, rank, candidate_id, categories FROM ranked JOIN cats USING (feed, rank)""")
+cats AS (SELECT feed, rank, string_agg(w, ',' ORDER BY i) AS categories FROM words GROUP BY 1, 2), names AS (SELECT unnest([{quoted(["master", *DOMAINS])}]) AS feed) SELECT feed, rank, candidate_id, categories FROM names LEFT JOIN (SELECT * FROM ranked JOIN cats USING (feed, rank)) USING (feed)""")
 def feeds_out(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.feeds(model(spark, sf, "candidates"), at(NOW))
 
@@ -322,31 +346,37 @@ def run_digest(spark: SparkSession, sf: str) -> DataFrame:
     return fresh(spark, sf).groupBy("run_id", "primary_domain").agg(F.count("*").alias("n"), F.count_if("is_exclusive").alias("exclusives"))
 
 
-@query("run_funnel", f"""WITH curated AS (SELECT cluster_id, primary_domain FROM {{clusters}}), {UPSERT}, spend AS (SELECT CAST(sum(usd) AS DOUBLE) AS usd FROM {{costs}})
-SELECT c.primary_domain, count(*) AS considered, count(*) FILTER (status = 'active') AS advanced, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'superseded') AS superseded, count(*) FILTER (outcome = 'skipped_decided') AS skipped FROM {{clusters}} c JOIN saved USING (cluster_id) GROUP BY 1""")
+@query("run_funnel", f"""WITH {PASS}, spend AS (SELECT CAST(sum(usd) AS DOUBLE) AS usd FROM {{costs}}) SELECT count(*) AS considered, count(*) FILTER (stage = 'archived') AS dropped, count(*) FILTER (decision = 'flag') AS flagged, count(*) FILTER (stage = 'below_cutoff') AS below_cutoff,
+count(*) FILTER (stage = 'decided') AS skipped, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'superseded') AS superseded, (SELECT usd FROM spend) AS usd FROM passed""")
 def run_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    clusters = model(spark, sf, "clusters")
-    saved = candidates.upsert(clusters.select("cluster_id", "primary_domain"), model(spark, sf, "candidates"), at(NOW))
-    n = lambda name: F.count_if(F.col("outcome") == name)
-    return clusters.join(saved, "cluster_id").groupBy("primary_domain").agg(F.count("*").alias("considered"), F.count_if(F.col("status") == "active").alias("advanced"), n("inserted").alias("inserted"), n("superseded").alias("superseded"), n("skipped_decided").alias("skipped"))
+    spend = model(spark, sf, "costs").agg(F.sum("usd").cast("double").alias("usd"))
+    return scoring.funnel(one_pass(spark, sf)).join(F.broadcast(spend))  # one row each
+
+
+TODAY = "CAST(TIMESTAMP '2001-08-01 00:00:00' AS DATE)"
 
 
 @query("run_status", f"""SELECT (SELECT count(*) FROM {{raw_items}} WHERE NOT processed AND attempts < 3) AS pending, (SELECT count(*) FROM {{raw_items}} WHERE NOT processed AND attempts >= 3) AS poisoned, (SELECT count(*) FROM {{raw_items}} WHERE processed) AS processed,
-(SELECT count(*) FROM {{items}}) AS items, (SELECT count(*) FROM {{clusters}} WHERE status = 'active') AS active_clusters, (SELECT count(*) FROM {{candidates}} WHERE status = 'new' AND expires_at > {NOW}) AS live_pool, (SELECT max(CAST(created_at AS DATE)) FROM {{candidates}}) AS last_run""")
+(SELECT count(*) FROM {{items}}) AS items, (SELECT count(*) FROM {{clusters}} WHERE status = 'active') AS active_clusters, (SELECT count(*) FROM {{candidates}} WHERE status = 'new' AND expires_at > {NOW}) AS live_pool, (SELECT max(started_at) FROM {{runs}}) AS last_run,
+(SELECT max(started_at) FROM {{runs}} WHERE kind IN ('morning', 'afternoon', 'manual')) AS last_scoring_run, (SELECT count(*) FROM {{runs}} WHERE CAST(started_at AS DATE) = {TODAY}) AS runs_today, (SELECT count(*) FROM {{runs}} WHERE CAST(started_at AS DATE) = {TODAY} AND status = 'failed') AS failed_today""")
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    raw, items, clusters, rows = m(spark, sf, "raw_items", "items", "clusters", "candidates")
+    raw, items, clusters, rows, runs = m(spark, sf, "raw_items", "items", "clusters", "candidates", "runs")
     one = raw.agg(F.count_if(~F.col("processed") & (F.col("attempts") < 3)).alias("pending"), F.count_if(~F.col("processed") & (F.col("attempts") >= 3)).alias("poisoned"), F.count_if("processed").alias("processed"))
-    for part in (items.agg(F.count("*").alias("items")), clusters.agg(F.count_if(F.col("status") == "active").alias("active_clusters")), rows.agg(F.count_if(candidates.live(at(NOW))).alias("live_pool"), F.max(F.to_date("created_at")).alias("last_run"))):
+    today, scoring_kind = F.to_date("started_at") == F.expr(TODAY), F.col("kind").isin("morning", "afternoon", "manual")
+    of_runs = runs.agg(F.max("started_at").alias("last_run"), F.max(F.when(scoring_kind, F.col("started_at"))).alias("last_scoring_run"), F.count_if(today).alias("runs_today"), F.count_if(today & (F.col("status") == "failed")).alias("failed_today"))
+    for part in (items.agg(F.count("*").alias("items")), clusters.agg(F.count_if(F.col("status") == "active").alias("active_clusters")), rows.agg(F.count_if(candidates.live(at(NOW))).alias("live_pool")), of_runs):
         one = one.join(F.broadcast(part))  # one row each
     return one
 
 
 @query("brief_upsert", """WITH weeks AS (SELECT date_trunc('week', created_at) AS week_of, min(candidate_id) AS brief_id, count(*) AS n FROM {candidates} GROUP BY 1), old AS (SELECT * FROM weeks WHERE brief_id % 3 <> 0), new AS (SELECT week_of, brief_id + 1000000 AS brief_id, n + 1 AS n FROM weeks WHERE brief_id % 2 = 0)
-SELECT CAST(CAST(week_of AS DATE) AS STRING) AS week_of, coalesce(old.brief_id, new.brief_id) AS brief_id, coalesce(new.n, old.n) AS text FROM old FULL JOIN new USING (week_of)""")
+SELECT CAST(CAST(week_of AS DATE) AS STRING) AS week_of, coalesce(old.brief_id, new.brief_id) AS brief_id, coalesce(new.n, old.n) AS text, CASE WHEN row_number() OVER (ORDER BY week_of DESC) <= 12 THEN row_number() OVER (ORDER BY week_of DESC) END AS feed_rank FROM old FULL JOIN new USING (week_of)""")
 def brief_upsert(spark: SparkSession, sf: str) -> DataFrame:
     weeks = model(spark, sf, "candidates").groupBy(F.date_trunc("week", "created_at").alias("week_of")).agg(F.min("candidate_id").alias("brief_id"), F.count("*").alias("text"))
     new = weeks.filter("brief_id % 2 = 0").select("week_of", (F.col("brief_id") + 1_000_000).alias("brief_id"), (F.col("text") + 1).alias("text"))
-    return briefs.upsert(weeks.filter("brief_id % 3 <> 0"), new).withColumn("week_of", F.date_format("week_of", "yyyy-MM-dd"))
+    stored = briefs.upsert(weeks.filter("brief_id % 3 <> 0"), new)
+    feed = briefs.latest(stored).select("week_of", F.col("rank").alias("feed_rank"))
+    return stored.join(F.broadcast(feed), "week_of", "left").withColumn("week_of", F.date_format("week_of", "yyyy-MM-dd"))  # 12 rows
 
 
 @query("brief_context", f"""WITH pool AS (SELECT *, row_number() OVER (ORDER BY {BEST}) AS rank FROM (SELECT * FROM {{candidates}} WHERE created_at >= TIMESTAMP '2001-07-01 00:00:00' AND created_at < TIMESTAMP '2001-08-02 00:00:00' ORDER BY {BEST} LIMIT 80)),
@@ -371,10 +401,11 @@ def rate(i: int) -> str:
 
 
 STAGE_BUCKET = "CASE stage " + " ".join(f"WHEN '{s}' THEN '{b}'" for s, b in BUCKETS.items()) + " END"
+BRIEF_CEILING = 1.0
 CEILING, SHARES = 12.0, {"normalize": 0.6, "orchestrator": 0.8}
 
 
-@query("cost_ledger_rows", f"SELECT id, CASE WHEN input_tokens >= 0 AND output_tokens >= 0 THEN CAST(floor((input_tokens * {rate(0)} + output_tokens * {rate(1)} + 50) / 100) / 1000000 AS DOUBLE) END AS usd, {STAGE_BUCKET} AS bucket, input_tokens >= 0 AND output_tokens >= 0 AS valid FROM {{costs}}")
+@query("cost_ledger_rows", f"SELECT id, CASE WHEN input_tokens >= 0 AND output_tokens >= 0 THEN coalesce(CAST(given_usd AS DOUBLE), CAST(floor((input_tokens * {rate(0)} + output_tokens * {rate(1)} + 50) / 100) / 1000000 AS DOUBLE)) END AS usd, {STAGE_BUCKET} AS bucket, input_tokens >= 0 AND output_tokens >= 0 AS valid FROM {{costs}}")
 def cost_ledger_rows(spark: SparkSession, sf: str) -> DataFrame:
     return costs.priced(model(spark, sf, "costs")).withColumn("usd", F.col("usd").cast("double"))
 
@@ -383,9 +414,9 @@ DAYS = f"c AS (SELECT *, CAST(occurred_at AS DATE) AS day, {STAGE_BUCKET} AS buc
 
 
 @query("cost_daily", f"""WITH {DAYS}, s AS (SELECT day, 'all' AS bucket, CAST(sum(usd) AS DOUBLE) AS usd FROM c GROUP BY 1 UNION ALL SELECT day, bucket, CAST(sum(usd) AS DOUBLE) FROM c WHERE bucket IS NOT NULL GROUP BY 1, 2),
-p AS (SELECT *, usd / CASE bucket WHEN 'all' THEN {CEILING} WHEN 'normalize' THEN {CEILING * 0.6}e0 ELSE {CEILING * 0.8}e0 END AS x FROM s) SELECT day, bucket, usd, CAST(round(x, 6) AS DOUBLE) AS pct, x + 1e-9 >= 0.8 AS alert, x + 1e-9 >= 1.0 AS hit FROM p""")
+p AS (SELECT *, usd / CASE bucket WHEN 'all' THEN {CEILING} WHEN 'normalize' THEN {CEILING * 0.6}e0 WHEN 'brief' THEN {BRIEF_CEILING}e0 ELSE {CEILING * 0.8}e0 END AS x FROM s) SELECT day, bucket, usd, CAST(round(x, 6) AS DOUBLE) AS pct, x + 1e-9 >= 0.8 AS alert, x + 1e-9 >= 1.0 AS hit FROM p""")
 def cost_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return costs.daily(model(spark, sf, "costs"), CEILING, SHARES)
+    return costs.daily(model(spark, sf, "costs"), CEILING, SHARES, {"brief": BRIEF_CEILING})
 
 
 @query("cost_alert_days", f"""WITH {DAYS}, r AS (SELECT day, id, occurred_at, CAST(sum(usd) OVER (PARTITION BY day ORDER BY occurred_at, id) AS DOUBLE) / {CEILING}e0 AS x FROM c) SELECT day, id, CAST(round(least(9.9999, x), 4) AS DOUBLE) AS pct FROM r WHERE x + 1e-9 >= 0.8 QUALIFY row_number() OVER (PARTITION BY day ORDER BY occurred_at, id) = 1""")
@@ -425,7 +456,7 @@ def match_seeded_publisher(spark: SparkSession, sf: str) -> DataFrame:
     return inbox.seeded(model(spark, sf, "senders"), spark.sql(SEEDS, supplier=model(spark, sf, "supplier")))
 
 
-@query("unmatched_senders", """WITH per AS (SELECT list_id, from_addr, min(subject) AS subject FROM {senders} GROUP BY 1, 2), k AS (SELECT list_id, from_addr, CASE WHEN from_addr LIKE '%@%' THEN lower(split_part(from_addr, '@', 2)) END AS from_domain, subject, CASE WHEN list_id IS NOT NULL THEN 'list_id' WHEN from_addr IS NOT NULL THEN 'from_addr' END AS match_field, lower(coalesce(list_id, from_addr)) AS match_value FROM per)
+@query("unmatched_senders", """WITH per AS (SELECT list_id, from_addr, min(subject) AS subject, min(headers) AS headers FROM {senders} GROUP BY 1, 2), k AS (SELECT list_id, from_addr, CASE WHEN from_addr LIKE '%@%' THEN lower(split_part(from_addr, '@', 2)) END AS from_domain, subject, headers, CASE WHEN list_id IS NOT NULL THEN 'list_id' WHEN from_addr IS NOT NULL THEN 'from_addr' END AS match_field, lower(coalesce(list_id, from_addr)) AS match_value FROM per)
 SELECT * FROM k WHERE match_value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {sender_map} s WHERE s.match_field = k.match_field AND lower(s.match_value) = k.match_value)""")
 def unmatched_senders(spark: SparkSession, sf: str) -> DataFrame:
     return inbox.unmatched(*m(spark, sf, "senders", "sender_map"))

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators import candidates as C
 from storyloom.operators import signals as S
 
 
-def scored(items: DataFrame, clusters: DataFrame, sources: DataFrame, coverage: DataFrame, as_of: Column, days: int = 30, n: int = 200, hours: int = 24) -> DataFrame:
-    """The pool's best clusters with all their signals.
-
-    Items are cut to the pool by a semi-join first; the signals then group the same rows by cluster.
-    """
+def scored(items: DataFrame, clusters: DataFrame, sources: DataFrame, coverage: DataFrame, as_of: Column, days: int = 30, n: int = 200, hours: int = 24, heat_days: int = 30, similarity: DataFrame | None = None) -> DataFrame:
+    """The pool's best clusters with all their signals. ``clusters`` is the stored state; the pool's items are read once."""
     pool = S.pool(clusters, as_of, days)
-    own = items.join(pool.select("cluster_id"), "cluster_id", "left_semi")
-    alone = S.exclusive(own, sources)
-    heur = S.heuristic(own, pool, sources, coverage, alone)
-    moves = S.trajectory(own, pool, as_of, hours)
-    heat = S.temperature(clusters, as_of, 3650)
-    best = S.top(heur, n)
-    return best.join(moves, "cluster_id").join(heat.select("cluster_id", "z", "temperature"), "cluster_id").join(alone.select("cluster_id", "is_exclusive"), "cluster_id")
-
-
-def run(items: DataFrame, clusters: DataFrame, sources: DataFrame, coverage: DataFrame, candidates: DataFrame, curations: DataFrame, as_of: Column, cutoff: float = 60, days: int = 30) -> DataFrame:
-    """(cluster_id, score, temperature, trajectory, curation_score, outcome, candidate_id): a pass with the model's curations(cluster_id, curation_score) joined in."""
-    best = scored(items, clusters, sources, coverage, as_of, days)
-    curated = best.join(curations, "cluster_id").filter(F.col("curation_score") >= cutoff)
-    saved = C.upsert(curated.join(clusters.select("cluster_id", "primary_domain"), "cluster_id").select("cluster_id", "primary_domain"), candidates, as_of)
-    return curated.join(saved, "cluster_id").select("cluster_id", "score", "temperature", "trajectory", "curation_score", "outcome", "candidate_id")
+    facts = S.facts(items.join(pool.select("cluster_id"), "cluster_id", "left_semi"), sources, as_of, hours)
+    rows = pool.select("cluster_id", "primary_domain", "first_seen_at").join(facts, "cluster_id").join(S.latest_coverage(coverage).select("cluster_id", "country_count"), "cluster_id", "left")
+    geo = S.spread_of(F.col("country_count"))
+    rows = rows.withColumns({"geo": geo, "score": S.score_of(F.col("authority"), F.col("primary_domain"), geo, F.col("is_exclusive"), F.col("arxiv_only"))})
+    best = S.top(rows, n)  # n rows
+    young = S.moved(best, as_of, hours).withColumnRenamed("cluster_id", "c")
+    heat = S.temperature(clusters, as_of, heat_days, similarity).select("cluster_id", "z", "temperature")
+    return best.join(F.broadcast(young), F.col("cluster_id") == F.col("c")).join(heat, "cluster_id").select("cluster_id", "authority", "geo", "arxiv_only", "score", "ratio", "trajectory", "z", "temperature", "is_exclusive")
+
+
+def run(items: DataFrame, clusters: DataFrame, sources: DataFrame, coverage: DataFrame, candidates: DataFrame, curations: DataFrame, as_of: Column, cutoff: float = 60, days: int = 30, heat_days: int = 30, similarity: DataFrame | None = None, gate: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, score, temperature, trajectory, overlap, decision, curation_score, stage, outcome, candidate_id, pulse_rank) of the best clusters.
+
+    A pass with the model's curations(cluster_id, curation_score) and the archive's gate(cluster_id, overlap, decision) joined
+    in. The stage tells how far a cluster came: archived (dropped by the gate), below_cutoff, decided (skipped) or saved; the
+    five best saved ones have a pulse rank. A cluster without a match in the archive has overlap 0 and passes.
+    """
+    best = scored(items, clusters, sources, coverage, as_of, days, heat_days=heat_days, similarity=similarity)
+    gated = best.join(curations, "cluster_id").join(clusters.select("cluster_id", "primary_domain"), "cluster_id")
+    gated = gated.withColumns({"overlap": F.lit(0.0), "decision": F.lit("pass")}) if gate is None else gated.join(gate, "cluster_id", "left").withColumns({"overlap": F.coalesce("overlap", F.lit(0.0)), "decision": F.coalesce("decision", F.lit("pass"))})
+    on = (F.col("decision") != "drop") & (F.col("curation_score") >= cutoff)
+    kept = gated.filter(on).select("cluster_id", "primary_domain")
+    saved = C.upsert(kept, candidates.join(F.broadcast(kept.select("cluster_id")), "cluster_id", "left_semi"), as_of)  # as many as are the best
+    joined = gated.join(saved.drop("expires_at"), "cluster_id", "left")
+    stage = F.when(F.col("decision") == "drop", "archived").when(F.col("curation_score") < cutoff, "below_cutoff").when(F.col("outcome") == "skipped_decided", "decided").otherwise("saved")
+    ranked = joined.withColumn("stage", stage).withColumn("n", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("curation_score"), "cluster_id")))
+    return ranked.select("cluster_id", "score", "temperature", "trajectory", "overlap", "decision", "curation_score", "stage", "outcome", "candidate_id", F.when((F.col("stage") == "saved") & (F.col("n") <= 5), F.col("n")).alias("pulse_rank"))
+
+
+def funnel(passed: DataFrame) -> DataFrame:
+    """One row of counts over a pass: considered, dropped, flagged, below the cutoff, decided before, inserted, superseded."""
+    n = lambda test: F.count_if(test)
+    return passed.agg(F.count("*").alias("considered"), n(F.col("stage") == "archived").alias("dropped"), n((F.col("decision") == "flag")).alias("flagged"), n(F.col("stage") == "below_cutoff").alias("below_cutoff"), n(F.col("stage") == "decided").alias("skipped"), n(F.col("outcome") == "inserted").alias("inserted"), n(F.col("outcome") == "superseded").alias("superseded"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import clusters, models, trending, vectors
 from storyloom.plans.catalog import query
+from storyloom.plans.text_queries import HASHED, hashed
 from storyloom.sources.lens import AS_OF, model
 from storyloom.streaming import jobs
 
@@ -16,7 +17,12 @@ sim = lambda a, b: SIM.format(a=a, b=b)
 
 
 def rows(spark: SparkSession, sf: str) -> DataFrame:
-    return model(spark, sf, "vectors").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "primary_domain", "published_at", "label")
+    return model(spark, sf, "vectors").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "primary_domain", "published_at", "label", F.expr("CASE WHEN vec_id % 12 = 2 THEN 'merged' ELSE 'active' END").alias("status"), F.expr("published_at + INTERVAL 5 HOUR").alias("last_seen_at"))
+
+
+def seen(days: int, a: str = "") -> str:
+    """A cluster that is active and lately observed, in SQL."""
+    return f"{a}vec_id % 12 <> 2 AND {a}published_at + INTERVAL 5 HOUR > {VECTORS_AS_OF} - INTERVAL {days} DAY"
 
 
 four = lambda c: F.round(c, 4)
@@ -37,28 +43,38 @@ def semantic_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "stored_id", four("similarity").alias("similarity"))
 
 
-@query("nearest_cluster", f"""SELECT a.vec_id AS id, b.vec_id AS cluster_id, round(1 - {sim('a', 'b')}, 4) AS distance, 1 - {sim('a', 'b')} < 0.7 AS joins FROM {{vectors}} a JOIN {{vectors}} b ON a.primary_domain = b.primary_domain WHERE a.vec_id % 4 = 1 AND b.vec_id % 4 = 2
+@query("nearest_cluster", f"""SELECT a.vec_id AS id, b.vec_id AS cluster_id, round(1 - {sim('a', 'b')}, 4) AS distance, 1 - {sim('a', 'b')} < 0.7 AS joins FROM {{vectors}} a JOIN {{vectors}} b ON a.primary_domain = b.primary_domain WHERE a.vec_id % 4 = 1 AND b.vec_id % 4 = 2 AND {seen(12, "b.")}
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim('a', 'b')} DESC, b.vec_id) = 1""")
 def nearest_cluster(spark: SparkSession, sf: str) -> DataFrame:
     v = rows(spark, sf)
-    return clusters.nearest(v.filter("id % 4 = 1"), v.filter("id % 4 = 2"), 0.7).withColumn("distance", four("distance"))
+    return clusters.nearest(v.filter("id % 4 = 1"), v.filter("id % 4 = 2"), F.expr(VECTORS_AS_OF), 0.7, 12).withColumn("distance", four("distance"))
 
 
-TOP = f"""top AS (SELECT a.vec_id AS id, b.vec_id AS archive_id, {sim('a', 'b')} AS s, b.published_at, row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim('a', 'b')} DESC, b.vec_id) AS rank FROM {{vectors}} a, {{vectors}} b WHERE a.vec_id % 4 = 2 AND b.vec_id % 4 = 0)"""
+TOP = f"""top AS (SELECT a.vec_id AS id, b.vec_id AS archive_id, {sim('a', 'b')} AS s, b.published_at, row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim('a', 'b')} DESC, b.vec_id) AS rank FROM {{vectors}} a, {{vectors}} b WHERE a.vec_id % 4 = 2 AND a.vec_id % 40 <> 2 AND b.vec_id % 4 = 0)"""
+GATE = f"""{TOP}, gate AS (SELECT v.vec_id AS id, round(coalesce(s, 0), 4) AS overlap, CASE WHEN s > 0.35 AND t.published_at >= {VECTORS_AS_OF} - INTERVAL 10 DAY THEN 'drop' WHEN s > 0.25 AND s <= 0.35 THEN 'flag' ELSE 'pass' END AS decision FROM {{vectors}} v LEFT JOIN top t ON t.id = v.vec_id AND rank = 1 WHERE v.vec_id % 4 = 2)"""
 
 
-@query("archive_topk", f"WITH {TOP} SELECT id, rank, archive_id, round(s, 4) AS similarity FROM top WHERE rank <= 5")
-def archive_topk(spark: SparkSession, sf: str) -> DataFrame:
+def centroids_and_archive(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Some centroids have no vector yet, and so no match."""
     v = rows(spark, sf)
-    return clusters.archive_matches(v.filter("id % 4 = 2"), v.filter("id % 4 = 0")).withColumn("similarity", four("similarity"))
+    return v.filter("id % 4 = 2").withColumn("vector", F.when(F.col("id") % 40 != 2, F.col("vector"))), v.filter("id % 4 = 0")
+
+
+@query("archive_topk", f"WITH {TOP} SELECT id, rank, archive_id, round(s, 4) AS similarity, round(max(s) OVER (PARTITION BY id), 4) AS overlap, CASE WHEN rank <= 3 THEN published_at END AS link_published_at FROM top WHERE rank <= 5")
+def archive_topk(spark: SparkSession, sf: str) -> DataFrame:
+    centroids, archive = centroids_and_archive(spark, sf)
+    return clusters.archive_links(clusters.archive_matches(centroids, archive), archive).withColumns({"similarity": four("similarity"), "overlap": four("overlap")})
 
 
-@query("archive_gate", f"""WITH {TOP} SELECT id, round(s, 4) AS overlap, CASE WHEN s > 0.35 AND published_at >= {VECTORS_AS_OF} - INTERVAL 10 DAY THEN 'drop' WHEN s > 0.25 AND s <= 0.35 THEN 'flag' ELSE 'pass' END AS decision FROM top WHERE rank = 1""")
+def gated(spark: SparkSession, sf: str) -> DataFrame:
+    centroids, archive = centroids_and_archive(spark, sf)
+    found = clusters.archive_matches(centroids, archive)
+    return clusters.archive_decision(centroids, found, archive, F.expr(VECTORS_AS_OF), 0.35, 0.25, 10).withColumn("overlap", four("overlap"))
+
+
+@query("archive_gate", f"WITH {GATE} SELECT * FROM gate")
 def archive_gate(spark: SparkSession, sf: str) -> DataFrame:
-    v = rows(spark, sf)
-    archive = v.filter("id % 4 = 0")
-    found = clusters.archive_matches(v.filter("id % 4 = 2"), archive)
-    return clusters.archive_decision(found, archive, F.expr(VECTORS_AS_OF), 0.35, 0.25, 10).withColumn("overlap", four("overlap"))
+    return gated(spark, sf)
 
 
 @query("search_candidates", f"SELECT b.vec_id AS id, round(1 - {sim('a', 'b')}, 4) AS distance FROM {{vectors}} a, {{vectors}} b WHERE a.vec_id = (SELECT min(vec_id) FROM {{vectors}}) AND b.vec_id % 4 = 2 ORDER BY 1 - {sim('a', 'b')}, b.vec_id LIMIT 20")
@@ -69,12 +85,12 @@ def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter("d IS NOT NULL").orderBy("d", "id").limit(20).select("id", four("d").alias("distance"))
 
 
-MERGE = f"""c AS (SELECT *, vec_id % 17 AS e1, vec_id % 23 AS e2 FROM {{vectors}} WHERE vec_id % 4 = 2), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {sim('a', 'b')} AS distance FROM c a JOIN c b ON a.primary_domain = b.primary_domain AND a.vec_id < b.vec_id AND (a.e1 = b.e1 OR a.e2 = b.e2) WHERE 1 - {sim('a', 'b')} < 0.9)"""
+MERGE = f"""c AS (SELECT *, vec_id % 17 AS e1, vec_id % 23 AS e2 FROM {{vectors}} WHERE vec_id % 4 = 2 AND {seen(15)}), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {sim('a', 'b')} AS distance FROM c a JOIN c b ON a.primary_domain = b.primary_domain AND a.vec_id < b.vec_id AND (a.e1 = b.e1 OR a.e2 = b.e2) WHERE 1 - {sim('a', 'b')} < 0.9)"""
 
 
 def merging(v: DataFrame) -> DataFrame:
     entities = v.select("id", F.explode(F.array(F.concat(F.lit("e"), (F.col("id") % 17).cast("string")), F.concat(F.lit("f"), (F.col("id") % 23).cast("string")))).alias("entity"))
-    return clusters.merge_pairs(v, entities, 0.9)
+    return clusters.merge_pairs(v, entities, F.expr(VECTORS_AS_OF), 0.9, 15)
 
 
 @query("merge_candidates", f"WITH {MERGE} SELECT a, b, round(distance, 4) AS distance FROM pairs")
@@ -134,7 +150,9 @@ def vector_mean(spark: SparkSession, sf: str) -> DataFrame:
 def trending_board(spark: SparkSession, sf: str) -> DataFrame:
     from storyloom.operators.candidates import live
 
-    stories = trending.one_per_story(model(spark, sf, "candidates").filter(live(F.expr(AS_OF))))
+    items, sources = model(spark, sf, "items"), model(spark, sf, "sources")
+    pool = trending.without_arxiv(model(spark, sf, "candidates").filter(live(F.expr(AS_OF))), items, sources)
+    stories = trending.one_per_story(pool)
     themes, words = trending.board(stories, "tags", 1), trending.board(stories, "keywords", 2)
     return themes.withColumn("kind", F.lit("theme")).unionByName(words.withColumn("kind", F.lit("keyword")))
 
@@ -170,19 +188,19 @@ def cluster_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.sessions(model(spark, sf, "items"), "60 days")
 
 
-@query("stream_ingest", "SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS value_key FROM {events} GROUP BY 1, 2, 3")
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Each arriving key once, whatever its age: micro-batches are joined against what earlier ones wrote."""
-    from storyloom.sources.shared import new_path
+INGESTED = f"""WITH {HASHED}, known AS (SELECT * FROM h WHERE raw_id % 7 = 0), new AS (SELECT * FROM h WHERE raw_id % 7 <> 0),
+folded AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY source_id, url_hash, title_hash ORDER BY raw_id) = 1),
+fresh AS (SELECT * FROM folded f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.url_hash = f.url_hash) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.title_hash = f.title_hash AND k.published_at >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY)
+  AND NOT EXISTS (SELECT 1 FROM known k WHERE k.source_id = f.source_id AND k.external_id = f.external_id))
+SELECT raw_id, source_id, external_id FROM fresh QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY raw_id) = 1"""
 
-    path = new_path(spark, "ingested")
-    arrivals = jobs.source(spark, sf, "events").select("user_id", "event_type", F.floor("value").alias("value_key"))
-    spark.createDataFrame([], arrivals.schema).write.parquet(f"{path}/batch=-1")
-    stored = lambda: spark.read.option("basePath", path).parquet(path)
 
-    def put(batch: DataFrame, number: int) -> None:
-        earlier = stored().filter(F.col("batch") < number).drop("batch")
-        batch.distinct().join(earlier, batch.columns, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+@query("stream_ingest", INGESTED)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Arriving raw items by the batch's own rule: each micro-batch against what was known and what earlier ones wrote."""
+    from storyloom.sources.lens import stream_of
 
-    jobs.drain(arrivals, "ingest", "append", put)
-    return stored().drop("batch")
+    arriving = hashed(stream_of(spark, "raw_items", documents=jobs.source(spark, sf, "documents"), pages=model(spark, sf, "pages")))
+    known = hashed(model(spark, sf, "raw_items")).filter("raw_id % 7 = 0")
+    found = jobs.ingested(arriving.filter("raw_id % 7 <> 0"), known, F.expr("TIMESTAMP '2024-01-15 00:00:00'"))
+    return found.select("raw_id", "source_id", "external_id")

@@ -78,3 +78,11 @@ TRUSTED_HOSTS = [
     "foreignaffairs.com", "foreignpolicy.com", "cfr.org", "rand.org", "csis.org", "brookings.edu", "aei.org", "piie.com", "sipri.org", "iiss.org",
     "scmp.com", "nikkei.com", "asia.nikkei.com", "caixin.com", "sixthtone.com",
 ]
+
+#: Anchors and bare URLs of a newsletter, links that manage a subscription, code fences and trailing commas of model answers.
+HREF = "(?i)<a\\s[^>]*\\bhref\\s*=\\s*[\"']([^\"']+)[\"']"
+BARE = "\\bhttps?://[^\\s<>\"')]+"
+LIST_ADDRESS = "(?i)\\b(unsubscribe|email[-_ ]?preferences|opt[-_ ]?out)\\b"
+FENCE = "(?i)^\\s*```[a-z0-9]*\\s*\\n?"
+FENCE_END = "```\\s*$"
+TRAILING_COMMA = ",(\\s*[}\\]])"

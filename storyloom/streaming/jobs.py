@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators.ingest import hash_dedup
 from storyloom.sources.lens import zoned
 from storyloom.sources.shared import new_path
 
@@ -48,6 +49,23 @@ def latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("s")).select(*keys, "s.*")
 
 
+def ingested(arriving: DataFrame, known: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """The rows that ``hash_dedup`` lets in, micro-batch by micro-batch, each against known rows and those let in before.
+
+    Nothing is late: a row of any age is judged. A batch that runs twice writes its folder anew.
+    """
+    spark, path = arriving.sparkSession, new_path(arriving.sparkSession, "ingested")
+    spark.createDataFrame([], arriving.schema).write.parquet(f"{path}/batch=-1")
+    stored = lambda: spark.read.schema(f"{arriving.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").option("basePath", path).parquet(path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        earlier = stored().filter(F.col("batch") < number).select(*known.columns)
+        hash_dedup(batch, known.unionByName(earlier), as_of, days).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    drain(arriving, "ingest", "append", put)
+    return stored().drop("batch")
+
+
 def activity_windows(items: DataFrame, size: str = "24 hours", slide: str = "12 hours", late: str = "3650 days") -> DataFrame:
     """Items of a cluster in sliding windows of event time."""
     return items.withWatermark("published_at", late).groupBy("cluster_id", F.window("published_at", size, slide).alias("w")).agg(F.count("*").alias("n")).select("cluster_id", F.col("w.start").alias("window_start"), "n")

@@ -9,7 +9,8 @@ A span is verified by place: it holds the template's words that stand, at their
 diagonals, in runs of k words at least. Their share of the template must reach ``MIN_SHARE``; of a span of ``LONG``
 or more words, their share of the stretch of the template between its first and last such word, so that a part of
 a notice counts. Scrambled words stand on no diagonal together. Licenses share sentences, so a verified span that
-lies within another one's place in the text doesn't count. The others give labels and a score.
+lies within another one's place in the text doesn't count, nor one at the same place with a smaller share. The others
+give labels and a score.
 
 Base labels come from three fixed phrases of consecutive words and always stay.
 
@@ -97,7 +98,8 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     verified = verified.filter(F.col("share") >= MIN_SHARE)
     earlier = F.max("last").over(Window.partitionBy("key", "text_hash").orderBy("first").rangeBetween(Window.unboundedPreceding, -1))
     longer = F.max("last").over(Window.partitionBy("key", "text_hash", "first"))
-    outer = verified.withColumns({"earlier": earlier, "longer": longer}).filter((F.coalesce("earlier", F.lit(-1)) < F.col("last")) & (F.col("longer") == F.col("last")))
+    best = F.max("share").over(Window.partitionBy("key", "text_hash", "first", "last"))
+    outer = verified.withColumns({"earlier": earlier, "longer": longer, "best": best}).filter((F.coalesce("earlier", F.lit(-1)) < F.col("last")) & (F.col("longer") == F.col("last")) & (F.col("share") == F.col("best")))
     return outer.select("key", "text_hash", "label", "first", "last", "share")
 
 
@@ -146,7 +148,7 @@ standing AS (SELECT r.doc_id, r.template, band, run, min(first) AS first, max(la
 covered AS (SELECT r.doc_id, r.template, band, run, count(DISTINCT t_place + o) AS n_words FROM runs r JOIN hits h ON h.doc_id = r.doc_id AND h.template = r.template AND h.diagonal = r.diagonal, LATERAL unnest(generate_series(0, {K - 1})) AS t(o) GROUP BY 1, 2, 3, 4),
 shares AS (SELECT s.doc_id, s.first, s.last, k.label, n_words / CASE WHEN s.last - s.first >= {LONG} AND high - low >= {LONG} THEN high - low ELSE len(k.w) END AS share FROM standing s JOIN covered USING (doc_id, template, band, run) JOIN known k USING (template) WHERE n >= {MIN_VOTES}),
 verified AS (SELECT * FROM shares WHERE share >= {MIN_SHARE}),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM verified v WHERE NOT EXISTS (SELECT 1 FROM verified o WHERE o.doc_id = v.doc_id AND (o.first < v.first AND o.last >= v.last OR o.first = v.first AND o.last > v.last)) GROUP BY 1),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM verified v WHERE NOT EXISTS (SELECT 1 FROM verified o WHERE o.doc_id = v.doc_id AND (o.first < v.first AND o.last >= v.last OR o.first = v.first AND (o.last > v.last OR o.last = v.last AND o.share > v.share))) GROUP BY 1),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, unnest(labels) AS label FROM more UNION ALL SELECT doc_id, label FROM places) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
 CAST(greatest(coalesce(m.share, 0), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS score FROM words d LEFT JOIN base b USING (doc_id) LEFT JOIN every e USING (doc_id) LEFT JOIN more m USING (doc_id)

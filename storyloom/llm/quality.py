@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import MULTIPLIER, NOT_SPACE, bounded_sample, held_out, lean, mix, one_text, steps, table, utf8, word_spans
+from storyloom.llm.common import MULTIPLIER, NOT_SPACE, bounded_sample, give_back, held_out, lean, mix, one_text, steps, table, utf8, word_spans
 
 SAMPLE_ROWS = 4000
 RANK = 64
@@ -37,6 +38,8 @@ THRESHOLD = 0.7
 PRIOR = 0.5
 #: Documents that are counted at once, and compared at once.
 BLOCK = 128
+#: Labelled rows that training unfolds at once: the sample stays sparse in the driver's memory.
+FIT_ROWS = 256
 
 SUBWORD_BITS, WORD_BITS = 12, 11
 SUBWORDS, WORDS = 1 << SUBWORD_BITS, 1 << WORD_BITS
@@ -129,13 +132,17 @@ class QualityModel:
     labels: np.ndarray
     base: float
 
+    def latent(self, at: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """The unit vector of one text's terms in the latent space."""
+        out = (shares.astype(np.float64) * self.weights[at]) @ self.space[at]
+        return out / max(float(np.sqrt((out * out).sum())), 1e-12)
+
     def project(self, terms: np.ndarray) -> np.ndarray:
         """Unit vectors in the latent space, each from its own row's terms alone."""
         out = np.zeros((len(terms), self.space.shape[1]))
-        for latent, row in zip(out, terms, strict=True):
+        for i, row in enumerate(terms):
             at = np.flatnonzero(row)
-            latent[:] = (row[at].astype(np.float64) * self.weights[at]) @ self.space[at]
-            latent /= max(float(np.sqrt((latent * latent).sum())), 1e-12)
+            out[i] = self.latent(at, row[at])
         return out
 
     def vote(self, terms: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -154,20 +161,42 @@ class QualityModel:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK) -> QualityModel:
-    """Term weights and a truncated SVD by subspace iteration, from a fixed seed."""
-    idf = np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))) + 1
-    x = terms * idf.astype(np.float32)
-    rank = min(rank, *x.shape)
-    basis = np.random.default_rng(3).normal(size=(x.shape[1], min(rank + 8, *x.shape))).astype(np.float32)
+def fit_sparse(ids: np.ndarray, shares: np.ndarray, at: np.ndarray, labels: np.ndarray, rank: int = RANK) -> QualityModel:
+    """Term weights and a truncated SVD by subspace iteration, from a fixed seed.
+
+    Row i of the sample has the terms ids[at[i]:at[i + 1]] with their shares; FIT_ROWS rows at a time are unfolded.
+    """
+    n = len(at) - 1
+    idf = np.log((1 + n) / (1 + np.bincount(ids, minlength=TERMS))) + 1
+
+    def blocks():
+        for i in range(0, n, FIT_ROWS):
+            j = min(n, i + FIT_ROWS)
+            own = slice(at[i], at[j])
+            x = np.zeros((j - i, TERMS), np.float32)
+            x[np.repeat(np.arange(j - i), np.diff(at[i : j + 1])), ids[own]] = shares[own] * idf[ids[own]].astype(np.float32)
+            yield x
+
+    rank = min(rank, n, TERMS)
+    basis = np.random.default_rng(3).normal(size=(TERMS, min(rank + 8, n, TERMS))).astype(np.float32)
     for _ in range(4):
-        basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
-    model = QualityModel(idf, (basis @ turn.T[:, :rank]).astype(np.float64), np.zeros((0, rank)), labels.astype(np.float64), float(labels.mean()))
-    model.vectors = model.project(terms)
+        turned = np.zeros_like(basis)
+        for x in blocks():
+            turned += x.T @ (x @ basis)
+        basis, _ = np.linalg.qr(turned)
+    _, _, turn = np.linalg.svd(np.concatenate([x @ basis for x in blocks()]), full_matrices=False)
+    model = QualityModel(idf, (basis @ turn.T[:, :rank]).astype(np.float64), np.zeros((n, rank)), labels.astype(np.float64), float(labels.mean()))
+    for i in range(n):
+        model.vectors[i] = model.latent(ids[at[i] : at[i + 1]], shares[at[i] : at[i + 1]])
     return model
 
 
+def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK) -> QualityModel:
+    """``fit_sparse`` of text x term."""
+    row, ids = np.nonzero(terms)
+    return fit_sparse(ids, terms[row, ids], np.searchsorted(row, np.arange(len(terms) + 1)), labels, rank)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel | None:
     """A model of the labelled rows of docs, at most about ``sample_rows`` of them, picked by a hash of the key."""
     kind = dict(docs.dtypes)[key]
@@ -182,17 +211,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             data, offsets = utf8(batch.column("t"))
             for i, j in steps(offsets, rows=BLOCK):
                 terms = term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = [np.flatnonzero(row).astype(np.int32) for row in terms]
-                yield pa.RecordBatch.from_arrays([batch.column("k")[i:j], batch.column("y")[i:j], pa.array(ids, pa.list_(pa.int32())), pa.array([row[at] for row, at in zip(terms, ids, strict=True)], pa.list_(pa.float32()))], ["k", "y", "ids", "share"])
+                ids = [np.flatnonzero(row).astype(np.int16) for row in terms]
+                yield pa.RecordBatch.from_arrays([batch.column("k")[i:j], batch.column("y")[i:j], pa.array(ids, pa.list_(pa.int16())), pa.array([row[at] for row, at in zip(terms, ids, strict=True)], pa.list_(pa.float32()))], ["k", "y", "ids", "share"])
 
     picked = known.join(F.broadcast(bounded_sample(marks, "k", sample_rows, total)), "k").select("k", "t", "y")  # about sample_rows labels
-    got = one_text(picked, "k", "t").mapInArrow(lean(features), f"k {kind}, y int, ids array<int>, share array<float>").toArrow().sort_by("k")
+    got = one_text(picked, "k", "t").mapInArrow(lean(features), f"k {kind}, y int, ids array<smallint>, share array<float>").toArrow().sort_by("k")
     if not got.num_rows:
         return None
-    terms = np.zeros((got.num_rows, TERMS), np.float32)
-    for row, ids, share in zip(terms, got.column("ids"), got.column("share"), strict=True):
-        row[ids.values.to_numpy()] = share.values.to_numpy()
-    return fit(terms, got.column("y").to_numpy())
+    ids, share = got.column("ids").combine_chunks(), got.column("share").combine_chunks()
+    at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy())])
+    model = fit_sparse(ids.flatten().to_numpy(), share.flatten().to_numpy(), at, got.column("y").to_numpy())
+    del got, ids, share
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel | None, text: str = "text", key: str = "doc_id") -> DataFrame:

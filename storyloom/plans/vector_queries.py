@@ -159,7 +159,9 @@ def trending_board(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_assign")
 def stream_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.assign_online(rows(spark, sf).withColumn("observed_at", F.col("published_at")), 0.7).withColumn("distance", four("distance"))
+    cuts = [F.expr(f"{VECTORS_AS_OF} - INTERVAL {days} DAY") for days in (14, 7)]
+    found, state = clusters.assign_steps(rows(spark, sf).withColumn("observed_at", F.col("published_at")), cuts, 0.7)
+    return clusters.merged_assignment(found, state, 0.35).withColumn("distance", four("distance"))
 
 
 @query("model_stage", """SELECT doc_id, CASE WHEN regexp_matches(h, '[0-9]') THEN NULL ELSE h END AS output FROM (SELECT doc_id, array_to_string(list_slice([x FOR x IN regexp_split_to_array(text, '[\\s\\x1c-\\x1f\\x85\\xa0]+') IF x <> ''], 1, 5), ' ') AS h FROM {documents})""")

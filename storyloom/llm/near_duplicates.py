@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import MULTIPLIER, NOT_SPACE, checked, few, lean, mix, spread, steps, table, utf8, word_hashes, word_spans, written
+from storyloom.llm.common import MULTIPLIER, NOT_SPACE, checked, few, hot_keys, lean, mix, spread, steps, table, utf8, word_hashes, word_spans, written
 
 #: The query's shingle size; its links have 100 * intersection >= PERCENT * union.
 WORDS = 4
@@ -49,8 +49,6 @@ STAGE_WORDS = 5
 STAGE_PERCENT = 80
 SKETCH_BITS = 20
 SLICES = 16
-#: Shared shingles, eight bytes each, that a broadcast may hold; beyond, all prefixes' shingles are joined by a shuffle.
-SHARED_BYTES = 32_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -264,16 +262,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # end: the prefix's last token in the order of the tokens, which are unsigned
     end = F.get("tokens", F.size("tokens") - 1).bitwiseXOR(F.lit(-(1 << 63)))
     heads = heads.select(F.col("key").alias("gid"), "n", end.alias("end"), "tokens")
-    index = heads.select("gid", "n", "end", F.posexplode("tokens").alias("pos", "token"))
-
-    first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
-    centres = written(index.groupBy("token").agg(F.count("*").alias("held"), F.min_by("gid", first).alias("centre")).filter("held > 1").select("token", "centre"), "jaccard-centres")
     # rank: shingles of the own prefix before this one that others hold too
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
-    if centres.count() * 8 <= SHARED_BYTES:
-        index = written(_shared_tokens(heads, centres), "jaccard-tokens")
-    live = spread(index, centres, ["token"]) if "rank" in index.columns else spread(written(index, "jaccard-tokens"), centres, ["token"]).withColumn("rank", rank)
-    live = written(live.select("token", "gid", "n", "end", "centre", "pos", "rank"), "jaccard-index")
+    sizes = heads.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"))
+    live = written(_shared_tokens(heads).withColumn("rank", rank).join(sizes, "gid").select("token", "gid", "n", "end", "centre", "pos", "rank"), "jaccard-index")
     # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
     bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
@@ -306,25 +298,26 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
-def _shared_tokens(heads: DataFrame, centres: DataFrame) -> DataFrame:
-    """(gid, n, end, pos, token, rank) of the tokens that several prefixes hold, of which there are few enough to broadcast."""
-    shared = heads.sparkSession.sparkContext.broadcast(np.sort(centres.select("token").toArrow().column(0).to_numpy()))
+def _shared_tokens(heads: DataFrame) -> DataFrame:
+    """(token, gid, pos, centre) of the shingles that several prefixes hold; the centre is the group where the shingle stands first.
 
-    def run(batches):
-        known = shared.value
-        for batch in batches:
-            lists = batch.column(3)
-            token, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), size)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
-            good = np.flatnonzero(known[at] == token) if len(known) else np.zeros(0, np.int64)
-            own = row[good]
-            rank = np.arange(len(good)) - np.searchsorted(own, own)
-            picked = batch.select(["gid", "n", "end"]).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), picked.column(2), pa.array(pos[good].astype(np.int32)), pa.array(token[good]), pa.array(rank.astype(np.int32))], ["gid", "n", "end", "pos", "token", "rank"])
-
-    return heads.mapInArrow(lean(run), f"gid {dict(heads.dtypes)['gid']}, n long, end long, pos int, token long, rank int")
+    One exchange by token carries the index, as narrow rows. Tokens of so many groups that they would fill a task are left
+    out of it: there are at most twice as many as partitions, so their centres are broadcast. Only classes of the order
+    that stand for so many sets can hold such a token, so only those are counted.
+    """
+    spark = heads.sparkSession
+    index = heads.select("gid", F.posexplode("tokens").alias("pos", "token"))
+    fair = (heads.agg(F.sum(F.size("tokens"))).first()[0] or 0) // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = hot_keys(index.filter(F.shiftrightunsigned("token", 48) >= int(np.float32(fair).view(np.uint32) >> np.uint32(15))), ["token"])
+    first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
+    same = Window.partitionBy("token")
+    rows = index if hot is None else index.join(F.broadcast(hot), "token", "left_anti")
+    shared = rows.select("token", "gid", "pos", F.count("*").over(same).alias("held"), F.min_by("gid", first).over(same).alias("centre")).filter("held > 1").drop("held")
+    if hot is None:
+        return shared
+    often = index.join(F.broadcast(hot), "token", "left_semi")
+    centres = often.groupBy("token").agg(F.min_by("gid", first).alias("centre"))
+    return shared.unionByName(often.join(F.broadcast(centres), "token").select("token", "gid", "pos", "centre"))
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:

@@ -185,10 +185,12 @@ def hash_sets(docs: DataFrame, ids: DataFrame, text: str, key: str, words: int,
 def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = WORDS, percent: int = PERCENT, repeated: bool = True) -> DataFrame:
     """Those of pairs(a, b) whose sets link, by exact counts; many pairs may share their b."""
     kind = dict(docs.dtypes)[key]
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
-    sets = hash_sets(docs, ids, text, key, words, repeated)
-    left = pairs.join(sets.withColumnsRenamed({"id": "a", "hashes": "hashes_a"}), "a")
-    joined = spread(left, sets.withColumnsRenamed({"id": "b", "hashes": "hashes_b"}), ["b"], counted=pairs).select("a", "b", "hashes_a", "hashes_b")
+    kept = pairs.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")  # of two directions one
+    pairs = written(kept, "jaccard-kept")
+    # each side carries only the sets that stand on it
+    sets = lambda c: hash_sets(docs, written(pairs.select(F.col(c).alias("id")).distinct(), "jaccard-ids"), text, key, words, repeated).withColumnsRenamed({"id": c, "hashes": f"hashes_{c}"})
+    left = pairs.join(sets("a"), "a")
+    joined = spread(left, sets("b"), ["b"], counted=pairs).select("a", "b", "hashes_a", "hashes_b")
 
     def run(batches):
         for batch in batches:

@@ -17,8 +17,8 @@
    filter admits is either decided or within one component, and no group emits pairs of one component.
 4. Components by label propagation with pointer jumping, as joins.
 
-Texts are read three times: for the sketch, for the prefixes, and, of the documents in pairs alone, for the sorted
-hash sets that decide. Joins deal hot keys (copies of one text, shingles, centres, hubs, large components) over tasks:
+Texts are read for the sketch, for the prefixes, and, of the documents in pairs alone, once for either side of a pair,
+for the sorted hash sets that decide. Joins deal hot keys (copies of one text, shingles, centres, hubs, large components) over tasks:
 ``spread`` counts keys first and splits those beyond half a partition's fair share. What is broadcast is of a fixed
 size (the sketch), has at most twice as many rows as there are partitions (hot keys), or fits ``BROADCAST_BYTES``
 by its count, with a shuffled join beyond it.

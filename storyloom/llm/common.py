@@ -208,6 +208,7 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 #: Inside a word of [^\x20\x09-\x0D]+.
 NOT_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 #: Inside a word of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, after A-Z became a-z.
@@ -243,13 +244,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z taken as a-z."""
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, letters: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of every word (or other span of bytes); ``letters`` says as what a byte counts: A-Z as a-z unless given."""
     if not len(begins):
         return np.zeros(0, np.uint64)
     size = ends - begins
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
     powers = np.cumprod(np.full(int(size.max()), MULTIPLIER, np.uint64))
-    letters = LOWER[data[place + np.repeat(begins, size)]].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(letters * powers[place], first) + size.astype(np.uint64))
+    values = letters[data[place + np.repeat(begins, size)]].astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(values * powers[place], first) + size.astype(np.uint64))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontamination, licenses, near_duplicates, warc
+from storyloom.llm import decontamination, licenses, near_duplicates, repetition, warc
 from storyloom.llm.decontamination import op5_decontamination
 from storyloom.llm.language import op9_language
 from storyloom.llm.licenses import op8_licenses
@@ -10,6 +10,7 @@ from storyloom.llm.near_duplicates import op2_jaccard
 from storyloom.llm.neighbours import op10_neighbours
 from storyloom.llm.packing import op3_packing
 from storyloom.llm.quality import op6_quality
+from storyloom.llm.repetition import op11_repetition
 from storyloom.llm.secrets import op7_secrets
 from storyloom.llm.toxicity import op1_toxicity
 from storyloom.llm.warc import op4_warc
@@ -27,8 +28,9 @@ def queries() -> dict:
         "op8_licenses": op8_licenses,
         "op9_language": op9_language,
         "op10_neighbours": op10_neighbours,
+        "op11_repetition": op11_repetition,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": near_duplicates.ORACLE, "op4_warc": warc.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_licenses": licenses.ORACLE}
+    return {"op2_jaccard": near_duplicates.ORACLE, "op4_warc": warc.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_licenses": licenses.ORACLE, "op11_repetition": repetition.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontamination, licenses, near_duplicates, repetition, vector_codes, warc
+from storyloom.llm import decontamination, licenses, near_duplicates, repetition, spelling, vector_codes, warc
 from storyloom.llm.decontamination import op5_decontamination
 from storyloom.llm.language import op9_language
 from storyloom.llm.licenses import op8_licenses
@@ -12,6 +12,7 @@ from storyloom.llm.packing import op3_packing
 from storyloom.llm.quality import op6_quality
 from storyloom.llm.repetition import op11_repetition
 from storyloom.llm.secrets import op7_secrets
+from storyloom.llm.spelling import op13_spelling
 from storyloom.llm.toxicity import op1_toxicity
 from storyloom.llm.vector_codes import op12_codes
 from storyloom.llm.warc import op4_warc
@@ -31,8 +32,9 @@ def queries() -> dict:
         "op10_neighbours": op10_neighbours,
         "op11_repetition": op11_repetition,
         "op12_codes": op12_codes,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": near_duplicates.ORACLE, "op4_warc": warc.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_licenses": licenses.ORACLE, "op11_repetition": repetition.ORACLE, "op12_codes": vector_codes.ORACLE}
+    return {"op2_jaccard": near_duplicates.ORACLE, "op4_warc": warc.ORACLE, "op5_decontamination": decontamination.ORACLE, "op8_licenses": licenses.ORACLE, "op11_repetition": repetition.ORACLE, "op12_codes": vector_codes.ORACLE, "op13_spelling": spelling.ORACLE}

@@ -1,17 +1,12 @@
-"""Story clusters: nearest neighbours, merging, compaction, online assignment."""
+"""Story clusters: nearest neighbours, merging, compaction."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.greedy import first_wins
-from storyloom.operators.vectors import PART_ROWS, cosine_pairs, unit
+from storyloom.operators.vectors import cosine_pairs
 from storyloom.schemas import DOMAINS
 from storyloom.sources.shared import written
 
@@ -111,92 +106,3 @@ def collisions(best: DataFrame, low: float = 0.45, high: float = 0.80, rows: int
 def best_per_cluster(candidates: DataFrame, start: Column, end: Column) -> DataFrame:
     order = Window.partitionBy("cluster_id").orderBy(F.desc("curation_score"), F.desc("created_at"), "candidate_id")
     return candidates.filter((F.col("created_at") >= start) & (F.col("created_at") < end)).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
-
-
-def assign_online(items: DataFrame, below: float = 0.30, cell: str = "primary_domain") -> DataFrame:
-    """(id, cluster, position, distance): the order-dependent fold over (observed_at, id) within each cell.
-
-    An item joins the nearest centroid under ``below`` and moves it, (c n + x) / (n + 1), or starts a cluster
-    named by its id. The fold is sequential by its meaning, so a cell is one group and must be small:
-    ``assign_steps`` is the form for large ones.
-    """
-    kind = dict(items.dtypes)["id"]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["observed_at", "id"])
-        names: list = []
-        centroids = np.zeros((0, 0))
-        counts = np.zeros(0)
-        out = []
-        for i, v in zip(rows["id"], rows["vector"], strict=True):
-            x = np.asarray(v, float)
-            distance = np.inf
-            if names:
-                lengths = np.linalg.norm(centroids[: len(names)], axis=1) * np.linalg.norm(x)
-                similar = (centroids[: len(names)] @ x) / np.where(lengths > 0, lengths, np.inf)
-                best = int(similar.argmax())
-                distance = 1 - similar[best]
-            if distance < below:
-                n = counts[best]
-                centroids[best] = (centroids[best] * n + x) / (n + 1)
-                counts[best] += 1
-                out.append((i, names[best], int(counts[best]), float(distance)))
-                continue
-            if len(names) == len(centroids):
-                grown = np.zeros((max(16, 2 * len(centroids)), len(x)))
-                if names:
-                    grown[: len(centroids)] = centroids
-                centroids, counts = grown, np.concatenate([counts, np.zeros(len(grown) - len(counts))])
-            centroids[len(names)], counts[len(names)] = x, 1
-            names.append(i)
-            out.append((i, i, 1, None))
-        return pd.DataFrame(out, columns=["id", "cluster", "position", "distance"])
-
-    return items.select("id", "vector", "observed_at", F.col(cell).alias("cell")).groupBy("cell").applyInPandas(fold, f"id {kind}, cluster {kind}, position int, distance double")
-
-
-def assign_steps(items: DataFrame, cuts: Sequence[Column], below: float = 0.30, cell: str = "primary_domain", part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster, distance) of the items and (id, cell, item_count, first_seen_at, vector) of the clusters: the fold for large cells.
-
-    The items of each step, from one cut in time to the next, join the nearest centroid of the steps before under
-    ``below``, all at once. What is left is folded in parts of about ``part_rows`` items of a cell, so no task
-    holds a cell; ``compaction`` merges what parts of one step both start. Then centroids move to the mean of their
-    members. With one item a step this is the exact fold. Ids are unique; items without a time, a cell or a
-    direction (null, empty or zero vectors) have no row.
-    """
-    good = items.select("id", "vector", "observed_at", cell).filter(F.col("id").isNotNull() & F.col("observed_at").isNotNull() & F.col(cell).isNotNull() & unit("vector").isNotNull())
-    found, state = [], None
-    for start, end in zip([None, *cuts], [*cuts, None], strict=True):
-        step = good if start is None else good.filter(F.col("observed_at") >= start)
-        step = step if end is None else step.filter(F.col("observed_at") < end)
-        left, joined = step, None
-        if state is not None:
-            best = cosine_pairs(step, state, cell, k=1).select(F.col("l_id").alias("id"), F.col("r_id").alias("cluster"), (1 - F.col("similarity")).alias("distance"))
-            joined = written(best.filter(F.col("distance") < below), "joined")
-            left = step.join(joined, "id", "left_anti")
-        parts = left.groupBy(cell).agg(F.ceil(F.count("*") / part_rows).alias("__parts"))
-        dealt = left.join(parts, cell).withColumn("__part", F.concat_ws("|", cell, F.pmod(F.xxhash64("id"), F.col("__parts"))))
-        new = written(assign_online(dealt, below, "__part").select("id", "cluster", "distance"), "started")
-        found.append(new if joined is None else joined.unionByName(new))
-        state = written(_moved(state, found[-1].join(step, "id"), cell), "centroids")
-    return reduce(DataFrame.unionByName, found), state
-
-
-def _moved(state: DataFrame | None, members: DataFrame, cell: str) -> DataFrame:
-    """Clusters with the members of a step: means weigh by count."""
-    sums = members.select("cluster", F.posexplode("vector").alias("place", "x")).groupBy("cluster", "place").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    total = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("total"))  # one entry for each component
-    own = members.groupBy("cluster").agg(F.count("*").alias("m"), F.min("observed_at").alias("seen"), F.min(cell).alias("own_cell"))
-    step = own.join(total, "cluster").withColumnRenamed("cluster", "id")
-    if state is None:
-        return step.select("id", F.col("own_cell").alias(cell), F.col("m").alias("item_count"), F.col("seen").alias("first_seen_at"), F.transform("total", lambda x: x / F.col("m")).alias("vector"))
-    n = F.coalesce("item_count", F.lit(0)) + F.coalesce("m", F.lit(0))
-    mean = F.when(F.col("m").isNull(), F.col("vector")).when(F.col("item_count").isNull(), F.transform("total", lambda x: x / F.col("m"))).otherwise(F.zip_with("vector", "total", lambda c, t: (c * F.col("item_count") + t) / n))
-    return state.join(step, "id", "full").select("id", F.coalesce(cell, "own_cell").alias(cell), n.alias("item_count"), F.least("first_seen_at", "seen").alias("first_seen_at"), mean.alias("vector"))
-
-
-def merged_assignment(found: DataFrame, state: DataFrame, below: float = 0.15, cell: str = "primary_domain") -> DataFrame:
-    """(id, cluster, distance) after one compaction of clusters of a cell that are nearer than ``below``."""
-    near = cosine_pairs(state, state, cell, at_least=1 - below).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (1 - F.col("similarity")).alias("distance"))
-    merges = compaction(near.filter(F.col("distance") < below), state).select(F.col("source").alias("cluster"), "target")
-    return found.join(merges, "cluster", "left").select("id", F.coalesce("target", "cluster").alias("cluster"), "distance")

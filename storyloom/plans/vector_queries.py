@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators import clusters, models, trending, vectors
 from storyloom.plans.catalog import query
 from storyloom.plans.text_queries import HASHED, hashed
-from storyloom.sources.lens import AS_OF, model
+from storyloom.sources.lens import AS_OF, domain, model, stream_of
 from storyloom.streaming import jobs
 
 VECTORS_AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -157,11 +159,53 @@ def trending_board(spark: SparkSession, sf: str) -> DataFrame:
     return themes.withColumn("kind", F.lit("theme")).unionByName(words.withColumn("kind", F.lit("keyword")))
 
 
-@query("stream_assign")
+CUTS = [datetime(2024, 1, day) for day in (8, 15, 20)]
+JOIN, OPEN_DAYS = 0.7, 4
+
+
+def _assign_sql() -> str:
+    """Step by step: the nearest open centroid, then leaders in order by a recursion over the rows of a cell, then means."""
+    starts = [f"TIMESTAMP '{c}'" for c in CUTS]
+    apart = "1 - list_cosine_similarity({a}.x, {b}.x)"
+    step = " + ".join(f"(observed_at >= {c})::INT" for c in starts)
+    ctes = [f"""v AS MATERIALIZED (SELECT *, {step} AS step FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, primary_domain AS cell, published_at, published_at + to_hours(CAST(12 + vec_id * 7 % 48 AS BIGINT)) AS observed_at,
+        list_sort(list_distinct([primary_domain, {domain("vec_id")}])) AS domains FROM {{vectors}}) WHERE id % 10 <> 9)"""]
+    for k in range(len(CUTS) + 1):
+        if k:
+            ctes.append(f"""joined{k} AS MATERIALIZED (SELECT * FROM (SELECT a.id, s.id AS cluster, {apart.format(a="a", b="s")} AS distance FROM v a JOIN state{k} s USING (cell) WHERE a.step = {k} AND s.last_seen > {starts[k - 1]} - INTERVAL {OPEN_DAYS} DAY
+                QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({apart.format(a="a", b="s")}, 12), s.id) = 1) WHERE distance < {JOIN})""")
+        ctes.append(f"left{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY observed_at, id) AS o FROM v WHERE step = {k}{f' AND id NOT IN (SELECT id FROM joined{k})' if k else ''})")
+        ctes.append(f"earlier{k} AS MATERIALIZED (SELECT a.cell, a.o, a.id, list(b.id) FILTER (b.id IS NOT NULL) AS near FROM left{k} a LEFT JOIN left{k} b ON a.cell = b.cell AND b.o < a.o AND {apart.format(a='a', b='b')} < {JOIN} GROUP BY ALL)")
+        ctes.append(f"""fold{k} AS (SELECT cell, 0::BIGINT AS o, CAST([] AS BIGINT[]) AS found FROM (SELECT DISTINCT cell FROM left{k})
+            UNION ALL SELECT f.cell, e.o, CASE WHEN list_has_any(f.found, coalesce(e.near, [])) THEN f.found ELSE list_append(f.found, e.id) END FROM fold{k} f JOIN earlier{k} e ON e.cell = f.cell AND e.o = f.o + 1)""")
+        ctes.append(f"lead{k} AS MATERIALIZED (SELECT l.* FROM left{k} l WHERE l.id IN (SELECT unnest(found) FROM (SELECT found FROM fold{k} QUALIFY row_number() OVER (PARTITION BY cell ORDER BY o DESC) = 1)))")
+        ctes.append(f"""assigned{k} AS MATERIALIZED ({f"SELECT * FROM joined{k} UNION ALL " if k else ""}SELECT a.id, b.id AS cluster, CASE WHEN a.id <> b.id THEN {apart.format(a="a", b="b")} END AS distance FROM left{k} a JOIN lead{k} b USING (cell)
+            QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({apart.format(a="a", b="b")}, 12), b.id) = 1)""")
+        ctes.append(f"""members{k} AS MATERIALIZED (SELECT cluster AS id, count(*) AS m, max(CASE WHEN id = cluster THEN published_at END) AS published, max(observed_at) AS seen, min(cell) AS cell, list_sort(list_distinct(flatten(list(domains)))) AS domains FROM assigned{k} JOIN v USING (id) GROUP BY 1),
+        sums{k} AS MATERIALIZED (SELECT id, list(t ORDER BY place) AS total FROM (SELECT cluster AS id, place, sum(x[place]) AS t FROM assigned{k} JOIN v USING (id), range(1, 1 + (SELECT max(len(x)) FROM v)) r(place) GROUP BY 1, 2) GROUP BY 1)""")
+        mean = "list_transform(total, lambda y: y / m)"
+        if k:
+            ctes.append(f"""state{k + 1} AS MATERIALIZED (SELECT id, coalesce(s.cell, n.cell) AS cell, coalesce(s.n, 0) + coalesce(m, 0) AS n, coalesce(first_seen, published) AS first_seen, greatest(last_seen, seen) AS last_seen, list_sort(list_distinct(list_concat(s.domains, n.domains))) AS domains,
+                CASE WHEN m IS NULL THEN s.x WHEN s.n IS NULL THEN {mean} ELSE list_transform(range(1, len(total) + 1), lambda i: (s.x[i] * s.n + total[i]) / (s.n + m)) END AS x FROM state{k} s FULL JOIN (SELECT * FROM members{k} JOIN sums{k} USING (id)) n USING (id))""")
+        else:
+            ctes.append(f"state1 AS MATERIALIZED (SELECT id, cell, m AS n, published AS first_seen, seen AS last_seen, domains, {mean} AS x FROM members0 JOIN sums0 USING (id))")
+    every = " UNION ALL ".join(f"SELECT * FROM assigned{k}" for k in range(len(CUTS) + 1))
+    return f"""WITH RECURSIVE {", ".join(ctes)}, every AS ({every}), hit AS (SELECT vec_id AS id, cluster, NULL::DOUBLE AS distance FROM {{vectors}} JOIN every ON id = vec_id - 1 WHERE vec_id % 10 = 9)
+        SELECT e.id, e.cluster, round(e.distance, 4) AS distance, s.n AS item_count, s.first_seen AS first_seen_at, s.last_seen AS last_seen_at, array_to_string(s.domains, ',') AS domains FROM (SELECT * FROM every UNION ALL SELECT * FROM hit) e JOIN state{len(CUTS) + 1} s ON s.id = e.cluster"""
+
+
+@query("stream_assign", _assign_sql())
 def stream_assign(spark: SparkSession, sf: str) -> DataFrame:
-    cuts = [F.expr(f"{VECTORS_AS_OF} - INTERVAL {days} DAY") for days in (14, 7)]
-    found, state = clusters.assign_steps(rows(spark, sf).withColumn("observed_at", F.col("published_at")), cuts, 0.7)
-    return clusters.merged_assignment(found, state, 0.35).withColumn("distance", four("distance"))
+    """Items as a stream of observations, in steps; every tenth is a dedup hit on the row before it. Each row with its cluster's last state."""
+    arriving = stream_of(spark, "vectors", embeddings=jobs.source(spark, sf, "embeddings"))
+    items = arriving.select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "primary_domain", "published_at",
+        F.expr("published_at + make_dt_interval(0, CAST(12 + vec_id * 7 % 48 AS INT), 0, 0)").alias("observed_at"), F.array_sort(F.array_distinct(F.array("primary_domain", F.expr(domain("vec_id"))))).alias("domains"),
+    )
+    hits = model(spark, sf, "vectors").filter("vec_id % 10 = 9").select(F.col("vec_id").alias("id"), (F.col("vec_id") - 1).alias("stored_id"))
+    found, state = jobs.assigned(items, CUTS, JOIN, days=OPEN_DAYS, late=timedelta(days=36500), hits=hits)
+    last = state.select(F.col("id").alias("cluster"), "item_count", "first_seen_at", "last_seen_at", F.array_join("domains", ",").alias("domains"))
+    return found.join(last, "cluster").select("id", "cluster", four("distance").alias("distance"), "item_count", "first_seen_at", "last_seen_at", "domains")
 
 
 @query("model_stage", """SELECT doc_id, CASE WHEN regexp_matches(h, '[0-9]') THEN NULL ELSE h END AS output FROM (SELECT doc_id, array_to_string(list_slice([x FOR x IN regexp_split_to_array(text, '[\\s\\x1c-\\x1f\\x85\\xa0]+') IF x <> ''], 1, 5), ' ') AS h FROM {documents})""")
@@ -200,8 +244,6 @@ SELECT raw_id, source_id, external_id FROM fresh QUALIFY row_number() OVER (PART
 @query("stream_ingest", INGESTED)
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Arriving raw items by the batch's own rule: each micro-batch against what was known and what earlier ones wrote."""
-    from storyloom.sources.lens import stream_of
-
     arriving = hashed(stream_of(spark, "raw_items", documents=jobs.source(spark, sf, "documents"), pages=model(spark, sf, "pages")))
     known = hashed(model(spark, sf, "raw_items")).filter("raw_id % 7 = 0")
     found = jobs.ingested(arriving.filter("raw_id % 7 <> 0"), known, F.expr("TIMESTAMP '2024-01-15 00:00:00'"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators.assignment import assign_step, assignable, step_of, with_hits
 from storyloom.operators.ingest import hash_dedup
 from storyloom.sources.lens import zoned
 from storyloom.sources.shared import new_path
@@ -79,3 +82,40 @@ def cost_days(costs: DataFrame) -> DataFrame:
 def sessions(items: DataFrame, gap: str = "7 days") -> DataFrame:
     """(cluster_id, started, ended, n): a cluster lives while it is observed at least every ``gap``."""
     return items.groupBy("cluster_id", F.session_window("observed_at", gap).alias("s")).agg(F.count("*").alias("n")).select("cluster_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
+
+
+def assigned(items: DataFrame, cuts: Sequence[datetime], below: float = 0.30, cell: str = "primary_domain", days: int = 7, late: timedelta = timedelta(0), hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``assign_steps`` over a stream: (assigned items, the clusters' state) after all that has landed.
+
+    A micro-batch lands under its number and its items' steps, so that a batch that runs twice lands once. A step closes when an
+    item has been observed ``late`` after its end; then it is assigned against the table of centroids that the step
+    before wrote, and writes its own under its number: a step that runs twice writes the same again. With files in any order within ``late``,
+    the result is the batch's. An item that comes after its step closed goes to the first open one. At the end of the input all steps close.
+    """
+    spark, path = items.sparkSession, new_path(items.sparkSession, "assigned")
+    arriving = assignable(items if hits is None else items.join(hits.select("id"), "id", "left_anti"), cell)
+    starts = [F.lit(c) for c in cuts]
+    landed = f"{path}/landed"
+    arriving = arriving.withColumn("step", step_of(F.col("observed_at"), starts))
+    spark.createDataFrame([], arriving.schema).write.parquet(f"{landed}/batch=-1")
+    done: list[tuple[DataFrame, DataFrame]] = []
+    opened: dict[int, int] = {}  # the first open step when a batch came, also if it comes again
+
+    def close(until: int) -> None:
+        """Assigns all steps before ``until`` that are still open."""
+        while len(done) < until:
+            number = len(done)
+            step = spark.read.schema(arriving.schema).parquet(f"{landed}/batch=*").filter(F.col("step") == number).drop("step")
+            state = done[-1][1] if done else None
+            done.append(assign_step(state, step, starts[number - 1] if number else None, below, cell, days))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("step", F.greatest("step", F.lit(opened.setdefault(number, len(done))))).write.mode("overwrite").parquet(f"{landed}/batch={number}")
+        newest = spark.read.schema(arriving.schema).parquet(f"{landed}/batch=*").agg(F.max("observed_at")).first()[0]
+        if newest is not None:
+            close(sum(newest >= c + late for c in cuts))
+
+    drain(arriving, "assign", "append", put)
+    close(len(cuts) + 1)
+    found = reduce(DataFrame.unionByName, (one for one, _ in done))
+    return (found if hits is None else with_hits(found, hits)), done[-1][1]

@@ -114,13 +114,6 @@ def test_survivors_follow_long_chains(spark):
     assert {r["id"]: r["survivor"] for r in clusters.survivors(parents).collect()} == {**dict.fromkeys(range(50), 0), 100: 100}
 
 
-def test_online_assignment_is_the_running_mean(spark):
-    rows = [(1, [1.0, 0.0], 0), (2, [0.95, float(np.sqrt(1 - 0.95**2))], 1), (3, [0.0, 1.0], 2), (4, [0.9, float(np.sqrt(1 - 0.81))], -1)]
-    df = spark.createDataFrame([(i, v, hours(h), "d") for i, v, h in rows], "id long, vector array<double>, observed_at timestamp, primary_domain string")
-    got = {r["id"]: (r["cluster"], r["position"]) for r in clusters.assign_online(df).collect()}
-    assert got == {4: (4, 1), 1: (4, 2), 2: (4, 3), 3: (3, 1)}
-
-
 def test_hash_dedup_boundaries(spark):
     known = spark.createDataFrame([(1, "x0", "u1", "old", hours(-24 * 8)), (1, "x1", "u2", "edge", hours(-24 * 7))], "source_id int, external_id string, url_hash string, title_hash string, published_at timestamp")
     new = spark.createDataFrame([(1, 1, "a", "u1", "n1"), (2, 1, "b", "u9", "old"), (3, 1, "c", "u8", "edge"), (4, 1, "d", "u7", "t"), (5, 1, "e", "u7", "t"), (6, 1, "d", "u6", "t6"), (7, 1, "f", "u7", "other")], "raw_id long, source_id int, external_id string, url_hash string, title_hash string")
@@ -191,49 +184,3 @@ def test_streams_equal_batches(spark, sf):
     assert days == {(r["d"], r["n"]) for r in events.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).collect()}
     keys = lambda name: sorted(r["raw_id"] for r in q[name](spark, sf).collect())
     assert keys("stream_ingest") == keys("ingest_hash_dedup")
-
-
-def _steps_by_hand(rows, cuts, below):
-    """Each step against the means of the steps before, then a fold of what is left, cell by cell."""
-    out = {}
-    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
-    for cell in {r[3] for r in rows}:
-        state = {}
-        for low, high in zip([-1, *cuts], [*cuts, 10**9], strict=True):
-            step = sorted((r[2], r[0], np.array(r[1])) for r in rows if r[3] == cell and low <= r[2] < high)
-            new, members = {}, {}
-            for _, i, x in step:
-                best = max(state, key=lambda c: cos(state[c][0], x), default=None)
-                if best is not None and 1 - cos(state[best][0], x) < below:
-                    out[i] = best
-                else:
-                    best = max(new, key=lambda c: cos(new[c][0], x), default=None)
-                    if best is None or 1 - cos(new[best][0], x) >= below:
-                        best, new[i] = i, (x * 0, 0)
-                    c, n = new[best]
-                    new[best] = ((c * n + x) / (n + 1), n + 1)
-                    out[i] = best
-                members.setdefault(out[i], []).append(x)
-            for c, xs in members.items():
-                mean, n = state.get(c, (0, 0))
-                state[c] = ((mean * n + sum(xs)) / (n + len(xs)), n + len(xs))
-    return out
-
-
-def test_steps_of_assignment(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.normal(size=(6, 8))
-    rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.5).tolist(), int(rng.integers(0, 300)), "ab"[i // 6 % 2]) for i in range(120)]
-    odd = [(500, None, 1, "a"), (501, [0.0] * 8, 1, "a"), (502, [1.0] * 8, None, "a"), (503, [1.0] * 8, 1, None)]
-    df = spark.createDataFrame(rows + odd, "id long, vector array<double>, observed_at int, primary_domain string")
-    cuts = [F.lit(100), F.lit(200)]
-    found, state = clusters.assign_steps(df, cuts, 0.3)
-    assert {r["id"]: r["cluster"] for r in found.collect()} == _steps_by_hand(rows, [100, 200], 0.3)
-    members = {r["cluster"]: r["count"] for r in found.groupBy("cluster").count().collect()}
-    assert {r["id"]: r["item_count"] for r in state.collect()} == members
-    parted, split = clusters.assign_steps(df, cuts, 0.3, part_rows=4)
-    merged = clusters.merged_assignment(parted, split, 0.15).collect()
-    assert sorted(r["id"] for r in merged) == list(range(120))
-    assert len({r["cluster"] for r in merged}) < split.count()
-    empty, none = clusters.assign_steps(df.limit(0), cuts, 0.3)
-    assert empty.count() == none.count() == 0

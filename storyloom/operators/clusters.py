@@ -55,7 +55,7 @@ def merge_pairs(clusters: DataFrame, entities: DataFrame, as_of: Column, below:
     Near pairs come first, from blocks; each then needs one common entity, so that no entity's clusters are paired with each other.
     """
     clusters = observed(clusters, as_of, days)
-    near = cosine_pairs(clusters, clusters, "primary_domain", at_least=1 - below).filter("l_id < r_id AND 1 - similarity < " + str(below))
+    near = written(cosine_pairs(clusters, clusters, "primary_domain", at_least=1 - below).filter("l_id < r_id AND 1 - similarity < " + str(below)), "near")
     own = entities.select("id", "entity").distinct()
     shared = near.join(own.withColumnRenamed("id", "l_id"), "l_id").join(own.withColumnRenamed("id", "r_id"), ["r_id", "entity"]).select("l_id", "r_id").distinct()
     return near.join(shared, ["l_id", "r_id"], "left_semi").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (1 - F.col("similarity")).alias("distance"))
@@ -72,13 +72,53 @@ def compaction(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def compacted(clusters: DataFrame, merges: DataFrame) -> DataFrame:
-    """(id, item_count, first_seen_at, last_seen_at, status, merged_into, vector): the new state; centroids weigh by count."""
-    src = merges.join(clusters.select(F.col("id").alias("source"), F.col("item_count").alias("n2"), F.col("first_seen_at").alias("f2"), F.col("last_seen_at").alias("l2"), F.col("vector").alias("v2")), "source").select(F.col("target").alias("id"), "n2", "f2", "l2", "v2")
+    """clusters(id, item_count, first_seen_at, last_seen_at, domains, status, merged_into, vector) after the merges.
+
+    Of a target, centroids weigh by count, counts add up, domains unite, the first and the last time are those of both; a
+    source is ``merged`` into its target and stays as it was. ``domains`` may be missing.
+    """
+    wide = "domains" in clusters.columns
+    taken = clusters.select(F.col("id").alias("source"), F.col("item_count").alias("n2"), F.col("first_seen_at").alias("f2"), F.col("last_seen_at").alias("l2"), F.col("vector").alias("v2"), (F.col("domains") if wide else F.lit(None)).alias("d2"))
+    src = merges.join(taken, "source").drop("source", "distance").withColumnRenamed("target", "id")
     gone = merges.select(F.col("source").alias("id"), F.col("target").alias("into"))
-    joined = clusters.join(src, "id", "left").join(gone, "id", "left")
-    total = F.col("item_count") + F.coalesce("n2", F.lit(0))
-    mean = F.when(F.col("n2").isNotNull(), F.zip_with("vector", "v2", lambda x, y: (x * F.col("item_count") + y * F.col("n2")) / total)).otherwise(F.transform("vector", lambda x: x.cast("double")))
-    return joined.select("id", F.when(F.col("into").isNull(), total).otherwise(F.col("item_count")).alias("item_count"), F.least("first_seen_at", "f2").alias("first_seen_at"), F.greatest("last_seen_at", "l2").alias("last_seen_at"), F.when(F.col("into").isNotNull(), "merged").otherwise(F.col("status")).alias("status"), F.col("into").alias("merged_into"), mean.alias("vector"))
+    # the old columns have names of their own, as a name inside a lambda could mean the new column
+    joined = clusters.withColumnsRenamed({"item_count": "n1", "vector": "v1", "domains": "d1"}).join(src, "id", "left").join(gone, "id", "left")
+    total = F.col("n1") + F.coalesce("n2", F.lit(0))
+    mean = F.when(F.col("n2").isNotNull(), F.zip_with("v1", "v2", lambda x, y: (x * F.col("n1") + y * F.col("n2")) / total)).otherwise(F.transform("v1", lambda x: x.cast("double")))
+    both = [F.when(F.col("d2").isNull(), F.col("d1")).otherwise(F.array_sort(F.array_union("d1", "d2"))).alias("domains")] if wide else []
+    into = F.coalesce("into", "merged_into") if "merged_into" in clusters.columns else F.col("into")
+    return joined.select(
+        "id", total.alias("item_count"), F.least("first_seen_at", "f2").alias("first_seen_at"), F.greatest("last_seen_at", "l2").alias("last_seen_at"), *both,
+        F.when(F.col("into").isNotNull(), "merged").otherwise(F.col("status")).alias("status"), into.alias("merged_into"), mean.alias("vector"),
+        *[c for c in clusters.columns if c == "primary_domain"],
+    )
+
+
+def repointed(items: DataFrame, merges: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """The items with those of merged clusters in their targets."""
+    to = merges.select(F.col("source").alias(cluster), "target")
+    return items.join(to, cluster, "left").withColumn(cluster, F.coalesce("target", cluster)).drop("target").select(*items.columns)
+
+
+def compact(clusters: DataFrame, entities: DataFrame, as_of: Column, below: float = 0.15, days: int = 7, passes: int | None = 1, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(clusters, merges of all passes, items) after so many passes, or (``None``) until nothing merges.
+
+    A pass finds near pairs of active clusters that share an entity once, matches them greedily and merges; a merged
+    centroid has moved, so what it could merge with now is the next pass's. Entities of a source are its target's in the next pass.
+    """
+    every, number = None, 0
+    while passes is None or number < passes:
+        merges = written(compaction(merge_pairs(clusters, entities, as_of, below, days), clusters), "merges")
+        if merges.isEmpty() and every is not None:
+            break
+        every = merges if every is None else every.unionByName(merges)
+        clusters = written(compacted(clusters, merges), "compacted")
+        entities = written(repointed(entities, merges, "id"), "entities")
+        items = None if items is None else written(repointed(items, merges), "repointed")
+        number += 1
+        if passes is None and merges.isEmpty():
+            break
+    return clusters, every, items
 
 
 def survivors(parents: DataFrame) -> DataFrame:

@@ -29,11 +29,8 @@ def cosine(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(unit(a), unit(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float | None = None, at_most: float = 2.0, k: int | None = None, best: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """(l_id, r_id, similarity) for left(id, vector, block) and right alike: all pairs in [at_least, at_most], or each left row's k best.
-
-    With ``best`` only that many of a group's pairs leave it, the most similar: enough for as many of all pairs.
-    """
+def _dealt(left: DataFrame, right: DataFrame, block: str, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with unit vectors, dealt over groups (block, i, j): part i of left meets part j of right."""
     sides = []
     for side in (left, right):
         good = side.select("id", F.col(block).alias("block"), unit("vector").alias("v")).filter("id IS NOT NULL AND block IS NOT NULL AND v IS NOT NULL")
@@ -45,18 +42,56 @@ def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float
         rows.join(counts, "block").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("block", "i", "j", "id", "v")
     )
     a, b = spread(l_rows, "lp", "rp", "i", "j"), spread(r_rows, "rp", "lp", "j", "i")
-    b = b.toDF(*b.columns)  # both sides may come from one table
+    return a, b.toDF(*b.columns)  # both sides may come from one table
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def near_ids(left: DataFrame, right: DataFrame, block: str, below: float, part_rows: int = PART_ROWS, step: int = 512) -> DataFrame:
+    """(id) of the left rows that have a right row of their block, other than themselves, at a cosine distance under ``below``.
+
+    An existence join: a group gives ids, each at most once, never pairs. Within a group a row is compared with
+    ``step`` right rows at a time, and no more once one was near.
+    """
+    a, b = _dealt(left, right, block, part_rows)
+    kind = dict(left.dtypes)["id"]
+
+    def hits(x: pa.Table, y: pa.Table) -> pa.Table:
+        schema = pa.schema([("id", x.schema.field("id").type)])
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        rows, others, ids, other_ids = _matrix(x), _matrix(y), x.column("id").to_numpy(), y.column("id").to_numpy()
+        open_ = np.arange(len(rows))
+        for k in range(0, len(others), step):
+            near = (1 - rows[open_] @ others[k : k + step].T < below) & (ids[open_, None] != other_ids[None, k : k + step])
+            open_ = open_[~near.any(axis=1)]
+            if not len(open_):
+                break
+        hit = np.ones(len(rows), bool)
+        hit[open_] = False
+        return pa.table([np.unique(ids[hit])], schema=schema)
+
+    return a.groupBy("block", "i", "j").cogroup(b.groupBy("block", "i", "j")).applyInArrow(hits, f"id {kind}").distinct()
+
+
+def cosine_pairs(left: DataFrame, right: DataFrame, block: str, at_least: float | None = None, at_most: float = 2.0, k: int | None = None, best: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """(l_id, r_id, similarity) for left(id, vector, block) and right alike: all pairs in [at_least, at_most], or each left row's k best.
+
+    With ``best`` only that many of a group's pairs leave it, the most similar: enough for as many of all pairs.
+    """
+    a, b = _dealt(left, right, block, part_rows)
     kind = dict(left.dtypes)["id"]
 
     def product(x: pa.Table, y: pa.Table) -> pa.Table:
         schema = pa.schema([("l_id", x.schema.field("id").type), ("r_id", y.schema.field("id").type), ("similarity", pa.float64())])
         if not x.num_rows or not y.num_rows:
             return schema.empty_table()
-        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         l_ids, r_ids = x.column("id").to_numpy(), y.column("id").to_numpy()
         order = np.argsort(r_ids, kind="stable")
-        r_ids, m = r_ids[order], matrix(y)[order]
-        similar = matrix(x) @ m.T
+        r_ids, m = r_ids[order], _matrix(y)[order]
+        similar = _matrix(x) @ m.T
         if k is not None and k < len(r_ids):
             rough = np.round(similar, 12)
             edge = np.partition(rough, len(r_ids) - k, axis=1)[:, len(r_ids) - k, None]

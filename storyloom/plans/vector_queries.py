@@ -45,21 +45,21 @@ def semantic_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "stored_id", four("similarity").alias("similarity"))
 
 
-@query("nearest_cluster", f"""SELECT a.vec_id AS id, b.vec_id AS cluster_id, round(1 - {sim('a', 'b')}, 4) AS distance, 1 - {sim('a', 'b')} < 0.7 AS joins FROM {{vectors}} a JOIN {{vectors}} b ON a.primary_domain = b.primary_domain WHERE a.vec_id % 4 = 1 AND b.vec_id % 4 = 2 AND {seen(12, "b.")}
+@query("nearest_cluster", f"""SELECT a.vec_id AS id, b.vec_id AS cluster_id, round(1 - {sim('a', 'b')}, 4) AS distance, 1 - {sim('a', 'b')} < 0.7 AS joins FROM {{vectors}} a JOIN {{vectors}} b ON a.primary_domain = b.primary_domain WHERE a.vec_id % 4 = 1 AND b.vec_id % 4 <> 1 AND {seen(12, "b.")}
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim('a', 'b')} DESC, b.vec_id) = 1""")
 def nearest_cluster(spark: SparkSession, sf: str) -> DataFrame:
     v = rows(spark, sf)
-    return clusters.nearest(v.filter("id % 4 = 1"), v.filter("id % 4 = 2"), F.expr(VECTORS_AS_OF), 0.7, 12).withColumn("distance", four("distance"))
+    return clusters.nearest(v.filter("id % 4 = 1"), v.filter("id % 4 <> 1"), F.expr(VECTORS_AS_OF), 0.7, 12).withColumn("distance", four("distance"))
 
 
-TOP = f"""top AS (SELECT a.vec_id AS id, b.vec_id AS archive_id, {sim('a', 'b')} AS s, b.published_at, row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim('a', 'b')} DESC, b.vec_id) AS rank FROM {{vectors}} a, {{vectors}} b WHERE a.vec_id % 4 = 2 AND a.vec_id % 40 <> 2 AND b.vec_id % 4 = 0)"""
+TOP = f"""top AS (SELECT a.vec_id AS id, b.vec_id AS archive_id, {sim('a', 'b')} AS s, b.published_at, row_number() OVER (PARTITION BY a.vec_id ORDER BY {sim('a', 'b')} DESC, b.vec_id) AS rank FROM {{vectors}} a, {{vectors}} b WHERE a.vec_id % 4 = 2 AND a.vec_id % 40 <> 2 AND b.vec_id % 4 <> 2)"""
 GATE = f"""{TOP}, gate AS (SELECT v.vec_id AS id, round(coalesce(s, 0), 4) AS overlap, CASE WHEN s > 0.35 AND t.published_at >= {VECTORS_AS_OF} - INTERVAL 10 DAY THEN 'drop' WHEN s > 0.25 AND s <= 0.35 THEN 'flag' ELSE 'pass' END AS decision FROM {{vectors}} v LEFT JOIN top t ON t.id = v.vec_id AND rank = 1 WHERE v.vec_id % 4 = 2)"""
 
 
 def centroids_and_archive(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Some centroids have no vector yet, and so no match."""
+    """Every fourth vector is a centroid, all others are the archive. Some centroids have no vector yet, and so no match."""
     v = rows(spark, sf)
-    return v.filter("id % 4 = 2").withColumn("vector", F.when(F.col("id") % 40 != 2, F.col("vector"))), v.filter("id % 4 = 0")
+    return v.filter("id % 4 = 2").withColumn("vector", F.when(F.col("id") % 40 != 2, F.col("vector"))), v.filter("id % 4 <> 2")
 
 
 @query("archive_topk", f"WITH {TOP} SELECT id, rank, archive_id, round(s, 4) AS similarity, round(max(s) OVER (PARTITION BY id), 4) AS overlap, CASE WHEN rank <= 3 THEN published_at END AS link_published_at FROM top WHERE rank <= 5")
@@ -87,25 +87,42 @@ def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter("d IS NOT NULL").orderBy("d", "id").limit(20).select("id", four("d").alias("distance"))
 
 
-MERGE = f"""c AS (SELECT *, vec_id % 17 AS e1, vec_id % 23 AS e2 FROM {{vectors}} WHERE vec_id % 4 = 2 AND {seen(15)}), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {sim('a', 'b')} AS distance FROM c a JOIN c b ON a.primary_domain = b.primary_domain AND a.vec_id < b.vec_id AND (a.e1 = b.e1 OR a.e2 = b.e2) WHERE 1 - {sim('a', 'b')} < 0.9)"""
+MERGE = f"""c AS (SELECT *, vec_id % 17 AS e1, vec_id % 23 AS e2 FROM {{vectors}} WHERE {seen(15)}), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {sim('a', 'b')} AS distance FROM c a JOIN c b ON a.primary_domain = b.primary_domain AND a.vec_id < b.vec_id AND (a.e1 = b.e1 OR a.e2 = b.e2) WHERE 1 - {sim('a', 'b')} < 0.9)"""
+
+
+def entities(v: DataFrame) -> DataFrame:
+    return v.select("id", F.explode(F.array(F.concat(F.lit("e"), (F.col("id") % 17).cast("string")), F.concat(F.lit("f"), (F.col("id") % 23).cast("string")))).alias("entity"))
 
 
 def merging(v: DataFrame) -> DataFrame:
-    entities = v.select("id", F.explode(F.array(F.concat(F.lit("e"), (F.col("id") % 17).cast("string")), F.concat(F.lit("f"), (F.col("id") % 23).cast("string")))).alias("entity"))
-    return clusters.merge_pairs(v, entities, F.expr(VECTORS_AS_OF), 0.9, 15)
+    return clusters.merge_pairs(v, entities(v), F.expr(VECTORS_AS_OF), 0.9, 15)
 
 
 @query("merge_candidates", f"WITH {MERGE} SELECT a, b, round(distance, 4) AS distance FROM pairs")
 def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return merging(rows(spark, sf).filter("id % 4 = 2")).withColumn("distance", four("distance"))
+    return merging(rows(spark, sf)).withColumn("distance", four("distance"))
+
+
+COMPACT = f"""WITH RECURSIVE {MERGE}, ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(distance, 12), a, b) AS o FROM pairs),
+fold AS (SELECT 0::BIGINT AS o, CAST([] AS BIGINT[]) AS used, false AS kept UNION ALL SELECT p.o, CASE WHEN list_has_any(f.used, [p.a, p.b]) THEN f.used ELSE list_concat(f.used, [p.a, p.b]) END, NOT list_has_any(f.used, [p.a, p.b]) FROM fold f JOIN ordered p ON p.o = f.o + 1),
+state AS MATERIALIZED (SELECT vec_id AS id, vec_id % 13 + 1 AS n, published_at AS first, published_at + INTERVAL 5 HOUR AS last, list_sort(list_distinct([primary_domain, {domain("vec_id")}])) AS domains, CASE WHEN vec_id % 12 = 2 THEN 'merged' ELSE 'active' END AS status, CAST(embedding AS DOUBLE[]) AS x FROM {{vectors}}),
+chosen AS (SELECT a, b FROM fold JOIN ordered USING (o) WHERE kept),
+sided AS (SELECT CASE WHEN s.n > t.n OR s.n = t.n AND s.first <= t.first THEN a ELSE b END AS target, CASE WHEN s.n > t.n OR s.n = t.n AND s.first <= t.first THEN b ELSE a END AS source FROM chosen JOIN state s ON s.id = a JOIN state t ON t.id = b),
+items AS (SELECT id AS cluster_id, unnest(range(0, n)) AS k FROM state), pointed AS (SELECT coalesce(target, cluster_id) AS id, count(*) AS items FROM items LEFT JOIN sided ON source = cluster_id GROUP BY 1)
+SELECT s.id, s.n + coalesce(t.n, 0) AS item_count, coalesce(p.items, 0) AS items, least(s.first, coalesce(t.first, s.first)) AS first_seen_at, greatest(s.last, coalesce(t.last, s.last)) AS last_seen_at, array_to_string(list_sort(list_distinct(list_concat(s.domains, t.domains))), ',') AS domains,
+ CASE WHEN g.target IS NOT NULL THEN 'merged' ELSE s.status END AS status, g.target AS merged_into, round(CASE WHEN t.id IS NULL THEN list_sum(s.x) ELSE (list_sum(s.x) * s.n + list_sum(t.x) * t.n) / (s.n + t.n) END, 4) AS vector_sum
+FROM state s LEFT JOIN sided m ON m.target = s.id LEFT JOIN state t ON t.id = m.source LEFT JOIN sided g ON g.source = s.id LEFT JOIN pointed p ON p.id = s.id"""
 
 
-@query("compact_clusters")
+@query("compact_clusters", COMPACT)
 def compact_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass over all clusters, their items re-pointed."""
     v = rows(spark, sf)
-    state = v.select("id", (F.col("id") % 13 + 1).alias("item_count"), F.col("published_at").alias("first_seen_at"), (F.col("published_at") + F.expr("INTERVAL 5 HOUR")).alias("last_seen_at"), F.lit("active").alias("status"), "vector")
-    merges = clusters.compaction(merging(v), state)
-    return clusters.compacted(state, merges).select("id", "item_count", "first_seen_at", "last_seen_at", "status", "merged_into", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"))
+    state = v.withColumns({"item_count": F.col("id") % 13 + 1, "first_seen_at": F.col("published_at"), "domains": F.array_sort(F.array_distinct(F.array("primary_domain", F.expr(domain("id")))))})
+    items = state.select(F.col("id").alias("cluster_id"), F.explode(F.sequence(F.lit(1).cast("long"), "item_count")).alias("k"))
+    after, _, pointed = clusters.compact(state, entities(v), F.expr(VECTORS_AS_OF), 0.9, 15, items=items)
+    counted = after.join(pointed.groupBy(F.col("cluster_id").alias("id")).agg(F.count("*").alias("items")), "id", "left")
+    return counted.select("id", "item_count", F.coalesce("items", F.lit(0).cast("long")).alias("items"), "first_seen_at", "last_seen_at", F.array_join("domains", ",").alias("domains"), "status", "merged_into", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"))
 
 
 PARENTS = "SELECT cluster_id AS id, CASE WHEN cluster_id % 4 <> 0 AND cluster_id > 0 THEN cluster_id - cluster_id % 4 + CASE WHEN cluster_id % 4 > 1 THEN cluster_id % 4 - 1 ELSE 0 END END AS merged_into FROM {clusters}"
@@ -126,7 +143,7 @@ def collision_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("fragmentation_rate", f"""WITH n AS (SELECT a.vec_id, CAST(a.published_at AS DATE) AS day, max(CASE WHEN 1 - {sim('a', 'b')} < 0.7 THEN 1 ELSE 0 END) AS near FROM {{vectors}} a JOIN {{vectors}} b ON a.primary_domain = b.primary_domain AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT day, count(*) AS clusters, round(avg(near), 6) AS rate FROM n GROUP BY 1""")
 def fragmentation_rate(spark: SparkSession, sf: str) -> DataFrame:
     v = rows(spark, sf)
-    near = vectors.cosine_pairs(v, v, "primary_domain", at_least=0.3).filter("l_id <> r_id AND 1 - similarity < 0.7").select(F.col("l_id").alias("id")).distinct().withColumn("near", F.lit(1))
+    near = vectors.near_ids(v, v, "primary_domain", 0.7).withColumn("near", F.lit(1))
     return v.join(near, "id", "left").groupBy(F.to_date("published_at").alias("day")).agg(F.count("*").alias("clusters"), F.round(F.avg(F.coalesce("near", F.lit(0))), 6).alias("rate"))
 
 

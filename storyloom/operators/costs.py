@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.operators.running import before, ranged
 from storyloom.schemas import BUCKETS, DEAREST, PRICES
+from storyloom.sources.shared import written
 
 EPSILON = 1e-9
 
@@ -35,25 +37,27 @@ def daily(costs: DataFrame, ceiling: float, shares: dict[str, float], flat: dict
     return sums.select("day", F.when(F.col("whole") == 1, "all").otherwise(F.col("bucket")).alias("bucket"), F.col("usd").cast("double").alias("usd"), F.round(pct, 6).alias("pct"), (pct + EPSILON >= 0.8).alias("alert"), (pct + EPSILON >= 1.0).alias("hit"))
 
 
-def alerts(costs: DataFrame, ceiling: float, fired: DataFrame | None = None) -> DataFrame:
-    """(day, id, pct): the call at which a day's running spend first reaches 80 %, of days that haven't fired."""
-    order = Window.partitionBy("day").orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    running = costs.withColumn("day", F.to_date("occurred_at")).withColumn("spent", F.sum("usd").over(order)).filter(F.col("spent").cast("double") / ceiling + EPSILON >= 0.8)
-    first = running.groupBy("day").agg(F.min(F.struct("occurred_at", "id", "spent")).alias("f"))
+def alerts(costs: DataFrame, ceiling: float, fired: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(day, id, pct): the call at which a day's running spend first reaches 80 %, of days that haven't fired. A day's calls are dealt over tasks."""
+    order = ["day", "occurred_at", "id"]
+    rows = ranged(costs.select("id", "occurred_at", "usd", F.to_date("occurred_at").alias("day")), order, parts)
+    running = before(rows, ["day"], order, F.col("usd"), "spent").withColumn("spent", F.col("spent") + F.coalesce("usd", F.lit(0)))
+    first = running.filter(F.col("spent").cast("double") / ceiling + EPSILON >= 0.8).groupBy("day").agg(F.min(F.struct("occurred_at", "id", "spent")).alias("f"))
     out = first.select("day", F.col("f.id").alias("id"), F.round(F.least(F.lit(9.9999), F.col("f.spent").cast("double") / ceiling), 4).alias("pct"))
     return out if fired is None else out.join(fired, "day", "left_anti")
 
 
-def gate(calls: DataFrame, ceiling: float, shares: dict[str, float]) -> DataFrame:
-    """(id, admitted, scope): calls in order until one would reach its bucket's or the day's ceiling; that one halts the day."""
-    rows = calls.withColumn("day", F.to_date("occurred_at")).withColumn("bucket", bucket())
-    before = lambda *keys: F.coalesce(F.sum("usd").over(Window.partitionBy(*keys).orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+def gate(calls: DataFrame, ceiling: float, shares: dict[str, float], parts: int | None = None) -> DataFrame:
+    """(id, admitted, scope): calls in order until one would reach its bucket's or the day's ceiling; that one halts the day. A day's calls are dealt over tasks."""
+    order = ["day", "occurred_at", "id"]
+    rows = ranged(calls.select("id", "occurred_at", "usd", F.to_date("occurred_at").alias("day"), bucket().alias("bucket")), order, parts)
     own = F.lit(None).cast("double")
     for name, share in shares.items():
         own = F.when(F.col("bucket") == name, ceiling * share).otherwise(own)
-    usd = F.col("usd").cast("double")
-    scope = F.when(own.isNotNull() & (before("day", "bucket") + usd + EPSILON >= own), "bucket").when(before("day") + usd + EPSILON >= ceiling, "day")
-    judged = rows.withColumn("scope", scope)
-    halted = F.max(F.col("scope").isNotNull()).over(Window.partitionBy("day").orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    first = F.sum(F.col("scope").isNotNull().cast("int")).over(Window.partitionBy("day").orderBy("occurred_at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return judged.withColumn("halted", halted).withColumn("nth", first).select("id", (~F.col("halted")).alias("admitted"), F.when((F.col("nth") == 1) & F.col("scope").isNotNull(), F.col("scope")).alias("scope"))
+    spent = before(before(rows, ["day"], order, F.col("usd"), "of_day"), ["day", "bucket"], order, F.col("usd"), "of_bucket")
+    reaches = lambda c, limit: F.col(c).cast("double") + F.col("usd").cast("double") + EPSILON >= limit
+    scope = F.when(own.isNotNull() & reaches("of_bucket", own), "bucket").when(reaches("of_day", F.lit(ceiling)), "day")
+    judged = written(spent.withColumn("scope", scope), "judged")
+    stop = F.col("scope").isNotNull().cast("int")
+    stops = before(judged, ["day"], order, stop, "earlier")
+    return stops.select("id", (F.col("earlier") + stop == 0).alias("admitted"), F.when((F.col("earlier") == 0) & F.col("scope").isNotNull(), F.col("scope")).alias("scope"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import briefs, candidates, costs, feedback, inbox, ingest, signals
+from storyloom.operators import briefs, candidates, costs, coverage, feedback, inbox, ingest, signals
 from storyloom.plans import run as scoring
 from storyloom.plans.catalog import query
 from storyloom.plans.text_queries import HALF_LIFE, HASHED, hashed, quoted
@@ -176,6 +176,19 @@ def latest_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return signals.latest_coverage(model(spark, sf, "coverage"))
 
 
+LOOKUP = """c AS (SELECT sha256(concat('topic ', CAST(user_id % 40 AS VARCHAR))) AS query_hash, ts AS fetched_at, max(event_id) AS coverage_id FROM {events} WHERE event_id % 3 <> 0 GROUP BY 1, 2),
+r AS (SELECT event_id AS request_id, sha256(concat('topic ', CAST(user_id % 40 AS VARCHAR))) AS query_hash, ts AS requested_at FROM {events} WHERE event_id % 3 = 0)"""
+
+
+@query("coverage_lookup", f"""WITH {LOOKUP}, l AS (SELECT r.request_id, c.coverage_id, c.fetched_at, coalesce(c.fetched_at >= r.requested_at - INTERVAL 6 HOUR, false) AS hit FROM r ASOF LEFT JOIN c ON r.query_hash = c.query_hash AND r.requested_at >= c.fetched_at)
+SELECT request_id, CASE WHEN hit THEN coverage_id END AS coverage_id, CASE WHEN hit THEN fetched_at END AS fetched_at, hit FROM l""")
+def coverage_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third event asks for the coverage of its topic, the others are what was fetched."""
+    events = model(spark, sf, "events").withColumn("query_hash", F.sha2(F.concat(F.lit("topic "), (F.col("user_id") % 40).cast("string")), 256))
+    requests = events.filter("event_id % 3 = 0").select(F.col("event_id").alias("request_id"), "query_hash", F.col("ts").alias("requested_at"))
+    return coverage.lookups(requests, events.filter("event_id % 3 <> 0").select("query_hash", F.col("ts").alias("fetched_at"), F.col("event_id").alias("coverage_id")))
+
+
 WEIGHT = "CASE c.primary_domain " + " ".join(f"WHEN '{n}' THEN {w}" for n, (_, w, _) in DOMAINS.items()) + " ELSE 1.0 END"
 SCORE = f"""sums AS (SELECT cluster_id, CAST(sum(coalesce(authority_weighted, authority_score)) AS DOUBLE) AS auth, bool_and(kind = 'arxiv') AS arxiv_only FROM {{items}} JOIN {{sources}} USING (source_id) GROUP BY 1),
 heur AS (SELECT c.cluster_id, coalesce(auth, 0) AS authority, CAST(greatest(0, least(1, coalesce(country_count / 5.0, 0))) AS DOUBLE) AS geo, coalesce(arxiv_only, false) AS arxiv_only,

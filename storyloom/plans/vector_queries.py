@@ -236,7 +236,7 @@ def model_stage(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_activity_windows", """WITH w AS (SELECT user_id AS cluster_id, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS window_start FROM {events}) SELECT cluster_id, window_start, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_activity_windows(spark: SparkSession, sf: str) -> DataFrame:
     items = jobs.source(spark, sf, "events").select(F.col("user_id").alias("cluster_id"), F.col("ts").alias("published_at"))
-    return jobs.latest(jobs.activity_windows(items), "activity", ["cluster_id", "window_start"])
+    return jobs.activity_windows(items).select("cluster_id", "window_start", "n")
 
 
 @query("stream_cost_daily", "SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(value / 1000 AS DECIMAL(10, 6))) AS DOUBLE) AS usd, count(*) AS calls FROM {events} GROUP BY 1")
@@ -248,7 +248,8 @@ def stream_cost_daily(spark: SparkSession, sf: str) -> DataFrame:
 @query("cluster_sessions", """WITH g AS (SELECT *, CASE WHEN observed_at > lag(observed_at) OVER w + INTERVAL 60 DAY OR lag(observed_at) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM {items} WINDOW w AS (PARTITION BY cluster_id ORDER BY observed_at)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY cluster_id ORDER BY observed_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT cluster_id, min(observed_at) AS started, max(observed_at) + INTERVAL 60 DAY AS ended, count(*) AS n FROM s GROUP BY cluster_id, k""")
 def cluster_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.sessions(model(spark, sf, "items"), "60 days")
+    items = stream_of(spark, "items", lineitem=jobs.source(spark, sf, "lineitem"))
+    return jobs.sessions(items, "60 days")
 
 
 INGESTED = f"""WITH {HASHED}, known AS (SELECT * FROM h WHERE raw_id % 7 = 0), new AS (SELECT * FROM h WHERE raw_id % 7 <> 0),

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.assignment import assign_step, assignable, step_of, with_hits
@@ -69,9 +69,34 @@ def ingested(arriving: DataFrame, known: DataFrame, as_of: Column, days: int = 7
     return stored().drop("batch")
 
 
-def activity_windows(items: DataFrame, size: str = "24 hours", slide: str = "12 hours", late: str = "3650 days") -> DataFrame:
-    """Items of a cluster in sliding windows of event time."""
-    return items.withWatermark("published_at", late).groupBy("cluster_id", F.window("published_at", size, slide).alias("w")).agg(F.count("*").alias("n")).select("cluster_id", F.col("w.start").alias("window_start"), "n")
+def partials(stream: DataFrame, name: str, counted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``counted`` makes of each micro-batch, under the batch's number: a table of partial results that add up in any order.
+
+    A batch that runs twice writes its folder anew. No state is held between batches, so none can grow or grow late.
+    """
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
+    empty = counted(spark.createDataFrame([], stream.schema))
+    empty.write.parquet(f"{path}/batch=-1")
+    drain(stream, name, "append", lambda batch, number: counted(batch).write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    return spark.read.schema(f"{empty.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").option("basePath", path).parquet(path)
+
+
+def activity_windows(items: DataFrame, size: str = "24 hours", slide: str = "12 hours", late: timedelta = timedelta(days=2)) -> DataFrame:
+    """(cluster_id, window_start, n, corrected) of items in sliding windows of event time.
+
+    A window closes once an item ``late`` after its end has come in an earlier batch. What comes for a closed window is a correction: it is
+    counted in ``n``, as in a batch over all items, and apart in ``corrected``.
+    """
+    windows = F.window("published_at", size, slide)
+
+    def counted(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("cluster_id", windows.alias("w")).agg(F.count("*").alias("n"), F.max("published_at").alias("newest")).select("cluster_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "newest")
+
+    parts = partials(items.select("cluster_id", "published_at"), "activity", counted)
+    newest = parts.groupBy("batch").agg(F.max("newest").alias("newest"))  # a row for each batch
+    horizon = newest.select("batch", (F.max("newest").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)) - F.lit(late)).alias("horizon"))
+    closed = F.coalesce(F.col("window_end") <= F.col("horizon"), F.lit(False))
+    return parts.join(F.broadcast(horizon), "batch").groupBy("cluster_id", "window_start").agg(F.sum("n").alias("n"), F.sum(F.when(closed, F.col("n")).otherwise(0)).alias("corrected"))
 
 
 def cost_days(costs: DataFrame) -> DataFrame:
@@ -80,8 +105,25 @@ def cost_days(costs: DataFrame) -> DataFrame:
 
 
 def sessions(items: DataFrame, gap: str = "7 days") -> DataFrame:
-    """(cluster_id, started, ended, n): a cluster lives while it is observed at least every ``gap``."""
-    return items.groupBy("cluster_id", F.session_window("observed_at", gap).alias("s")).agg(F.count("*").alias("n")).select("cluster_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
+    """(cluster_id, started, ended, n): a cluster lives while it is observed at least every ``gap``.
+
+    Of a stream, each micro-batch gives its own sessions; sessions of a cluster that meet are one, also where a late item joins two.
+    """
+
+    def counted(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("cluster_id", F.session_window("observed_at", gap).alias("s")).agg(F.count("*").alias("n")).select("cluster_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
+
+    rows = items.select("cluster_id", "observed_at")
+    return united(partials(rows, "sessions", counted).drop("batch")) if items.isStreaming else counted(rows)
+
+
+def united(sessions: DataFrame) -> DataFrame:
+    """Sessions(cluster_id, started, ended, n) with those that meet as one; a cluster has few."""
+    order = Window.partitionBy("cluster_id").orderBy("started", "ended")
+    reach = F.max("ended").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("started") >= reach), 1).otherwise(0)
+    numbered = sessions.withColumn("fresh", fresh).withColumn("k", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("cluster_id", "k").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n")).drop("k")
 
 
 def assigned(items: DataFrame, cuts: Sequence[datetime], below: float = 0.30, cell: str = "primary_domain", days: int = 7, late: timedelta = timedelta(0), hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

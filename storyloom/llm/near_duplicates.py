@@ -17,8 +17,8 @@
    filter admits is either decided or within one component, and no group emits pairs of one component.
 4. Components by label propagation with pointer jumping, as joins.
 
-Texts are read for the sketch, for the prefixes, and, of the documents in pairs alone, once for either side of a pair,
-for the sorted hash sets that decide. Joins deal hot keys (copies of one text, shingles, centres, hubs, large components) over tasks:
+Texts are read for the sketch, for the prefixes, and, of the documents in pairs alone, once for either side of a pair;
+the two texts of a pair meet, and their sorted hash sets decide. Joins deal hot keys (copies of one text, shingles, centres, hubs, large components) over tasks:
 ``spread`` counts keys first and splits those beyond half a partition's fair share. What is broadcast is of a fixed
 size (the sketch), has at most twice as many rows as there are partitions (hot keys), or fits ``BROADCAST_BYTES``
 by its count, with a shuffled join beyond it.
@@ -166,20 +166,10 @@ def prefixes(docs: DataFrame, order: np.ndarray, text: str, key: str, words: int
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {kind}, n long, whole long, tokens array<long>")
 
 
-def hash_sets(docs: DataFrame, ids: DataFrame, text: str, key: str, words: int, repeated: bool) -> DataFrame:
-    """(id, hashes) of the documents with the given ids: their sets' hashes, sorted, eight bytes each."""
+def texts_of(docs: DataFrame, ids: DataFrame, text: str, key: str, repeated: bool) -> DataFrame:
+    """(id, text) of the documents with the given ids."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(checked(ids), "id", "left_semi")
-    texts = texts.dropDuplicates(["id", "text"]) if repeated else texts
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for i, j in steps(offsets):
-                own, value = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                ends = np.searchsorted(own, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "hashes"])
-
-    return texts.mapInArrow(lean(run), f"id {dict(docs.dtypes)[key]}, hashes binary")
+    return texts.dropDuplicates(["id", "text"]) if repeated else texts
 
 
 def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = WORDS, percent: int = PERCENT, repeated: bool = True) -> DataFrame:
@@ -187,19 +177,21 @@ def decided(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int =
     kind = dict(docs.dtypes)[key]
     kept = pairs.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")  # of two directions one
     pairs = written(kept, "jaccard-kept")
-    # each side carries only the sets that stand on it
-    sets = lambda c: hash_sets(docs, written(pairs.select(F.col(c).alias("id")).distinct(), "jaccard-ids"), text, key, words, repeated).withColumnsRenamed({"id": c, "hashes": f"hashes_{c}"})
-    left = pairs.join(sets("a"), "a")
-    joined = spread(left, sets("b"), ["b"], counted=pairs).select("a", "b", "hashes_a", "hashes_b")
+    # each side carries only the texts that stand on it: an exchange packs text to less than half of what hashes, which are random, take
+    side = lambda c: texts_of(docs, written(pairs.select(F.col(c).alias("id")).distinct(), "jaccard-ids"), text, key, repeated).withColumnsRenamed({"id": c, "text": f"text_{c}"})
+    joined = spread(pairs.join(side("a"), "a"), side("b"), ["b"], counted=pairs).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
-            for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
-                both = np.sort(np.concatenate([one, two]), kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                linked[i] = n > 0 and 100 * n >= percent * (len(one) + len(two) - n)
+            (data_a, at_a), (data_b, at_b) = utf8(batch.column(2)), utf8(batch.column(3))
+            for i, j in steps(at_a + at_b):
+                rows, values = zip(*(shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], words) for data, at in ((data_a, at_a), (data_b, at_b))), strict=True)
+                row, value = np.concatenate(rows), np.concatenate(values)
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                both = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=j - i)
+                linked[i:j] = (both > 0) & (100 * both >= percent * (np.bincount(row, minlength=j - i) - both))
             yield batch.filter(pa.array(linked)).select(["a", "b"])
 
     return written(joined.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct(), "jaccard-links")

@@ -34,6 +34,19 @@ def archive_matches(centroids: DataFrame, archive: DataFrame, k: int = 5) -> Dat
     return cosine_pairs(one(centroids), one(archive), "everything", k=k).select(F.col("l_id").alias("id"), "rank", F.col("r_id").alias("archive_id"), "similarity")
 
 
+def search(queries: DataFrame, candidates: DataFrame, centroids: DataFrame, most: int = 100) -> DataFrame:
+    """(query_id, rank, id, distance): each query's nearest candidates by the centroid of their cluster, as many as it wants.
+
+    queries(id, vector, wanted), wanted at most ``most``; candidates(candidate_id, cluster_id). All queries are one
+    join; equal distances (candidates of one cluster) fall to the smaller id. A candidate without a centroid isn't found.
+    """
+    placed = candidates.join(centroids.select(F.col("id").alias("cluster_id"), "vector"), "cluster_id").select(F.col("candidate_id").alias("id"), "vector")
+    one = lambda df: df.withColumn("everything", F.lit(1))
+    best = cosine_pairs(one(queries.select("id", "vector")), one(placed), "everything", k=most)
+    wanted = queries.select(F.col("id").alias("l_id"), "wanted")
+    return best.join(wanted, "l_id").filter("rank <= wanted").select(F.col("l_id").alias("query_id"), "rank", F.col("r_id").alias("id"), (1 - F.col("similarity")).alias("distance"))
+
+
 def archive_links(matches: DataFrame, archive: DataFrame, links: int = 3) -> DataFrame:
     """matches with the overlap of their centroid, its best similarity, and the time of publication of the links to keep."""
     best = Window.partitionBy("id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

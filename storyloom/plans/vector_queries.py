@@ -79,12 +79,19 @@ def archive_gate(spark: SparkSession, sf: str) -> DataFrame:
     return gated(spark, sf)
 
 
-@query("search_candidates", f"SELECT b.vec_id AS id, round(1 - {sim('a', 'b')}, 4) AS distance FROM {{vectors}} a, {{vectors}} b WHERE a.vec_id = (SELECT min(vec_id) FROM {{vectors}}) AND b.vec_id % 4 = 2 ORDER BY 1 - {sim('a', 'b')}, b.vec_id LIMIT 20")
+SEARCH = f"""SELECT q.vec_id AS query_id, row_number() OVER w AS rank, c.candidate_id AS id, round(1 - {sim('q', 'v')}, 4) AS distance FROM {{vectors}} q, {{candidates}} c JOIN {{vectors}} v ON v.vec_id = c.cluster_id
+WHERE q.vec_id % 50 = 0 AND c.status = 'new' AND c.expires_at > {AS_OF} WINDOW w AS (PARTITION BY q.vec_id ORDER BY round({sim('q', 'v')}, 12) DESC, c.candidate_id) QUALIFY row_number() OVER w <= 5 + q.vec_id % 3 * 5"""
+
+
+@query("search_candidates", SEARCH)
 def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth vector asks, each for its own number of live candidates, by the centroids of all clusters."""
+    from storyloom.operators.candidates import live
+
     v = rows(spark, sf)
-    asked = v.orderBy("id").limit(1).select(F.col("vector").alias("q"))  # one query vector
-    found = v.filter("id % 4 = 2").join(F.broadcast(asked)).select("id", (1 - vectors.cosine("q", "vector")).alias("d"))
-    return found.filter("d IS NOT NULL").orderBy("d", "id").limit(20).select("id", four("d").alias("distance"))
+    asked = v.filter("id % 50 = 0").select("id", "vector", (F.col("id") % 3 * 5 + 5).alias("wanted"))
+    found = clusters.search(asked, model(spark, sf, "candidates").filter(live(F.expr(AS_OF))), v, 20)
+    return found.withColumn("distance", four("distance"))
 
 
 MERGE = f"""c AS (SELECT *, vec_id % 17 AS e1, vec_id % 23 AS e2 FROM {{vectors}} WHERE {seen(15)}), pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, 1 - {sim('a', 'b')} AS distance FROM c a JOIN c b ON a.primary_domain = b.primary_domain AND a.vec_id < b.vec_id AND (a.e1 = b.e1 OR a.e2 = b.e2) WHERE 1 - {sim('a', 'b')} < 0.9)"""

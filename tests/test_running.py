@@ -148,3 +148,11 @@ def test_compaction_keeps_weights_domains_and_items_and_stops_at_a_fixed_point(s
     left = [r for r in after.collect() if r.status == "active"]
     assert merges.count() == 3 and len(left) == 1 and left[0].item_count == 10
     assert left[0].vector == pytest.approx(np.average(line, axis=0, weights=(1, 2, 3, 4)))
+
+
+def test_search_gives_each_query_as_many_as_it_wants(spark):
+    centroids = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7])], "id long, vector array<double>")
+    candidates = spark.createDataFrame([(30, 1), (31, 1), (32, 2), (33, 3), (34, 9)], "candidate_id long, cluster_id long")
+    queries = spark.createDataFrame([(1, [1.0, 0.1], 3), (2, [0.0, 2.0], 1), (3, None, 5)], "id long, vector array<double>, wanted int")
+    got = sorted((r.query_id, r["rank"], r.id) for r in clusters.search(queries, candidates, centroids, 5).collect())
+    assert got == [(1, 1, 30), (1, 2, 31), (1, 3, 33), (2, 1, 32)]

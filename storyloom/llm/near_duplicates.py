@@ -6,7 +6,8 @@
 2. Prefixes. All sets are ordered by (bucket's count, hash), rare shingles first. Two sets that link must share
    one of their first n - ceil(t n) + 1 shingles. Sets with identical prefixes and size collapse to one group;
    only groups enter the index.
-3. Group pairs. A shingle of several prefixes has a centre, the group where it stands first. Each group of the
+3. Group pairs. A shingle's groups are cut where their sizes, in order, are too far apart for a link; a group left alone
+   is dropped there. A shingle of several prefixes has a centre, the group where it stands first. Each group of the
    shingle is paired with the centre; size and overlap bounds filter the pairs (of the two sets, a prefix shingle
    that no other prefix holds can't be in the overlap if it stands in the prefix that ends first: the other set
    would have it in its own prefix; of the other set nothing is taken off). Groups expand to members, and exact sets
@@ -259,7 +260,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # rank: shingles of the own prefix before this one that others hold too
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
     sizes = heads.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"))
-    live = written(_shared_tokens(heads).withColumn("rank", rank).join(sizes, "gid").select("token", "gid", "n", "end", "centre", "pos", "rank"), "jaccard-index")
+    live = written(_shared_tokens(heads, percent).withColumn("rank", rank).join(sizes, "gid").select("token", "gid", "n", "end", "centre", "pos", "rank"), "jaccard-index")
     # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
     bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
@@ -292,26 +293,32 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
-def _shared_tokens(heads: DataFrame) -> DataFrame:
-    """(token, gid, pos, centre) of the shingles that several prefixes hold; the centre is the group where the shingle stands first.
+def _shared_tokens(heads: DataFrame, percent: int) -> DataFrame:
+    """(token, gid, pos, centre) of the shingles that several prefixes of fitting sizes hold; the centre is the group where the shingle stands first.
 
-    One exchange by token carries the index, as narrow rows. Tokens of so many groups that they would fill a task are left
+    One exchange by token carries the index, as narrow rows. A token's groups in order of their sizes fall into runs, where
+    a size is too small for the next: no link crosses such a gap, so each run counts as a token of its own (named by its
+    hash), and a group that is alone in its run is dropped. Tokens of so many groups that they would fill a task are left
     out of it: there are at most twice as many as partitions, so their centres are broadcast. Only classes of the order
     that stand for so many sets can hold such a token, so only those are counted.
     """
     spark = heads.sparkSession
-    index = heads.select("gid", F.posexplode("tokens").alias("pos", "token"))
+    index = heads.select("gid", "n", F.posexplode("tokens").alias("pos", "token")).select("gid", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "token")
     fair = (heads.agg(F.sum(F.size("tokens"))).first()[0] or 0) // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = hot_keys(index.filter(F.shiftrightunsigned("token", 48) >= int(np.float32(fair).view(np.uint32) >> np.uint32(15))), ["token"])
-    first = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
-    same = Window.partitionBy("token")
+    n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    first = F.shiftleft(pos, 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
+    by_size = Window.partitionBy("token").orderBy("at")
+    run = Window.partitionBy("token", "run")
     rows = index if hot is None else index.join(F.broadcast(hot), "token", "left_anti")
-    shared = rows.select("token", "gid", "pos", F.count("*").over(same).alias("held"), F.min_by("gid", first).over(same).alias("centre")).filter("held > 1").drop("held")
+    near = rows.select("token", "gid", "at", F.coalesce(100 * F.lag(n).over(by_size) >= percent * n, F.lit(False)).alias("up"), F.coalesce(100 * n >= percent * F.lead(n).over(by_size), F.lit(False)).alias("down")).filter("up OR down")
+    runs = near.withColumn("run", F.sum(F.when(F.col("up"), 0).otherwise(1)).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    shared = runs.select(F.xxhash64("token", "run").alias("token"), "gid", pos.cast("int").alias("pos"), F.min_by("gid", first).over(run).alias("centre"))
     if hot is None:
         return shared
     often = index.join(F.broadcast(hot), "token", "left_semi")
     centres = often.groupBy("token").agg(F.min_by("gid", first).alias("centre"))
-    return shared.unionByName(often.join(F.broadcast(centres), "token").select("token", "gid", "pos", "centre"))
+    return shared.unionByName(often.join(F.broadcast(centres), "token").select("token", "gid", pos.cast("int").alias("pos"), "centre"))
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@
    one of their first n - ceil(t n) + 1 shingles. Sets with identical prefixes and size collapse to one group;
    only groups enter the index.
 3. Group pairs. A shingle's groups are cut where their sizes, in order, are too far apart for a link; a group left alone
-   is dropped there. A shingle of several prefixes has a centre, the group where it stands first. Each group of the
+   is dropped there, and so is one that by size, place and held shingles can't link with another of them. A shingle of several prefixes has a centre, the group where it stands first. Each group of the
    shingle is paired with the centre; size and overlap bounds filter the pairs (of the two sets, a prefix shingle
    that no other prefix holds can't be in the overlap if it stands in the prefix that ends first: the other set
    would have it in its own prefix; of the other set nothing is taken off). Groups expand to members, and exact sets
@@ -50,6 +50,8 @@ STAGE_WORDS = 5
 STAGE_PERCENT = 80
 SKETCH_BITS = 20
 SLICES = 16
+#: A shingle of so many groups has each of them tested against the others before the index is written.
+TESTED = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -257,12 +259,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # end: the prefix's last token in the order of the tokens, which are unsigned
     end = F.get("tokens", F.size("tokens") - 1).bitwiseXOR(F.lit(-(1 << 63)))
     heads = heads.select(F.col("key").alias("gid"), "n", end.alias("end"), "tokens")
-    # rank: shingles of the own prefix before this one that others hold too
-    rank = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
-    sizes = heads.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"))
-    live = written(_shared_tokens(heads, percent).withColumn("rank", rank).join(sizes, "gid").select("token", "gid", "n", "end", "centre", "pos", "rank"), "jaccard-index")
-    # the most that a group's overlap can be with a group whose prefix doesn't end before its own: its size less the prefix shingles that nothing else holds
-    bounds = written(live.groupBy("gid").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.count("*").alias("held")).select("gid", "n", "end", (F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).alias("most")), "jaccard-bounds")
+    live = written(_index(heads, percent), "jaccard-index")
+    bounds = written(live.groupBy("gid").agg(*(F.max(c).alias(c) for c in ("n", "end", "most"))), "jaccard-bounds")
     within = members.select(F.col("node").alias("a"), F.col("gid").alias("b"))
     pairs = written(_starred(live, bounds, members, within, percent), "jaccard-pairs")
     links = decided(docs, pairs, text, key, words, percent, repeated)
@@ -271,7 +269,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # the second round: of each shingle, and of each group, what the first centre's component doesn't hold has a centre of its own
     nodes = written(live.select("gid").distinct().select("gid", F.col("gid").alias("node")).unionByName(members), "jaccard-members")
     placed = _placed(nodes, known)
-    table_ = _open_groups(live, bounds, placed)
+    table_ = _open_groups(live, placed)
     seconds = table_.filter("minor").groupBy("token").agg(F.min_by("gid", F.struct(F.xxhash64("gid"), "gid")).alias("second"))
     own = placed.filter("gid = node").select("gid", F.col("component").alias("of_gid"))
     lost = spread(placed, own, ["gid"]).filter("component <> of_gid")
@@ -285,7 +283,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
         placed = _placed(nodes, known)
         pairs = pairs.unionByName(again)
 
-    rest = written(_untried(_rest(_open_groups(live, bounds, placed), placed, chosen, percent), pairs), "jaccard-rest")
+    rest = written(_untried(_rest(_open_groups(live, placed), placed, chosen, percent), pairs), "jaccard-rest")
     if rest.limit(1).count():
         known = components(links.unionByName(decided(docs, rest, text, key, words, percent, repeated)))
     empty = sets.filter("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("node"))
@@ -293,32 +291,63 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
-def _shared_tokens(heads: DataFrame, percent: int) -> DataFrame:
-    """(token, gid, pos, centre) of the shingles that several prefixes of fitting sizes hold; the centre is the group where the shingle stands first.
+def _reach(n, end, reach, left, m, stop, far, rest, percent: int):
+    """Whether sets of n and m shingles can link if a given shingle is the first that their prefixes share (for one of theirs it is).
 
-    One exchange by token carries the index, as narrow rows. A token's groups in order of their sizes fall into runs, where
-    a size is too small for the next: no link crosses such a gap, so each run counts as a token of its own (named by its
-    hash), and a group that is alone in its run is dropped. Tokens of so many groups that they would fill a task are left
-    out of it: there are at most twice as many as partitions, so their centres are broadcast. Only classes of the order
-    that stand for so many sets can hold such a token, so only those are counted.
+    Of the prefix that ends first, shingles before it or that nothing else holds aren't in the overlap: it has at most
+    ``reach`` (``far``); the other set has ``left`` (``rest``) shingles from this one on.
+    """
+    overlap = F.least(F.when(end <= stop, reach).otherwise(left), F.when(stop <= end, far).otherwise(rest))
+    return ((100 + percent) * overlap >= percent * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+
+
+def _index(heads: DataFrame, percent: int) -> DataFrame:
+    """(token, gid, n, end, most, pos, rank, centre) of the shingles over which two groups may link; the centre is the group where the shingle stands first.
+
+    One exchange by token carries all prefixes, as narrow rows. A token's groups in order of their sizes fall into runs,
+    where a size is too small for the next: no link crosses such a gap, so each run counts as a token of its own (named by
+    its hash), and a group that is alone in its run is dropped. Then the bounds of each group are known (``most``: what its
+    overlap can be with a group whose prefix doesn't end before its own, its size less the prefix shingles that nothing
+    else holds; ``rank``: its shingles before this one that others hold too), and a second exchange keeps of a token's
+    groups those that can link with another one of it, if it is the first that they share. Tokens of more than ``TESTED``
+    groups keep all of theirs.
+
+    Tokens of so many groups that they would fill a task are left out of both exchanges: there are at most twice as many
+    as partitions, so their centres are broadcast. Only classes of the order that stand for so many sets can hold such a
+    token, so only those are counted.
     """
     spark = heads.sparkSession
-    index = heads.select("gid", "n", F.posexplode("tokens").alias("pos", "token")).select("gid", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "token")
+    rows = heads.select("gid", "n", F.posexplode("tokens").alias("pos", "token")).select("gid", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "token")
     fair = (heads.agg(F.sum(F.size("tokens"))).first()[0] or 0) // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = hot_keys(index.filter(F.shiftrightunsigned("token", 48) >= int(np.float32(fair).view(np.uint32) >> np.uint32(15))), ["token"])
-    n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
-    first = F.shiftleft(pos, 40) + F.xxhash64("gid").bitwiseAND(F.lit((1 << 40) - 1))
+    hot = hot_keys(rows.filter(F.shiftrightunsigned("token", 48) >= int(np.float32(fair).view(np.uint32) >> np.uint32(15))), ["token"])
+    n = F.shiftright("at", 32)
     by_size = Window.partitionBy("token").orderBy("at")
-    run = Window.partitionBy("token", "run")
-    rows = index if hot is None else index.join(F.broadcast(hot), "token", "left_anti")
-    near = rows.select("token", "gid", "at", F.coalesce(100 * F.lag(n).over(by_size) >= percent * n, F.lit(False)).alias("up"), F.coalesce(100 * n >= percent * F.lead(n).over(by_size), F.lit(False)).alias("down")).filter("up OR down")
-    runs = near.withColumn("run", F.sum(F.when(F.col("up"), 0).otherwise(1)).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    shared = runs.select(F.xxhash64("token", "run").alias("token"), "gid", pos.cast("int").alias("pos"), F.min_by("gid", first).over(run).alias("centre"))
-    if hot is None:
-        return shared
-    often = index.join(F.broadcast(hot), "token", "left_semi")
-    centres = often.groupBy("token").agg(F.min_by("gid", first).alias("centre"))
-    return shared.unionByName(often.join(F.broadcast(centres), "token").select("token", "gid", pos.cast("int").alias("pos"), "centre"))
+    some = rows if hot is None else rows.join(F.broadcast(hot), "token", "left_anti")
+    near = some.select("token", "gid", "at", F.coalesce(100 * F.lag(n).over(by_size) >= percent * n, F.lit(False)).alias("up"), F.coalesce(100 * n >= percent * F.lead(n).over(by_size), F.lit(False)).alias("down")).filter("up OR down")
+    run = F.sum(F.when(F.col("up"), 0).otherwise(1)).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = near.select(F.xxhash64("token", run).alias("token"), "gid", "at", F.lit(False).alias("often"))
+    if hot is not None:
+        shared = shared.unionByName(rows.join(F.broadcast(hot), "token", "left_semi").select("token", "gid", "at", F.lit(True).alias("often")))
+    own = Window.partitionBy("gid")
+    ends = heads.groupBy("gid").agg(F.max("end").alias("end"))
+    ranked = shared.select("token", "gid", n.alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), (F.row_number().over(own.orderBy("at")) - 1).alias("rank"), F.count("*").over(own).alias("held"), "often").join(ends, "gid")
+    ranked = ranked.withColumn("most", F.col("n") - F.expr(f"n - (n * {percent} + 99) div 100 + 1") + F.col("held")).drop("held")
+    ranked = ranked if hot is None else written(ranked, "jaccard-ranked")
+
+    cells = ["gid", "n", "end", "most", "pos", "rank"]
+    sides = lambda x: (x["n"], x["end"], x["most"] - x["rank"], x["n"] - x["pos"])
+    may = lambda x, y: (x["gid"] != y["gid"]) & _reach(*sides(x), *sides(y), percent)
+    tokens = ranked.filter(~F.col("often")).groupBy("token").agg(F.collect_list(F.struct(*cells)).alias("g"))
+    kept = F.when(F.size("g") > TESTED, F.col("g")).otherwise(F.filter("g", lambda x: F.exists("g", lambda y: may(x, y))))
+    tokens = tokens.select("token", kept.alias("g")).filter(F.size("g") > 1)
+    first = lambda gid, pos: F.shiftleft(pos, 40) + F.xxhash64(gid).bitwiseAND(F.lit((1 << 40) - 1))
+    centre = F.array_min(F.transform("g", lambda x: F.struct(first(x["gid"], x["pos"]).alias("first"), x["gid"].alias("gid"))))["gid"]
+    out = tokens.select("token", centre.alias("centre"), F.inline("g"))
+    if hot is not None:
+        often = ranked.filter("often")
+        centres = often.groupBy("token").agg(F.min_by("gid", first(F.col("gid"), F.col("pos"))).alias("centre"))
+        out = out.unionByName(often.drop("often").join(F.broadcast(centres), "token"))
+    return out
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -327,10 +356,10 @@ def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left_anti")
 
 
-def _open_groups(live: DataFrame, bounds: DataFrame, placed: DataFrame) -> DataFrame:
+def _open_groups(live: DataFrame, placed: DataFrame) -> DataFrame:
     """live with each group's span of components and whether part of it is outside the component of the shingle's centre (then it is minor)."""
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    out = written(live.join(bounds.select("gid", "most"), "gid").join(span, "gid"), "jaccard-open")
+    out = written(live.join(span, "gid"), "jaccard-open")
     of_centre = placed.filter("gid = node").select(F.col("gid").alias("centre"), F.col("component").alias("of_centre"))
     held = (F.col("low") == F.col("high")) & (F.col("low") == F.col("of_centre"))
     return written(spread(out, of_centre, ["centre"]).withColumn("minor", ~held).drop("of_centre"), "jaccard-table")
@@ -344,9 +373,8 @@ def _rest(table_: DataFrame, placed: DataFrame, chosen: DataFrame, percent: int)
     two = table_.join(checked(one.select("token").distinct()), "token", "left_semi").withColumnsRenamed({c: f"{c}_r" for c in kept})
     apart = ~((F.col("low") == F.col("high")) & (F.col("low_r") == F.col("high_r")) & (F.col("low") == F.col("low_r")))
     once = (F.col("gid") < F.col("gid_r")) | ~F.col("minor_r")
-    # reach, left: the most that the overlap can be if this shingle is the first that the two share (for one of their shingles it is), for the prefix that ends first and for the other
-    overlap = F.least(F.when(F.col("end") <= F.col("end_r"), F.col("reach")).otherwise(F.col("left")), F.when(F.col("end_r") <= F.col("end"), F.col("reach_r")).otherwise(F.col("left_r")))
-    crossing = spread(one, two, ["token"]).filter((F.col("gid") != F.col("gid_r")) & apart & once & _fits("n", "n_r", overlap, percent)).select(F.col("gid").alias("g"), F.col("gid_r").alias("h"))
+    fits = _reach(*(F.col(c) for c in ("n", "end", "reach", "left", "n_r", "end_r", "reach_r", "left_r")), percent)
+    crossing = spread(one, two, ["token"]).filter((F.col("gid") != F.col("gid_r")) & apart & once & fits).select(F.col("gid").alias("g"), F.col("gid_r").alias("h"))
     crossing = written(crossing.unionByName(chosen.select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct(), "jaccard-crossing")
     parts = written(placed.select("gid", "component").distinct(), "jaccard-parts")
     side = lambda g, c: parts.select(F.col("gid").alias(g), F.col("component").alias(c))

@@ -244,8 +244,10 @@ def test_neighbours_recall_at_the_querys_own_step(spark, sf):
 # ---- near copies
 
 
-def test_jaccard_of_shared_shingles_equal_prefixes_and_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "SMALL_ROWS", 20)
+@pytest.mark.parametrize("small, tested", [(20, 64), (20_000, 64), (20_000, 1)])
+def test_jaccard_of_shared_shingles_equal_prefixes_and_hot_keys(spark, monkeypatch, small, tested):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    monkeypatch.setattr(near_duplicates, "TESTED", tested)
     rng = np.random.default_rng(5)
     texts = []
     for fam in range(3):

@@ -159,13 +159,16 @@ def curation_failure(raw: Column) -> tuple[Column, Column]:
     return failure, F.when(failure.isNull(), score)
 
 
-def publisher_failure(raw: Column) -> tuple[Column, Column, Column]:
-    """Failure, authority and language of a publisher's classification."""
+def publisher(raw: Column) -> Column:
+    """A publisher's classification as a struct: failure, and if there is none slug, name, primary_domain, domains, authority, language, reasoning.
+
+    Noise around the outermost braces goes. The slug is lower-cased, unknown domains go, authority is rounded and clamped, an
+    empty language is ``en``; of the reasoning the first 500 characters stay, and one that isn't text is empty.
+    """
     v = F.try_parse_json(F.regexp_extract(raw, "(?s)(\\{.*\\})", 1))
-    slug = F.lower(F.try_variant_get(v, "$.slug", "string"))
-    primary = F.try_variant_get(v, "$.primary_domain", "string")
+    text = lambda path: F.try_variant_get(v, path, "string")
+    slug, primary = F.lower(text("$.slug")), text("$.primary_domain")
     domains = F.filter(text_list(v, "$.domains"), lambda d: d.isin(*DOMAINS))
-    score = F.try_variant_get(v, "$.authority", "double")
     failure = first_failure(
         ("json", v.isNotNull()),
         ("slug", slug.rlike("^[a-z0-9][a-z0-9-]*$")),
@@ -174,6 +177,8 @@ def publisher_failure(raw: Column) -> tuple[Column, Column, Column]:
         ("authority", kind_of(v, "$.authority").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")),
         ("name", full_text(v, "$.name")),
     )
-    authority = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score + 0.5).cast("int")))
-    language = F.when(full_text(v, "$.language"), F.try_variant_get(v, "$.language", "string")).otherwise("en")
-    return failure, F.when(failure.isNull(), authority), F.when(failure.isNull(), language)
+    authority = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.try_variant_get(v, "$.authority", "double") + 0.5).cast("int")))
+    language = F.when(full_text(v, "$.language"), text("$.language")).otherwise("en")
+    reasoning = F.when(full_text(v, "$.reasoning"), F.substring(text("$.reasoning"), 1, 500)).otherwise("")
+    fields = {"slug": slug, "name": text("$.name"), "primary_domain": primary, "domains": domains, "authority": authority, "language": language, "reasoning": reasoning}
+    return F.struct(failure.alias("failure"), *(F.when(failure.isNull(), c).alias(n) for n, c in fields.items()))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import without_trailing_commas
+from storyloom.functions.text import kind_of, without_trailing_commas
 
 TEXTS = ["hook", "thesis", "steelman", "break", "why_now", "fit"]
-RESPONSE = "pitches array<struct<hook:string,thesis:string,steelman:string,`break`:string,why_now:string,fit:string,collision:string,evidence:array<struct<title:string,url:string>>,candidate_ids:array<string>>>"
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -38,16 +37,46 @@ def context(candidates: DataFrame, items: DataFrame, start: Column, end: Column,
     return ranked.join(listed, "candidate_id", "left").select("candidate_id", "rank", F.array_join(F.transform("l", lambda x: x["source_id"].cast("string")), ",").alias("sources"))
 
 
+def _pitches(raw: Column) -> Column:
+    """The pitches of a response as structs; what isn't of the right JSON type, and a blank text, is null. Null if there is no array of pitches."""
+    v = F.coalesce(F.try_parse_json(raw), F.try_parse_json(without_trailing_commas(raw)))
+    every = lambda json, path: F.when(kind_of(json, path).startswith("ARRAY"), F.try_variant_get(json, path, "array<variant>"))
+    text = lambda json, path: F.when(kind_of(json, path) == "STRING", F.try_variant_get(json, path, "string"))
+
+    def pitch(p: Column) -> Column:
+        full = lambda name: F.nullif(F.btrim(text(p, f"$.{name}"), F.lit(" \t\r\n")), F.lit(""))
+        evidence = F.transform(every(p, "$.evidence"), lambda e: F.struct(text(e, "$.title").alias("title"), text(e, "$.url").alias("url")))
+        return F.struct(*(full(n).alias(n) for n in (*TEXTS, "collision")), evidence.alias("evidence"), F.transform(every(p, "$.candidate_ids"), lambda i: text(i, "$")).alias("candidate_ids"))
+
+    return F.transform(every(v, "$.pitches"), pitch)
+
+
 def valid_pitches(responses: DataFrame, known_urls: DataFrame, known_ids: DataFrame) -> DataFrame:
-    """(response_id, valid, pitches): a response is valid if it has one to six pitches and each has its texts and evidence from known URLs."""
-    parsed = F.coalesce(F.from_json("raw", RESPONSE, {"mode": "PERMISSIVE"}), F.from_json(without_trailing_commas(F.col("raw")), RESPONSE))
-    rows = responses.select("response_id", parsed.alias("p"))
-    pitches = rows.select("response_id", F.posexplode("p.pitches").alias("n", "pitch"))
-    evidence = pitches.select("response_id", "n", F.explode("pitch.evidence").alias("e")).filter("e.title IS NOT NULL").join(known_urls.select(F.col("url").alias("u")).distinct(), F.col("e.url") == F.col("u"), "left_semi").select("response_id", "n").distinct().withColumn("proved", F.lit(True))
-    ids = pitches.select("response_id", "n", F.explode("pitch.candidate_ids").alias("id")).join(known_ids, "id", "left_semi").groupBy("response_id", "n").agg(F.count("*").alias("n_ids"))
-    filled = F.lit(True)
+    """(response_id, valid, pitches, known_ids, cleaned) of responses(response_id, raw).
+
+    ``known_urls(response_id, url)`` and ``known_ids(response_id, id)`` are what each response was asked about. A response is valid if it
+    has one to six pitches and each has its six texts and evidence left: entries with a title and a known URL. ``cleaned``
+    is its pitches as JSON, trimmed, with evidence and ids that are known, in their order, and a blank collision as null; it is null for
+    an invalid response, as one bad pitch rejects all. Null, empty or malformed responses have no pitches.
+    """
+    rows = responses.select("response_id", _pitches(F.col("raw")).alias("p"))
+    pitches = rows.select("response_id", F.posexplode("p").alias("n", "pitch"))
+    key = ["response_id", "n"]
+
+    def known(name: str, value: str, table: DataFrame, kept: Column) -> DataFrame:
+        """The entries of a list that the table knows, put together again in their order."""
+        entries = pitches.select(*key, F.posexplode(f"pitch.{name}").alias("i", "e")).withColumn(value, F.col("e.url") if value == "url" else F.col("e"))
+        found = entries.join(table.select("response_id", value).distinct(), ["response_id", value], "left_semi")
+        return found.filter(kept).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias(name))
+
+    evidence = known("evidence", "url", known_urls, F.col("e.title").isNotNull())
+    ids = known("candidate_ids", "id", known_ids, F.lit(True))
+    good = F.col("evidence").isNotNull()
     for name in TEXTS:
-        filled = filled & (F.trim(F.coalesce(F.col("pitch")[name], F.lit(""))) != "")
-    judged = pitches.join(evidence, ["response_id", "n"], "left").join(ids, ["response_id", "n"], "left").select("response_id", (filled & F.col("proved").isNotNull()).alias("good"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"))
-    whole = judged.groupBy("response_id").agg(F.bool_and("good").alias("good"), F.count("*").alias("pitches"), F.sum("n_ids").alias("known_ids"))
-    return rows.select("response_id").join(whole, "response_id", "left").select("response_id", F.coalesce(F.col("good") & F.col("pitches").between(1, 6), F.lit(False)).alias("valid"), F.coalesce("pitches", F.lit(0)).alias("pitches"), F.coalesce("known_ids", F.lit(0)).alias("known_ids"))
+        good = good & F.col(f"pitch.{name}").isNotNull()
+    clean = F.struct(*(F.col(f"pitch.{n}").alias(n) for n in (*TEXTS, "collision")), "evidence", F.coalesce("candidate_ids", F.array().cast("array<string>")).alias("candidate_ids"))
+    judged = pitches.join(evidence, key, "left").join(ids, key, "left").select(*key, good.alias("good"), clean.alias("pitch"))
+    whole = judged.groupBy("response_id").agg(F.bool_and("good").alias("good"), F.count("*").alias("pitches"), F.sum(F.size("pitch.candidate_ids")).alias("known_ids"), F.array_sort(F.collect_list(F.struct("n", "pitch"))).alias("l"))
+    valid = F.coalesce(F.col("good") & F.col("pitches").between(1, 6), F.lit(False))
+    text = F.to_json(F.transform("l", lambda x: x["pitch"]), {"ignoreNullFields": "false"})
+    return rows.select("response_id").join(whole, "response_id", "left").select("response_id", valid.alias("valid"), F.coalesce("pitches", F.lit(0)).alias("pitches"), F.coalesce("known_ids", F.lit(0)).alias("known_ids"), F.when(valid, text).alias("cleaned"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.functions import urls as U
+from storyloom.operators.briefs import TEXTS, valid_pitches
 from storyloom.plans.catalog import query
 from storyloom.schemas import BOILERPLATE, DOMAINS, LINK_TRACKING_NAMES, MASTHEAD_LINKS, SOCIAL_HOSTS, TAGS, TRACKING_LINKS, TRACKING_NAMES, TRACKING_PREFIXES
 from storyloom.sources.lens import model
@@ -177,16 +178,17 @@ def curation_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark, sf, "candidates").groupBy("primary_domain").agg(F.count_if(F.col("curation_score") >= 60).alias("kept"), F.count_if(F.col("curation_score") < 60).alias("below"))
 
 
-PUBLISHER_JSON = """concat('Sure: [[', '"slug": "', CASE WHEN source_id % 6 = 1 THEN 'Bad Slug' ELSE concat('Pub-', CAST(source_id AS STRING)) END, '", "name": "', CASE WHEN source_id % 6 = 2 THEN '' ELSE name END, '", "primary_domain": "economy", "domains": ["sports", "', CASE WHEN source_id % 6 = 3 THEN 'scitech' ELSE 'economy' END, '"], "authority": ', CASE WHEN source_id % 6 = 4 THEN '"high"' ELSE CAST(authority_score + 10 AS STRING) END, ', "language": "', CASE WHEN source_id % 6 = 5 THEN '' ELSE 'de' END, '"]] done')"""
+PUBLISHER_JSON = """concat('Sure: [[', '"slug": "', CASE WHEN source_id % 6 = 1 THEN 'Bad Slug' ELSE concat('Pub-', CAST(source_id AS STRING)) END, '", "name": "', CASE WHEN source_id % 6 = 2 THEN '' ELSE name END, '", "primary_domain": "economy", "domains": ["sports", "', CASE WHEN source_id % 6 = 3 THEN 'scitech' ELSE 'economy' END, '", "national"], "authority": ', CASE WHEN source_id % 6 = 4 THEN '"high"' ELSE concat(CAST(authority_score + 10 AS STRING), '.5') END, ', "language": "', CASE WHEN source_id % 6 = 5 THEN '' ELSE 'de' END, '", "reasoning": ', CASE WHEN source_id % 7 = 3 THEN '12' ELSE concat('"', repeat('r', CAST(480 + source_id % 40 AS INT)), '"') END, ' ]] done')"""
 
 
 @query("validate_publishers", f"""WITH parsed AS (SELECT source_id, CAST(regexp_extract({PUBLISHER_JSON}, '(?s)(\\[[.*\\]])', 1) AS JSON) AS v FROM {{sources}}),
 judged AS (SELECT source_id, v, [x FOR x IN CAST(json_extract_string(v, '$.domains[*]') AS VARCHAR[]) IF x IN ({quoted(DOMAINS)})] AS ds FROM parsed),
 final AS (SELECT *, CASE WHEN NOT regexp_matches(lower(json_extract_string(v, '$.slug')), '^[a-z0-9][a-z0-9-]*$') THEN 'slug' WHEN json_extract_string(v, '$.primary_domain') NOT IN ({quoted(DOMAINS)}) THEN 'domain' WHEN len(ds) = 0 OR ds[1] <> json_extract_string(v, '$.primary_domain') THEN 'domains' WHEN json_type(v, '$.authority') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'authority' WHEN NOT {TEXT('$.name')} THEN 'name' END AS failure FROM judged)
-SELECT source_id, failure, CASE WHEN failure IS NULL THEN greatest(0, least(100, CAST(json_extract_string(v, '$.authority') AS INT))) END AS authority, CASE WHEN failure IS NULL THEN CASE WHEN {TEXT('$.language')} THEN json_extract_string(v, '$.language') ELSE 'en' END END AS language FROM final""")
+SELECT source_id, failure, CASE WHEN failure IS NULL THEN greatest(0, least(100, CAST(floor(CAST(json_extract(v, '$.authority') AS DOUBLE) + 0.5) AS INT))) END AS authority, CASE WHEN failure IS NULL THEN CASE WHEN {TEXT('$.language')} THEN json_extract_string(v, '$.language') ELSE 'en' END END AS language,
+CASE WHEN failure IS NULL THEN lower(json_extract_string(v, '$.slug')) END AS slug, CASE WHEN failure IS NULL THEN json_extract_string(v, '$.name') END AS name, CASE WHEN failure IS NULL THEN array_to_string(ds, ',') END AS domains, CASE WHEN failure IS NULL THEN CASE WHEN {TEXT('$.reasoning')} THEN substr(json_extract_string(v, '$.reasoning'), 1, 500) ELSE '' END END AS reasoning FROM final""")
 def validate_publishers(spark: SparkSession, sf: str) -> DataFrame:
-    failure, authority, language = T.publisher_failure(F.expr(PUBLISHER_JSON.replace("[[", "{").replace("]]", "}")))
-    return model(spark, sf, "sources").select("source_id", failure.alias("failure"), authority.alias("authority"), language.alias("language"))
+    rows = model(spark, sf, "sources").select("source_id", T.publisher(F.expr(PUBLISHER_JSON.replace("[[", "{").replace("]]", "}"))).alias("p"))
+    return rows.select("source_id", *(f"p.{n}" for n in ("failure", "authority", "language", "slug", "name")), F.array_join("p.domains", ",").alias("domains"), "p.reasoning")
 
 
 @query("week_window", """SELECT candidate_id, CAST(w AS STRING) AS week_of, w - 6 AS first_day, w + 1 AS last_day, CASE WHEN candidate_id % 10 = 3 THEN false ELSE true END AS valid FROM (SELECT candidate_id, CAST(created_at AS DATE) AS w FROM {candidates})""".replace("CAST(w AS STRING) AS week_of", "CASE WHEN candidate_id % 10 = 3 THEN '2001-02-30' ELSE CAST(w AS STRING) END AS week_of").replace("w - 6 AS first_day, w + 1 AS last_day", "CASE WHEN candidate_id % 10 <> 3 THEN CAST(w - 6 AS STRING) END AS first_day, CASE WHEN candidate_id % 10 <> 3 THEN CAST(w + 1 AS STRING) END AS last_day"))
@@ -206,15 +208,25 @@ def text_escape(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark, sf, "pages").select("page_id", F.sha2(T.escaped(F.col("html"), "&#39;", False), 256).alias("html_sha"), F.sha2(T.escaped(F.col("html"), "&apos;", True), 256).alias("xml_sha"))
 
 
-@query("validate_pitches")
+PITCH_JSON = """concat('[[ "hook": " ', headline, '", "thesis": " t ", "steelman": "s", "break": "b", "why_now": "w", "fit": "', CASE WHEN candidate_id % 11 = 10 THEN ' ' ELSE ' fits' END, '", "collision": ', CASE candidate_id % 3 WHEN 0 THEN '" "' WHEN 1 THEN '" clash "' ELSE 'null' END,
+ ', "evidence": [ [[ "title": "made up", "url": "https://none.example/" ]], [[ "title": "own", "url": "https://news.example/', CAST(candidate_id AS STRING), CASE WHEN candidate_id % 13 = 5 THEN '/none' ELSE '/1' END, '" ]], [[ "title": 3, "url": "https://news.example/', CAST(candidate_id AS STRING), '/2" ]], [[ "title": "third", "url": "https://news.example/', CAST(candidate_id AS STRING), '/3" ]] ], "candidate_ids": [ "none", "', CAST(candidate_id + 1 AS STRING), '", ', CAST(candidate_id AS STRING), ', "', CAST(candidate_id AS STRING), '" ] ]]')"""
+FULL = lambda name: f"nullif(trim(CASE WHEN json_type(v, '$.{name}') = 'VARCHAR' THEN json_extract_string(v, '$.{name}') END), '')"
+
+
+@query("validate_pitches", f"""WITH raw AS (SELECT cluster_id AS response_id, CAST(concat('[[ "pitches": [ ', string_agg({PITCH_JSON}, ', ' ORDER BY candidate_id), ' ] ]]') AS JSON) AS j FROM {{candidates}} GROUP BY 1),
+pitch AS (SELECT response_id, unnest(l) AS v, generate_subscripts(l, 1) AS n FROM (SELECT response_id, CAST(json_extract(j, '$.pitches') AS JSON[]) AS l FROM raw)),
+entry AS (SELECT response_id, n, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT response_id, n, CAST(json_extract(v, '$.evidence') AS JSON[]) AS l FROM pitch)),
+kept AS (SELECT response_id, n, concat('[', string_agg(CAST(to_json(struct_pack(title := json_extract_string(e, '$.title'), url := json_extract_string(e, '$.url'))) AS VARCHAR), ',' ORDER BY i), ']') AS evidence FROM entry WHERE json_type(e, '$.title') = 'VARCHAR' AND EXISTS (SELECT 1 FROM {{items}} k WHERE k.cluster_id = response_id AND k.url = json_extract_string(e, '$.url')) GROUP BY 1, 2),
+named AS (SELECT response_id, n, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT response_id, n, CAST(json_extract(v, '$.candidate_ids') AS JSON[]) AS l FROM pitch)),
+ids AS (SELECT response_id, n, count(*) AS m, concat('[', string_agg(CAST(e AS VARCHAR), ',' ORDER BY i), ']') AS candidate_ids FROM named WHERE json_type(e) = 'VARCHAR' AND EXISTS (SELECT 1 FROM {{candidates}} k WHERE k.cluster_id = response_id AND CAST(k.candidate_id AS STRING) = json_extract_string(e, '$')) GROUP BY 1, 2),
+clean AS (SELECT p.response_id, n, coalesce(m, 0) AS m, evidence IS NOT NULL AND {" AND ".join(f"{FULL(x)} IS NOT NULL" for x in TEXTS)} AS good,
+ CAST(to_json(struct_pack({", ".join(f'"{x}" := {FULL(x)}' for x in (*TEXTS, "collision"))}, evidence := CAST(evidence AS JSON), candidate_ids := CAST(coalesce(candidate_ids, '[]') AS JSON))) AS VARCHAR) AS text FROM pitch p LEFT JOIN kept USING (response_id, n) LEFT JOIN ids USING (response_id, n))
+SELECT response_id, bool_and(good) AND count(*) <= 6 AS valid, count(*) AS pitches, CAST(sum(m) AS BIGINT) AS known_ids, CASE WHEN bool_and(good) AND count(*) <= 6 THEN concat('[', string_agg(text, ',' ORDER BY n), ']') END AS cleaned FROM clean GROUP BY 1""")
 def validate_pitches(spark: SparkSession, sf: str) -> DataFrame:
-    """Week responses, one JSON text for each cluster of candidates: evidence must be a page's URL, ids a candidate's."""
-    from storyloom.operators.briefs import valid_pitches
-
-    pages = model(spark, sf, "pages").select("page_id", "url")
-    candidates = model(spark, sf, "candidates").join(F.broadcast(pages.agg(F.count("*").alias("n_pages"))))
-    rows = candidates.join(pages, F.expr("page_id = try_mod(candidate_id, n_pages)"), "left")
-    pitch = F.struct(*[F.lit(n).alias(n) for n in ("hook", "thesis", "steelman", "break", "why_now")], F.when(F.col("candidate_id") % 11 == 10, " ").otherwise("fits").alias("fit"), F.array(F.struct(F.lit("t").alias("title"), F.coalesce("url", F.lit("http://unknown.example/")).alias("url"))).alias("evidence"), F.array(F.col("candidate_id").cast("string"), F.lit("none")).alias("candidate_ids"))
-    responses = rows.groupBy("cluster_id").agg(F.to_json(F.struct(F.collect_list(pitch).alias("pitches"))).alias("raw"))
-    urls, ids = model(spark, sf, "pages").select("url"), model(spark, sf, "candidates").select(F.col("candidate_id").cast("string").alias("id"))
-    return valid_pitches(responses.select(F.col("cluster_id").alias("response_id"), "raw"), urls, ids)
+    """A response for each cluster, with a pitch for each of its candidates: evidence must be an item of the cluster, ids its candidates."""
+    one = F.expr(PITCH_JSON.replace("[[", "{").replace("]]", "}"))
+    rows = model(spark, sf, "candidates").withColumnRenamed("cluster_id", "response_id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", one.alias("text")))), lambda x: x["text"])
+    responses = rows.groupBy("response_id").agg(F.concat(F.lit('{ "pitches": [ '), F.array_join(listed, ", "), F.lit(" ] }")).alias("raw"))
+    urls = model(spark, sf, "items").select(F.col("cluster_id").alias("response_id"), "url")
+    return valid_pitches(responses, urls, rows.select("response_id", F.col("candidate_id").cast("string").alias("id")))

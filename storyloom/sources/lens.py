@@ -39,7 +39,7 @@ def texts(d: Dialect) -> dict[str, str]:
     return {
         "sources": """SELECT s_suppkey AS source_id, s_name AS name, CASE WHEN s_suppkey % 5 < 3 THEN 'arxiv' WHEN s_suppkey % 5 = 3 THEN 'rss' ELSE 'email_bridge' END AS kind,
             CAST(40 + (s_suppkey * 37) % 60 AS INT) AS authority_score, CAST(30 + (s_suppkey * 53) % 70 AS INT) AS authority_score_seed, s_suppkey % 10 <> 9 AS enabled FROM {supplier}""",
-        "items": f"""SELECT CAST(floor(l_orderkey / 3) AS BIGINT) AS cluster_id, l_suppkey AS source_id, l_shipdate + {h("l_partkey % 24")} AS published_at, l_partkey AS part_id, l_orderkey AS order_id, l_linenumber AS line,
+        "items": f"""SELECT CAST(floor(l_orderkey / 3) AS BIGINT) AS cluster_id, l_suppkey AS source_id, l_shipdate + {h("l_partkey % 24")} AS published_at, l_partkey AS part_id, l_orderkey AS order_id, l_linenumber AS line, concat('Item ', CAST(l_partkey AS STRING)) AS title, concat('https://news.example/', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS url,
             l_shipdate + {h("l_partkey % 24 + l_orderkey % 48")} AS observed_at, {domain("floor(l_orderkey / 3)")} AS primary_domain, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey % 50 AS DOUBLE) END AS authority_weighted FROM {{lineitem}} WHERE l_shipdate + {h("l_partkey % 24")} <= {AS_OF}""",
         "clusters": """SELECT cluster_id, min(published_at) AS first_seen_at, max(published_at) AS last_seen_at, count(*) AS item_count, min(primary_domain) AS primary_domain,
             CASE WHEN cluster_id % 11 = 0 THEN 'merged' WHEN cluster_id % 13 = 0 THEN 'archived' ELSE 'active' END AS status FROM {items} GROUP BY cluster_id""",
@@ -47,7 +47,7 @@ def texts(d: Dialect) -> dict[str, str]:
             CASE o_orderpriority WHEN '1-URGENT' THEN 'hot' WHEN '2-HIGH' THEN 'over_saturated' WHEN '5-LOW' THEN 'cold' ELSE 'warm' END AS temperature,
             CASE o_orderkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'rising' WHEN 2 THEN 'peaking' ELSE 'declining' END AS trajectory, o_orderkey % 17 = 0 AS is_exclusive,
             CAST((o_orderkey * 7919) % 10000 AS DOUBLE) / 100 AS curation_score, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'passed' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'picked' ELSE 'deferred' END END AS status,
-            o_orderdate + {h("o_orderkey % 24")} AS created_at, o_orderdate + {h("o_orderkey % 24 + 21600")} AS expires_at,
+            o_orderdate + {h("o_orderkey % 24")} AS created_at, o_orderdate + {h("o_orderkey % 24 + 21600")} AS expires_at, o_orderdate + {h("o_orderkey % 24 + o_orderkey % 9 * 120")} AS updated_at,
             {d.array(word(3), word(5), word(7))} AS keywords, {d.array(tag("o_orderkey"), tag("(o_orderkey * 5 + 1)"))} AS tags FROM {{orders}}""",
         "runs": """SELECT date_trunc('hour', created_at) AS started_at, CASE hour(created_at) % 4 WHEN 0 THEN 'morning' WHEN 1 THEN 'afternoon' WHEN 2 THEN 'manual' ELSE 'backfill' END AS kind,
             CASE WHEN hour(created_at) % 6 = 5 THEN 'failed' ELSE 'done' END AS status, count(*) AS fresh FROM {candidates} GROUP BY 1, 2, 3""",

@@ -68,7 +68,7 @@ def feeds(candidates: DataFrame, as_of: Column, rows: int = 50) -> DataFrame:
 
 
 def pulse(fresh: DataFrame, rows: int = 5) -> DataFrame:
-    """(run_id, rank, candidate_id, description) of fresh(run_id, run_kind, ...); quiet runs but morning ones give nothing."""
+    """(run_id, kind, rank, candidate_id, title, description) of fresh(run_id, run_kind, ...); quiet runs but morning ones give nothing."""
     whole = Window.partitionBy("run_id")
     mover = F.col("is_exclusive") | ((F.col("temperature") == "hot") & F.col("trajectory").isin("rising", "new"))
     order = Window.partitionBy("run_id").orderBy(F.desc("curation_score"), "candidate_id")
@@ -76,4 +76,19 @@ def pulse(fresh: DataFrame, rows: int = 5) -> DataFrame:
     why = F.trim("rationale")
     text = F.when(why != "", F.concat(F.lit("↳ "), why, F.lit("\n"), meta)).otherwise(meta)
     loud = fresh.withColumn("loud", F.max(mover).over(whole)).filter((F.col("run_kind") == "morning") | F.col("loud"))
-    return loud.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select("run_id", "rank", "candidate_id", text.alias("description"))
+    return loud.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select("run_id", F.lit("candidate").alias("kind"), "rank", "candidate_id", F.col("headline").alias("title"), text.alias("description"))
+
+
+def pulse_entries(fresh: DataFrame, waves: DataFrame) -> DataFrame:
+    """``pulse`` with one more row for each morning run that has waves(run_id, description): kind ``waves``, without rank or candidate."""
+    mornings = fresh.filter(F.col("run_kind") == "morning").select("run_id").distinct()
+    title = F.concat(F.lit("Waves — "), "run_id")
+    rows = waves.join(mornings, "run_id", "left_semi").select("run_id", F.lit("waves").alias("kind"), title.alias("title"), "description")
+    return pulse(fresh).unionByName(rows, allowMissingColumns=True)
+
+
+def newest_entries(entries: DataFrame, rows: int = 50) -> DataFrame:
+    """The pulse feed: entries of the newest runs, candidates by rank and then waves, with a link to the candidate or to the site."""
+    newest = entries.orderBy(F.desc("run_id"), F.asc_nulls_last("rank")).limit(rows)
+    page = F.concat(F.lit("https://feeds.example/c/"), F.col("candidate_id").cast("string"))
+    return newest.select("run_id", "kind", "rank", "candidate_id", F.coalesce(page, F.lit("https://feeds.example/")).alias("link"))

@@ -14,12 +14,14 @@ def lookup(values: dict, key: str, default: float) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(key)], F.lit(default))
 
 
-def one_per_story(pool: DataFrame) -> DataFrame:
-    """Newest first, without rows that share a cluster or a normalised headline with an earlier one; an empty headline never collides."""
+def one_per_story(pool: DataFrame, by: str | None = None) -> DataFrame:
+    """Newest first, without rows that share a cluster or a normalised headline with an earlier one; an empty headline never collides. With ``by``, for each of its values apart."""
     headline = normalised_headline(F.col("headline"))
-    order = F.struct((-F.unix_micros("created_at")).alias("late"), F.col("candidate_id").alias("id"))
-    ranked = pool.withColumn("o", order).withColumn("h", F.when(headline != "", headline))
-    return first_wins(ranked, "o", ["cluster_id", "h"])
+    apart = [] if by is None else [by]
+    own = lambda c: F.when(c.isNotNull(), F.concat_ws("|", *apart, c.cast("string")))
+    order = F.struct((-F.unix_micros("created_at")).alias("late"), F.col("candidate_id").alias("id"), *apart)
+    ranked = pool.withColumns({"o": order, "c": own(F.col("cluster_id")), "h": own(F.when(headline != "", headline))})
+    return first_wins(ranked, "o", ["c", "h"]).drop("c")
 
 
 def without_arxiv(pool: DataFrame, items: DataFrame, sources: DataFrame, domain: str | None = None) -> DataFrame:
@@ -29,12 +31,38 @@ def without_arxiv(pool: DataFrame, items: DataFrame, sources: DataFrame, domain:
     return pool.join(only.select("cluster_id"), "cluster_id", "left_anti")
 
 
-def board(stories: DataFrame, term: str, least: int, rows: int = 15) -> DataFrame:
-    """(rank, term, clusters, score, mean_heat, domains, headline) over the distinct trimmed terms of an array column."""
+def board(stories: DataFrame, term: str, least: int, rows: int = 15, by: str | None = None) -> DataFrame:
+    """([by,] rank, term, clusters, score, mean_heat, domains, headline) over the distinct trimmed terms of an array column; with ``by``, a board for each of its values."""
+    key = [] if by is None else [by]
     weight = lookup(HEAT_WEIGHT, "temperature", 1.0) * lookup(TRAJECTORY_WEIGHT, "trajectory", 1.0)
-    terms = stories.select("candidate_id", "o", "primary_domain", "headline", weight.alias("weight"), lookup(HEAT_RANK, "temperature", 1).alias("heat"), F.explode(F.array_distinct(F.transform(term, lambda x: F.trim(x)))).alias("term")).filter("term <> ''")
-    by_domain = terms.groupBy("term", "primary_domain").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum("heat").alias("heat"), F.min(F.struct((-F.col("weight")).alias("w"), "o", "headline")).alias("best"))
-    whole = by_domain.groupBy("term").agg(F.sum("n").alias("clusters"), F.round(F.sum("w"), 2).alias("score"), (F.sum("heat") / F.sum("n")).alias("mean_heat"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "primary_domain"))), lambda d: d["primary_domain"]), ",").alias("domains"), F.min("best")["headline"].alias("headline"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), F.desc("clusters"), "term")
-    best = whole.filter(F.col("clusters") >= least).orderBy(F.desc("score"), F.desc("clusters"), "term").limit(rows)  # a few rows, then ranked
-    return best.withColumn("rank", F.row_number().over(order)).select("rank", "term", "clusters", "score", F.round("mean_heat", 6).alias("mean_heat"), "domains", "headline")
+    terms = stories.select(*key, "candidate_id", "o", "primary_domain", "headline", weight.alias("weight"), lookup(HEAT_RANK, "temperature", 1).alias("heat"), F.explode(F.array_distinct(F.transform(term, lambda x: F.trim(x)))).alias("term")).filter("term <> ''")
+    by_domain = terms.groupBy(*key, "term", "primary_domain").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum("heat").alias("heat"), F.min(F.struct((-F.col("weight")).alias("w"), "o", "headline")).alias("best"))
+    whole = by_domain.groupBy(*key, "term").agg(F.sum("n").alias("clusters"), F.round(F.sum("w"), 2).alias("score"), (F.sum("heat") / F.sum("n")).alias("mean_heat"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "primary_domain"))), lambda d: d["primary_domain"]), ",").alias("domains"), F.min("best")["headline"].alias("headline"))
+    best = whole.filter(F.col("clusters") >= least)
+    first = [F.desc("score"), F.desc("clusters"), F.col("term")]
+    best = best if key else best.orderBy(*first).limit(rows)  # a few rows, then ranked
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(*(key or [F.lit(1)])).orderBy(*first))).filter(F.col("rank") <= rows)
+    return ranked.select(*key, "rank", "term", "clusters", "score", F.round("mean_heat", 6).alias("mean_heat"), "domains", "headline")
+
+
+def daily_pools(candidates: DataFrame, name: str = "run_id") -> DataFrame:
+    """candidates(created_at, expires_at, decided_at, ...) once for each day (``name``, yyyy-MM-dd) at whose end they were new and unexpired.
+
+    A row that lives for d days is in at most d pools, so this grows with the rows, not with rows times runs. ``decided_at`` is null for
+    what is still new; a row that was decided or expired before its first day's end is in no pool.
+    """
+    until = F.least("expires_at", "decided_at") - F.expr("INTERVAL 1 MICROSECOND")  # least() passes over nulls
+    days = candidates.withColumns({"first_day": F.to_date("created_at"), "last_day": F.date_sub(F.to_date(until), 1)}).filter("first_day <= last_day")
+    return days.withColumn(name, F.explode(F.transform(F.sequence("first_day", "last_day"), lambda d: F.date_format(d, "yyyy-MM-dd")))).drop("first_day", "last_day")
+
+
+def waves(stories: DataFrame, by: str = "run_id", themes: int = 6, words: int = 10) -> DataFrame:
+    """(by, description): the board of each value's stories as text, themes a line each and then keywords; a value whose board is empty has no row."""
+
+    def joined(rows: DataFrame, text: Column, between: str, name: str) -> DataFrame:
+        return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), between).alias(name))
+
+    line = F.concat_ws(" · ", "term", F.concat(F.col("clusters").cast("string"), F.lit(" clusters")), F.split_part("domains", F.lit(","), F.lit(1)))
+    top = joined(board(stories, "tags", 1, themes, by), line, "\n", "themes")
+    named = joined(board(stories, "keywords", 2, words, by), F.col("term"), " · ", "words")
+    return top.join(named, by, "full_outer").select(by, F.concat_ws("\n\n", "themes", F.concat(F.lit("Keywords: "), "words")).alias("description"))

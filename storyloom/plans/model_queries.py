@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import briefs, candidates, costs, coverage, feedback, inbox, ingest, signals
+from storyloom.operators import briefs, candidates, costs, coverage, feedback, inbox, ingest, signals, trending
+from storyloom.plans import board_sql as B
 from storyloom.plans import run as scoring
 from storyloom.plans.catalog import query
 from storyloom.plans.text_queries import HALF_LIFE, HASHED, hashed, quoted
@@ -334,7 +335,12 @@ def feeds_out(spark: SparkSession, sf: str) -> DataFrame:
 
 PULSE = f"""fresh AS (SELECT *, CASE WHEN day(created_at) % 2 = 0 THEN 'morning' ELSE 'afternoon' END AS run_kind, CAST(CAST(created_at AS DATE) AS STRING) AS run_id, CASE WHEN candidate_id % 6 = 0 THEN ' ' ELSE concat(' why ', CAST(candidate_id AS STRING)) END AS rationale FROM {{candidates}}),
 loud AS (SELECT *, max(is_exclusive OR (temperature = 'hot' AND trajectory IN ('rising', 'new'))) OVER (PARTITION BY run_id) AS loud FROM fresh), ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY curation_score DESC, candidate_id) AS rank FROM loud WHERE run_kind = 'morning' OR loud),
-pulse AS (SELECT run_id, rank, candidate_id, concat(CASE WHEN trim(rationale) <> '' THEN concat('↳ ', trim(rationale), chr(10)) ELSE '' END, primary_domain, ' · score ', CAST(CAST(floor(curation_score + 0.5) AS BIGINT) AS STRING), ' · ', trajectory, CASE WHEN is_exclusive THEN ' · exclusive' ELSE '' END) AS description FROM ranked WHERE rank <= 5)"""
+lives AS (SELECT *, least(created_at + to_hours({HALF_LIFE}), CASE WHEN status <> 'new' THEN updated_at END) - INTERVAL 1 MICROSECOND AS until FROM {{candidates}} WHERE cluster_id NOT IN {B.ARXIV}),
+pool AS (SELECT CAST(CAST(day AS DATE) AS STRING) AS run, * EXCLUDE (day, until) FROM (SELECT *, unnest(generate_series(CAST(CAST(created_at AS DATE) AS TIMESTAMP), CAST(CAST(until AS DATE) AS TIMESTAMP) - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM lives)), {B.STORIES}, {B.board("themes", "tags", 1, 6)}, {B.board("words", "keywords", 2, 10)},
+lines AS (SELECT run, string_agg(concat(term, ' · ', CAST(clusters AS STRING), ' clusters · ', split_part(domains, ',', 1)), chr(10) ORDER BY rank) AS t FROM themes GROUP BY 1), named AS (SELECT run, string_agg(term, ' · ' ORDER BY rank) AS w FROM words GROUP BY 1),
+waves AS (SELECT run AS run_id, concat_ws(concat(chr(10), chr(10)), t, 'Keywords: ' || w) AS description FROM lines FULL JOIN named USING (run) WHERE run IN (SELECT run_id FROM fresh WHERE run_kind = 'morning')),
+pulse AS (SELECT run_id, 'candidate' AS kind, rank, candidate_id, headline AS title, concat(CASE WHEN trim(rationale) <> '' THEN concat('↳ ', trim(rationale), chr(10)) ELSE '' END, primary_domain, ' · score ', CAST(CAST(floor(curation_score + 0.5) AS BIGINT) AS STRING), ' · ', trajectory, CASE WHEN is_exclusive THEN ' · exclusive' ELSE '' END) AS description FROM ranked WHERE rank <= 5
+ UNION ALL SELECT run_id, 'waves', NULL, NULL, concat('Waves — ', run_id), description FROM waves)"""
 
 
 def fresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,15 +349,23 @@ def fresh(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark, sf, "candidates").withColumns({"run_kind": kind, "run_id": F.date_format("created_at", "yyyy-MM-dd"), "rationale": why})
 
 
-@query("pulse_selection", f"WITH {PULSE} SELECT * FROM pulse")
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """A run a day; its board is of what was new at the day's end: unexpired by the domain's half-life and not decided (at ``updated_at``) yet."""
+    items, sources, rows = m(spark, sf, "items", "sources", "candidates")
+    expiry = F.col("created_at") + F.make_dt_interval(F.lit(0), T.half_life(F.col("primary_domain")).cast("int"))
+    dated = trending.without_arxiv(rows, items, sources).withColumns({"expires_at": expiry, "decided_at": F.when(F.col("status") != "new", F.col("updated_at"))})
+    stories = written(trending.one_per_story(trending.daily_pools(dated), "run_id"), "stories")
+    return candidates.pulse_entries(fresh(spark, sf), trending.waves(stories))
+
+
+@query("pulse_selection", f"WITH RECURSIVE {PULSE} SELECT * FROM pulse")
 def pulse_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.pulse(fresh(spark, sf))
+    return entries(spark, sf)
 
 
-@query("pulse_feed", f"WITH {PULSE} SELECT run_id, rank, candidate_id, concat('https://feeds.example/c/', CAST(candidate_id AS STRING)) AS link FROM pulse ORDER BY run_id DESC, rank LIMIT 50")
+@query("pulse_feed", f"WITH RECURSIVE {PULSE} SELECT run_id, kind, rank, candidate_id, coalesce('https://feeds.example/c/' || CAST(candidate_id AS STRING), 'https://feeds.example/') AS link FROM pulse ORDER BY run_id DESC, rank NULLS LAST LIMIT 50")
 def pulse_feed(spark: SparkSession, sf: str) -> DataFrame:
-    newest = candidates.pulse(fresh(spark, sf)).orderBy(F.desc("run_id"), "rank").limit(50)
-    return newest.select("run_id", "rank", "candidate_id", F.when(F.col("candidate_id").isNotNull(), F.concat(F.lit("https://feeds.example/c/"), F.col("candidate_id").cast("string"))).otherwise("https://feeds.example/").alias("link"))
+    return candidates.newest_entries(entries(spark, sf))
 
 
 @query("run_digest", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS run_id, primary_domain, count(*) AS n, count(*) FILTER (is_exclusive) AS exclusives FROM {candidates} GROUP BY 1, 2")

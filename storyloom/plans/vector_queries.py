@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators import clusters, models, trending, vectors
+from storyloom.plans import board_sql as B
 from storyloom.plans.catalog import query
 from storyloom.plans.text_queries import HASHED, hashed
 from storyloom.sources.lens import AS_OF, domain, model, stream_of
+from storyloom.sources.shared import written
 from storyloom.streaming import jobs
 
 VECTORS_AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -172,13 +174,14 @@ def vector_mean(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.mean_vector(rows(spark, sf), ["label"], "vector", F.col("id") % 3 + 1).withColumn("mean", F.round("mean", 6))
 
 
-@query("trending_board")
+@query("trending_board", f"""WITH RECURSIVE pool AS (SELECT 'all' AS run, * FROM {{candidates}} WHERE status = 'new' AND expires_at > {AS_OF} AND cluster_id NOT IN {B.ARXIV}), {B.STORIES}, {B.board('themes', 'tags', 1, 15)}, {B.board('words', 'keywords', 2, 15)}
+SELECT rank, term, clusters, score, mean_heat, domains, headline, 'theme' AS kind FROM themes UNION ALL SELECT rank, term, clusters, score, mean_heat, domains, headline, 'keyword' AS kind FROM words""")
 def trending_board(spark: SparkSession, sf: str) -> DataFrame:
     from storyloom.operators.candidates import live
 
     items, sources = model(spark, sf, "items"), model(spark, sf, "sources")
     pool = trending.without_arxiv(model(spark, sf, "candidates").filter(live(F.expr(AS_OF))), items, sources)
-    stories = trending.one_per_story(pool)
+    stories = written(trending.one_per_story(pool), "stories")
     themes, words = trending.board(stories, "tags", 1), trending.board(stories, "keywords", 2)
     return themes.withColumn("kind", F.lit("theme")).unionByName(words.withColumn("kind", F.lit("keyword")))
 

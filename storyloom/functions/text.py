@@ -102,6 +102,29 @@ def full_text(json: Column, path: str) -> Column:
     return (kind_of(json, path) == "STRING") & (F.length(F.try_variant_get(json, path, "string")) > 0)
 
 
+def json_text(json: Column, path: str = "$") -> Column:
+    """The text at a path; null if it is of another type."""
+    return F.when(kind_of(json, path) == "STRING", F.try_variant_get(json, path, "string"))
+
+
+def json_number(json: Column, path: str = "$") -> Column:
+    """The number at a path; null if it is of another type."""
+    return F.when(kind_of(json, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(json, path, "double"))
+
+
+def json_items(json: Column, path: str = "$") -> Column:
+    """The array at a path, of any elements; null if it is of another type."""
+    return F.when(kind_of(json, path).startswith("ARRAY"), F.try_variant_get(json, path, "array<variant>"))
+
+
+def with_json_field(json: Column, name: str, value: Column) -> Column:
+    """A JSON object as text with one field set; null, malformed JSON and what is no object count as an empty object."""
+    v = F.try_parse_json(json)
+    old = F.when(F.schema_of_variant(v).startswith("OBJECT"), v.cast("map<string,variant>"))
+    kept = F.coalesce(F.map_filter(old, lambda k, _: k != name), F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(name), value.cast("variant"))))
+
+
 def text_list(json: Column, path: str) -> Column:
     """The array of strings at a path; null if it is anything else."""
     return F.when(kind_of(json, path).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(json, path, "array<string>"))

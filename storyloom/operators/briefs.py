@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import kind_of, without_trailing_commas
+from storyloom.functions.text import json_items, json_text, without_trailing_commas
+from storyloom.operators.detail import archive_links
 
 TEXTS = ["hook", "thesis", "steelman", "break", "why_now", "fit"]
 
@@ -27,28 +28,34 @@ def by_week(briefs: DataFrame, week_of: str | None = None) -> DataFrame:
     return briefs.filter(F.col("week_of") == week_of) if week_of else briefs.orderBy(F.desc("week_of")).limit(1)
 
 
-def context(candidates: DataFrame, items: DataFrame, start: Column, end: Column, rows: int = 80, sources: int = 5) -> DataFrame:
-    """(candidate_id, rank, sources): candidates of the week, best first, each with its newest source rows."""
-    pool = candidates.filter((F.col("created_at") >= start) & (F.col("created_at") < end)).orderBy(F.desc("curation_score"), F.desc("created_at"), "candidate_id").limit(rows)
-    ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("curation_score"), F.desc("created_at"), "candidate_id")))  # at most ``rows`` rows
+def context(candidates: DataFrame, items: DataFrame, start: Column, end: Column, rows: int = 80, sources: int = 5, payload: str = "archive_payload") -> DataFrame:
+    """(candidate_id, rank, status, headline, sources, archive_links): what was made or updated in the week, of any status, best first, each with its newest (title, url) and its archive links."""
+    inside = lambda c: (F.col(c) >= start) & (F.col(c) < end)
+    best = [F.desc("curation_score"), F.desc("created_at"), F.col("candidate_id")]
+    pool = candidates.filter(inside("created_at") | inside("updated_at")).orderBy(*best).limit(rows)
+    ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*best)))  # at most ``rows`` rows
     order = Window.partitionBy("candidate_id").orderBy(F.desc("published_at"), "source_id", "part_id", "order_id", "line")
     newest = items.join(F.broadcast(ranked.select("candidate_id", "cluster_id")), "cluster_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sources)
-    listed = newest.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("n", "source_id"))).alias("l"))
-    return ranked.join(listed, "candidate_id", "left").select("candidate_id", "rank", F.array_join(F.transform("l", lambda x: x["source_id"].cast("string")), ",").alias("sources"))
+    listed = newest.groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "title", "url"))), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("sources"))
+    return ranked.join(listed, "candidate_id", "left").select("candidate_id", "rank", "status", "headline", "sources", archive_links(F.col(payload)).alias("archive_links"))
+
+
+def decisions(feedback: DataFrame, candidates: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(feedback_id, action, reason, headline, created_at): the week's decisions, newest first."""
+    week = feedback.filter((F.col("created_at") >= start) & (F.col("created_at") < end))
+    return week.join(candidates.select("candidate_id", "headline"), "candidate_id").select("feedback_id", "action", "reason", "headline", "created_at").orderBy(F.desc("created_at"), "feedback_id")
 
 
 def _pitches(raw: Column) -> Column:
     """The pitches of a response as structs; what isn't of the right JSON type, and a blank text, is null. Null if there is no array of pitches."""
     v = F.coalesce(F.try_parse_json(raw), F.try_parse_json(without_trailing_commas(raw)))
-    every = lambda json, path: F.when(kind_of(json, path).startswith("ARRAY"), F.try_variant_get(json, path, "array<variant>"))
-    text = lambda json, path: F.when(kind_of(json, path) == "STRING", F.try_variant_get(json, path, "string"))
 
     def pitch(p: Column) -> Column:
-        full = lambda name: F.nullif(F.btrim(text(p, f"$.{name}"), F.lit(" \t\r\n")), F.lit(""))
-        evidence = F.transform(every(p, "$.evidence"), lambda e: F.struct(text(e, "$.title").alias("title"), text(e, "$.url").alias("url")))
-        return F.struct(*(full(n).alias(n) for n in (*TEXTS, "collision")), evidence.alias("evidence"), F.transform(every(p, "$.candidate_ids"), lambda i: text(i, "$")).alias("candidate_ids"))
+        full = lambda name: F.nullif(F.btrim(json_text(p, f"$.{name}"), F.lit(" \t\r\n")), F.lit(""))
+        evidence = F.transform(json_items(p, "$.evidence"), lambda e: F.struct(json_text(e, "$.title").alias("title"), json_text(e, "$.url").alias("url")))
+        return F.struct(*(full(n).alias(n) for n in (*TEXTS, "collision")), evidence.alias("evidence"), F.transform(json_items(p, "$.candidate_ids"), lambda i: json_text(i)).alias("candidate_ids"))
 
-    return F.transform(every(v, "$.pitches"), pitch)
+    return F.transform(json_items(v, "$.pitches"), pitch)
 
 
 def valid_pitches(responses: DataFrame, known_urls: DataFrame, known_ids: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import with_json_field
 from storyloom.functions.urls import host, suffixes
 from storyloom.schemas import AGGREGATOR_FEEDS, TRUSTED_HOSTS
 
@@ -38,8 +39,29 @@ def state(processed: Column, attempts: Column, has_item: Column, most: int = 3)
     return F.when(processed & has_item, "normal").when(processed, "dedup_hit").when(attempts >= most, "poisoned").otherwise("pending")
 
 
-def outcomes(raw: DataFrame, items: DataFrame, duplicates: DataFrame, errors: DataFrame) -> DataFrame:
-    """(raw_id, outcome, attempts, error): a row with an item is skipped, one with a model error gets an attempt more."""
+def outcomes(raw: DataFrame, items: DataFrame, duplicates: DataFrame, errors: DataFrame, meta: str | None = None) -> DataFrame:
+    """(raw_id, outcome, attempts, error): a row with an item is skipped, one with a model error gets an attempt more. ``meta`` names a JSON column, into which the error is merged."""
     joined = raw.join(items.select("raw_id", F.lit(True).alias("done")), "raw_id", "left").join(errors.select("raw_id", "error"), "raw_id", "left").join(duplicates.select("raw_id", F.lit(True).alias("twin")), "raw_id", "left")
     outcome = F.when(F.col("done"), "skip").when(F.col("error").isNotNull(), "failed").when(F.col("twin"), "dedup_hit").otherwise("normal")
-    return joined.select("raw_id", outcome.alias("outcome"), (F.col("attempts") + (outcome == "failed").cast("int")).alias("attempts"), F.when(outcome == "failed", F.substring("error", 1, 240)).alias("error"))
+    error = F.when(outcome == "failed", F.substring("error", 1, 240))
+    merged = [] if meta is None else [F.when(outcome == "failed", with_json_field(F.col(meta), "last_processing_error", error)).otherwise(F.col(meta)).alias(meta)]
+    return joined.select("raw_id", outcome.alias("outcome"), (F.col("attempts") + (outcome == "failed").cast("int")).alias("attempts"), error.alias("error"), *merged)
+
+
+def ticks(outcomes: DataFrame, tick: str = "tick") -> DataFrame:
+    """Totals of each tick: a row that is skipped has its item, so it counts as normal."""
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.groupBy(tick).agg(F.count("*").alias("pulled"), n("normal", "skip").alias("normal"), n("dedup_hit").alias("dedup"), n("failed").alias("failures"))
+
+
+def settled(log: DataFrame) -> DataFrame:
+    """(raw_id, attempts, outcome, error) of a log of attempts(raw_id, attempt, outcome, error), in which any row may stand several times.
+
+    An attempt counts once, by its number. The first attempt that didn't fail settles a row; later ones say nothing, as the row is skipped. The
+    error is the last one before that. A row that only failed has a null outcome.
+    """
+    once = log.groupBy("raw_id", "attempt").agg(F.min(F.struct((F.col("outcome") == "failed").alias("bad"), "outcome", "error")).alias("a")).select("raw_id", "attempt", "a.*")
+    done = F.min(F.when(~F.col("bad"), F.struct("attempt", "outcome")))
+    rows = once.groupBy("raw_id").agg(done.alias("done"), F.array_sort(F.collect_list(F.when(F.col("bad"), F.struct("attempt", "error")))).alias("failed"))  # a few attempts each
+    counted = F.filter("failed", lambda f: F.col("done").isNull() | (f["attempt"] < F.col("done.attempt")))
+    return rows.withColumn("failed", counted).select("raw_id", F.size("failed").alias("attempts"), "done.outcome", F.try_element_at("failed", F.lit(-1))["error"].alias("error"))

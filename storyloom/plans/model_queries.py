@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import briefs, candidates, costs, coverage, feedback, inbox, ingest, signals, trending
+from storyloom.operators import briefs, candidates, costs, coverage, detail, feedback, inbox, ingest, signals, trending
 from storyloom.plans import board_sql as B
 from storyloom.plans import run as scoring
 from storyloom.plans.catalog import query
 from storyloom.plans.text_queries import HALF_LIFE, HASHED, hashed, quoted
 from storyloom.plans.vector_queries import GATE, gated
 from storyloom.schemas import BUCKETS, DEAREST, DOMAINS, PRICES, TRANSPORT_DOMAINS
-from storyloom.sources.lens import AS_OF, EVENTS_AS_OF, model
+from storyloom.sources.lens import AS_OF, EVENTS_AS_OF, model, stream_of
 from storyloom.sources.shared import new_path, written
+from storyloom.streaming import jobs
 
 at = lambda text: F.expr(text)
 NOW, EVENTS_NOW = AS_OF, EVENTS_AS_OF
@@ -70,11 +71,38 @@ def host_allowlist(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.trusted_items(rows, hosts=["example.com", "example.org"]).select("raw_id")
 
 
-@query("process_outcomes", """SELECT raw_id, CASE WHEN raw_id % 4 = 0 THEN 'skip' WHEN raw_id % 10 = 7 THEN 'failed' WHEN raw_id % 6 = 1 THEN 'dedup_hit' ELSE 'normal' END AS outcome, attempts + CASE WHEN raw_id % 4 <> 0 AND raw_id % 10 = 7 THEN 1 ELSE 0 END AS attempts,
-CASE WHEN raw_id % 4 <> 0 AND raw_id % 10 = 7 THEN substr(title, 1, 240) END AS error FROM {raw_items}""")
+META_JSON = """CASE WHEN raw_id % 3 = 0 THEN NULL WHEN raw_id % 3 = 1 THEN concat('[["feed":"', external_id, '","kept":[1,2]', CASE WHEN raw_id % 5 = 2 THEN ',"last_processing_error":"old"' ELSE '' END, ']]') ELSE '[[]]' END"""
+braced = lambda sql: F.expr(sql.replace("[[", "{").replace("]]", "}"))
+OUTCOMES = f"""o AS (SELECT raw_id, fetched_at, CASE WHEN raw_id % 4 = 0 THEN 'skip' WHEN raw_id % 10 = 7 THEN 'failed' WHEN raw_id % 6 = 1 THEN 'dedup_hit' ELSE 'normal' END AS outcome, attempts + CASE WHEN raw_id % 4 <> 0 AND raw_id % 10 = 7 THEN 1 ELSE 0 END AS attempts,
+CASE WHEN raw_id % 4 <> 0 AND raw_id % 10 = 7 THEN substr(title, 1, 240) END AS error, {META_JSON} AS raw_meta FROM {{raw_items}})"""
+
+
+def attempted(spark: SparkSession, sf: str) -> DataFrame:
+    raw = model(spark, sf, "raw_items").withColumn("raw_meta", braced(META_JSON))
+    return ingest.outcomes(raw, raw.filter("raw_id % 4 = 0"), raw.filter("raw_id % 6 = 1"), raw.filter("raw_id % 10 = 7").select("raw_id", F.col("title").alias("error")), "raw_meta")
+
+
+@query("process_outcomes", f"WITH {OUTCOMES} SELECT raw_id, outcome, attempts, error, CASE WHEN error IS NULL THEN raw_meta ELSE CAST(json_merge_patch(CAST(coalesce(raw_meta, '[[]]') AS JSON), json_object('last_processing_error', error)) AS VARCHAR) END AS raw_meta FROM o")
 def process_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    raw = model(spark, sf, "raw_items")
-    return ingest.outcomes(raw, raw.filter("raw_id % 4 = 0"), raw.filter("raw_id % 6 = 1"), raw.filter("raw_id % 10 = 7").select("raw_id", F.col("title").alias("error")))
+    return attempted(spark, sf)
+
+
+@query("process_ticks", f"WITH {OUTCOMES} SELECT CAST(CAST(fetched_at AS DATE) AS STRING) AS tick, count(*) AS pulled, count(*) FILTER (outcome IN ('normal', 'skip')) AS normal, count(*) FILTER (outcome = 'dedup_hit') AS dedup, count(*) FILTER (outcome = 'failed') AS failures FROM o GROUP BY 1")
+def process_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """A tick a day of fetching."""
+    days = model(spark, sf, "raw_items").select("raw_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("tick"))
+    return ingest.ticks(attempted(spark, sf).join(days, "raw_id"))
+
+
+@query("stream_outcomes", "SELECT raw_id, attempts, CASE WHEN processed THEN CASE WHEN raw_id % 2 = 0 THEN 'normal' ELSE 'dedup_hit' END END AS outcome, CASE WHEN attempts > 0 THEN concat('error ', CAST(attempts AS STRING)) END AS error FROM {raw_items} WHERE attempts > 0 OR processed")
+def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of attempts, each of which comes twice: some fail, then a processed row is settled, and once more after that."""
+    raw = stream_of(spark, "raw_items", documents=jobs.source(spark, sf, "documents"), pages=model(spark, sf, "pages"))
+    tries = raw.select("raw_id", "attempts", "processed", F.explode(F.flatten(F.array_repeat(F.sequence(F.lit(1), F.col("attempts") + 2), 2))).alias("attempt"))
+    settled = F.when(F.col("raw_id") % 2 == 0, "normal").otherwise("dedup_hit")
+    outcome = F.when(F.col("attempt") <= F.col("attempts"), "failed").when(F.col("processed"), settled)
+    error = F.when(outcome == "failed", F.concat(F.lit("error "), F.col("attempt").cast("string")))
+    return jobs.processed(tries.select("raw_id", "attempt", outcome.alias("outcome"), error.alias("error")).filter("outcome IS NOT NULL"))
 
 
 @query("feed_items", """SELECT raw_id, concat('guid-', CAST(raw_id AS STRING)) AS external_id, trim(title) AS title, url, CASE WHEN raw_id % 4 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE published_at END AS published_at FROM {raw_items} WHERE raw_id % 9 <> 5 AND trim(title) <> ''""")
@@ -269,13 +297,21 @@ def cluster_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark, sf, "items").select("cluster_id", "source_id", "published_at", F.row_number().over(w).alias("position"), F.coalesce(gap, F.lit(0)).alias("gap_seconds"), (F.row_number().over(w) == 1).alias("is_first"), F.row_number().over(own).alias("repeat_no"))
 
 
-@query("cluster_sources", """WITH firsts AS (SELECT cluster_id, source_id, min(published_at) AS t0, count(*) AS n FROM {items} GROUP BY 1, 2) SELECT cluster_id, CAST(sum(f.n) AS BIGINT) AS n_rows, count(*) AS n_sources, string_agg(concat(s.name, ':', CAST(s.authority_score AS STRING)), ',' ORDER BY t0, source_id) AS sources FROM firsts f JOIN {sources} s USING (source_id) GROUP BY 1""")
+FIRSTS = "firsts AS (SELECT cluster_id, source_id, min(published_at) AS t0, count(*) AS n FROM {items} GROUP BY 1, 2), listed AS (SELECT cluster_id, CAST(sum(f.n) AS BIGINT) AS n_rows, count(*) AS n_sources, min(t0) AS first_at, string_agg(concat(s.name, ':', CAST(s.authority_score AS STRING)), ',' ORDER BY t0, source_id) AS sources FROM firsts f JOIN {sources} s USING (source_id) GROUP BY 1)"
+
+
+def named(listed: str) -> Column:
+    return F.array_join(F.transform(listed, lambda x: F.concat(x["name"], F.lit(":"), x["authority"].cast("string"))), ",")
+
+
+@query("cluster_sources", f"WITH {FIRSTS} SELECT cluster_id, n_rows, n_sources, sources FROM listed")
 def cluster_sources(spark: SparkSession, sf: str) -> DataFrame:
-    items, sources = m(spark, sf, "items", "sources")
-    firsts = items.groupBy("cluster_id", "source_id").agg(F.min("published_at").alias("at"), F.count("*").alias("n"))
-    joined = firsts.join(sources.select("source_id", "name", "authority_score"), "source_id")
-    listed = F.array_sort(F.collect_list(F.struct("at", "source_id", F.concat("name", F.lit(":"), F.col("authority_score").cast("string")).alias("label"))))
-    return joined.groupBy("cluster_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.array_join(F.transform(listed, lambda x: x["label"]), ",").alias("sources"))
+    return detail.source_list(*m(spark, sf, "items", "sources")).select("cluster_id", "n_rows", "n_sources", named("listed").alias("sources"))
+
+
+@query("cluster_source_rows", "SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at, source_id, order_id, line, part_id) AS position, source_id, name, title, url, published_at FROM {items} JOIN {sources} USING (source_id)")
+def cluster_source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return detail.source_rows(*m(spark, sf, "items", "sources"))
 
 
 # ---- candidates ---------------------------------------------------------------------------------------------
@@ -296,13 +332,23 @@ def today_list(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.groupBy("primary_domain").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"].cast("string")), ",").alias("candidates"))
 
 
-@query("candidate_detail", f"""WITH {EXCL}, n AS (SELECT cluster_id, count(*) AS n_rows, min(published_at) AS first_at FROM {{items}} GROUP BY 1)
-SELECT candidate_id, coalesce(n_rows, 0) AS n_rows, first_at, CASE WHEN e.is_exclusive THEN source_id END AS exclusive_source FROM {{candidates}} LEFT JOIN n USING (cluster_id) LEFT JOIN excl e USING (cluster_id)""")
+ARCHIVE_JSON = """CASE WHEN candidate_id % 4 = 0 THEN NULL WHEN candidate_id % 4 = 1 THEN '[[ "overlap": 0.1 ]]' ELSE concat('[[ "overlap": 0.4, "links": [ [[ "title": "A', CAST(candidate_id AS STRING), '", "url": "https://archive.example/a", "similarity": 0.5 ]], 7, [[ "title": ', CASE WHEN candidate_id % 3 = 0 THEN '7' ELSE '"B"' END, ', "url": "https://archive.example/b", "similarity": ', CASE WHEN candidate_id % 5 = 0 THEN '"high"' ELSE '0.25' END, ' ]] ] ]]') END"""
+LINKED = f"""entry AS (SELECT candidate_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT candidate_id, CAST(json_extract({ARCHIVE_JSON}, '$.links') AS JSON[]) AS l FROM {{candidates}})),
+linked AS (SELECT candidate_id, concat('[', string_agg(CAST(to_json(struct_pack(title := json_extract_string(e, '$.title'), url := json_extract_string(e, '$.url'), similarity := CAST(json_extract(e, '$.similarity') AS DOUBLE))) AS VARCHAR), ',' ORDER BY i), ']') AS archive_links
+ FROM entry WHERE json_type(e, '$.title') = 'VARCHAR' AND json_type(e, '$.url') = 'VARCHAR' AND json_type(e, '$.similarity') IN ('DOUBLE', 'UBIGINT', 'BIGINT') GROUP BY 1)"""
+
+
+def with_archive(spark: SparkSession, sf: str) -> DataFrame:
+    return model(spark, sf, "candidates").withColumn("archive_payload", braced(ARCHIVE_JSON))
+
+
+@query("candidate_detail", f"""WITH {EXCL}, {FIRSTS}, {LINKED}, own AS (SELECT i.* FROM {{items}} i JOIN excl e USING (cluster_id, source_id) WHERE e.is_exclusive QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY published_at, order_id, line, part_id) = 1)
+SELECT candidate_id, coalesce(n_rows, 0) AS n_rows, first_at, l.sources, o.source_id AS exclusive_source, s.name AS exclusive_name, o.title AS exclusive_title, o.url AS exclusive_url, o.published_at AS exclusive_at, coalesce(archive_links, '[]') AS archive_links
+FROM {{candidates}} c LEFT JOIN listed l ON l.cluster_id = c.cluster_id LEFT JOIN own o ON o.cluster_id = c.cluster_id LEFT JOIN {{sources}} s ON s.source_id = o.source_id LEFT JOIN linked USING (candidate_id)""")
 def candidate_detail(spark: SparkSession, sf: str) -> DataFrame:
-    items, sources, rows = m(spark, sf, "items", "sources", "candidates")
-    n = items.groupBy("cluster_id").agg(F.count("*").alias("n_rows"), F.min("published_at").alias("first_at"))
-    alone = signals.exclusive(items, sources).select("cluster_id", "source_id", F.col("is_exclusive").alias("alone"))
-    return rows.join(n, "cluster_id", "left").join(alone, "cluster_id", "left").select("candidate_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_at", F.when(F.col("alone"), F.col("source_id")).alias("exclusive_source"))
+    found = detail.details(with_archive(spark, sf), *m(spark, sf, "items", "sources"))
+    alone = [F.col(f"exclusive.{n}").alias(f"exclusive_{as_}") for n, as_ in (("source_id", "source"), ("name", "name"), ("title", "title"), ("url", "url"), ("published_at", "at"))]
+    return found.select("candidate_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_at", named("listed").alias("sources"), *alone, F.to_json("archive_links").alias("archive_links"))
 
 
 @query("latest_new_per_cluster", "SELECT candidate_id, CASE WHEN status = 'new' AND row_number() OVER (PARTITION BY cluster_id, status ORDER BY created_at DESC, candidate_id DESC) > 1 THEN 'expired' ELSE status END AS status FROM {candidates}")
@@ -406,11 +452,23 @@ def brief_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return stored.join(F.broadcast(feed), "week_of", "left").withColumn("week_of", F.date_format("week_of", "yyyy-MM-dd"))  # 12 rows
 
 
-@query("brief_context", f"""WITH pool AS (SELECT *, row_number() OVER (ORDER BY {BEST}) AS rank FROM (SELECT * FROM {{candidates}} WHERE created_at >= TIMESTAMP '2001-07-01 00:00:00' AND created_at < TIMESTAMP '2001-08-02 00:00:00' ORDER BY {BEST} LIMIT 80)),
-newest AS (SELECT candidate_id, source_id, row_number() OVER (PARTITION BY candidate_id ORDER BY published_at DESC, source_id, part_id, order_id, line) AS n FROM pool JOIN {{items}} USING (cluster_id)), listed AS (SELECT candidate_id, string_agg(CAST(source_id AS STRING), ',' ORDER BY n) AS sources FROM newest WHERE n <= 5 GROUP BY 1)
-SELECT candidate_id, rank, sources FROM pool LEFT JOIN listed USING (candidate_id)""")
+WEEK = ("TIMESTAMP '2001-07-26 00:00:00'", "TIMESTAMP '2001-08-03 00:00:00'")
+INSIDE = lambda c: f"({c} >= {WEEK[0]} AND {c} < {WEEK[1]})"
+MOVED = "f.created_at - INTERVAL 8200 DAY"  # decisions are made 8200 days after candidates in the given tables
+
+
+@query("brief_context", f"""WITH {LINKED}, pool AS (SELECT *, row_number() OVER (ORDER BY {BEST}) AS rank FROM (SELECT * FROM {{candidates}} WHERE {INSIDE("created_at")} OR {INSIDE("updated_at")} ORDER BY {BEST} LIMIT 80)),
+newest AS (SELECT candidate_id, title, url, row_number() OVER (PARTITION BY candidate_id ORDER BY published_at DESC, source_id, part_id, order_id, line) AS n FROM pool JOIN {{items}} USING (cluster_id)), listed AS (SELECT candidate_id, concat('[', string_agg(CAST(to_json(struct_pack(title := title, url := url)) AS VARCHAR), ',' ORDER BY n), ']') AS sources FROM newest WHERE n <= 5 GROUP BY 1)
+SELECT 'candidate' AS kind, rank, candidate_id AS id, status, headline, sources, coalesce(archive_links, '[]') AS archive_links, NULL AS reason, CAST(NULL AS TIMESTAMP) AS decided_at FROM pool LEFT JOIN listed USING (candidate_id) LEFT JOIN linked USING (candidate_id)
+UNION ALL SELECT 'decision', NULL, feedback_id, action, headline, NULL, NULL, reason, {MOVED} FROM {{feedback}} f JOIN {{candidates}} c USING (candidate_id) WHERE {INSIDE(MOVED)}""")
 def brief_context(spark: SparkSession, sf: str) -> DataFrame:
-    return briefs.context(*m(spark, sf, "candidates", "items"), at("TIMESTAMP '2001-07-01 00:00:00'"), at("TIMESTAMP '2001-08-02 00:00:00'"))
+    """Candidates of the week and its decisions."""
+    rows, (start, end) = with_archive(spark, sf), map(at, WEEK)
+    pool = briefs.context(rows, model(spark, sf, "items"), start, end)
+    made = briefs.decisions(model(spark, sf, "feedback").alias("f").withColumn("created_at", at(MOVED)), rows, start, end)
+    pool = pool.select(F.lit("candidate").alias("kind"), "rank", F.col("candidate_id").alias("id"), "status", "headline", F.to_json("sources").alias("sources"), F.to_json("archive_links").alias("archive_links"))
+    made = made.select(F.lit("decision").alias("kind"), F.col("feedback_id").alias("id"), F.col("action").alias("status"), "headline", "reason", F.col("created_at").alias("decided_at"))
+    return pool.unionByName(made, allowMissingColumns=True)
 
 
 # ---- feedback and costs -------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.assignment import assign_step, assignable, step_of, with_hits
-from storyloom.operators.ingest import hash_dedup
+from storyloom.operators.ingest import hash_dedup, settled
 from storyloom.sources.lens import zoned
 from storyloom.sources.shared import new_path
 
@@ -81,6 +81,11 @@ def partials(stream: DataFrame, name: str, counted: Callable[[DataFrame], DataFr
     return spark.read.schema(f"{empty.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").option("basePath", path).parquet(path)
 
 
+def processed(attempts: DataFrame) -> DataFrame:
+    """``settled`` of a stream of attempts: a micro-batch lands each of its attempts once, and what comes again, in any batch, changes nothing."""
+    return settled(partials(attempts, "attempts", lambda batch: batch.dropDuplicates(["raw_id", "attempt", "outcome"])).drop("batch"))
+
+
 def activity_windows(items: DataFrame, size: str = "24 hours", slide: str = "12 hours", late: timedelta = timedelta(days=2)) -> DataFrame:
     """(cluster_id, window_start, n, corrected) of items in sliding windows of event time.
 

@@ -105,52 +105,72 @@ def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.processed(tries.select("raw_id", "attempt", outcome.alias("outcome"), error.alias("error")).filter("outcome IS NOT NULL"))
 
 
-@query("feed_items", """SELECT raw_id, concat('guid-', CAST(raw_id AS STRING)) AS external_id, trim(title) AS title, url, CASE WHEN raw_id % 4 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE published_at END AS published_at FROM {raw_items} WHERE raw_id % 9 <> 5 AND trim(title) <> ''""")
+@query("feed_items", """SELECT raw_id, CASE WHEN raw_id % 5 = 2 THEN url ELSE concat('guid-', CAST(raw_id AS STRING)) END AS external_id, trim(title) AS title, url, CASE WHEN raw_id % 4 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE published_at END AS published_at,
+CAST(to_json(struct_pack(feedTitle := concat('Feed ', CAST(source_id AS STRING)), categories := CASE WHEN raw_id % 3 > 0 THEN list_slice(['one', 'two'], 1, raw_id % 3) END, enclosure := CASE WHEN raw_id % 7 = 0 THEN struct_pack(url := 'https://media.example/a.mp3', type := 'audio/mpeg') END)) AS VARCHAR) AS raw_meta FROM {raw_items} WHERE raw_id % 9 <> 5 AND trim(title) <> ''""")
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Feed entries, landed from the raw items as lines of XML and read back."""
-    from storyloom.sources.feeds import entries_of, items_of
+    """Feeds, landed from the raw items as documents of XML and read back: a document for each source and 50 ids."""
+    from storyloom.sources.feeds import feeds_of, items_of
 
     rows = model(spark, sf, "raw_items")
     esc = lambda c: T.escaped(c, "&apos;", True)
-    link = F.when(F.col("raw_id") % 9 == 5, "").otherwise(F.concat(F.lit("<link>"), esc(F.col("url")), F.lit("</link>")))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    link = F.when(F.col("raw_id") % 9 == 5, "").otherwise(tag("link", esc(F.col("url"))))
     date = F.when(F.col("raw_id") % 4 == 1, "not a date").otherwise(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    line = F.concat(F.lit("<item>"), F.lit("<title>"), esc(F.col("title")), F.lit("</title>"), link, F.lit("<guid>guid-"), F.col("raw_id").cast("string"), F.lit("</guid><isoDate>"), date, F.lit("</isoDate></item>"))
+    guid = F.when(F.col("raw_id") % 5 == 2, "").otherwise(F.concat(F.lit("guid-"), F.col("raw_id").cast("string")))
+    categories = F.concat_ws("", F.when(F.col("raw_id") % 3 > 0, tag("category", F.lit("one"))), F.when(F.col("raw_id") % 3 == 2, tag("category", F.lit("two"))))
+    enclosure = F.when(F.col("raw_id") % 7 == 0, '<enclosure url="https://media.example/a.mp3" type="audio/mpeg"/>').otherwise("")
+    entry = tag("item", F.concat(tag("title", esc(F.col("title"))), link, tag("guid", guid), tag("isoDate", date), categories, enclosure, tag("creator", F.col("raw_id").cast("string"))))
+    feeds = rows.groupBy("source_id", F.floor(F.col("raw_id") / 50).alias("page")).agg(F.array_join(F.collect_list(entry), "").alias("items"))
     path = new_path(spark, "feeds")
-    rows.select(line.alias("value")).write.text(path)
-    found = items_of(entries_of(spark.read.text(path)), at("TIMESTAMP '2024-02-01 00:00:00'"))
-    return found.select(F.regexp_extract("external_id", "guid-(\\d+)", 1).cast("long").alias("raw_id"), "external_id", "title", "url", "published_at")
+    feeds.select(tag("channel", F.concat(tag("title", F.concat(F.lit("Feed "), F.col("source_id").cast("string"))), F.col("items"))).alias("value")).write.text(path)
+    found = items_of(feeds_of(spark.read.text(path)), at("TIMESTAMP '2024-02-01 00:00:00'"))
+    return found.select(F.col("author").cast("long").alias("raw_id"), "external_id", "title", "url", "published_at", F.to_json("raw_meta", {"ignoreNullFields": "false"}).alias("raw_meta"))
 
 
-VIDEOS = "SELECT event_id, user_id AS competitor_id, CAST(event_id % 3000 AS STRING) AS external_id, ts AS published_at, event_type FROM {events}"
+VIDEO = """user_id AS competitor_id, CASE WHEN event_id % 41 <> 7 THEN CAST(event_id % 3000 AS STRING) END AS external_id, ts AS published_at, CASE WHEN event_id % 43 <> 8 THEN concat('https://video.example/', CAST(event_id AS STRING)) END AS url, CASE WHEN event_id % 47 = 9 THEN '  ' ELSE concat(' Video ', CAST(event_id AS STRING), ' ') END AS title,
+CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN '["first","second"]' ELSE concat('"about ', CAST(event_id AS STRING), '"') END WHEN event_id % 3 = 1 THEN '""' END AS media, CASE WHEN event_id % 5 = 0 THEN 'content' END AS content, CASE WHEN event_id % 7 = 0 THEN 'snippet' END AS snippet"""
 
 
-@query("competitor_videos", """WITH v AS (SELECT event_id, user_id AS competitor_id, CAST(event_id % 3000 AS STRING) AS external_id, ts AS published_at, event_type FROM {events}), known AS (SELECT * FROM v WHERE event_id % 4 = 0),
-new AS (SELECT * FROM v n WHERE event_id % 4 <> 0 AND event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.competitor_id = n.competitor_id AND k.external_id = n.external_id) QUALIFY row_number() OVER (PARTITION BY competitor_id, external_id ORDER BY event_id) = 1),
-old AS (SELECT competitor_id, max(published_at) AS last_video_at FROM known GROUP BY 1), fresh AS (SELECT competitor_id, max(published_at) AS seen, count(*) AS n FROM new GROUP BY 1)
-SELECT competitor_id, coalesce(greatest(seen, last_video_at), seen, last_video_at) AS last_video_at, coalesce(n, 0) AS inserted FROM old FULL JOIN fresh USING (competitor_id)""")
+@query("competitor_videos", f"""WITH v AS (SELECT event_id, {VIDEO} FROM {{events}}), known AS (SELECT * FROM v WHERE event_id % 4 = 0 AND external_id IS NOT NULL),
+good AS (SELECT event_id, competitor_id, external_id, published_at, url, trim(title) AS title, coalesce(CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'first' WHEN event_id % 3 = 0 THEN concat('about ', CAST(event_id AS STRING)) END, content, snippet) AS description FROM v WHERE external_id IS NOT NULL AND url IS NOT NULL AND trim(title) <> ''),
+new AS (SELECT * FROM good n WHERE event_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.competitor_id = n.competitor_id AND k.external_id = n.external_id) QUALIFY row_number() OVER (PARTITION BY competitor_id, external_id ORDER BY event_id) = 1),
+old AS (SELECT competitor_id, max(published_at) AS last_video_at FROM known GROUP BY 1), fresh AS (SELECT competitor_id, max(published_at) AS seen, count(*) AS n, count(description) AS described, max(description) AS last_description FROM new GROUP BY 1)
+SELECT competitor_id, coalesce(greatest(seen, last_video_at), seen, last_video_at) AS last_video_at, coalesce(n, 0) AS inserted, coalesce(described, 0) AS described, last_description FROM old FULL JOIN fresh USING (competitor_id)""")
 def competitor_videos(spark: SparkSession, sf: str) -> DataFrame:
-    from storyloom.sources.feeds import new_videos
+    from storyloom.sources.feeds import new_videos, videos_of
 
-    v = spark.sql(VIDEOS, events=model(spark, sf, "events"))
-    known = v.filter("event_id % 4 = 0")
-    new = new_videos(v.filter("event_id % 4 <> 0 AND event_type <> 'error'"), known)
+    v = spark.sql(f"SELECT event_id, {VIDEO} FROM {{events}}", events=model(spark, sf, "events"))
+    known = v.filter("event_id % 4 = 0 AND external_id IS NOT NULL")
+    new = new_videos(videos_of(v.filter("event_id % 4 <> 0")), known)
     old = known.groupBy("competitor_id").agg(F.max("published_at").alias("last"))
-    fresh = new.groupBy("competitor_id").agg(F.max("published_at").alias("at"), F.count("*").alias("n"))
-    return old.join(fresh, "competitor_id", "full_outer").select("competitor_id", F.greatest("at", "last").alias("last_video_at"), F.coalesce("n", F.lit(0)).alias("inserted"))
+    fresh = new.groupBy("competitor_id").agg(F.max("published_at").alias("at"), F.count("*").alias("n"), F.count("description").alias("described"), F.max("description").alias("last_description"))
+    return old.join(fresh, "competitor_id", "full_outer").select("competitor_id", F.greatest("at", "last").alias("last_video_at"), F.coalesce("n", F.lit(0)).alias("inserted"), F.coalesce("described", F.lit(0)).alias("described"), "last_description")
 
 
-@query("playlist_videos", """SELECT event_id AS video_id, user_id AS channel_id, ts AS published_at FROM {events} WHERE event_id % 8 <> 3 AND event_id % 10 <> 4 AND ts >= TIMESTAMP '2024-01-10 00:00:00'""")
-def playlist_videos(spark: SparkSession, sf: str) -> DataFrame:
+PLAYLISTED = "SELECT event_id AS video_id, user_id AS channel_id, ts AS published_at FROM {events} WHERE event_id % 8 <> 3 AND event_id % 10 <> 4 AND ts >= TIMESTAMP '2024-01-10 00:00:00'"
+
+
+def playlist(spark: SparkSession, sf: str) -> DataFrame:
     """Paged playlist answers as JSON texts, built from events, exploded to videos."""
     from storyloom.sources.feeds import playlist_items
 
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     own = F.when(F.col("event_id") % 8 != 3, F.col("event_id").cast("string"))
     item = F.struct(F.struct(own.alias("videoId"), F.when(F.col("event_id") % 10 == 4, "bad").when(F.col("event_id") % 2 == 0, iso).alias("videoPublishedAt")).alias("contentDetails"), F.struct(F.col("user_id").cast("string").alias("channelId"), F.lit("t").alias("title"), F.when(F.col("event_id") % 10 == 4, "bad").otherwise(iso).alias("publishedAt")).alias("snippet"))
-    pages = model(spark, sf, "events").groupBy("user_id", F.expr("event_id % 50").alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("raw"))
+    pages = model(spark, sf, "events").groupBy("user_id", F.expr("floor(event_id / 50)").alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("raw"))
     return playlist_items(pages, at("TIMESTAMP '2024-01-10 00:00:00'")).select(F.col("video_id").cast("long").alias("video_id"), F.col("channel_id").cast("long").alias("channel_id"), "published_at")
 
 
+@query("playlist_videos", PLAYLISTED)
+def playlist_videos(spark: SparkSession, sf: str) -> DataFrame:
+    return playlist(spark, sf)
+
+
+@query("playlist_corpus", f"SELECT channel_id, count(*) AS videos, min(published_at) AS oldest, max(published_at) AS newest FROM ({PLAYLISTED}) GROUP BY 1")
+def playlist_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return playlist(spark, sf).groupBy("channel_id").agg(F.count("*").alias("videos"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest"))
+
+
 # ---- signals ------------------------------------------------------------------------------------------------
 
 EXCL = """first AS (SELECT cluster_id, source_id, min(published_at) AS t0 FROM {items} GROUP BY 1, 2), two AS (SELECT *, row_number() OVER w AS n, lead(t0) OVER w AS nxt FROM first WINDOW w AS (PARTITION BY cluster_id ORDER BY t0, source_id)),
@@ -261,20 +281,32 @@ UPSERT = f"""per AS (SELECT cluster_id, bool_or(status IN ('picked', 'passed') A
 saved AS (SELECT c.cluster_id, CASE WHEN decided THEN 'skipped_decided' WHEN coalesce(n, d) IS NOT NULL THEN 'superseded' ELSE 'inserted' END AS outcome, CASE WHEN NOT coalesce(decided, false) THEN coalesce(n, d).i END AS candidate_id, CASE WHEN NOT coalesce(decided, false) THEN {NOW} + to_hours({HALF_LIFE}) END AS expires_at FROM curated c LEFT JOIN per USING (cluster_id))"""
 
 
+#: Model calls of a run: which fail, what they cost and are projected to cost, and the run's ceiling, in millionths of a dollar.
+FAILED = "CASE WHEN b.cluster_id % 13 = 4 THEN 'summarise' WHEN b.cluster_id % 17 = 5 THEN 'curate' END"
+MICROS = ("CAST(b.cluster_id % 50 * 100 + 100 AS BIGINT)", "CAST(b.cluster_id % 70 * 100 + 100 AS BIGINT)")
+PROJECTED, RUN_CEILING = (5000, 7000), 900_000
+
+
 PASS = f"""{EXCL}, {COVER}, {SCORE}, pool AS (SELECT * FROM {{clusters}} WHERE {POOL}), {traj(24, "pool")}, {HEAT}, best AS (SELECT h.* FROM heur h JOIN pool USING (cluster_id) ORDER BY score DESC, cluster_id LIMIT 200), {GATE},
-gated AS (SELECT b.*, p.primary_domain, CAST((b.cluster_id * 31) % 100 AS DOUBLE) AS curation_score, coalesce(overlap, 0) AS overlap, coalesce(decision, 'pass') AS decision FROM best b JOIN pool p USING (cluster_id) LEFT JOIN gate g ON g.id = b.cluster_id),
-curated AS (SELECT cluster_id, primary_domain FROM gated WHERE decision <> 'drop' AND curation_score >= 60), {UPSERT},
-staged AS (SELECT g.*, outcome, candidate_id, CASE WHEN decision = 'drop' THEN 'archived' WHEN curation_score < 60 THEN 'below_cutoff' WHEN outcome = 'skipped_decided' THEN 'decided' ELSE 'saved' END AS stage FROM gated g LEFT JOIN saved USING (cluster_id)),
-passed AS (SELECT s.cluster_id, score, temperature, trajectory, round(overlap, 4) AS overlap, decision, curation_score, stage, outcome, candidate_id, CASE WHEN stage = 'saved' AND row_number() OVER (PARTITION BY stage ORDER BY curation_score DESC, s.cluster_id) <= 5 THEN row_number() OVER (PARTITION BY stage ORDER BY curation_score DESC, s.cluster_id) END AS pulse_rank
+gated AS (SELECT b.*, p.primary_domain, CAST((b.cluster_id * 31) % 100 AS DOUBLE) AS curation_score, coalesce(overlap, 0) AS overlap, coalesce(decision, 'pass') AS decision, {FAILED} AS failed, {MICROS[0]} AS sm, {MICROS[1]} AS cm FROM best b JOIN pool p USING (cluster_id) LEFT JOIN gate g ON g.id = b.cluster_id),
+going AS (SELECT *, failed IS DISTINCT FROM 'summarise' AND decision <> 'drop' AS goes FROM gated),
+spending AS (SELECT *, coalesce(sum(sm + CASE WHEN goes THEN cm ELSE 0 END) OVER (ORDER BY score DESC, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM going),
+stops AS (SELECT *, sofar + {PROJECTED[0]} >= {RUN_CEILING} AS s1, goes AND sofar + sm + {PROJECTED[1]} >= {RUN_CEILING} AS s2 FROM spending),
+charged AS (SELECT *, coalesce(bool_or(s1 OR s2) OVER (ORDER BY score DESC, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM stops),
+reach AS (SELECT *, CASE WHEN over OR s1 THEN 0 WHEN s2 THEN sm ELSE sm + CASE WHEN goes THEN cm ELSE 0 END END AS micros, CASE WHEN over OR s1 OR s2 THEN 'halted' WHEN failed = 'summarise' THEN 'failed_summarise' WHEN decision = 'drop' THEN 'archived' WHEN failed = 'curate' THEN 'failed_curate' WHEN curation_score < 60 THEN 'below_cutoff' END AS reached FROM charged),
+curated AS (SELECT cluster_id, primary_domain FROM reach WHERE reached IS NULL), {UPSERT},
+staged AS (SELECT g.*, outcome, candidate_id, coalesce(reached, CASE WHEN outcome = 'skipped_decided' THEN 'decided' ELSE 'saved' END) AS stage FROM reach g LEFT JOIN saved USING (cluster_id)),
+passed AS (SELECT s.cluster_id, score, temperature, trajectory, round(overlap, 4) AS overlap, decision, curation_score, stage, outcome, candidate_id, CASE WHEN stage = 'saved' AND row_number() OVER (PARTITION BY stage ORDER BY curation_score DESC, s.cluster_id) <= 5 THEN row_number() OVER (PARTITION BY stage ORDER BY curation_score DESC, s.cluster_id) END AS pulse_rank, CAST(micros AS BIGINT) AS micros
 FROM staged s JOIN moves USING (cluster_id) JOIN heat USING (cluster_id))"""
 
 
 def one_pass(spark: SparkSession, sf: str) -> DataFrame:
     clusters = state(spark, sf)
-    curations = clusters.select("cluster_id", ((F.col("cluster_id") * 31) % 100).cast("double").alias("curation_score"))
+    calls = [at(FAILED.replace("b.", "")).alias("failed"), *(at(t.replace("b.", "")).alias(n) for t, n in zip(MICROS, ("summarise_micros", "curate_micros"), strict=True))]
+    curations = clusters.select("cluster_id", ((F.col("cluster_id") * 31) % 100).cast("double").alias("curation_score"), *calls)
     items, sources, coverage, rows = m(spark, sf, "items", "sources", "coverage", "candidates")
-    gate = gated(spark, sf).withColumnRenamed("id", "cluster_id")
-    return scoring.run(items, clusters, sources, coverage, rows, curations, at(NOW), heat_days=3650, similarity=similarities(spark, sf), gate=gate).withColumn("overlap", F.round("overlap", 4))
+    gate = lambda best: gated(spark, sf, best.withColumnRenamed("cluster_id", "id")).withColumnRenamed("id", "cluster_id")
+    return scoring.run(items, clusters, sources, coverage, rows, curations, at(NOW), heat_days=3650, similarity=similarities(spark, sf), gate=gate, ceiling=RUN_CEILING, projected=PROJECTED).withColumn("overlap", F.round("overlap", 4))
 
 
 @query("scoring_run", f"WITH {PASS} SELECT * FROM passed")
@@ -419,11 +451,11 @@ def run_digest(spark: SparkSession, sf: str) -> DataFrame:
     return fresh(spark, sf).groupBy("run_id", "primary_domain").agg(F.count("*").alias("n"), F.count_if("is_exclusive").alias("exclusives"))
 
 
-@query("run_funnel", f"""WITH {PASS}, spend AS (SELECT CAST(sum(usd) AS DOUBLE) AS usd FROM {{costs}}) SELECT count(*) AS considered, count(*) FILTER (stage = 'archived') AS dropped, count(*) FILTER (decision = 'flag') AS flagged, count(*) FILTER (stage = 'below_cutoff') AS below_cutoff,
-count(*) FILTER (stage = 'decided') AS skipped, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'superseded') AS superseded, (SELECT usd FROM spend) AS usd FROM passed""")
+@query("run_funnel", f"""WITH {PASS} SELECT 'run 1' AS run_id, count(*) AS considered, count(*) FILTER (micros > 0) AS advanced, count(*) FILTER (stage = 'archived') AS dropped, count(*) FILTER (decision = 'flag' AND stage NOT IN ('halted', 'failed_summarise')) AS flagged,
+count(*) FILTER (stage = 'failed_summarise') AS failed_summarise, count(*) FILTER (stage = 'failed_curate') AS failed_curate, count(*) FILTER (stage = 'halted') AS halted, count(*) FILTER (stage = 'below_cutoff') AS below_cutoff,
+count(*) FILTER (stage = 'decided') AS skipped, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'superseded') AS superseded, CAST(sum(micros) AS DOUBLE) / 1000000 AS usd FROM passed""")
 def run_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    spend = model(spark, sf, "costs").agg(F.sum("usd").cast("double").alias("usd"))
-    return scoring.funnel(one_pass(spark, sf)).join(F.broadcast(spend))  # one row each
+    return scoring.funnel(one_pass(spark, sf).withColumn("run_id", F.lit("run 1")))
 
 
 TODAY = "CAST(TIMESTAMP '2001-08-01 00:00:00' AS DATE)"

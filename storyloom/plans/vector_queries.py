@@ -70,8 +70,10 @@ def archive_topk(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.archive_links(clusters.archive_matches(centroids, archive), archive).withColumns({"similarity": four("similarity"), "overlap": four("overlap")})
 
 
-def gated(spark: SparkSession, sf: str) -> DataFrame:
+def gated(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """The archive's decision for all centroids, or for those of ``only(id)``."""
     centroids, archive = centroids_and_archive(spark, sf)
+    centroids = centroids if only is None else centroids.join(only, "id", "left_semi")
     found = clusters.archive_matches(centroids, archive)
     return clusters.archive_decision(centroids, found, archive, F.expr(VECTORS_AS_OF), 0.35, 0.25, 10).withColumn("overlap", four("overlap"))
 

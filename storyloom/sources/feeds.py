@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ITEM = "title string, link string, guid string, id string, isoDate string, pubDate string, content string, contentSnippet string, creator string, author string, category array<string>"
+from storyloom.functions.text import json_items, json_text
+
+ITEM = "title string, link string, guid string, id string, isoDate string, pubDate string, content string, contentSnippet string, creator string, author string, category array<string>, enclosure struct<_url:string,_type:string>"
 PLAYLIST = "items array<struct<contentDetails:struct<videoId:string,videoPublishedAt:string>,snippet:struct<channelId:string,title:string,publishedAt:string>>>"
 
 
@@ -18,12 +20,38 @@ def entries_of(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_xml(column, ITEM).alias("e")).select("e.*")
 
 
+def feeds_of(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Entries, with ``feed_title``, of a text column that holds one whole feed (a channel and its items) in each row."""
+    feed = F.from_xml(column, F.lit(f"title string, item array<struct<{ITEM.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>>"))
+    return lines.select(feed.alias("f")).select(F.col("f.title").alias("feed_title"), F.explode("f.item").alias("e")).select("feed_title", "e.*")
+
+
 def items_of(entries: DataFrame, as_of: Column) -> DataFrame:
-    """(external_id, title, url, content, author, published_at); entries without a link or a title go."""
+    """(external_id, title, url, content, author, published_at, raw_meta); entries without a link or a title go.
+
+    The id is the guid, else the id, else the link; empty ones don't count. ``raw_meta`` has the feed's title (where entries have a
+    ``feed_title``), the categories and the enclosure; what an entry hasn't is null.
+    """
     rfc = F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
     date = F.coalesce(F.try_to_timestamp("isoDate"), F.try_to_timestamp("pubDate"), rfc, as_of)
     good = entries.filter((F.trim(F.coalesce("link", F.lit(""))) != "") & (F.trim(F.coalesce("title", F.lit(""))) != ""))
-    return good.select(F.coalesce("guid", "id", "link").alias("external_id"), F.trim("title").alias("title"), F.col("link").alias("url"), F.coalesce("content", "contentSnippet").alias("content"), F.coalesce("creator", "author").alias("author"), date.alias("published_at"))
+    feed_title = F.col("feed_title") if "feed_title" in entries.columns else F.lit(None).cast("string")
+    enclosure = F.when(F.col("enclosure").isNotNull(), F.struct(F.col("enclosure._url").alias("url"), F.col("enclosure._type").alias("type")))
+    meta = F.struct(feed_title.alias("feedTitle"), F.col("category").alias("categories"), enclosure.alias("enclosure"))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    return good.select(F.coalesce(some("guid"), some("id"), "link").alias("external_id"), F.trim("title").alias("title"), F.col("link").alias("url"), F.coalesce("content", "contentSnippet").alias("content"), F.coalesce("creator", "author").alias("author"), date.alias("published_at"), meta.alias("raw_meta"))
+
+
+def videos_of(entries: DataFrame) -> DataFrame:
+    """entries(external_id, url, title, media, content, snippet, ...) that have an id, a link and a title that isn't blank, with their description.
+
+    ``media`` is JSON: a text or an array of texts. The description is that text, or the array's first, if it isn't empty; else content, else snippet.
+    """
+    media = F.try_parse_json("media")
+    said = F.coalesce(F.nullif(json_text(media), F.lit("")), F.nullif(json_text(F.get(json_items(media), F.lit(0))), F.lit("")))
+    full = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) > 0
+    good = entries.withColumn("title", F.trim("title")).filter(full("external_id") & full("url") & full("title"))
+    return good.withColumn("description", F.coalesce(said, "content", "snippet")).drop("media", "content", "snippet")
 
 
 def new_videos(videos: DataFrame, known: DataFrame) -> DataFrame:

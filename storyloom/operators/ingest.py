@@ -12,17 +12,21 @@ from storyloom.functions.urls import host, suffixes
 from storyloom.schemas import AGGREGATOR_FEEDS, TRUSTED_HOSTS
 
 
+def twins_folded(new: DataFrame) -> DataFrame:
+    """Of equal (URL, title) pairs of a source the row with the smallest ``raw_id``."""
+    order = Window.partitionBy("source_id", "url_hash", "title_hash").orderBy("raw_id")
+    return new.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+
+
 def hash_dedup(new: DataFrame, known: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Rows of new(raw_id, source_id, external_id, url_hash, title_hash) to insert.
 
     A URL known at any age drops a row; a title only if its known row was published within ``days``. In a
     batch equal (URL, title) pairs of a source fold to the first; then (source, external id) is unique.
     """
-    first = lambda *keys: Window.partitionBy(*keys).orderBy("raw_id")
-    folded = new.withColumn("n", F.row_number().over(first("source_id", "url_hash", "title_hash"))).filter("n = 1").drop("n")
     recent = known.filter(F.col("published_at") >= as_of - F.make_dt_interval(F.lit(days)))
-    fresh = folded.join(known.select("url_hash"), "url_hash", "left_anti").join(recent.select("title_hash"), "title_hash", "left_anti").join(known.select("source_id", "external_id"), ["source_id", "external_id"], "left_anti")
-    return fresh.withColumn("n", F.row_number().over(first("source_id", "external_id"))).filter("n = 1").drop("n")
+    fresh = twins_folded(new).join(known.select("url_hash"), "url_hash", "left_anti").join(recent.select("title_hash"), "title_hash", "left_anti").join(known.select("source_id", "external_id"), ["source_id", "external_id"], "left_anti")
+    return fresh.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "external_id").orderBy("raw_id"))).filter("n = 1").drop("n")
 
 
 def trusted_items(items: DataFrame, feed: str = "feed_url", url: str = "url", hosts: Sequence[str] = tuple(TRUSTED_HOSTS)) -> DataFrame:

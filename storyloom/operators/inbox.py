@@ -34,7 +34,9 @@ def seeded(senders: DataFrame, seeds: DataFrame) -> DataFrame:
     own = domain_of(F.col("from_addr"))
     rows = senders.withColumn("d", own).filter(F.col("d").isNotNull() & ~F.exists(suffixes(F.col("d")), lambda x: x.isin(TRANSPORT_DOMAINS)))
     tried = rows.select("sender_id", F.explode(suffixes(F.col("d"))).alias("hint"))
-    return tried.join(seeds.select(F.lower("hint").alias("hint"), "seed_order", "seed_slug", "authority"), "hint").groupBy("sender_id").agg(F.min(F.struct("seed_order", "seed_slug", "authority")).alias("s")).select("sender_id", F.col("s.seed_slug").alias("slug"), F.col("s.authority").alias("authority"))
+    # a hint's seeds are many, its first one is all that can win
+    first = seeds.groupBy(F.lower("hint").alias("hint")).agg(F.min(F.struct("seed_order", "seed_slug", "authority")).alias("s"))
+    return tried.join(first, "hint").groupBy("sender_id").agg(F.min("s").alias("s")).select("sender_id", F.col("s.seed_slug").alias("slug"), F.col("s.authority").alias("authority"))
 
 
 def unmatched(senders: DataFrame, sender_map: DataFrame) -> DataFrame:

@@ -3,7 +3,12 @@
 from contextlib import redirect_stdout
 from io import StringIO
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from storyloom.operators import inbox
+from storyloom.operators.ingest import hash_dedup
+from storyloom.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +23,41 @@ def test_raw_items_never_meet_all_pages(spark):
     for name in ("host_allowlist", "ingest_hash_dedup"):
         plan = plan_of(entry.queries()[name](spark, SMALL))
         assert "CartesianProduct" not in plan and "HashJoin [page" in plan
+
+
+def test_ingest_is_the_batchs_for_any_micro_batches(spark, tmp_path):
+    """Files of one row, in two orders and one file a batch: other sources' twins stay, the smallest raw_id wins."""
+    kind = "raw_id long, source_id int, external_id string, published_at timestamp, url_hash string, title_hash string"
+    at = "TIMESTAMP '2024-01-14 00:00:00'"
+    rows = [(1, 1, "a", "u1", "t1"), (2, 2, "a", "u1", "t1"), (3, 1, "b", "u1", "t1"), (4, 1, "a", "u2", "t2"), (5, 1, "c", "u3", "t1"), (6, 3, "k", "u4", "t4"), (7, 3, "z", "u4", "t4"), (8, 1, None, "u5", None), (9, 1, None, "u5", None)]
+    made = lambda some: spark.createDataFrame([(i, s, e, None, u, t) for i, s, e, u, t in some], kind).withColumn("published_at", F.expr(at))
+    known, as_of = made([(100, 3, "k", "u9", "t9")]), F.expr("TIMESTAMP '2024-01-15 00:00:00'")
+    want = sorted(r.raw_id for r in hash_dedup(made(rows), known, as_of).collect())
+    assert want == [1, 2, 5, 8]
+    for name, order in (("up", rows), ("down", rows[::-1])):
+        for row in order:
+            made([row]).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(made(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        assert sorted(r.raw_id for r in jobs.ingested(stream, known, as_of).collect()) == want
+
+
+def joined_rows(df):
+    """The most rows that any join of the executed plan made."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        inner = [getattr(node, name)() for name in ("executedPlan", "plan") if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec",) and name == "executedPlan" or node.getClass().getSimpleName().endswith("QueryStageExec") and name == "plan"]
+        children = node.children()
+        plan += inner + [children.apply(i) for i in range(children.size())]
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_senders_meet_a_hints_first_seed_alone(spark):
+    senders = spark.createDataFrame([(i, f"x@a.Mail{i % 2}.example") for i in range(40)], "sender_id long, from_addr string")
+    seeds = spark.createDataFrame([(50 - i, f"s{50 - i}", f"MAIL{i % 2}.example", i) for i in range(50)], "seed_order int, seed_slug string, hint string, authority int")
+    found = inbox.seeded(senders, seeds)
+    assert joined_rows(found) == 40  # a row for each sender, not for each of its 25 seeds
+    assert {(r.sender_id % 2, r.slug, r.authority) for r in found.collect()} == {(0, "s2", 48), (1, "s1", 49)}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators.greedy import first_wins
-from storyloom.operators.vectors import cosine_pairs
+from storyloom.operators.vectors import cosine_pairs, sharing_pairs
 from storyloom.schemas import DOMAINS
 from storyloom.sources.shared import written
 
@@ -62,22 +64,73 @@ def archive_decision(centroids: DataFrame, matches: DataFrame, archive: DataFram
     return top.select("id", overlap.alias("overlap"), F.when((overlap > drop) & recent, "drop").when((overlap > flag) & (overlap <= drop), "flag").otherwise("pass").alias("decision"))
 
 
+def _mergeable(clusters: DataFrame, entities: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Active, lately observed clusters with their entities as tags."""
+    tags = entities.filter("entity IS NOT NULL").groupBy("id").agg(F.collect_set("entity").alias("tags"))  # a cluster's own
+    return observed(clusters, as_of, days).select("id", "vector", "primary_domain").join(tags, "id")
+
+
 def merge_pairs(clusters: DataFrame, entities: DataFrame, as_of: Column, below: float = 0.15, days: int = 7) -> DataFrame:
     """(a, b, distance): active, lately observed clusters of one domain that are near and share an entity.
 
-    Near pairs come first, from blocks; each then needs one common entity, so that no entity's clusters are paired with each other.
+    Entities go with the vectors into the blocked join, so that no other pair is ever written or shuffled.
     """
-    clusters = observed(clusters, as_of, days)
-    near = written(cosine_pairs(clusters, clusters, "primary_domain", at_least=1 - below).filter("l_id < r_id AND 1 - similarity < " + str(below)), "near")
-    own = entities.select("id", "entity").distinct()
-    shared = near.join(own.withColumnRenamed("id", "l_id"), "l_id").join(own.withColumnRenamed("id", "r_id"), ["r_id", "entity"]).select("l_id", "r_id").distinct()
-    return near.join(shared, ["l_id", "r_id"], "left_semi").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), (1 - F.col("similarity")).alias("distance"))
+    return sharing_pairs(_mergeable(clusters, entities, as_of, days), "primary_domain", below).select(F.col("id").alias("a"), F.col("other").alias("b"), "distance")
+
+
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """What a sequential loop over (a, b, distance, rough) in order accepts, if it drops each pair that shares an end with an accepted one."""
+    return first_wins(pairs.withColumn("o", F.struct("rough", "a", "b")).withColumn("ends", F.array("a", "b")), "o", ["ends"]).select("a", "b", "distance")
+
+
+def greedy_matching(rows: DataFrame, below: float, k: int = 16, few: int = 2000) -> DataFrame:
+    """(a, b, distance): the greedy matching by distance over all pairs of ``sharing_pairs``, without all of these pairs at once.
+
+    Each row has the list of its k first pairs. Two rows that are each other's first stand in the matching, as no earlier pair can
+    take either; rounds of this go on as long as they get on. A list that was cut at k and is used up says nothing, so its row waits. What
+    rounds hardly change goes through ``first_wins`` as far as no list was cut. Then the rows that are left get new lists. The
+    last ``few`` rows go through ``first_wins`` with all their pairs.
+    """
+    taken: list[DataFrame] = []
+    every = lambda: reduce(DataFrame.unionByName, taken)
+
+    def without(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+        taken.append(pairs)
+        used = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        return written(lists.join(used, "id", "left_anti").join(used.withColumnRenamed("id", "other"), "other", "left_anti"), "lists")
+
+    edge = lambda: lists.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "distance", "rough").distinct()
+    left = written(rows, "unmatched")
+    while left.count() > few:
+        lists = written(sharing_pairs(left, "primary_domain", below, k), "lists")
+        ends = written(lists.groupBy("id").agg(F.count("*").alias("n"), F.max(F.struct("rough", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).alias("last")), "list-ends")
+        n = lists.count()
+        while n:
+            first = lists.groupBy("id").agg(F.min(F.struct("rough", "other", "distance")).alias("f")).select("id", "f.other", "f.distance", "f.rough")
+            back = first.select(F.col("id").alias("other"), F.col("other").alias("id"))
+            mutual = written(first.filter("id < other").join(back, ["id", "other"], "left_semi").select(F.col("id").alias("a"), F.col("other").alias("b"), "distance"), "matched")
+            lists = without(lists, mutual)
+            before, n = n, lists.count()
+            if n > 0.9 * before:
+                cut = ends.filter(F.col("n") == k).join(every().select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti").agg(F.min("last").alias("until"))
+                known = edge().join(F.broadcast(cut), F.col("until").isNull() | (F.struct("rough", "a", "b") <= F.col("until"))).drop("until")
+                lists = without(lists, written(_greedy(known), "matched"))
+                break
+        whole = ends.filter(F.col("n") < k).select("id").join(lists.select("id"), "id", "left_anti")  # all their partners are taken
+        none = left.select("id").join(ends.select("id"), "id", "left_anti")
+        gone = reduce(DataFrame.unionByName, [every().select(F.explode(F.array("a", "b")).alias("id")), whole, none])
+        left = written(left.join(gone, "id", "left_anti"), "unmatched")
+    taken.append(_greedy(sharing_pairs(left, "primary_domain", below).withColumnsRenamed({"id": "a", "other": "b"})))
+    return every()
 
 
 def compaction(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """(source, target, distance): greedy matching by distance; the larger cluster stays, then the older, then a."""
-    ordered = pairs.withColumn("o", F.struct(F.round("distance", 12).alias("d"), "a", "b")).withColumn("ends", F.array("a", "b"))
-    chosen = first_wins(ordered, "o", ["ends"])
+    return directed(_greedy(pairs.withColumn("rough", F.round("distance", 12))), clusters)
+
+
+def directed(chosen: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(source, target, distance) of matched pairs: the larger cluster stays, then the older, then a."""
     side = lambda name: clusters.select(F.col("id").alias(name), F.struct((-F.col("item_count")).alias("n"), "first_seen_at", F.lit(0 if name == "a" else 1).alias("s")).alias(f"{name}_rank"))
     both = chosen.join(side("a"), "a").join(side("b"), "b")
     keeps = F.col("a_rank") < F.col("b_rank")
@@ -121,7 +174,7 @@ def compact(clusters: DataFrame, entities: DataFrame, as_of: Column, below: floa
     """
     every, number = None, 0
     while passes is None or number < passes:
-        merges = written(compaction(merge_pairs(clusters, entities, as_of, below, days), clusters), "merges")
+        merges = written(directed(greedy_matching(_mergeable(clusters, entities, as_of, days), below), clusters), "merges")
         if merges.isEmpty() and every is not None:
             break
         every = merges if every is None else every.unionByName(merges)

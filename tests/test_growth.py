@@ -3,10 +3,12 @@
 from contextlib import redirect_stdout
 from io import StringIO
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from storyloom.operators import inbox, vectors
+from storyloom.operators import clusters, inbox, vectors
 from storyloom.operators.ingest import hash_dedup
 from storyloom.streaming import jobs
 
@@ -68,3 +70,33 @@ def test_a_groups_product_is_taken_in_strips():
         strips = vectors._strips(rows, width)
         assert [i for s in strips for i in range(rows)[s]] == list(range(rows))
         assert all(len(range(rows)[s]) == 1 or len(range(rows)[s]) * width <= vectors.CELLS for s in strips)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_matching_by_lists_equals_the_loop_over_all_pairs(spark, k):
+    """Random directions with copies, a chain ordered along itself, rows without a tag or a vector."""
+    rng = np.random.default_rng(3)
+    angles = np.cumsum(0.3 + 0.001 * np.arange(16))
+    made = [[float(x) for x in v] + [0.0, 0.0] for v in rng.normal(size=(50, 3))]
+    made += made[:4]
+    made += [[0.0, 0.0, 0.0, float(np.cos(a)), float(np.sin(a))] for a in angles]
+    tags = [[f"e{i % 3}", f"f{i % 4}"] if i < 54 else ["chain"] for i in range(len(made))]
+    rows = [(i, v, t, "d") for i, (v, t) in enumerate(zip(made, tags, strict=True))] + [(900, made[0], [], "d"), (901, None, ["e0"], "d"), (902, made[0], ["e0"], "other")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, tags array<string>, primary_domain string")
+    u = np.array(made) / np.linalg.norm(made, axis=1, keepdims=True)
+    far = 1 - u @ u.T
+    edges = sorted((round(far[a, b], 12), a, b) for a in range(len(made)) for b in range(a + 1, len(made)) if far[a, b] < 0.5 and set(tags[a]) & set(tags[b]))
+    for part in (9, 4096):
+        assert {(r.id, r.other) for r in vectors.sharing_pairs(df, "primary_domain", 0.5, part_rows=part).collect()} == {(a, b) for _, a, b in edges}
+    used, want = set(), []
+    for _, a, b in edges:
+        if used.isdisjoint((a, b)):
+            used |= {a, b}
+            want.append((a, b))
+    assert sorted((r.a, r.b) for r in clusters.greedy_matching(df, 0.5, k=k, few=5).collect()) == sorted(want)
+
+
+def test_merge_pairs_leave_the_join_alone_as_they_are(spark):
+    """No pair is written or joined after it was found."""
+    plan = plan_of(entry.queries()["merge_candidates"](spark, SMALL))
+    assert "FlatMapCoGroups" in plan and "Join" not in plan[: plan.index("FlatMapCoGroups")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import json_items, json_text, without_trailing_commas
 from storyloom.operators.detail import archive_links
+from storyloom.sources.shared import written
 
 TEXTS = ["hook", "thesis", "steelman", "break", "why_now", "fit"]
 
@@ -66,7 +67,8 @@ def valid_pitches(responses: DataFrame, known_urls: DataFrame, known_ids: DataFr
     is its pitches as JSON, trimmed, with evidence and ids that are known, in their order, and a blank collision as null; it is null for
     an invalid response, as one bad pitch rejects all. Null, empty or malformed responses have no pitches.
     """
-    rows = responses.select("response_id", _pitches(F.col("raw")).alias("p"))
+    # written, as the texts would be made and parsed again for each of the four uses
+    rows = written(responses.select("response_id", _pitches(F.col("raw")).alias("p")), "pitches")
     pitches = rows.select("response_id", F.posexplode("p").alias("n", "pitch"))
     key = ["response_id", "n"]
 

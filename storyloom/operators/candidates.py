@@ -87,6 +87,12 @@ def pulse_entries(fresh: DataFrame, waves: DataFrame) -> DataFrame:
     return pulse(fresh).unionByName(rows, allowMissingColumns=True)
 
 
+def oldest_needed(fresh: DataFrame, rows: int) -> str | None:
+    """The oldest run that can be among the newest ``rows`` entries: candidates of newer runs alone are as many; null if there are too few."""
+    last = pulse(fresh).select("run_id").orderBy(F.desc("run_id")).limit(rows).agg(F.count("*").alias("n"), F.min("run_id").alias("run_id")).first()
+    return last["run_id"] if last["n"] == rows else None
+
+
 def newest_entries(entries: DataFrame, rows: int = 50) -> DataFrame:
     """The pulse feed: entries of the newest runs, candidates by rank and then waves, with a link to the candidate or to the site."""
     newest = entries.orderBy(F.desc("run_id"), F.asc_nulls_last("rank")).limit(rows)

@@ -45,14 +45,20 @@ def board(stories: DataFrame, term: str, least: int, rows: int = 15, by: str | N
     return ranked.select(*key, "rank", "term", "clusters", "score", F.round("mean_heat", 6).alias("mean_heat"), "domains", "headline")
 
 
-def daily_pools(candidates: DataFrame, name: str = "run_id") -> DataFrame:
-    """candidates(created_at, expires_at, decided_at, ...) once for each day (``name``, yyyy-MM-dd) at whose end they were new and unexpired.
+def pooled(candidates: DataFrame, since: str | None = None) -> DataFrame:
+    """candidates(created_at, expires_at, decided_at, ...) with first_day and last_day, the days at whose end they were new and unexpired; those that have any, from ``since`` (yyyy-MM-dd) on."""
+    until = F.least("expires_at", "decided_at") - F.expr("INTERVAL 1 MICROSECOND")  # least() passes over nulls
+    first = F.to_date("created_at") if since is None else F.greatest(F.to_date("created_at"), F.to_date(F.lit(since)))
+    return candidates.withColumns({"first_day": first, "last_day": F.date_sub(F.to_date(until), 1)}).filter("first_day <= last_day")
+
+
+def daily_pools(candidates: DataFrame, name: str = "run_id", since: str | None = None) -> DataFrame:
+    """candidates(created_at, expires_at, decided_at, ...) once for each day (``name``, yyyy-MM-dd) at whose end they were new and unexpired, from ``since`` on.
 
     A row that lives for d days is in at most d pools, so this grows with the rows, not with rows times runs. ``decided_at`` is null for
     what is still new; a row that was decided or expired before its first day's end is in no pool.
     """
-    until = F.least("expires_at", "decided_at") - F.expr("INTERVAL 1 MICROSECOND")  # least() passes over nulls
-    days = candidates.withColumns({"first_day": F.to_date("created_at"), "last_day": F.date_sub(F.to_date(until), 1)}).filter("first_day <= last_day")
+    days = pooled(candidates, since)
     return days.withColumn(name, F.explode(F.transform(F.sequence("first_day", "last_day"), lambda d: F.date_format(d, "yyyy-MM-dd")))).drop("first_day", "last_day")
 
 

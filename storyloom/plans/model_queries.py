@@ -427,13 +427,22 @@ def fresh(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark, sf, "candidates").withColumns({"run_kind": kind, "run_id": F.date_format("created_at", "yyyy-MM-dd"), "rationale": why})
 
 
-def entries(spark: SparkSession, sf: str) -> DataFrame:
-    """A run a day; its board is of what was new at the day's end: unexpired by the domain's half-life and not decided (at ``updated_at``) yet."""
+def entries(spark: SparkSession, sf: str, newest: int | None = None) -> DataFrame:
+    """A run a day; its board is of what was new at the day's end: unexpired by the domain's half-life and not decided (at ``updated_at``) yet.
+
+    With ``newest`` of the runs that can be among so many newest entries alone.
+    """
     items, sources, rows = m(spark, sf, "items", "sources", "candidates")
+    runs = fresh(spark, sf)
+    since = None
+    if newest is not None:
+        since = candidates.oldest_needed(runs, newest)
+        runs = runs.filter(F.lit(since is None) | (F.col("run_id") >= F.lit(since)))
     expiry = F.col("created_at") + F.make_dt_interval(F.lit(0), T.half_life(F.col("primary_domain")).cast("int"))
-    dated = trending.without_arxiv(rows, items, sources).withColumns({"expires_at": expiry, "decided_at": F.when(F.col("status") != "new", F.col("updated_at"))})
-    stories = written(trending.one_per_story(trending.daily_pools(dated), "run_id"), "stories")
-    return candidates.pulse_entries(fresh(spark, sf), trending.waves(stories))
+    dated = rows.withColumns({"expires_at": expiry, "decided_at": F.when(F.col("status") != "new", F.col("updated_at"))})
+    pools = trending.without_arxiv(trending.pooled(dated, since), items, sources)
+    stories = written(trending.one_per_story(trending.daily_pools(pools, since=since), "run_id"), "stories")
+    return candidates.pulse_entries(runs, trending.waves(stories))
 
 
 @query("pulse_selection", f"WITH RECURSIVE {PULSE} SELECT * FROM pulse")
@@ -443,7 +452,7 @@ def pulse_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pulse_feed", f"WITH RECURSIVE {PULSE} SELECT run_id, kind, rank, candidate_id, coalesce('https://feeds.example/c/' || CAST(candidate_id AS STRING), 'https://feeds.example/') AS link FROM pulse ORDER BY run_id DESC, rank NULLS LAST LIMIT 50")
 def pulse_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.newest_entries(entries(spark, sf))
+    return candidates.newest_entries(entries(spark, sf, 50))
 
 
 @query("run_digest", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS run_id, primary_domain, count(*) AS n, count(*) FILTER (is_exclusive) AS exclusives FROM {candidates} GROUP BY 1, 2")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from storyloom.operators import clusters, inbox, vectors
+from storyloom.operators import briefs, candidates, clusters, inbox, vectors
 from storyloom.operators.ingest import hash_dedup
 from storyloom.streaming import jobs
 
@@ -100,3 +100,19 @@ def test_merge_pairs_leave_the_join_alone_as_they_are(spark):
     """No pair is written or joined after it was found."""
     plan = plan_of(entry.queries()["merge_candidates"](spark, SMALL))
     assert "FlatMapCoGroups" in plan and "Join" not in plan[: plan.index("FlatMapCoGroups")]
+
+
+def test_the_feed_reads_no_older_runs_than_it_needs(spark):
+    from storyloom.plans import model_queries
+
+    fresh = model_queries.fresh(spark, SMALL)
+    since = candidates.oldest_needed(fresh, 50)
+    newest = [r.run_id for r in candidates.newest_entries(candidates.pulse(fresh), 50).collect()]
+    assert since == min(newest) > fresh.agg(F.min("run_id")).first()[0]
+    assert candidates.oldest_needed(fresh.limit(3), 50) is None
+
+
+def test_pitches_are_parsed_once(spark):
+    responses = spark.createDataFrame([(1, '{"pitches": []}')], "response_id long, raw string")
+    plan = plan_of(briefs.valid_pitches(responses, spark.createDataFrame([], "response_id long, url string"), spark.createDataFrame([], "response_id long, id string")))
+    assert "parse_json" not in plan.lower()

@@ -69,14 +69,16 @@ def feeds(candidates: DataFrame, as_of: Column, rows: int = 50) -> DataFrame:
 
 def pulse(fresh: DataFrame, rows: int = 5) -> DataFrame:
     """(run_id, kind, rank, candidate_id, title, description) of fresh(run_id, run_kind, ...); quiet runs but morning ones give nothing."""
-    whole = Window.partitionBy("run_id")
     mover = F.col("is_exclusive") | ((F.col("temperature") == "hot") & F.col("trajectory").isin("rising", "new"))
-    order = Window.partitionBy("run_id").orderBy(F.desc("curation_score"), "candidate_id")
+    order = [F.desc("curation_score"), F.col("candidate_id")]
     meta = F.concat_ws(" · ", "primary_domain", F.concat(F.lit("score "), F.floor(F.col("curation_score") + 0.5).cast("string")), "trajectory", F.when(F.col("is_exclusive"), "exclusive"))
     why = F.trim("rationale")
     text = F.when(why != "", F.concat(F.lit("↳ "), why, F.lit("\n"), meta)).otherwise(meta)
-    loud = fresh.withColumn("loud", F.max(mover).over(whole)).filter((F.col("run_kind") == "morning") | F.col("loud"))
-    return loud.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select("run_id", F.lit("candidate").alias("kind"), "rank", "candidate_id", F.col("headline").alias("title"), text.alias("description"))
+    # the best of each run and kind before what a run is as a whole: a run's rows never come together
+    best = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("run_id", "run_kind").orderBy(*order))).filter(F.col("rank") <= rows)
+    loud = fresh.groupBy(F.col("run_id").alias("of")).agg(F.max(mover).alias("loud"))
+    shown = best.join(loud, F.col("run_id").eqNullSafe(F.col("of"))).filter((F.col("run_kind") == "morning") | F.col("loud"))
+    return shown.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order))).filter(F.col("rank") <= rows).select("run_id", F.lit("candidate").alias("kind"), "rank", "candidate_id", F.col("headline").alias("title"), text.alias("description"))
 
 
 def pulse_entries(fresh: DataFrame, waves: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ offset. A key with all rows of the table is spread over all parts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ def _with(rows: DataFrame, offsets: DataFrame, keys: Sequence[str], how: str = "
     return rows.join(renamed, on, how).drop(*(f"__of_{c}" for c in (PART, *keys)))
 
 
-def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """rows of ``ranged`` with ``name``: the sum of the value over all earlier rows of the keys, 0 for the first."""
+def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, total: Callable[[Column | str], Column] = F.sum, add: Callable[[Column, Column], Column] = add) -> DataFrame:
+    """rows of ``ranged`` with ``name``: the sum of the value over all earlier rows of the keys, 0 for the first; or another ``total`` of which 0 is the neutral value, with the ``add`` of two of them."""
     within = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(PART, *keys).agg(F.sum(value).alias("__sum"))
-    offsets = sums.select(PART, *keys, F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__offset"))
-    return _with(rows.withColumn("__own", F.coalesce(F.sum(value).over(within), F.lit(0))), offsets, keys).withColumn(name, F.col("__own") + F.col("__offset")).drop("__own", "__offset")
+    sums = rows.groupBy(PART, *keys).agg(total(value).alias("__sum"))
+    offsets = sums.select(PART, *keys, F.coalesce(total("__sum").over(across), F.lit(0)).alias("__offset"))
+    return _with(rows.withColumn("__own", F.coalesce(total(value).over(within), F.lit(0))), offsets, keys).withColumn(name, add(F.col("__own"), F.col("__offset"))).drop("__own", "__offset")
 
 
 def last_known(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import normalised_headline
 from storyloom.operators.greedy import first_wins
+from storyloom.operators.running import before, ranged
 from storyloom.schemas import HEAT_RANK, HEAT_WEIGHT, TRAJECTORY_WEIGHT
+from storyloom.sources.shared import written
+
+#: Days of a block; a row's days in a block are the bits of a long.
+BLOCK = 32
 
 
 def lookup(values: dict, key: str, default: float) -> Column:
@@ -17,11 +22,20 @@ def lookup(values: dict, key: str, default: float) -> Column:
 def one_per_story(pool: DataFrame, by: str | None = None) -> DataFrame:
     """Newest first, without rows that share a cluster or a normalised headline with an earlier one; an empty headline never collides. With ``by``, for each of its values apart."""
     headline = normalised_headline(F.col("headline"))
+    ranked = pool.withColumns({"h": F.when(headline != "", headline), "o": order_of(by)})
+    return _first_stories(ranked, by)
+
+
+def order_of(by: str | None = None) -> Column:
+    """Newest first; unique, also over the values of ``by``."""
+    return F.struct((-F.unix_micros("created_at")).alias("late"), F.col("candidate_id").alias("id"), *([] if by is None else [by]))
+
+
+def _first_stories(ranked: DataFrame, by: str | None) -> DataFrame:
+    """The loop over (o, cluster_id, h, ...); ``h`` comes back as its key."""
     apart = [] if by is None else [by]
-    own = lambda c: F.when(c.isNotNull(), F.concat_ws("|", *apart, c.cast("string")))
-    order = F.struct((-F.unix_micros("created_at")).alias("late"), F.col("candidate_id").alias("id"), *apart)
-    ranked = pool.withColumns({"o": order, "c": own(F.col("cluster_id")), "h": own(F.when(headline != "", headline))})
-    return first_wins(ranked, "o", ["c", "h"]).drop("c")
+    own = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("|", *apart, F.col(c).cast("string")))
+    return first_wins(ranked.withColumns({"c": own("cluster_id"), "h": own("h")}), "o", ["c", "h"]).drop("c")
 
 
 def without_arxiv(pool: DataFrame, items: DataFrame, sources: DataFrame, domain: str | None = None) -> DataFrame:
@@ -62,6 +76,40 @@ def daily_pools(candidates: DataFrame, name: str = "run_id", since: str | None =
     return days.withColumn(name, F.explode(F.transform(F.sequence("first_day", "last_day"), lambda d: F.date_format(d, "yyyy-MM-dd")))).drop("first_day", "last_day")
 
 
+def _lone(days: DataFrame) -> DataFrame:
+    """(cluster_id, lone): clusters no two of whose rows share a block of days, their numbers taken modulo 64. One that is not lone may still be so by days."""
+    touched = F.expr(f"aggregate(sequence(floor(unix_date(first_day) / {BLOCK}), floor(unix_date(last_day) / {BLOCK})), 0L, (a, b) -> a | shiftleft(1L, CAST(pmod(b, 64) AS INT)))")
+    return days.select("cluster_id", touched.alias("t")).groupBy("cluster_id").agg((F.sum(F.bit_count("t")) == F.bit_count(F.bit_or("t"))).alias("lone"))
+
+
+def daily_stories(days: DataFrame, name: str = "run_id", only: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(name, candidate_id, o): what ``one_per_story`` leaves of the ``daily_pools`` of rows of ``pooled``, for the days of ``only`` (name) if given, without making the pools.
+
+    A row that shares its cluster with no other row of a pool can lose by its headline alone. So later rows with its headline never
+    win in that pool: it wins, or what it loses to beats them too. Which days a row is left with is known from the days of earlier such rows with its
+    headline, bits of a block of days. Of the few rows that are left, those in doubt go through the loop.
+    """
+    headline = normalised_headline(F.col("headline"))
+    narrow = days.select("candidate_id", "cluster_id", F.when(headline != "", headline).alias("h"), (-F.unix_micros("created_at")).alias("late"), F.unix_date("first_day").alias("a"), F.unix_date("last_day").alias("z"))
+    spans = written(narrow.join(_lone(days), "cluster_id", "left").withColumn("lone", F.coalesce("lone", F.lit(True))), "pool")
+    blocks = spans.withColumn("block", F.explode(F.expr(f"sequence(floor(a / {BLOCK}), floor(z / {BLOCK}))")))
+    low, high = f"greatest(a - block * {BLOCK}, 0)", f"least(z - block * {BLOCK}, {BLOCK - 1})"
+    bits = blocks.withColumn("bits", F.expr(f"shiftleft(shiftleft(1L, CAST({high} - {low} + 1 AS INT)) - 1, CAST({low} AS INT))")).drop("a", "z")
+    key = ["h", "block"]
+    order = ["late", "candidate_id"]
+    named = before(ranged(bits.filter("h IS NOT NULL"), [*key, *order], parts), key, order, F.when(F.col("lone"), F.col("bits")).otherwise(0), "beaten", F.bit_or, lambda a, b: a.bitwiseOR(b))
+    left = named.withColumn("bits", F.expr("bits & ~beaten")).filter("bits <> 0").select(bits.columns).unionByName(bits.filter("h IS NULL"))
+    day = F.explode(F.expr(f"filter(sequence(0, {BLOCK - 1}), i -> getbit(bits, i) = 1)"))
+    dated = left.withColumn("i", day).select("candidate_id", "cluster_id", "h", "lone", F.date_format(F.date_from_unix_date((F.col("block") * BLOCK + F.col("i")).cast("int")), "yyyy-MM-dd").alias(name), "late")
+    dated = dated.withColumn("o", F.struct("late", F.col("candidate_id").alias("id"), name)).drop("late")
+    rest = written(dated if only is None else dated.join(only.select(name).distinct(), name, "left_semi"), "pool-rest")
+    crowd, lone = rest.filter("NOT lone"), rest.filter("lone")
+    doubt = crowd.select(name, "h").filter("h IS NOT NULL").distinct()
+    looped = written(crowd.unionByName(lone.join(doubt, [name, "h"], "left_semi")), "pool-doubt")
+    kept = [name, "candidate_id", "o"]
+    return _first_stories(looped, name).select(kept).unionByName(lone.join(doubt, [name, "h"], "left_anti").select(kept))
+
+
 def waves(stories: DataFrame, by: str = "run_id", themes: int = 6, words: int = 10) -> DataFrame:
     """(by, description): the board of each value's stories as text, themes a line each and then keywords; a value whose board is empty has no row."""
 

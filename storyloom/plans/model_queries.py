@@ -441,7 +441,8 @@ def entries(spark: SparkSession, sf: str, newest: int | None = None) -> DataFram
     expiry = F.col("created_at") + F.make_dt_interval(F.lit(0), T.half_life(F.col("primary_domain")).cast("int"))
     dated = rows.withColumns({"expires_at": expiry, "decided_at": F.when(F.col("status") != "new", F.col("updated_at"))})
     pools = trending.without_arxiv(trending.pooled(dated, since), items, sources)
-    stories = written(trending.one_per_story(trending.daily_pools(pools, since=since), "run_id"), "stories")
+    mornings = runs.filter(F.col("run_kind") == "morning").select("run_id")
+    stories = written(trending.daily_stories(pools, only=mornings).join(rows, "candidate_id"), "stories")
     return candidates.pulse_entries(runs, trending.waves(stories))
 
 

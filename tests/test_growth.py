@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from storyloom.operators import briefs, candidates, clusters, inbox, vectors
+from storyloom.operators import briefs, candidates, clusters, inbox, trending, vectors
 from storyloom.operators.ingest import hash_dedup
 from storyloom.streaming import jobs
 
@@ -116,3 +116,42 @@ def test_pitches_are_parsed_once(spark):
     responses = spark.createDataFrame([(1, '{"pitches": []}')], "response_id long, raw string")
     plan = plan_of(briefs.valid_pitches(responses, spark.createDataFrame([], "response_id long, url string"), spark.createDataFrame([], "response_id long, id string")))
     assert "parse_json" not in plan.lower()
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_stories_of_days_equal_those_of_the_pools(spark, parts):
+    """Clusters and headlines in common, blank and missing ones, lives over blocks of days and before 1970; one headline's rows are in several parts."""
+    rng = np.random.default_rng(parts)
+    titles = ["One Tale", "one tale!", "two", "three", " ", None]
+    rows = [(i, None if rng.random() < 0.05 else int(rng.integers(150)), titles[int(rng.integers(6))], int(rng.integers(-50, 50)), int(rng.integers(1, 40 if i % 9 else 90))) for i in range(220)]
+    made = spark.createDataFrame(rows, "candidate_id long, cluster_id long, headline string, first int, life int")
+    dated = made.selectExpr("*", "timestamp_seconds(first * 86400L + 3600) AS created_at", "timestamp_seconds((first + life) * 86400L) AS expires_at", "CAST(NULL AS timestamp) AS decided_at")
+    days = trending.pooled(dated)
+    want = trending.one_per_story(trending.daily_pools(dated), "run_id").select("run_id", "candidate_id").collect()
+    got = trending.daily_stories(days, parts=parts)
+    assert sorted(map(tuple, got.select("run_id", "candidate_id").collect())) == sorted(map(tuple, want))
+    some = [(r,) for r in sorted({r.run_id for r in want})[::3]]
+    assert {tuple(r) for r in trending.daily_stories(days, only=spark.createDataFrame(some, "run_id string"), parts=parts).select("run_id", "candidate_id").collect()} == {tuple(r) for r in want if (r.run_id,) in some}
+
+
+def test_the_boards_loop_gets_rows_in_doubt_alone(spark, monkeypatch):
+    """Not all pools of all days go through the rounds."""
+    from storyloom.plans import model_queries
+
+    sizes, loop = [], trending.first_wins
+
+    def counted(rows, *rest):
+        sizes.append(rows.count())
+        return loop(rows, *rest)
+
+    monkeypatch.setattr(trending, "first_wins", counted)
+    stories = model_queries.entries(spark, SMALL).filter("kind = 'waves'").count()
+    assert stories > 100 and sizes[0] < 500  # the pools have thousands of rows
+
+
+def test_a_runs_rows_never_come_together(spark):
+    """The best of a run are found before the exchange by run, and no window is over all of its rows."""
+    from storyloom.plans import model_queries
+
+    plan = plan_of(candidates.pulse(model_queries.fresh(spark, SMALL)))
+    assert "WindowGroupLimit" in plan and "Window [max(" not in plan

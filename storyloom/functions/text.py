@@ -113,8 +113,8 @@ def json_number(json: Column, path: str = "$") -> Column:
 
 
 def json_items(json: Column, path: str = "$") -> Column:
-    """The array at a path, of any elements; null if it is of another type."""
-    return F.when(kind_of(json, path).startswith("ARRAY"), F.try_variant_get(json, path, "array<variant>"))
+    """The array at a path, of any elements; null if it is of another type, as nothing else is made an array."""
+    return F.try_variant_get(json, path, "array<variant>")
 
 
 def with_json_field(json: Column, name: str, value: Column) -> Column:

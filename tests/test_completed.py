@@ -126,6 +126,27 @@ def test_archive_links_need_their_types(spark):
     assert got == {1: [("a", "u", 0.5), ("b", "v", 1.0)], 2: [], 3: [], 4: [], 5: []}
 
 
+def test_only_arrays_are_arrays_of_json(spark):
+    rows = [(1, '{"l": [1, "a", null]}'), (2, '{"l": {"a": 1}}'), (3, '{"l": "[1]"}'), (4, '{"l": 7}'), (5, '{"l": null}'), (6, "{}"), (7, '{"l": []}'), (8, "[1]"), (9, "no"), (10, None)]
+    got = spark.createDataFrame(rows, "i int, raw string").select("i", F.size(T.json_items(F.try_parse_json("raw"), "$.l")).alias("n"), T.json_items(F.try_parse_json("raw"), "$.l").isNull().alias("none")).collect()
+    assert {r["i"]: r["n"] for r in got if not r["none"]} == {1: 3, 7: 0}
+
+
+def test_details_of_known_and_unknown_sources(spark):
+    """An exclusive's earliest row; a source that isn't known counts as a follower, but is not listed and never exclusive."""
+    hour = datetime.timedelta(hours=1)
+    made = [(1, 1, 0, 2, 1), (1, 1, 0, 1, 2), (1, 1, 0, 1, 1), (1, 2, 5, 0, 1), (2, 9, 0, 1, 1), (2, 1, 6, 2, 1), (3, 1, 0, 1, 1), (4, 1, 0, 1, 1), (4, 9, 5, 1, 2), (6, 9, 0, 1, 1), (7, 1, 0, 1, 1), (7, 2, 4, 1, 2), (8, 2, 0, 1, 1), (8, 1, 9, 1, 2), (9, 2, 0, 1, 1), (9, 1, 0, 1, 2), (9, 1, 9, 1, 3)]
+    items = spark.createDataFrame([(c, s, T0 + h * hour, o, n, 0, f"t{o}-{n}", f"u{o}-{n}") for c, s, h, o, n in made], "cluster_id long, source_id long, published_at timestamp, order_id long, line int, part_id long, title string, url string")
+    sources = spark.createDataFrame([(1, "one", 80), (2, "two", 70)], "source_id long, name string, authority_score int")
+    rows = spark.createDataFrame([(c + 100, c, '{"links": [{"title": "a", "url": "b", "similarity": 1}]}') for c in range(1, 10)], "candidate_id long, cluster_id long, archive_payload string")
+    got = {r["cluster_id"]: r for r in detail.details(rows, items, sources).collect()}
+    assert {c: (r["exclusive"]["source_id"], r["exclusive"]["name"], r["exclusive"]["title"]) for c, r in got.items() if r["exclusive"]} == {1: (1, "one", "t1-1"), 4: (1, "one", "t1-1")}
+    assert {c: (r["n_rows"], r["n_sources"], [x["name"] for x in r["listed"] or []]) for c, r in got.items()} == {
+        1: (4, 2, ["one", "two"]), 2: (1, 1, ["one"]), 3: (1, 1, ["one"]), 4: (1, 1, ["one"]), 5: (None, None, []), 6: (None, None, []), 7: (2, 2, ["one", "two"]), 8: (2, 2, ["two", "one"]), 9: (3, 2, ["one", "two"]),
+    }
+    assert got[5]["listed"] is None and got[6]["first_at"] is None and all(len(r["archive_links"]) == 1 for r in got.values())
+
+
 def test_errors_merge_into_any_metadata(spark):
     rows = [(1, '{"b":[1,{"c":null}],"last_processing_error":"old"}'), (2, None), (3, "[1]"), (4, "no"), (5, "{}")]
     got = {r["i"]: json.loads(r["j"]) for r in spark.createDataFrame(rows, "i int, raw string").select("i", T.with_json_field(F.col("raw"), "last_processing_error", F.lit('a "b"')).alias("j")).collect()}

@@ -155,3 +155,10 @@ def test_a_runs_rows_never_come_together(spark):
 
     plan = plan_of(candidates.pulse(model_queries.fresh(spark, SMALL)))
     assert "WindowGroupLimit" in plan and "Window [max(" not in plan
+
+
+def test_details_take_items_twice_and_parse_behind_the_joins(spark):
+    """The list of a cluster's sources says which is exclusive, without a window or the items for a third time."""
+    plan = plan_of(entry.queries()["candidate_detail"](spark, SMALL))
+    assert plan.count("lineitem.parquet") == 2 and "Window" not in plan
+    assert "parseJson" in plan[: plan.index("Join")] and "parseJson" not in plan[plan.index("Join") :]

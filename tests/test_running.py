@@ -81,6 +81,23 @@ def test_sessions_of_shuffled_files_equal_the_batch(spark, tmp_path):
     assert [r[3] for r in want if r[0] == 51] == [3]
 
 
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(1, 0), (1, 24)], [(1, 0, 48, 2)]),  # exactly the gap
+        ([(2, 0), (2, 24.001)], [(2, 0, 24, 1), (2, 24.001, 48.001, 1)]),
+        ([(3, 0), (3, 48), (3, 24)], [(3, 0, 72, 3)]),  # the middle comes last
+        ([(4, 0), (4, None), (None, None), (None, 5), (None, None)], [(4, 0, 24, 1), (4, None, None, 1), (None, 5, 29, 1), (None, None, None, 1), (None, None, None, 1)]),
+    ],
+)
+def test_sessions_that_meet_are_one_in_any_files(spark, tmp_path, rows, want):
+    at = lambda h: None if h is None else hours(h)
+    rows, want = [(c, at(h)) for c, h in rows], sorted(((c, at(a), at(b), n) for c, a, b, n in want), key=repr)
+    schema = "cluster_id long, observed_at timestamp"
+    for items in (spark.createDataFrame(rows, schema), _files(spark, rows, schema, tmp_path, len(rows))):
+        assert sorted(map(tuple, jobs.sessions(items, "24 hours").select("cluster_id", "started", "ended", "n").collect()), key=repr) == want
+
+
 def test_activity_of_any_file_order_equals_the_batch_and_tells_corrections(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows = [(int(c), hours(h)) for c, h in zip(rng.integers(0, 4, 200), rng.integers(0, 1000, 200), strict=True)]

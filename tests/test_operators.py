@@ -148,6 +148,29 @@ def test_model_stage_bills_failures_and_skips_blanks(spark):
     assert got == {1: ("a b c", 3, None), 2: (None, 0, None), 3: (None, 0, None), 4: (None, 2, "digit")}
 
 
+def test_model_words_are_told_apart_where_split_differs():
+    import re
+
+    spaces = {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    assert spaces == set(models.SPACES) | set(models.SPLIT) and not set(models.SPACES) & set(models.SPLIT)
+    assert set(re.findall(r"[\t\n\f\r \x1c-\x1f\x85\xa0]", "".join(map(chr, range(0x110000))))) == set(models.SPACES)
+
+
+def test_model_stage_equals_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = [None, "", " ", "\n\t", "\x1f\x85 ", "\x0b", "\u3000", "a\x0bb", "a\u3000b", "a\u2028b", "\u2003 a", "a\x85b\xa0c\x1cd", "x\xb2 y", "x\u0661", "\u2167 \xbd", "a\x00b c", "\ufeffa b", "a b c d e 9", "a b c d 9", " a\rb\x0cc"]
+    rows = [(2**53 + 2 * i + 1, t) for i, t in enumerate(texts)] + [(None, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in entry.queries()["model_stage"](spark, str(tmp_path)).collect()]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=repr) == sorted(c.execute(entry.oracle_sql()["model_stage"]).fetchall(), key=repr)
+    assert (rows[1][0], "") in got and (rows[7][0], "a\x0bb") in got and (rows[12][0], "x\xb2 y") in got
+
+
 def test_compact_clusters_and_pitches_read_all_rows(spark):
     from storyloom.plans import text_queries, vector_queries
     from storyloom.sources.lens import model

@@ -87,6 +87,7 @@ def test_sessions_of_shuffled_files_equal_the_batch(spark, tmp_path):
         ([(1, 0), (1, 24)], [(1, 0, 48, 2)]),  # exactly the gap
         ([(2, 0), (2, 24.001)], [(2, 0, 24, 1), (2, 24.001, 48.001, 1)]),
         ([(3, 0), (3, 48), (3, 24)], [(3, 0, 72, 3)]),  # the middle comes last
+        ([(5, 0), (5, 30), (5, 30)], [(5, 0, 24, 1), (5, 30, 54, 2)]),  # items of one time stay together
         ([(4, 0), (4, None), (None, None), (None, 5), (None, None)], [(4, 0, 24, 1), (4, None, None, 1), (None, 5, 29, 1), (None, None, None, 1), (None, None, None, 1)]),
     ],
 )
